@@ -189,7 +189,7 @@ add("terms_between",
 add("years_to_complete",
     lambda s: counted(s.awards_all.withColumn("Years", T.years_from_terms(F.col("Terms_to_Complete"))),
                       "Terms_to_Complete", "Years"),
-    "select Terms_to_Complete, Terms_to_Complete/4.0::double Years, count(*) n from awards_all group by all")
+    "select Terms_to_Complete, Terms_to_Complete/4.0::double as Years, count(*) n from awards_all group by all")
 add("recode_gender",
     lambda s: s.domain.students.select("Student_Id", R.recode_gender(F.col("Gender")).alias("Gender")),
     f"select Student_Id, {Q.gender('Gender')} Gender from students")
@@ -465,7 +465,7 @@ add("join_path_enrollments", _path_enrollments,
          and e.Year_Semester=x.Year_Semester and s.College=x.College, par
        where Grade<>'E' and e.Year_Semester < t and e.Year_Semester <= s.Year_Semester
          and e.Year_Semester >= s.Cohort
-       group by all""")
+       group by s.Student_Id, s.College, s.Major_Code, s.Award_Type, s.Cohort, s.Year_Semester, Weight""")
 add("join_group_size",
     lambda s: C.course_counts(s.takers, SPLITS["gender"]).join(
         C.group_sizes(s.awards_cohort, SPLITS["gender"]), [*C.PROGRAM, "Gender"], "left"),
@@ -651,7 +651,7 @@ for mode in Q.MODES:
         lambda s, strata=strata: _boxplot(s, strata),
         f"""with q as (select {keys}, Years, quantile_cont(Years,0.25) over w q1, median(Years) over w q2,
               quantile_cont(Years,0.75) over w q3, count(*) over w n
-              from (select *, Terms_to_Complete/4.0::double Years from {source}) x
+              from (select *, Terms_to_Complete/4.0::double as Years from {source}) x
               window w as (partition by {keys}))
             select {keys}, n Group_Size, q1 Lower_Hinge, q2 Median_Years, q3 Upper_Hinge,
               min(Years) filter (Years between q1-1.5*(q3-q1) and q3+1.5*(q3-q1)) Lower_Whisker,
@@ -780,8 +780,8 @@ def _sort_by_period(s: Session) -> DataFrame:
 
 add("sort_by_period", _sort_by_period,
     """select Award_Type, Year_Semester_Key, Year_Semester, count(*) "Count", row_number() over
-       (partition by Award_Type order by Year_Semester_Key) as Position from awards_all group by all
-       order by Award_Type, Year_Semester_Key""")
+       (partition by Award_Type order by Year_Semester_Key) as Position from awards_all
+       group by Award_Type, Year_Semester_Key, Year_Semester order by Award_Type, Year_Semester_Key""")
 _TOP = f"""(select row_number() over (order by n desc, Course) as rank, Course from top_counts
    where Course not in {{excluded}} order by n desc, Course limit 25)"""
 _DEFAULT_SPECIAL = ", ".join(f"'{c}'" for c in L.SPECIAL_COURSES)

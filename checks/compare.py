@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import datetime as dt
+import decimal
 import time
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 from pyspark.sql import SparkSession
 
 from checks.catalog import CHECKS, Session
@@ -21,41 +21,48 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
-        return None
-    if hasattr(value, "item"):
-        value = value.item()
+    """Comparable value; types are kept apart, doubles are compared to nine digits."""
     if isinstance(value, float):
         return round(value, 9) + 0.0
-    if isinstance(value, pd.Timestamp):
-        return value.date().isoformat()
-    return value if isinstance(value, (bool, int, str)) else str(value)
+    return value
 
 
-def _rows(frame: pd.DataFrame) -> list[tuple]:
-    columns = sorted(frame.columns)
-    rows = [tuple(_cell(v) for v in row) for row in frame[columns].itertuples(index=False, name=None)]
-    return sorted(rows, key=lambda row: tuple((v is not None, str(v)) for v in row))
+def _kind(value) -> str:
+    for kind in (bool, int, float, decimal.Decimal, str, dt.datetime, dt.date):
+        if isinstance(value, kind):
+            return kind.__name__
+    return type(value).__name__
 
 
-def _kinds(frame: pd.DataFrame) -> dict[str, str]:
-    return {c: frame[c].dtype.kind for c in sorted(frame.columns)}
+def _rows(columns: list[str], rows) -> tuple[list[tuple], dict[str, set[str]]]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    ordered = [tuple(_cell(row[i]) for i in order) for row in rows]
+    kinds = {
+        columns[i]: {_kind(row[p]) for row in ordered if row[p] is not None}
+        for p, i in enumerate(order)
+    }
+    return sorted(ordered, key=lambda row: [(v is not None, str(v)) for v in row]), kinds
 
 
 def compare(spark: SparkSession, connection, folder: str, name: str) -> list[str]:
     """Differences between the two sides of a query; empty if they agree."""
     check = CHECKS[name]
-    ours = check.plan(Session(spark, folder)).toPandas()
-    theirs = connection.execute(check.sql).df()
-    if sorted(ours.columns) != sorted(theirs.columns):
-        return [f"columns {sorted(ours.columns)} and {sorted(theirs.columns)}"]
+    ours = check.plan(Session(spark, folder))
+    rows = ours.collect()
+    answer = connection.execute(check.sql)
+    names = [d[0] for d in answer.description]
+    if sorted(ours.columns) != sorted(names):
+        return [f"columns {sorted(ours.columns)} and {sorted(names)}"]
+    left, left_kinds = _rows(ours.columns, rows)
+    right, right_kinds = _rows(names, answer.fetchall())
     problems = []
-    if len(ours) != len(theirs):
-        problems.append(f"{len(ours)} and {len(theirs)} rows")
-    kinds = {c: (k, _kinds(theirs)[c]) for c, k in _kinds(ours).items() if k != _kinds(theirs)[c]}
-    if any(set(pair) != {"O", "M"} for pair in kinds.values()):
+    if not left:
+        problems.append("no rows")
+    if len(left) != len(right):
+        problems.append(f"{len(left)} and {len(right)} rows")
+    kinds = {c: (k, right_kinds[c]) for c, k in left_kinds.items() if k != right_kinds[c]}
+    if kinds:
         problems.append(f"kinds {kinds}")
-    left, right = _rows(ours), _rows(theirs)
     if left != right:
         differing = [(a, b) for a, b in zip(left, right) if a != b]
         problems.append(f"{len(differing)} differing rows, first {differing[:2]}")

@@ -279,4 +279,6 @@ def compose(body: str) -> str:
         return body
     recursive = any(PARTS[n].startswith("recursive") for n in ordered)
     parts = ",\n".join(f"{n} as ({PARTS[n].removeprefix('recursive').strip()})" for n in ordered)
-    return f"with {'recursive ' if recursive else ''}{parts}\n{body}"
+    own = body.lstrip()
+    body = f",\n{own.removeprefix('with ')}" if own.startswith("with ") else f"\n{own}"
+    return f"with {'recursive ' if recursive else ''}{parts}{body}"
