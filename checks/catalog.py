@@ -102,6 +102,18 @@ class Session:
         return M.cut_lineage(D.stored_baskets(self.domain, self.calendar))
 
 
+_SESSIONS: dict[tuple[str, str], Session] = {}
+
+
+def session_for(spark: SparkSession, folder: str) -> Session:
+    """One session per application and folder: the calendar is loaded and the data sets
+    are planned once, as a dashboard would. Only plans are kept, no rows but the baskets."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SESSIONS:
+        _SESSIONS[key] = Session(spark, folder)
+    return _SESSIONS[key]
+
+
 @dataclass(frozen=True)
 class Check:
     name: str
@@ -580,7 +592,7 @@ def _both_periods(s: Session, strata: X.Strata, cumulative: bool) -> DataFrame:
     frames = []
     for scale, period in (("academic_year", X.ACADEMIC_YEAR), ("term", X.AWARD_TERM)):
         cells = V.completers(s.awards_all, period, strata, cumulative=cumulative)
-        frames.append(cells.withColumn("Scale", F.lit(scale)).withColumnsRenamed(
+        frames.append(period.with_label(cells).withColumn("Scale", F.lit(scale)).withColumnsRenamed(
             {period.key: "Period_Key", period.label: "Period"}))
     return frames[0].unionByName(frames[1])
 
@@ -640,7 +652,7 @@ for mode in Q.MODES:
     source = split.source("rolling")
     keys = f"Award_Type, {split.keys} Completion_Cohort_Key, Completion_Cohort"
     add(f"change_in_completers{split.suffix}",
-        lambda s, strata=strata: V.change_in_completers(s.rolling, strata),
+        lambda s, strata=strata: X.COMPLETION_COHORT.with_label(V.change_in_completers(s.rolling, strata)),
         f'select {keys}, count(*) "Count" from {source} x group by {keys}')
     overall = "" if mode else ", (select median(Terms_to_Complete/4.0::double) from rolling) Median_Years_Overall"
     add(f"median_time_to_award{split.suffix}",
@@ -737,7 +749,8 @@ def _time_cells(split: Q.Split, source: str, extra: str = "") -> str:
 add("time_shares", lambda s: laurel.report_time_to_award(s.all_completers, SPLITS["gender"]),
     _share_sql(_time_cells(_GENDER, _COMPLETE_ALL), "Award_Type, Gender"))
 add("change_shares",
-    lambda s: V.change_shares(V.change_in_completers(s.rolling, SPLITS["gender"]), SPLITS["gender"]),
+    lambda s: X.COMPLETION_COHORT.with_label(V.change_shares(
+        V.change_in_completers(s.rolling, SPLITS["gender"]), SPLITS["gender"])),
     _share_sql(f"""select Award_Type, Gender, Completion_Cohort_Key, Completion_Cohort, count(*) "Count"
         from {_GENDER.source('rolling')} x group by all""", "Award_Type, Completion_Cohort_Key"))
 
@@ -773,7 +786,8 @@ add("first_award_row",
 
 def _sort_by_period(s: Session) -> DataFrame:
     """The order as a column: positions of the sorted periods within their award type."""
-    cells = N.sort_by_period(V.completers(s.awards_all, X.AWARD_TERM), "Year_Semester_Key")
+    cells = X.AWARD_TERM.with_label(V.completers(s.awards_all, X.AWARD_TERM))
+    cells = N.sort_by_period(cells, "Year_Semester_Key")
     return cells.withColumn("Position", F.row_number().over(
         W.partitionBy("Award_Type").orderBy("Year_Semester_Key")))
 

@@ -10,7 +10,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import SparkSession
 
-from checks.catalog import CHECKS, Session
+from checks.catalog import CHECKS, session_for
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
@@ -47,7 +47,7 @@ def _rows(columns: list[str], rows) -> tuple[list[tuple], dict[str, set[str]]]:
 def compare(spark: SparkSession, connection, folder: str, name: str) -> list[str]:
     """Differences between the two sides of a query; empty if they agree."""
     check = CHECKS[name]
-    ours = check.plan(Session(spark, folder))
+    ours = check.plan(session_for(spark, folder))
     rows = ours.collect()
     answer = connection.execute(check.sql)
     names = [d[0] for d in answer.description]

@@ -16,7 +16,7 @@ def term_digit(term: Column) -> Column:
 
 
 def term_year(term: Column) -> Column:
-    return ((term - term_digit(term)) / 10).cast("int")
+    return F.call_function("div", term, F.lit(10)).cast("int")
 
 
 def is_regular_term(term: Column) -> Column:
@@ -52,7 +52,7 @@ def academic_year(term: Column) -> Column:
     """Summer and Fall open an academic year, Winter and Spring close it."""
     year = term_year(term)
     opens = F.when(term_digit(term).isin(2, 3), year).otherwise(year - 1)
-    return (opens * 10000 + opens + 1).cast("int")
+    return opens * 10001 + 1  # the code holds the opening year and the next one
 
 
 def academic_year_label(year: Column) -> Column:
@@ -60,10 +60,14 @@ def academic_year_label(year: Column) -> Column:
     return F.concat(F.substring(text, 1, 4), F.lit("-"), F.substring(text, 7, 2))
 
 
+def term_index(term: Column) -> Column:
+    """Running number of a term, four to a year: 4 * year + digit, with term = 10 * year + digit."""
+    return term - term_year(term) * 6
+
+
 def terms_between(later: Column, earlier: Column) -> Column:
     """Signed number of terms, four to a year."""
-    years = term_year(later) - term_year(earlier)
-    return (years * 4 + term_digit(later) - term_digit(earlier)).cast("int")
+    return term_index(later) - term_index(earlier)
 
 
 def years_from_terms(terms: Column) -> Column:

@@ -51,32 +51,33 @@ def _zero(kind: T.DataType) -> Column:
     return F.lit(0).cast(kind)
 
 
-def fill_observed(cells: DataFrame, dimensions: Sequence[Sequence[str]], measures: Sequence[str],
+def fill_observed(cells: DataFrame, dimensions: Sequence[str], measures: Sequence[str],
                   within: Sequence[str] = ()) -> DataFrame:
     """Zero cells for every combination of the levels observed in `cells`.
 
-    A dimension is one column or a key with its label. `cells` must be aggregated (one
-    row per combination): there are at most a few thousand cells per `within` group,
-    because every dimension is a short list of names or calendar terms. So the grid is
-    built inside one row from the observed sets, without joining cells with cells.
+    `cells` must be aggregated (one row per combination): there are at most a few
+    thousand cells per `within` group, because every dimension is a short list of names
+    or calendar terms. So the grid is built inside one row from the observed sets; the
+    plan below runs once and cells are not joined with cells.
     """
-    columns = [c for dim in dimensions for c in dim]
-    schema = cells.schema
-    sets = [F.collect_set(F.struct(*dim)).alias(f"_set{i}") for i, dim in enumerate(dimensions)]
-    body = F.collect_list(F.struct(*columns, *measures)).alias("_cells")
+    kinds = {f.name: f.dataType for f in cells.schema.fields}
+    sets = [F.collect_set(F.struct(d)).alias(f"_set_{d}") for d in dimensions]
+    body = F.collect_list(F.struct(*dimensions, *measures)).alias("_cells")
     grouped = cells.groupBy(*within).agg(*sets, body)
+    zeros = [_zero(kinds[m]).alias(m) for m in measures]
+
+    def combine(remaining: Sequence[str], chosen: list[Column]) -> Column:
+        if not remaining:
+            return F.struct(*chosen, *zeros)
+        first, *rest = remaining
+        inner = F.transform(
+            F.col(f"_set_{first}"), lambda level: combine(rest, [*chosen, level[first].alias(first)])
+        )
+        return F.flatten(inner) if rest else inner
 
-    def combine(position: int, chosen: list[Column]) -> Column:
-        if position == len(dimensions):
-            values = [chosen[i][c].alias(c) for i, dim in enumerate(dimensions) for c in dim]
-            zeros = [_zero(schema[m].dataType).alias(m) for m in measures]
-            return F.struct(*values, *zeros)
-        rest = F.transform(F.col(f"_set{position}"), lambda x: combine(position + 1, [*chosen, x]))
-        return rest if position == len(dimensions) - 1 else F.flatten(rest)
-
-    stacked = grouped.select(*within, F.inline(F.concat("_cells", combine(0, []))))
-    totals = [F.sum(m).cast(schema[m].dataType).alias(m) for m in measures]
-    return stacked.groupBy(*within, *columns).agg(*totals)
+    stacked = grouped.select(*within, F.inline(F.concat("_cells", combine(dimensions, []))))
+    totals = [F.sum(m).cast(kinds[m]).alias(m) for m in measures]
+    return stacked.groupBy(*within, *dimensions).agg(*totals)
 
 
 def pivot_strata(cells: DataFrame, period_key: str, label_of, period_levels: Sequence[int],

@@ -127,17 +127,17 @@ UNSPLIT = Strata()
 
 @dataclass(frozen=True)
 class Period:
-    """A time scale: an integer key to order by and the label shown."""
+    """A time scale: an integer key to group and order by, and the label shown.
+
+    Labels are added to finished cells, so the shuffles carry only the integer.
+    """
 
     key: str
     label: str
 
-    @property
-    def columns(self) -> list[str]:
-        return [self.key, self.label]
-
-    def label_of(self, key: Column) -> Column:
-        return T.academic_year_label(key) if self.label == "Academic_Year" else T.term_label(key)
+    def with_label(self, cells: DataFrame) -> DataFrame:
+        text = T.academic_year_label if self.label == "Academic_Year" else T.term_label
+        return cells.withColumn(self.label, text(F.col(self.key)))
 
 
 ACADEMIC_YEAR = Period("Academic_Year_Key", "Academic_Year")

@@ -38,15 +38,14 @@ def completers(awards: DataFrame, period: Period = ACADEMIC_YEAR, strata: Strata
     """Completers per period and award type (and stratum), optionally as a running count."""
     chosen = strata.apply(filter_award_types(awards, award_types))
     series = [*within, "Award_Type", *strata.columns]
-    cells = count_cells(chosen, [*series, *period.columns])
+    cells = count_cells(chosen, [*series, period.key])
     return running_count(cells, period.key, series) if cumulative else cells
 
 
 def _zero_filled(cells: DataFrame, period: Period, split: Sequence[str],
                  within: Sequence[str]) -> DataFrame:
-    dimensions = [["Award_Type"], *[[s] for s in split], period.columns]
-    filled = fill_observed(cells, dimensions, ["Count", "Proportion"], within)
-    return with_label(filled)
+    filled = fill_observed(cells, ["Award_Type", *split, period.key], ["Count", "Proportion"], within)
+    return period.with_label(with_label(filled))
 
 
 def report_completers(groups: Groups, period: Period = ACADEMIC_YEAR, strata: Strata = UNSPLIT,
@@ -56,8 +55,10 @@ def report_completers(groups: Groups, period: Period = ACADEMIC_YEAR, strata: St
     within = _group_column(groups)
     cells = completers(label_groups(dict(groups)), period, strata, award_types, cumulative, within)
     cells = strata.known(cells)
-    shares = with_share(cells, [*within, "Award_Type", *period.columns])
-    return _zero_filled(shares, period, strata.columns, within) if fill else shares
+    shares = with_share(cells, [*within, "Award_Type", period.key])
+    if fill:
+        return _zero_filled(shares, period, strata.columns, within)
+    return period.with_label(shares)
 
 
 def report_time_to_award(groups: Groups, strata: Strata = UNSPLIT,
@@ -77,9 +78,9 @@ def _report_status(groups: Groups, share: str, column: str, limit: float, labels
     within = _group_column(groups)
     known = drop_incomplete(filter_award_types(label_groups(dict(groups)), award_types), [share])
     status = known.withColumn(column, share_status(F.col(share), limit, labels))
-    cells = count_cells(status, [*within, "Award_Type", *period.columns, column])
-    shares = with_share(cells, [*within, "Award_Type", *period.columns])
-    return _zero_filled(shares, period, [column], within) if fill else shares
+    cells = count_cells(status, [*within, "Award_Type", period.key, column])
+    shares = with_share(cells, [*within, "Award_Type", period.key])
+    return _zero_filled(shares, period, [column], within) if fill else period.with_label(shares)
 
 
 def report_sgec(groups: Groups, limit: float, period: Period = ACADEMIC_YEAR,
@@ -100,15 +101,14 @@ def change_in_completers(rolling: DataFrame, strata: Strata = UNSPLIT,
                          award_types: Sequence[str] | None = None,
                          seasons: Sequence[str] | None = None) -> DataFrame:
     chosen = filter_season(filter_award_types(rolling, award_types), seasons)
-    return count_cells(strata.apply(chosen),
-                       ["Award_Type", *strata.columns, *COMPLETION_COHORT.columns])
+    return count_cells(strata.apply(chosen), ["Award_Type", *strata.columns, COMPLETION_COHORT.key])
 
 
 def change_shares(cells: DataFrame, strata: Strata = UNSPLIT) -> DataFrame:
     """Share within award type and completion cohort; 100 % when there is no split."""
     if strata.column is None:
         return with_label(cells.withColumn("Proportion", F.lit(1.0)))
-    return with_share(strata.known(cells), ["Award_Type", *COMPLETION_COHORT.columns])
+    return with_share(strata.known(cells), ["Award_Type", COMPLETION_COHORT.key])
 
 
 def report_change_completers(rolling: DataFrame, strata: Strata = UNSPLIT,
@@ -118,7 +118,7 @@ def report_change_completers(rolling: DataFrame, strata: Strata = UNSPLIT,
     cells = change_in_completers(rolling, strata, award_types, seasons)
     shares = change_shares(cells, strata)
     if strata.column is None:
-        return shares
+        return COMPLETION_COHORT.with_label(shares)
     return _zero_filled(shares, COMPLETION_COHORT, strata.columns, [])
 
 
@@ -135,8 +135,9 @@ def efficiency_series(efficiency: DataFrame, award_types: Sequence[str] | None =
     chosen = filter_season(filter_award_types(efficiency, award_types), seasons)
     measures = ["Completers", "FTES", "FTEF", "Efficiency"]
     rounded = chosen.withColumns({c: round_measure(F.col(c)) for c in measures[1:]})
-    return fill_observed(rounded, [["Award_Type"], COMPLETION_COHORT.columns], measures,
-                         ["College", "Major_Code"])
+    filled = fill_observed(rounded, ["Award_Type", COMPLETION_COHORT.key], measures,
+                           ["College", "Major_Code"])
+    return COMPLETION_COHORT.with_label(filled)
 
 
 def report_change_time(rolling: DataFrame, strata: Strata = UNSPLIT,
@@ -147,15 +148,17 @@ def report_change_time(rolling: DataFrame, strata: Strata = UNSPLIT,
     Unsplit, `Median_Years_Overall` repeats the median over all rows of the report.
     """
     chosen = strata.apply(filter_season(filter_award_types(rolling, award_types), seasons))
-    keys = ["Award_Type", *strata.columns, *COMPLETION_COHORT.columns]
-    return strata.known(stats.group_medians(chosen, keys, overall=strata.column is None))
+    keys = ["Award_Type", *strata.columns, COMPLETION_COHORT.key]
+    medians = stats.group_medians(chosen, keys, overall=strata.column is None)
+    return COMPLETION_COHORT.with_label(strata.known(medians))
 
 
 def time_boxplot(rolling: DataFrame, strata: Strata = UNSPLIT,
                  award_types: Sequence[str] | None = None,
                  seasons: Sequence[str] | None = None) -> DataFrame:
     chosen = strata.apply(filter_season(filter_award_types(rolling, award_types), seasons))
-    return stats.boxplot(chosen, ["Award_Type", *strata.columns, *COMPLETION_COHORT.columns])
+    boxes = stats.boxplot(chosen, ["Award_Type", *strata.columns, COMPLETION_COHORT.key])
+    return COMPLETION_COHORT.with_label(boxes)
 
 
 def _complete_times(awards: DataFrame, strata: Strata, award_types: Sequence[str] | None) -> DataFrame:
