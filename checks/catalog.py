@@ -44,9 +44,9 @@ SPLITS = {
 class Session:
     """What a query gets: domain tables, calendar and the data sets on them."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, domain: laurel.Domain):
         self.spark = spark
-        self.domain = laurel.derive_domain(spark, folder)
+        self.domain = domain
 
     @cached_property
     def calendar(self) -> laurel.Calendar:
@@ -110,7 +110,7 @@ def session_for(spark: SparkSession, folder: str) -> Session:
     are planned once, as a dashboard would. Only plans are kept, no rows but the baskets."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _SESSIONS:
-        _SESSIONS[key] = Session(spark, folder)
+        _SESSIONS[key] = Session(spark, laurel.derive_domain(spark, folder))
     return _SESSIONS[key]
 
 

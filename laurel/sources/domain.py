@@ -113,6 +113,29 @@ class Domain:
         return self[name]
 
     def save(self, folder: str) -> None:
-        """Write every table as parquet, so that later sessions scan instead of derive."""
+        """Write every table as parquet, so that later sessions scan instead of derive.
+
+        A stored table replaces its plan here, so tables derived from it read the files.
+        """
+        for name in self._loaders:
+            path = f"{folder}/{name}"
+            self[name].write.mode("overwrite").parquet(path)
+            self._frames[name] = self.spark.read.parquet(path)
+
+    def save_tables(self, database: str, buckets: int) -> None:
+        """Write catalog tables with the student-keyed ones bucketed by student.
+
+        Per-student grouping, windows and joins then start without a shuffle. Worth it if
+        no single student dominates: a bucket is one task and is never split.
+        """
         for name in self._loaders:
-            self[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+            writer = self[name].write.mode("overwrite").format("parquet")
+            if "Student_Id" in SCHEMAS[name].names:
+                writer = writer.bucketBy(buckets, "Student_Id").sortBy("Student_Id")
+            writer.saveAsTable(f"{database}.{name}")
+
+    @classmethod
+    def from_tables(cls, spark: SparkSession, database: str) -> Domain:
+        return cls(spark, {
+            name: (lambda name=name: spark.table(f"{database}.{name}")) for name in SCHEMAS
+        })
