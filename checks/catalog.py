@@ -47,6 +47,7 @@ class Session:
     def __init__(self, spark: SparkSession, domain: laurel.Domain):
         self.spark = spark
         self.domain = domain
+        self._plans: dict[tuple, DataFrame] = {}
 
     @cached_property
     def calendar(self) -> laurel.Calendar:
@@ -60,13 +61,34 @@ class Session:
     def first_cohort(self) -> int:
         return self.calendar.years_back(6)
 
-    @cached_property
+    def _awards(self, name: str, details: tuple[str, ...]) -> DataFrame:
+        key = (name, details)
+        if key not in self._plans:
+            self._plans[key] = getattr(D, name)(self.domain, self.calendar, details=details)
+        return self._plans[key]
+
+    @property
     def awards_all(self) -> DataFrame:
-        return D.awards_all(self.domain, self.calendar)
+        return self._awards("awards_all", D.DETAILS)
 
-    @cached_property
+    @property
     def awards_cohort(self) -> DataFrame:
-        return D.awards_cohort(self.domain, self.calendar)
+        return self._awards("awards_cohort", D.DETAILS)
+
+    def awards(self, *details: str) -> DataFrame:
+        """All award rows with only the given parts."""
+        return self._awards("awards_all", details)
+
+    def completers(self, *details: str) -> dict[str, DataFrame]:
+        return {L.ALL_COMPLETERS: self.awards(*details)}
+
+    def groups(self, *details: str) -> dict[str, DataFrame]:
+        return {**self.completers(*details),
+                L.SIX_YEAR_COHORT: self._awards("awards_cohort", details)}
+
+    @property
+    def cohort_students(self) -> DataFrame:
+        return self._awards("awards_cohort", (D.STUDENT,))
 
     @cached_property
     def rolling(self) -> DataFrame:
@@ -80,14 +102,6 @@ class Session:
     def takers(self) -> DataFrame:
         return D.course_takers(self.domain, self.calendar)
 
-    @property
-    def groups(self) -> dict[str, DataFrame]:
-        return {L.ALL_COMPLETERS: self.awards_all, L.SIX_YEAR_COHORT: self.awards_cohort}
-
-    @property
-    def all_completers(self) -> dict[str, DataFrame]:
-        return {L.ALL_COMPLETERS: self.awards_all}
-
     def entry_cohorts(self, include_current: bool = False) -> DataFrame:
         return A.entry_cohorts(self.domain, self.first_cohort, self.current, COLLEGES, include_current)
 
@@ -135,6 +149,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def parts(strata: X.Strata) -> tuple[str, ...]:
+    """Award details a count with this split reads."""
+    return () if strata.column is None else (D.STUDENT,)
+
+
 def counted(df: DataFrame, *keys: str) -> DataFrame:
     return N.count_cells(df, keys, "n")
 
@@ -160,7 +179,7 @@ add("scan_domain", _scan_domain, " union all ".join(
     for name in laurel.SCHEMAS))
 
 add("report_columns",
-    lambda s: laurel.report_columns(laurel.report_completers(s.all_completers, fill=False)),
+    lambda s: laurel.report_columns(laurel.report_completers(s.completers(), fill=False)),
     f"""select Award_Type "Award Type", Academic_Year "Academic Year", n "Count",
         n/sum(n) over (partition by Award_Type, Academic_Year) "Proportion",
         {Q.percent('n/sum(n) over (partition by Award_Type, Academic_Year)')} "Proportion Label"
@@ -199,7 +218,7 @@ add("terms_between",
     f"""select Year_Semester, Cohort, {Q.between('Year_Semester', 'Cohort')} Terms, count(*) n
         from student_profiles join cohorts using (Student_Id) group by all""")
 add("years_to_complete",
-    lambda s: counted(s.awards_all.withColumn("Years", T.years_from_terms(F.col("Terms_to_Complete"))),
+    lambda s: counted(s.awards(D.COHORT).withColumn("Years", T.years_from_terms(F.col("Terms_to_Complete"))),
                       "Terms_to_Complete", "Years"),
     "select Terms_to_Complete, Terms_to_Complete/4.0::double as Years, count(*) n from awards_all group by all")
 add("recode_gender",
@@ -220,17 +239,17 @@ add("pad_code",
        lpad(cast(cast(Major_Code as int) as varchar), 6, '0') Padded, count(*) n from awards group by all""")
 add("share_status",
     lambda s: counted(
-        X.drop_incomplete(s.awards_all, ["SGEC_Units"]).withColumn(
+        X.drop_incomplete(s.awards(D.UNITS), ["SGEC_Units"]).withColumn(
             "Status", R.share_status(F.col("SGEC_Units"), STATUS_LIMIT, L.SGEC_STATUSES)),
         "SGEC_Units", "Status"),
     f"""select SGEC_Units, case when round(SGEC_Units*100,9) >= {STATUS_LIMIT} then 'SGEC student'
         else 'Not an SGEC student' end Status, count(*) n from awards_all where SGEC_Units is not null group by all""")
 add("percent_label",
-    lambda s: counted(s.awards_all.withColumn("Label", R.percent_label(F.col("Online_Units"))),
+    lambda s: counted(s.awards(D.UNITS).withColumn("Label", R.percent_label(F.col("Online_Units"))),
                       "Online_Units", "Label"),
     f"select Online_Units, {Q.percent('Online_Units')} Label, count(*) n from awards_all group by all")
 add("percent_parse",
-    lambda s: counted(s.awards_all.withColumn(
+    lambda s: counted(s.awards(D.UNITS).withColumn(
         "Percent", R.percent_parse(R.percent_label(F.col("Online_Units")))), "Percent"),
     f"""select try_cast(replace({Q.percent('Online_Units')}, ' %', '') as double) Percent, count(*) n
         from awards_all group by all""")
@@ -263,7 +282,7 @@ add("indicator_flags", _indicator_flags,
        group by Year_Semester""")
 add("null_nan_defaults",
     lambda s: counted(
-        s.awards_all.withColumn("Raw", F.coalesce("SGEC_Units", F.lit(float("nan"))))
+        s.awards(D.COHORT, D.UNITS).withColumn("Raw", F.coalesce("SGEC_Units", F.lit(float("nan"))))
         .select(R.zero_if_nan(F.col("Raw")).alias("Share"),
                 R.zero_if_missing(F.col("Cohort")).alias("Cohort")), "Share", "Cohort"),
     """select case when isnan(x) then 0.0::double else x end as Share, coalesce(Cohort, 0) Cohort, count(*) n
@@ -287,7 +306,7 @@ def _term_levels(s: Session) -> DataFrame:
     first = s.calendar.award_cutoff(6)
     levels = s.spark.range(1).select(
         F.explode(T.term_range(F.lit(first), F.lit(s.current))).alias("Year_Semester_Key"))
-    counts = N.count_cells(s.awards_all, ["Year_Semester_Key"], "n")
+    counts = N.count_cells(s.awards(), ["Year_Semester_Key"], "n")
     return levels.join(counts, "Year_Semester_Key", "left").select(
         "Year_Semester_Key", T.term_label(F.col("Year_Semester_Key")).alias("Label"),
         T.academic_year_label(T.academic_year(F.col("Year_Semester_Key"))).alias("Academic_Year"),
@@ -309,13 +328,13 @@ add("course_term_id",
 
 AA_AS = ["Associate in Arts", "Associate in Science"]
 add("filter_award_types",
-    lambda s: counted(X.filter_award_types(s.awards_all, AA_AS), "Award_Type", "Academic_Year"),
+    lambda s: counted(X.filter_award_types(s.awards(), AA_AS), "Award_Type", "Academic_Year"),
     f"""select Award_Type, Academic_Year, count(*) n from awards_all where Award_Type in {Q.texts(AA_AS)} group by all""")
 
 
 def _filter_strata(s: Session) -> DataFrame:
     some = X.Strata(genders=("Female",), ethnicities=("Asian", "White"))
-    return counted(some.apply(s.awards_all), "Ethnicity_Gender", "Academic_Year")
+    return counted(some.apply(s.awards(D.STUDENT)), "Ethnicity_Gender", "Academic_Year")
 
 
 add("filter_strata", _filter_strata,
@@ -365,11 +384,11 @@ add("filter_excluded_courses",
     lambda s: counted(X.filter_excluded_courses(s.takers, SPECIAL), "Course"),
     f"select Course, count(*) n from takers where Course not in {Q.texts(SPECIAL)} group by all")
 add("filter_min_group",
-    lambda s: X.filter_min_group(C.group_sizes(s.awards_cohort, X.Strata.by_both()), 3),
+    lambda s: X.filter_min_group(C.group_sizes(s.cohort_students, X.Strata.by_both()), 3),
     f"""select College, Major_Code, Award_Type, Ethnicity_Gender, count(*) Group_Size
         from {Q.Split('ethnicity_gender').source('awards_cohort')} x group by all having count(*) >= 3""")
 add("filter_observed_strata",
-    lambda s: counted(SPLITS["ethnicity_gender"].known(s.awards_all.withColumn(
+    lambda s: counted(SPLITS["ethnicity_gender"].known(s.awards(D.STUDENT).withColumn(
         "Ethnicity_Gender", R.stratum_label(F.col("Ethnicity"), F.col("Gender")))), "Ethnicity_Gender"),
     f"""select Ethnicity || ' ' || Gender Ethnicity_Gender, count(*) n from awards_all
         where Ethnicity || ' ' || Gender in {Q.texts(L.ETHNICITY_GENDERS)} group by all""")
@@ -480,7 +499,7 @@ add("join_path_enrollments", _path_enrollments,
        group by s.Student_Id, s.College, s.Major_Code, s.Award_Type, s.Cohort, s.Year_Semester, Weight""")
 add("join_group_size",
     lambda s: C.course_counts(s.takers, SPLITS["gender"]).join(
-        C.group_sizes(s.awards_cohort, SPLITS["gender"]), [*C.PROGRAM, "Gender"], "left"),
+        C.group_sizes(s.cohort_students, SPLITS["gender"]), [*C.PROGRAM, "Gender"], "left"),
     """select c.*, Group_Size from (select College, Major_Code, Award_Type, Gender, Course, count(*) "Count"
          from takers where Gender in ('Male','Female') group by all) c
        left join (select College, Major_Code, Award_Type, Gender, count(*) Group_Size from awards_cohort
@@ -488,7 +507,7 @@ add("join_group_size",
 
 
 def _course_shortlist(s: Session) -> DataFrame:
-    shares = C.course_shares(s.takers, s.awards_cohort, X.UNSPLIT)
+    shares = C.course_shares(s.takers, s.cohort_students, X.UNSPLIT)
     listed = C.max_course_share(shares).where(F.col("Max_Proportion") > 0.25)
     return shares.join(listed, [*C.PROGRAM, "Course"], "left_semi")
 
@@ -543,8 +562,8 @@ add("join_award_reached",
 
 
 def _passes(s: Session) -> DataFrame:
-    passed = S.passed_courses(s.domain, s.entry_cohorts(), PATTERN, s.current)
-    return S.course_pivot_counts(passed, PATTERN)
+    passed = S.passed_courses(s.domain, PATTERN, s.current)
+    return S.course_pivot_counts(passed, s.entry_cohorts(), PATTERN)
 
 
 def _cumulative_courses(s: Session) -> DataFrame:
@@ -591,7 +610,8 @@ def _both_periods(s: Session, strata: X.Strata, cumulative: bool) -> DataFrame:
     """Academic years and terms in one frame, marked by the time scale."""
     frames = []
     for scale, period in (("academic_year", X.ACADEMIC_YEAR), ("term", X.AWARD_TERM)):
-        cells = V.completers(s.awards_all, period, strata, cumulative=cumulative)
+        awards = s.awards(*parts(strata))
+        cells = V.completers(awards, period, strata, cumulative=cumulative)
         frames.append(period.with_label(cells).withColumn("Scale", F.lit(scale)).withColumnsRenamed(
             {period.key: "Period_Key", period.label: "Period"}))
     return frames[0].unionByName(frames[1])
@@ -631,7 +651,7 @@ def _status_cells(name: str) -> str:
 for name, (column, *_rest) in _STATUS.items():
     report = getattr(laurel, f"report_{name}")
     add(f"completers_by_{name}",
-        lambda s, report=report: report(s.all_completers, STATUS_LIMIT, fill=False),
+        lambda s, report=report: report(s.completers(D.UNITS), STATUS_LIMIT, fill=False),
         f"""select Award_Type, Academic_Year_Key, Academic_Year, {column}_Status, count(*) "Count",
             count(*)/sum(count(*)) over (partition by Award_Type, Academic_Year_Key) Proportion,
             {Q.percent('count(*)/sum(count(*)) over (partition by Award_Type, Academic_Year_Key)')} Proportion_Label
@@ -691,11 +711,11 @@ add("distinct_course_takers",
 add("course_counts", lambda s: C.course_counts(s.takers, SPLITS["ethnicity"]),
     f"""select College, Major_Code, Award_Type, Ethnicity, Course, count(*) "Count"
         from {Q.Split('ethnicity').source('takers')} x group by all""")
-add("group_sizes", lambda s: C.group_sizes(s.awards_cohort, SPLITS["gender"]),
+add("group_sizes", lambda s: C.group_sizes(s.cohort_students, SPLITS["gender"]),
     f"""select College, Major_Code, Award_Type, Gender, count(*) Group_Size
         from {Q.Split('gender').source('awards_cohort')} x group by all""")
 add("max_course_share",
-    lambda s: C.max_course_share(C.course_shares(s.takers, s.awards_cohort, SPLITS["gender"])),
+    lambda s: C.max_course_share(C.course_shares(s.takers, s.cohort_students, SPLITS["gender"])),
     f"""select College, Major_Code, Award_Type, Course,
         case when count(*)=count(p) then max(p) end Max_Proportion from
         (select College, Major_Code, Award_Type, Course, n/Group_Size p from
@@ -719,7 +739,7 @@ add("current_term",
     f"""select max(Year_Semester) Year_Semester from terms where Term_Start_Date <= DATE '{Q.AS_OF}'
         and College='E'""")
 add("distinct_values",
-    lambda s: N.distinct_values(s.awards_all, ["Award_Type", "Academic_Year", "Gender"]),
+    lambda s: N.distinct_values(s.awards(D.STUDENT), ["Award_Type", "Academic_Year", "Gender"]),
     "select distinct Award_Type, Academic_Year, Gender from awards_all")
 add("active_program_names", lambda s: D.active_program_names(s.domain, s.calendar),
     "select Major_Code, Major from active_majors")
@@ -732,7 +752,7 @@ def _share_sql(cells: str, within: str) -> str:
 
 _GENDER = Q.Split("gender")
 add("period_shares",
-    lambda s: laurel.report_completers(s.all_completers, strata=SPLITS["gender"], fill=False),
+    lambda s: laurel.report_completers(s.completers(D.STUDENT), strata=SPLITS["gender"], fill=False),
     _share_sql(f"""select Award_Type, Academic_Year_Key, Academic_Year, Gender, count(*) "Count"
         from {_GENDER.source('awards_all')} x group by all""", "Award_Type, Academic_Year_Key"))
 _COMPLETE = """(select * from {table} where Gender is not null and Ethnicity is not null and Cohort is not null
@@ -746,7 +766,7 @@ def _time_cells(split: Q.Split, source: str, extra: str = "") -> str:
         from {split.source(source)} x group by all"""
 
 
-add("time_shares", lambda s: laurel.report_time_to_award(s.all_completers, SPLITS["gender"]),
+add("time_shares", lambda s: laurel.report_time_to_award(s.completers(*D.DETAILS), SPLITS["gender"]),
     _share_sql(_time_cells(_GENDER, _COMPLETE_ALL), "Award_Type, Gender"))
 add("change_shares",
     lambda s: X.COMPLETION_COHORT.with_label(V.change_shares(
@@ -786,7 +806,7 @@ add("first_award_row",
 
 def _sort_by_period(s: Session) -> DataFrame:
     """The order as a column: positions of the sorted periods within their award type."""
-    cells = X.AWARD_TERM.with_label(V.completers(s.awards_all, X.AWARD_TERM))
+    cells = X.AWARD_TERM.with_label(V.completers(s.awards(), X.AWARD_TERM))
     cells = N.sort_by_period(cells, "Year_Semester_Key")
     return cells.withColumn("Position", F.row_number().over(
         W.partitionBy("Award_Type").orderBy("Year_Semester_Key")))
@@ -819,7 +839,7 @@ add("sort_person_period",
     lambda s: D.sort_person_period(s.table_rows().select("Student_Id", "Year_Semester", "Cohort")),
     f"select Student_Id, Year_Semester, Cohort from {_SPINE} s order by 1, 2")
 add("union_completer_groups",
-    lambda s: counted(N.label_groups(s.groups), "Group", "Award_Type", "Academic_Year"),
+    lambda s: counted(N.label_groups(s.groups()), "Group", "Award_Type", "Academic_Year"),
     """select 'All completers' "Group", Award_Type, Academic_Year, count(*) n from awards_all group by all
        union all
        select 'Six-year cohort' "Group", Award_Type, Academic_Year, count(*) n from awards_cohort group by all""")
@@ -889,15 +909,15 @@ def _completers_sql(split: Q.Split, period: str, groups: bool) -> str:
                        within='"Group"' if groups else "")
 
 
-add("fill_period", lambda s: laurel.report_completers(s.all_completers, X.AWARD_TERM),
+add("fill_period", lambda s: laurel.report_completers(s.completers(), X.AWARD_TERM),
     _completers_sql(Q.Split(""), _TERM, False))
 add("fill_period_stratum",
-    lambda s: laurel.report_completers(s.all_completers, X.AWARD_TERM, SPLITS["ethnicity_gender"]),
+    lambda s: laurel.report_completers(s.completers(D.STUDENT), X.AWARD_TERM, SPLITS["ethnicity_gender"]),
     _completers_sql(Q.Split("ethnicity_gender"), _TERM, False))
 
 
 def _pivot_strata(s: Session) -> DataFrame:
-    cells = laurel.report_completers(s.all_completers, strata=SPLITS["gender"], fill=False)
+    cells = laurel.report_completers(s.completers(D.STUDENT), strata=SPLITS["gender"], fill=False)
     years = T.academic_year_codes(s.calendar.academic_year_back(6), s.calendar.current_academic_year)
     return G.pivot_strata(cells, "Academic_Year_Key", T.academic_year_label, years, "Gender", L.GENDERS)
 
@@ -978,7 +998,7 @@ def _distribution_sql(split: Q.Split) -> str:
 for mode in Q.MODES:
     split, strata = Q.Split(mode), SPLITS[mode]
     add(f"course_distribution{split.suffix}",
-        lambda s, strata=strata: C.course_distribution(s.takers, s.awards_cohort, strata=strata),
+        lambda s, strata=strata: C.course_distribution(s.takers, s.cohort_students, strata=strata),
         _distribution_sql(split))
 
 
@@ -987,7 +1007,7 @@ def _heatmap_sql(split: Q.Split) -> str:
     return f"select College, Major_Code, Award_Type, {category} as Category, Course, Proportion from ({_distribution_sql(split)}) h"
 
 
-add("course_heatmap", lambda s: C.course_heatmap(C.course_distribution(s.takers, s.awards_cohort)),
+add("course_heatmap", lambda s: C.course_heatmap(C.course_distribution(s.takers, s.cohort_students)),
     _heatmap_sql(Q.Split("")))
 
 # --- chart numbers --------------------------------------------------------------------------
@@ -1093,13 +1113,13 @@ _TIME_GROUPS = (f"(select *, 'All completers' \"Group\" from {_COMPLETE_ALL} a u
 for mode in Q.MODES:
     split, strata = Q.Split(mode), SPLITS[mode]
     add(f"report_completers{split.suffix}",
-        lambda s, strata=strata: laurel.report_completers(s.groups, strata=strata),
+        lambda s, strata=strata: laurel.report_completers(s.groups(*parts(strata)), strata=strata),
         _completers_sql(split, _YEAR, True))
     add(f"report_completers_by_term{split.suffix}",
-        lambda s, strata=strata: laurel.report_completers(s.groups, X.AWARD_TERM, strata),
+        lambda s, strata=strata: laurel.report_completers(s.groups(*parts(strata)), X.AWARD_TERM, strata),
         _completers_sql(split, _TERM, True))
     add(f"report_time_to_award{split.suffix}",
-        lambda s, strata=strata: laurel.report_time_to_award(s.groups, strata),
+        lambda s, strata=strata: laurel.report_time_to_award(s.groups(*D.DETAILS), strata),
         _share_sql(_time_cells(split, _TIME_GROUPS, '"Group", '),
                    f'"Group", Award_Type{", " + split.column if split.mode else ""}'))
     cells = f"""select Award_Type, {split.keys} {_COHORT}, count(*) "Count" from {split.source('rolling')} x group by all"""
@@ -1109,7 +1129,7 @@ for mode in Q.MODES:
                     ["Award_Type", split.column, _COHORT], _COUNT_SHARE) if split.mode else
         f"select *, 1.0::double Proportion, '100.0 %' Proportion_Label from ({cells}) c")
     add(f"report_course_taking{split.suffix}",
-        lambda s, strata=strata: laurel.report_course_taking(s.takers, s.awards_cohort, strata=strata),
+        lambda s, strata=strata: laurel.report_course_taking(s.takers, s.cohort_students, strata=strata),
         _heatmap_sql(split))
 
 for name, (column, *_rest) in _STATUS.items():
@@ -1118,7 +1138,7 @@ for name, (column, *_rest) in _STATUS.items():
         "GROUPED", "(select *, 'All completers' \"Group\" from awards_all union all "
                    "select *, 'Six-year cohort' \"Group\" from awards_cohort) u")
     cells = f"""select "Group", Award_Type, {column}_Status, {_YEAR}, count(*) "Count" from {source} x group by all"""
-    add(f"report_{name}", lambda s, report=report: report(s.groups, STATUS_LIMIT),
+    add(f"report_{name}", lambda s, report=report: report(s.groups(D.UNITS), STATUS_LIMIT),
         _filled_sql(_plain_share(cells, '"Group", Award_Type, Academic_Year_Key'),
                     ["Award_Type", f"{column}_Status", _YEAR], _COUNT_SHARE, within='"Group"'))
 

@@ -14,6 +14,7 @@ from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
 
 AWARD_KEYS = ["Student_Id", "College", "Major_Code", "Award_Type", "Award_Date"]
+BROADCAST_ROWS = 100_000  # rows of three short codes: a few megabytes
 
 
 def distinct_awards(domain: Domain, colleges: Sequence[str],
@@ -109,5 +110,15 @@ def active_programs(programs: DataFrame, colleges: Sequence[str],
     )
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a dimension after counting it; beyond `rows` leave the join to Spark.
+
+    The count stops at the limit. Without the broadcast the other side is shuffled by
+    keys with few values, which only adaptive skew splitting would even out.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def join_active_programs(awards: DataFrame, active: DataFrame) -> DataFrame:
-    return awards.join(active, ["College", "Major_Code", "Award_Type"], "left_semi")
+    keys = ["College", "Major_Code", "Award_Type"]
+    return awards.join(broadcast_if_small(active), keys, "left_semi")

@@ -74,21 +74,32 @@ def entry_term(rows: DataFrame, major: str) -> DataFrame:
     )
 
 
-def entry_history(rows: DataFrame, major: str) -> DataFrame:
-    """`prior_flags` and `entry_term` of every student in one aggregation."""
+def entry_columns(major: str) -> list[Column]:
+    """What `prior_flags` and `entry_term` give, beside every row of the student."""
     term, cohort = F.col("Year_Semester"), F.col("Cohort")
-    before, at_entry = term < cohort, term == cohort
-    return rows.where(term <= cohort).groupBy("Student_Id").agg(
-        F.max(F.when(before, F.col("PSA_Only"))).alias("Former_PSA_Student"),
-        F.max(F.when(before, F.col("Concurrent_Student"))).alias("Former_Concurrent_Student"),
-        F.max(F.when(at_entry, flag(F.col("Major_Code") == major))).alias("Declared_Major_at_Entry"),
-    )
+    student = W.partitionBy("Student_Id")
+
+    def highest(condition: Column, value: Column) -> Column:
+        return F.max(F.when(condition, value)).over(student)
+
+    before = {
+        "Former_PSA_Student": F.col("PSA_Only"),
+        "Former_Concurrent_Student": F.col("Concurrent_Student"),
+    }
+    declared = flag(F.col("Major_Code") == major)
+    return [
+        *[zero_if_missing(highest(term < cohort, v)).alias(n) for n, v in before.items()],
+        highest(term == cohort, declared).alias("Declared_Major_at_Entry"),
+    ]
+
+
+def after_entry() -> Column:
+    return F.col("Year_Semester") > F.col("Cohort")
 
 
 def spine(rows: DataFrame, current: int) -> DataFrame:
     """Terms after entry and before the current one."""
-    term = F.col("Year_Semester")
-    return rows.where((term > F.col("Cohort")) & (term < current))
+    return rows.where(after_entry() & (F.col("Year_Semester") < current))
 
 
 def join_award_reached(rows: DataFrame, award_terms: DataFrame) -> DataFrame:
@@ -97,23 +108,27 @@ def join_award_reached(rows: DataFrame, award_terms: DataFrame) -> DataFrame:
     return rows.join(award_terms, "Student_Id", "left").withColumn("Earned_Award", flag(reached))
 
 
-def previous_term(term: Column | None = None) -> Column:
+def _masked(value: Column, rows: Column | None) -> Column:
+    return value if rows is None else F.when(rows, value)
+
+
+def previous_term(rows: Column | None = None) -> Column:
     """Latest earlier term of the student; the entry term for the first row.
 
-    `term` may be NULL on rows that are no terms of the table.
+    `rows` tells table rows from others in the same partition (here and below).
     """
-    term = F.col("Year_Semester") if term is None else term
     earlier = by_student_term().rangeBetween(W.unboundedPreceding, -1)
+    term = _masked(F.col("Year_Semester"), rows)
     return F.coalesce(F.max(term).over(earlier), F.col("Cohort"))
 
 
-def running_aid_terms() -> list[Column]:
-    return [F.sum(source).over(by_student_term()).alias(name)
+def running_aid_terms(rows: Column | None = None) -> list[Column]:
+    return [F.sum(_masked(F.col(source), rows)).over(by_student_term()).alias(name)
             for name, source in RUNNING_TOTALS.items()]
 
 
-def running_average_award() -> Column:
-    return F.avg(F.col("Total_Award") / 4).over(by_student_term())
+def running_average_award(rows: Column | None = None) -> Column:
+    return F.avg(_masked(F.col("Total_Award") / 4, rows)).over(by_student_term())
 
 
 def first_award_row(rows: DataFrame) -> DataFrame:
@@ -123,30 +138,30 @@ def first_award_row(rows: DataFrame) -> DataFrame:
     return ranked.where((F.col("Earned_Award") == 0) | (F.col("_rank") == 1)).drop("_rank")
 
 
-def passed_courses(domain: Domain, students: DataFrame, courses: Sequence[str],
-                   current: int) -> DataFrame:
+def passed_courses(domain: Domain, courses: Sequence[str], current: int) -> DataFrame:
     """Passing enrollments of the listed courses before the current term."""
     passed = domain.enrollments.where(
         F.col("Grade").isin(PASSING_GRADES) & (F.col("Year_Semester") < current)
     )
     keys = ["Section_Number", "College", "Year_Semester"]
     listed = domain.sections2.where(F.col("Course").isin(list(courses))).select(*keys, "Course")
-    return (
-        passed.join(listed, keys, "inner")
-        .join(students.select("Student_Id"), "Student_Id", "left_semi")
-        .select("Student_Id", "Year_Semester", "Course", "Grade")
-    )
+    return passed.join(listed, keys, "inner").select("Student_Id", "Year_Semester", "Course", "Grade")
+
 
+def course_pivot_counts(passed: DataFrame, students: DataFrame, courses: Sequence[str]) -> DataFrame:
+    """Passes per student and term, one column per listed course.
 
-def course_pivot_counts(passed: DataFrame, courses: Sequence[str]) -> DataFrame:
-    """Passes per student and term, one column per listed course."""
+    Counted before the students are selected: the counting combines map-side, so a
+    student with very many enrollments reaches that join as one row per term.
+    """
     wide = passed.groupBy("Student_Id", "Year_Semester").pivot("Course", list(courses)).agg(
         F.count("Grade")
     )
-    return wide.select(
+    named = wide.select(
         "Student_Id", "Year_Semester",
         *[zero_if_missing(F.col(f"`{c}`")).alias(safe_name(c)) for c in courses],
     )
+    return named.join(students.select("Student_Id"), "Student_Id", "left_semi")
 
 
 def stack_course_events(rows: DataFrame, pivoted: DataFrame, courses: Sequence[str]) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from laurel.functions import terms as T
 from laurel.functions.recode import (
     award_name, indicator_flags, known_ethnicity, pad_code, recode_gender, safe_name,
-    zero_if_missing,
 )
 from laurel.operators import awards as A
 from laurel.operators import courses as C
@@ -25,6 +24,11 @@ from laurel.sources.domain import Domain
 
 COLLEGES = ("E",)
 
+# Optional parts of the award data sets. Each is a join that adds columns and keeps the
+# rows, so a report that reads none of the columns should leave the part out.
+STUDENT, COHORT, UNITS = "student", "cohort", "units"
+DETAILS = (STUDENT, COHORT, UNITS)
+
 
 def active_program_names(domain: Domain, calendar: Calendar, colleges: Sequence[str] = COLLEGES,
                          years: int = 6) -> DataFrame:
@@ -47,12 +51,31 @@ def program_codes(domain: Domain, calendar: Calendar, names: Sequence[str],
                   colleges: Sequence[str] = COLLEGES, years: int = 6) -> DataFrame:
     """Major codes behind the chosen program names."""
     known = active_program_names(domain, calendar, colleges, years)
-    return known.where(F.col("Major").isin(list(names))).select("Major_Code")
-
-
-def _award_report_rows(awards: DataFrame, calendar: Calendar, first_term: int) -> DataFrame:
-    """Shared last step of the two award data sets: recodes, labels, time to award."""
-    term, gender = F.col("Year_Semester"), F.col("Gender")
+    return A.broadcast_if_small(known.where(F.col("Major").isin(list(names))).select("Major_Code"))
+
+
+def _award_report_rows(awards: DataFrame, domain: Domain, calendar: Calendar, first_term: int,
+                       colleges: Sequence[str], details: Sequence[str]) -> DataFrame:
+    """Last steps shared by the two award data sets: details, recodes, labels."""
+    columns = []
+    if UNITS in details:
+        profiles = domain.student_profiles.where(among("College", colleges))
+        history = A.cumulative_units(profiles, calendar)
+        awards = A.with_unit_shares(A.join_cumulative_units(awards, history))
+        columns += [F.col("SGEC_Units"), F.col("Online_Units")]
+    if STUDENT in details:
+        awards = A.join_award_student(awards, domain.students)
+        columns += [
+            recode_gender(F.col("Gender")).alias("Gender"),
+            known_ethnicity(F.col("Ethnicity")).alias("Ethnicity"),
+        ]
+    term = F.col("Year_Semester")
+    if COHORT in details:
+        if "Cohort" not in awards.columns:
+            awards = A.join_award_cohort(awards, domain.cohorts, same_college=False)
+        columns += [
+            F.col("Cohort"), T.terms_between(term, F.col("Cohort")).alias("Terms_to_Complete"),
+        ]
     year = calendar.labelled_year(T.academic_year(term), T.academic_year_of(first_term))
     shown = calendar.labelled_term(term, first_term)
     return awards.select(
@@ -60,45 +83,32 @@ def _award_report_rows(awards: DataFrame, calendar: Calendar, first_term: int) -
         award_name(F.col("Award_Type")).alias("Award_Type"),
         shown.alias("Year_Semester_Key"),
         T.term_label(shown).alias("Year_Semester"),
-        recode_gender(gender).alias("Gender"),
-        known_ethnicity(F.col("Ethnicity")).alias("Ethnicity"),
-        "Cohort", "SGEC_Units", "Online_Units",
         year.alias("Academic_Year_Key"),
         T.academic_year_label(year).alias("Academic_Year"),
-        T.terms_between(term, F.col("Cohort")).alias("Terms_to_Complete"),
+        *columns,
     )
 
 
-def _with_history(awards: DataFrame, domain: Domain, calendar: Calendar,
-                  colleges: Sequence[str]) -> DataFrame:
-    profiles = domain.student_profiles.where(among("College", colleges))
-    history = A.cumulative_units(profiles, calendar)
-    return A.with_unit_shares(A.join_cumulative_units(awards, history))
-
-
 def awards_all(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
-               colleges: Sequence[str] = COLLEGES, years: int = 6) -> DataFrame:
+               colleges: Sequence[str] = COLLEGES, years: int = 6,
+               details: Sequence[str] = DETAILS) -> DataFrame:
     """Every award of the last `years` academic years."""
     first = calendar.award_cutoff(years)
     chosen = A.distinct_awards(domain, colleges, majors)
     chosen = chosen.where(calendar.date_within_terms("Award_Date", first, calendar.current_term))
     awards = calendar.with_term_as_of(chosen, "Award_Date", "Year_Semester")
-    awards = _with_history(awards, domain, calendar, colleges)
-    awards = A.join_award_student(awards, domain.students)
-    awards = A.join_award_cohort(awards, domain.cohorts, same_college=False)
-    return _award_report_rows(awards, calendar, first)
+    return _award_report_rows(awards, domain, calendar, first, colleges, details)
 
 
 def awards_cohort(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
-                  colleges: Sequence[str] = COLLEGES, years: int = 6) -> DataFrame:
+                  colleges: Sequence[str] = COLLEGES, years: int = 6,
+                  details: Sequence[str] = DETAILS) -> DataFrame:
     """Awards of the students who entered the awarding college in the last `years` years."""
     first = calendar.years_back(years)
     cohorts = A.entry_cohorts(domain, first, calendar.current_term, colleges)
     awards = A.join_award_cohort(A.distinct_awards(domain, colleges, majors), cohorts, True)
     awards = calendar.with_term_as_of(awards, "Award_Date", "Year_Semester")
-    awards = _with_history(awards, domain, calendar, colleges)
-    awards = A.join_award_student(awards, domain.students)
-    return _award_report_rows(awards, calendar, first)
+    return _award_report_rows(awards, domain, calendar, first, colleges, details)
 
 
 def cohort_award_terms(domain: Domain, calendar: Calendar, majors: Sequence[str] | None,
@@ -230,39 +240,37 @@ def survival_person_period(domain: Domain, calendar: Calendar, major: str, award
     end = calendar.current_term if cohort_end is None else cohort_end
     cohorts = A.entry_cohorts(domain, end - years * 10, end, [college])
     profiles = S.cohort_profiles(cohorts, domain.student_profiles, college)
-    award_terms = S.student_award_term(domain, calendar, college, major, award_type)
-    rows = S.join_award_reached(S.spine(profiles, end), award_terms)
-    rows = rows.join(S.entry_history(profiles, major), "Student_Id", "left")
-    rows = rows.join(domain.students, "Student_Id", "left")
-    rows = rows.select(
+    passes = S.course_pivot_counts(S.passed_courses(domain, courses, end), cohorts, courses)
+    stacked = S.stack_course_events(profiles.where(F.col("Year_Semester") < end), passes, courses)
+    kept = F.coalesce(S.after_entry(), F.lit(False))  # course rows have no entry term
+    table = stacked.select(
         "Student_Id", "Year_Semester", "Cohort",
         (F.col("Term_Age") - 18).alias("Term_Age"),
-        *indicator_flags(),
-        "Military", "DSPS", *S.RUNNING_TOTALS.values(), "Total_Award",
-        "Declared_Major_at_Entry",
+        "Education_Goal", "Residency_Status", "Military", "DSPS",
         (F.col("District_Cumulative_GPA") - 2.0).alias("GPA"),
-        *[zero_if_missing(F.col(c)).alias(c)
-          for c in ("Former_Concurrent_Student", "Former_PSA_Student")],
-        "Foster_Youth", "Earned_Award",
-    )
-    passed = S.passed_courses(domain, cohorts, courses, end)
-    stacked = S.stack_course_events(rows, S.course_pivot_counts(passed, courses), courses)
-    running = {*S.RUNNING_TOTALS.values(), "Total_Award", *map(safe_name, courses)}
-    own_term = F.when(F.col("_table_row"), F.col("Year_Semester"))
-    table = stacked.select(
-        *[c for c in rows.columns if c not in running],
-        S.previous_term(own_term).alias("Previous_Year_Semester"),
-        *S.running_aid_terms(),
-        S.running_average_award().alias("Total_Award"),
+        *S.entry_columns(major),
+        S.previous_term(kept).alias("Previous_Year_Semester"),
+        *S.running_aid_terms(kept),
+        S.running_average_award(kept).alias("Total_Award"),
         *S.cumulative_courses(courses),
-        "_table_row",
-    ).where("_table_row").drop("_table_row")
-    since_entry = {
-        c: T.terms_between(F.col(c), F.col("Cohort"))
-        for c in ("Year_Semester", "Previous_Year_Semester")
-    }
-    kept = S.first_award_row(table)
-    return kept.join(domain.ethnicity_details, "Student_Id", "left").withColumns(since_entry)
+        kept.alias("_kept"),
+    ).where("_kept").drop("_kept")
+
+    award_terms = S.student_award_term(domain, calendar, college, major, award_type)
+    rows = S.first_award_row(S.join_award_reached(table, award_terms)).drop("Award_Year_Semester")
+    rows = rows.join(domain.students, "Student_Id", "left")
+    rows = rows.join(domain.ethnicity_details, "Student_Id", "left")
+    details = [c for c in domain.ethnicity_details.columns if c != "Student_Id"]
+    return rows.select(
+        "Student_Id",
+        T.terms_between(F.col("Year_Semester"), F.col("Cohort")).alias("Year_Semester"),
+        T.terms_between(F.col("Previous_Year_Semester"), F.col("Cohort"))
+        .alias("Previous_Year_Semester"),
+        "Cohort", "Term_Age", *indicator_flags(), "Military", "DSPS",
+        *S.RUNNING_TOTALS, "Total_Award", "Declared_Major_at_Entry", "GPA",
+        "Former_Concurrent_Student", "Former_PSA_Student", "Foster_Youth",
+        *details, *map(safe_name, courses), "Earned_Award",
+    )
 
 
 def sort_person_period(table: DataFrame) -> DataFrame:
