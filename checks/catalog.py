@@ -960,7 +960,7 @@ add("course_rules_success", lambda s: _flat_rules(_rules(s, M.success_baskets)),
     f"select {_RULE_COLUMNS} from success_rules")
 add("course_rules_failure", lambda s: _flat_rules(_rules(s, M.failure_baskets)),
     f"select {_RULE_COLUMNS} from failure_rules")
-add("course_rules_pruned", lambda s: _flat_rules(M.prune_rules(M.cut_lineage(_rules(s)))),
+add("course_rules_pruned", lambda s: _flat_rules(M.prune_rules(_rules(s))),
     f"select {_RULE_COLUMNS} from every_pruned")
 _TABLE_COLUMNS = """'{' || array_to_string(ante, ',') || '} => {' || cons || '}' rules, round(support,6) support,
    round(confidence,6) confidence, round(lift,6) lift, count_both as count"""

@@ -99,23 +99,28 @@ def association_rules(baskets: DataFrame, min_students: int = 5,
 
     Includes rules with an empty left side: items held by at least `confidence` of all
     baskets. `baskets` should be stored (see `cut_lineage`): the miner reads it twice.
+    Mining runs here, once: its itemsets stay cached until the rules are stored.
     """
     n = baskets.count()
     miner = FPGrowth(itemsCol="Courses", minSupport=minimum_support(n, min_students),
                      minConfidence=confidence)
     model = miner.fit(baskets.select("Courses"))
+    itemsets = model.freqItemsets.persist()
     mined = model.associationRules.where(F.size("antecedent") < MAX_RULE_ITEMS).select(
         F.array_sort("antecedent").alias("antecedent"),
         F.col("consequent")[0].alias("consequent"),
         "support", "confidence", "lift",
     )
     share = F.col("freq") / F.lit(float(max(n, 1)))
-    common = model.freqItemsets.where((F.size("items") == 1) & (share >= confidence)).select(
+    common = itemsets.where((F.size("items") == 1) & (share >= confidence)).select(
         F.array().cast("array<string>").alias("antecedent"),
         F.col("items")[0].alias("consequent"),
         share.alias("support"), share.alias("confidence"), F.lit(1.0).alias("lift"),
     )
-    return mined.unionByName(common).withColumn("baskets", F.lit(n).cast("bigint"))
+    rules = mined.unionByName(common).withColumn("baskets", F.lit(n).cast("bigint"))
+    stored = cut_lineage(rules)
+    itemsets.unpersist()
+    return stored
 
 
 def _proper_subsets(items: Column) -> Column:

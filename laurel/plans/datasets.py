@@ -216,11 +216,10 @@ def course_patterns(domain: Domain, calendar: Calendar, majors: Sequence[str] |
         "success": M.success_baskets(baskets, success_cutoff),
         "failure": M.failure_baskets(baskets, failure_cutoff),
     }
-    rules = {
-        name: M.cut_lineage(M.association_rules(chosen, min_students, confidence))
+    return {
+        name: M.rules_table(M.prune_rules(M.association_rules(chosen, min_students, confidence)))
         for name, chosen in sets.items()
     }
-    return {name: M.rules_table(M.prune_rules(mined)) for name, mined in rules.items()}
 
 
 def stored_baskets(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
