@@ -416,7 +416,7 @@ add("join_award_term_asof",
 add("join_cumulative_profile",
     lambda s: A.join_cumulative_units(
         A.distinct_awards(s.domain, ["E", "W"]),
-        A.cumulative_units(s.domain.student_profiles, s.calendar)),
+        A.cumulative_units(s.domain.student_profiles, s.calendar, ["E", "W"]), ["E", "W"]),
     """select a.Student_Id, a.College, Major_Code, Award_Type, Award_Date,
        cast(sum(SGEC_Units) as bigint) SGEC_Units, cast(sum(Online_Units) as bigint) Online_Units,
        cast(sum(Units_Attempted) as bigint) Units_Attempted
@@ -429,18 +429,20 @@ add("join_cumulative_profile",
 
 
 def _join_award_cohort(s: Session) -> DataFrame:
-    awards = A.distinct_awards(s.domain, COLLEGES)
-    inner = A.join_award_cohort(awards, s.domain.cohorts, True).withColumn("Mode", F.lit("inner"))
-    left = A.join_award_cohort(awards, s.domain.cohorts, False).withColumn("Mode", F.lit("left"))
+    """Inner join at the college of entry, for both colleges, and left join."""
+    colleges = ["E", "W"]
+    awards = A.distinct_awards(s.domain, colleges)
+    inner = A.join_entry_cohort(awards, s.domain.cohorts, colleges).withColumn("Mode", F.lit("inner"))
+    left = A.join_award_cohort(awards, s.domain.cohorts).withColumn("Mode", F.lit("left"))
     return inner.unionByName(left)
 
 
 add("join_award_cohort", _join_award_cohort,
     """select distinct a.Student_Id, College, Major_Code, Award_Type, Award_Date, Cohort, 'inner' as Mode
-       from awards a left join cohorts c on a.Student_Id=c.Student_Id where Cohort_College=College and College='E'
+       from awards a left join cohorts c on a.Student_Id=c.Student_Id where Cohort_College=College
        union all
        select distinct a.Student_Id, College, Major_Code, Award_Type, Award_Date, Cohort, 'left' as Mode
-       from awards a left join cohorts c on a.Student_Id=c.Student_Id where College='E'""")
+       from awards a left join cohorts c on a.Student_Id=c.Student_Id""")
 add("join_active_programs",
     lambda s: A.join_active_programs(A.distinct_awards(s.domain, COLLEGES),
                                      A.active_programs(s.domain.programs, COLLEGES)),
@@ -661,7 +663,7 @@ for name, (column, *_rest) in _STATUS.items():
 add("unit_shares_at_award",
     lambda s: A.with_unit_shares(A.join_cumulative_units(
         A.distinct_awards(s.domain, COLLEGES),
-        A.cumulative_units(s.domain.student_profiles, s.calendar))),
+        A.cumulative_units(s.domain.student_profiles, s.calendar, COLLEGES), COLLEGES)),
     """select Student_Id, College, Major_Code, Award_Type, Award_Date, SGEC_Units, Online_Units from all_raw""")
 add("efficiency", lambda s: rounded(s.efficiency, "FTES", "FTEF", "Efficiency"),
     """select * replace (round(FTES,6) as FTES, round(FTEF,6) as FTEF, round(Efficiency,6) as Efficiency)

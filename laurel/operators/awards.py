@@ -17,6 +17,15 @@ AWARD_KEYS = ["Student_Id", "College", "Major_Code", "Award_Type", "Award_Date"]
 BROADCAST_ROWS = 100_000  # rows of three short codes: a few megabytes
 
 
+def record_keys(colleges: Sequence[str]) -> list[str]:
+    """Keys of a student's record at the selected colleges.
+
+    With one college the student alone is enough. Joins and windows of a plan then share
+    one partitioning by student instead of being shuffled again for each key set.
+    """
+    return ["Student_Id"] if len(colleges) == 1 else ["Student_Id", "College"]
+
+
 def distinct_awards(domain: Domain, colleges: Sequence[str],
                     majors: Sequence[str] | None = None) -> DataFrame:
     """One row per student, program and date.
@@ -37,55 +46,58 @@ def join_award_student(awards: DataFrame, students: DataFrame) -> DataFrame:
     return awards.join(students.select("Student_Id", "Gender", "Ethnicity"), "Student_Id", "left")
 
 
-def join_award_cohort(awards: DataFrame, cohorts: DataFrame, same_college: bool) -> DataFrame:
-    """Inner on the college of entry, or left on the student alone."""
-    if same_college:
-        keyed = cohorts.withColumnRenamed("Cohort_College", "College")
-        return awards.join(keyed, ["Student_Id", "College"], "inner")
+def join_award_cohort(awards: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """Entry term of the student at whatever college, if known."""
     return awards.join(cohorts.select("Student_Id", "Cohort"), "Student_Id", "left")
 
 
+def join_entry_cohort(awards: DataFrame, cohorts: DataFrame, colleges: Sequence[str]) -> DataFrame:
+    """Awards of students who entered the awarding college.
+
+    Both sides must already be restricted to `colleges`.
+    """
+    keys = record_keys(colleges)
+    entered = cohorts.withColumnRenamed("Cohort_College", "College").select(*keys, "Cohort")
+    return awards.join(entered, keys, "inner")
+
+
 def join_award_program(awards: DataFrame, programs: DataFrame) -> DataFrame:
     keys = ["College", "Major_Code", "Award_Type", "Catalog_Year"]
     return awards.join(programs.select(*keys, "Major", "Final_Term"), keys, "left")
 
 
-def cumulative_units(profiles: DataFrame, calendar: Calendar) -> DataFrame:
-    """Running unit totals per (student, college), valid in [From, Until).
+def cumulative_units(profiles: DataFrame, calendar: Calendar, colleges: Sequence[str]) -> DataFrame:
+    """Running unit totals per student record, valid in [From, Until).
 
     Profiles are first reduced to one row per term, so a window partition holds at most
     one row per calendar term. As intervals the totals can be matched with exactly one
     row per award instead of joining every earlier term.
     """
-    units = ["SGEC_Units", "Online_Units", "Units_Attempted"]
-    per_term = profiles.groupBy("Student_Id", "College", "Year_Semester").agg(
+    keys, units = record_keys(colleges), ["SGEC_Units", "Online_Units", "Units_Attempted"]
+    per_term = profiles.where(among("College", colleges)).groupBy(*keys, "Year_Semester").agg(
         *[F.sum(u).alias(u) for u in units]
     )
     dated = per_term.join(
         calendar.start_dates(), F.col("Year_Semester") == F.col("Calendar_Term"), "inner"
     )
-    by_start = W.partitionBy("Student_Id", "College").orderBy("Calendar_Start")
+    by_start = W.partitionBy(*keys).orderBy("Calendar_Start")
     return dated.select(
-        "Student_Id", "College",
+        *keys,
         F.col("Calendar_Start").alias("From"),
         F.lead("Calendar_Start").over(by_start).alias("Until"),
         *[F.sum(u).over(by_start).alias(u) for u in units],
     )
 
 
-def join_cumulative_units(awards: DataFrame, history: DataFrame) -> DataFrame:
+def join_cumulative_units(awards: DataFrame, history: DataFrame, colleges: Sequence[str]) -> DataFrame:
     """Unit totals of all terms started by the award date; NULL without any."""
-    day = F.col("Award_Date")
-    held = (
-        (awards["Student_Id"] == history["Student_Id"])
-        & (awards["College"] == history["College"])
-        & (day >= F.col("From"))
-        & (F.col("Until").isNull() | (day < F.col("Until")))
-    )
-    units = history.drop("Student_Id", "College").columns
+    keys, day = record_keys(colleges), F.col("Award_Date")
+    held = (day >= F.col("From")) & (F.col("Until").isNull() | (day < F.col("Until")))
+    for key in keys:
+        held = held & (awards[key] == history[key])
+    units = [u for u in history.columns if u not in (*keys, "From", "Until")]
     return awards.join(history, held, "left").select(
-        *[awards[c] for c in awards.columns],
-        *[F.col(u) for u in units if u not in ("From", "Until")],
+        *[awards[c] for c in awards.columns], *[F.col(u) for u in units]
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from laurel.functions.levels import ALL_STUDENTS, SPECIAL_COURSES
 from laurel.functions.recode import zero_if_nan
+from laurel.operators.awards import join_entry_cohort
 from laurel.operators.counting import count_cells
 from laurel.operators.paths import join_enrollment_section, path_enrollments
 from laurel.operators.selection import (
@@ -32,8 +33,7 @@ def completed_programs(domain: Domain, cohorts: DataFrame, colleges: Sequence[st
     programs = filter_program(domain.awards, colleges, majors).groupBy("Student_Id", *PROGRAM).agg(
         F.count(F.lit(1)).alias("Weight")
     )
-    keyed = cohorts.withColumnRenamed("Cohort_College", "College")
-    return programs.join(keyed, ["Student_Id", "College"], "inner")
+    return join_entry_cohort(programs, cohorts, colleges)
 
 
 def distinct_course_takers(domain: Domain, cohorts: DataFrame, current: int,

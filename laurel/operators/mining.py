@@ -53,7 +53,7 @@ def student_term_courses(domain: Domain, calendar: Calendar, majors: Sequence[st
     cohorts = A.entry_cohorts(domain, calendar.years_back(years), calendar.current_term, colleges,
                               include_current=True)
     awards = A.filter_program(domain.awards, colleges, majors).select("Student_Id", "College")
-    people = A.join_award_cohort(awards.distinct(), cohorts, True).select("Student_Id").distinct()
+    people = A.join_entry_cohort(awards.distinct(), cohorts, colleges).select("Student_Id").distinct()
     taken = kept_enrollments(domain.enrollments).join(people, "Student_Id", "left_semi")
     credit = domain.sections2.where(F.col("Noncredit") == 0)
     courses = join_enrollment_section(taken, credit, "Course", "Noncredit")

@@ -154,14 +154,11 @@ def course_pivot_counts(passed: DataFrame, students: DataFrame, courses: Sequenc
     Counted before the students are selected: the counting combines map-side, so a
     student with very many enrollments reaches that join as one row per term.
     """
-    wide = passed.groupBy("Student_Id", "Year_Semester").pivot("Course", list(courses)).agg(
-        F.count("Grade")
-    )
-    named = wide.select(
-        "Student_Id", "Year_Semester",
-        *[zero_if_missing(F.col(f"`{c}`")).alias(safe_name(c)) for c in courses],
-    )
-    return named.join(students.select("Student_Id"), "Student_Id", "left_semi")
+    # A count per listed course, where `pivot` would shuffle by course once more.
+    counts = passed.groupBy("Student_Id", "Year_Semester").agg(*[
+        F.count(F.when(F.col("Course") == c, F.col("Grade"))).alias(safe_name(c)) for c in courses
+    ])
+    return counts.join(students.select("Student_Id"), "Student_Id", "left_semi")
 
 
 def stack_course_events(rows: DataFrame, pivoted: DataFrame, courses: Sequence[str]) -> DataFrame:

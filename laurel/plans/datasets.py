@@ -59,9 +59,8 @@ def _award_report_rows(awards: DataFrame, domain: Domain, calendar: Calendar, fi
     """Last steps shared by the two award data sets: details, recodes, labels."""
     columns = []
     if UNITS in details:
-        profiles = domain.student_profiles.where(among("College", colleges))
-        history = A.cumulative_units(profiles, calendar)
-        awards = A.with_unit_shares(A.join_cumulative_units(awards, history))
+        history = A.cumulative_units(domain.student_profiles, calendar, colleges)
+        awards = A.with_unit_shares(A.join_cumulative_units(awards, history, colleges))
         columns += [F.col("SGEC_Units"), F.col("Online_Units")]
     if STUDENT in details:
         awards = A.join_award_student(awards, domain.students)
@@ -72,7 +71,7 @@ def _award_report_rows(awards: DataFrame, domain: Domain, calendar: Calendar, fi
     term = F.col("Year_Semester")
     if COHORT in details:
         if "Cohort" not in awards.columns:
-            awards = A.join_award_cohort(awards, domain.cohorts, same_college=False)
+            awards = A.join_award_cohort(awards, domain.cohorts)
         columns += [
             F.col("Cohort"), T.terms_between(term, F.col("Cohort")).alias("Terms_to_Complete"),
         ]
@@ -106,7 +105,7 @@ def awards_cohort(domain: Domain, calendar: Calendar, majors: Sequence[str] | No
     """Awards of the students who entered the awarding college in the last `years` years."""
     first = calendar.years_back(years)
     cohorts = A.entry_cohorts(domain, first, calendar.current_term, colleges)
-    awards = A.join_award_cohort(A.distinct_awards(domain, colleges, majors), cohorts, True)
+    awards = A.join_entry_cohort(A.distinct_awards(domain, colleges, majors), cohorts, colleges)
     awards = calendar.with_term_as_of(awards, "Award_Date", "Year_Semester")
     return _award_report_rows(awards, domain, calendar, first, colleges, details)
 
@@ -118,7 +117,7 @@ def cohort_award_terms(domain: Domain, calendar: Calendar, majors: Sequence[str]
     active = A.active_programs(domain.programs, colleges, majors)
     awards = A.join_active_programs(A.distinct_awards(domain, colleges, majors), active)
     cohorts = A.entry_cohorts(domain, first, calendar.current_term, colleges)
-    awards = A.join_award_cohort(awards, cohorts, True)
+    awards = A.join_entry_cohort(awards, cohorts, colleges)
     return calendar.with_term_as_of(awards, "Award_Date", "Year_Semester")
 
 
