@@ -483,7 +483,7 @@ def _path_enrollments(s: Session) -> DataFrame:
     keys = ["Student_Id", "College", "Major_Code", "Award_Type", "Cohort", "Year_Semester"]
     awards = N.count_cells(dated, keys, "Weight")
     people = awards.select("Student_Id", "College", "Cohort").distinct()
-    totals = P.path_totals(s.domain.enrollments, s.domain.sections2, people, s.current)
+    totals = P.path_totals(P.term_effort(s.domain.enrollments, s.domain.sections2, s.current), people)
     return rounded(P.join_path_totals(awards, totals), "FTES", "FTEF")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from laurel.functions.levels import AWARD_NAMES, ETHNICITIES, GENDERS, SEASON_ORDER
+from laurel.functions.levels import AWARD_NAMES, ETHNICITIES, GENDERS
 
 AS_OF = "2001-09-01"
 MAJOR, AWARD = "000100", "AA"

@@ -12,7 +12,7 @@ from laurel.functions.levels import ALL_STUDENTS, SPECIAL_COURSES
 from laurel.functions.recode import zero_if_nan
 from laurel.operators.awards import join_entry_cohort
 from laurel.operators.counting import count_cells
-from laurel.operators.paths import join_enrollment_section, path_enrollments
+from laurel.operators.paths import join_enrollment_section, kept_enrollments
 from laurel.operators.selection import (
     Strata, filter_award_types, filter_excluded_courses, filter_min_group, filter_program,
 )
@@ -38,35 +38,41 @@ def completed_programs(domain: Domain, cohorts: DataFrame, colleges: Sequence[st
 
 def distinct_course_takers(domain: Domain, cohorts: DataFrame, current: int,
                            colleges: Sequence[str], majors: Sequence[str] | None) -> DataFrame:
-    """Distinct (student, discipline, course, program).
+    """Distinct (student, discipline, course, program) of courses taken since entry.
 
-    Both sides are deduplicated per student before they meet, so the join makes exactly
+    Enrollments are reduced to the last term per student and course before students are
+    matched; a course counts if that term is not before entry. So the join makes exactly
     the result rows, also for a student with very many awards and enrollments.
     """
     programs = completed_programs(domain, cohorts, colleges, majors)
-    people = programs.select("Student_Id", "Cohort").distinct()
-    path = path_enrollments(domain.enrollments, people, current)
-    courses = (
-        join_enrollment_section(path, domain.sections2, "Discipline", "Course")
-        .select("Student_Id", "Discipline", "Course")
-        .distinct()
+    last_taken = join_enrollment_section(
+        kept_enrollments(domain.enrollments, current), domain.sections2, "Discipline", "Course"
+    ).groupBy("Student_Id", "Discipline", "Course").agg(F.max("Year_Semester").alias("Last_Term"))
+    taken = last_taken.join(programs.select("Student_Id", "Cohort", *PROGRAM), "Student_Id", "inner")
+    return taken.where(F.col("Last_Term") >= F.col("Cohort")).select(
+        "Student_Id", "Discipline", "Course", *PROGRAM
     )
-    return courses.join(programs.select("Student_Id", *PROGRAM), "Student_Id", "inner")
 
 
 def program_course_counts(domain: Domain, cohorts: DataFrame, current: int, college: str,
                           major: str, award_type: str) -> DataFrame:
     """Course counts over (award, enrollment) pairs of one program, without pairing rows.
 
-    An enrollment counts once for every award row of its student, which is a weight.
+    An enrollment counts once for every award row of its student, which is a weight on
+    the student's enrollments per course and term.
     """
     programs = completed_programs(domain, cohorts, [college], [major]).where(
         F.col("Award_Type") == award_type
     )
     people = programs.select("Student_Id", "Cohort", "Weight")
-    path = path_enrollments(domain.enrollments, people, current)
-    courses = join_enrollment_section(path, domain.sections2, "Course")
-    return courses.groupBy("Course").agg(F.sum("Weight").alias("Count"))
+    taken = join_enrollment_section(
+        kept_enrollments(domain.enrollments, current), domain.sections2, "Course"
+    )
+    per_term = count_cells(taken, ["Student_Id", "Course", "Year_Semester"], "Taken")
+    path = per_term.join(people, "Student_Id", "inner").where(
+        F.col("Year_Semester") >= F.col("Cohort")
+    )
+    return path.groupBy("Course").agg(F.sum(F.col("Weight") * F.col("Taken")).alias("Count"))
 
 
 def top_courses(counts: DataFrame, n: int, excluded: Sequence[str]) -> DataFrame:

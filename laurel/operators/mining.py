@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from laurel.functions.recode import safe_ratio
 from laurel.operators import awards as A
-from laurel.operators.paths import join_enrollment_section, kept_enrollments
+from laurel.operators.paths import SECTION_KEYS, kept_enrollments
 from laurel.operators.selection import filter_completion_band
 from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
@@ -47,21 +47,21 @@ def student_term_courses(domain: Domain, calendar: Calendar, majors: Sequence[st
                          colleges: Sequence[str], years: int) -> DataFrame:
     """Distinct credit courses per student and term of the cohort's completers.
 
-    Awards only select students here, so a student's awards and enrollments never meet
-    as pairs.
+    Awards only select students here, and they do so after a student's enrollments are
+    reduced to distinct courses per term.
     """
     cohorts = A.entry_cohorts(domain, calendar.years_back(years), calendar.current_term, colleges,
                               include_current=True)
     awards = A.filter_program(domain.awards, colleges, majors).select("Student_Id", "College")
     people = A.join_entry_cohort(awards.distinct(), cohorts, colleges).select("Student_Id").distinct()
-    taken = kept_enrollments(domain.enrollments).join(people, "Student_Id", "left_semi")
-    credit = domain.sections2.where(F.col("Noncredit") == 0)
-    courses = join_enrollment_section(taken, credit, "Course", "Noncredit")
-    return (
-        courses.where(F.col("Noncredit") == 0)
+    credit = domain.sections2.where(F.col("Noncredit") == 0).select(*SECTION_KEYS, "Course")
+    courses = (
+        kept_enrollments(domain.enrollments)
+        .join(credit, SECTION_KEYS, "inner")
         .select("Student_Id", "Year_Semester", "Course")
         .distinct()
     )
+    return courses.join(people, "Student_Id", "left_semi")
 
 
 def course_baskets(courses: DataFrame, completion: DataFrame) -> DataFrame:

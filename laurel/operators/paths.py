@@ -37,33 +37,36 @@ def section_effort(sections: DataFrame) -> DataFrame:
     )
 
 
-def path_enrollments(enrollments: DataFrame, completers: DataFrame, current: int) -> DataFrame:
-    """Enrollments of completers since their entry term.
+def term_effort(enrollments: DataFrame, sections: DataFrame, current: int) -> DataFrame:
+    """Teaching effort and number of enrollments per student, college and term.
 
-    `completers` has one row per student: Student_Id, Cohort and the college of the
-    award as Home_College. Joining it first leaves only their rows for what follows.
+    Sections come first and students second: the sum combines map-side, so a student with
+    a large share of all enrollments arrives in the per-student steps as a few rows per
+    term. A join by student on raw enrollments would put them all into one task.
     """
-    taken = kept_enrollments(enrollments, current).select("Student_Id", "Grade", *SECTION_KEYS)
-    path = taken.join(completers, "Student_Id", "inner")
-    return path.where(F.col("Year_Semester") >= F.col("Cohort"))
+    joined = join_enrollment_section(
+        kept_enrollments(enrollments, current), section_effort(sections), "FTES", "FTEF"
+    )
+    return joined.groupBy("Student_Id", "College", "Year_Semester").agg(
+        F.sum("FTES").alias("FTES"), F.sum("FTEF").alias("FTEF"),
+        F.count(F.lit(1)).alias("Enrollments"),
+    )
 
 
-def path_totals(enrollments: DataFrame, sections: DataFrame, completers: DataFrame,
-                current: int) -> DataFrame:
-    """Running teaching effort per student since entry, valid for terms in [From, Until).
+def path_totals(effort: DataFrame, completers: DataFrame) -> DataFrame:
+    """Running effort per student since entry, valid for terms in [From, Until).
 
-    Reduced to one row per student and term before the window, so a student with any
-    number of enrollments has at most one row per calendar term. Sections of other
-    colleges carry no effort, but the enrollment still puts the student on a path.
+    `completers` has one row per student: Student_Id, Cohort and the college of the
+    award. Sections of other colleges carry no effort, but the enrollment still puts the
+    student on a path.
     """
     homes = completers.withColumnRenamed("College", "Home_College")
-    path = path_enrollments(enrollments, homes, current)
-    joined = join_enrollment_section(path, section_effort(sections), "FTES", "FTEF")
+    path = effort.join(homes, "Student_Id", "inner").where(F.col("Year_Semester") >= F.col("Cohort"))
     own = F.col("College") == F.col("Home_College")
-    per_term = joined.groupBy("Student_Id", "Year_Semester").agg(
+    per_term = path.groupBy("Student_Id", "Year_Semester").agg(
         F.sum(F.when(own, F.col("FTES"))).alias("FTES"),
         F.sum(F.when(own, F.col("FTEF"))).alias("FTEF"),
-        F.count(F.lit(1)).alias("Enrollments"),
+        F.sum("Enrollments").alias("Enrollments"),
     )
     by_term = W.partitionBy("Student_Id").orderBy("Year_Semester")
     return per_term.select(

@@ -16,7 +16,7 @@ from laurel.operators import awards as A
 from laurel.operators import courses as C
 from laurel.operators import mining as M
 from laurel.operators import survival as S
-from laurel.operators.paths import join_path_totals, path_totals
+from laurel.operators.paths import join_path_totals, path_totals, term_effort
 from laurel.operators.rolling import explode_completion_cohorts
 from laurel.operators.selection import among, drop_incomplete, filter_catalog_window
 from laurel.sources.calendar import Calendar
@@ -157,7 +157,8 @@ def efficiency(domain: Domain, calendar: Calendar, majors: Sequence[str] | None
     awards = dated.groupBy("Student_Id", "College", "Major_Code", "Award_Type", "Cohort",
                            "Year_Semester").agg(F.count(F.lit(1)).alias("Weight"))
     completers = awards.select("Student_Id", "College", "Cohort").distinct()
-    totals = path_totals(domain.enrollments, domain.sections2, completers, current)
+    effort = term_effort(domain.enrollments, domain.sections2, current)
+    totals = path_totals(effort, completers)
     paths = join_path_totals(awards, totals)
     rolled = explode_completion_cohorts(paths, first, current, cohort_length, keep_unmatched=False)
     fte_students, fte_faculty = F.sum("FTES"), F.sum("FTEF")

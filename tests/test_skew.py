@@ -11,7 +11,7 @@ import pytest
 import laurel
 from checks import sql as Q
 from laurel.operators import awards as A
-from laurel.operators.paths import path_totals
+from laurel.operators.paths import path_totals, term_effort
 from small import day_in, dicts, domain, terms
 
 HOT, OTHERS = 1, range(2, 60)
@@ -94,7 +94,8 @@ def test_a_student_is_reduced_before_joins(tables, calendar):
     per_student = history.groupBy("Student_Id", "College").count().agg({"count": "max"}).first()[0]
     assert per_student <= len(calendar.rows)
     people = tables.cohorts.withColumnRenamed("Cohort_College", "College")
-    totals = path_totals(tables.enrollments, tables.sections2, people, calendar.current_term)
+    effort = term_effort(tables.enrollments, tables.sections2, calendar.current_term)
+    totals = path_totals(effort, people)
     per_student = totals.groupBy("Student_Id").count().agg({"count": "max"}).first()[0]
     assert per_student <= len(calendar.rows)
 
@@ -102,3 +103,36 @@ def test_a_student_is_reduced_before_joins(tables, calendar):
 def test_hot_student_really_is_hot(tables):
     share = tables.enrollments.where(f"Student_Id = {HOT}").count() / tables.enrollments.count()
     assert share > 0.25
+
+
+def test_hot_section_is_split(spark):
+    """Adaptive execution may split the section join: no later step relies on its partitioning."""
+    from pyspark.sql import functions as F
+
+    from laurel.operators.paths import term_effort
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+    }
+    rows = spark.range(0, 60000, numPartitions=8).select(
+        (F.col("id") % 7000).alias("Student_Id"), F.lit("E").alias("College"),
+        F.lit(20001).alias("Year_Semester"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 997 + 2).alias("Section_Number"),
+        F.lit("A").alias("Grade"))
+    sections = spark.range(1, 1000).select(
+        F.col("id").alias("Section_Number"), F.lit("E").alias("College"), F.lit(20001).alias("Year_Semester"),
+        F.lit(10).alias("Enrollment"), F.lit(5.0).alias("FTES"), F.lit(54.0).alias("Standard_Hours"),
+        F.lit(270.0).alias("Teaching_Load"))
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        effort = term_effort(rows, sections, 20013)
+        assert sum(r["Enrollments"] for r in effort.collect()) == 60000
+        assert "skew=true" in effort._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
