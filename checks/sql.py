@@ -1,4 +1,4 @@
-"""Building blocks of the reference SQL: named sub-queries and expression helpers.
+"""Building blocks of the comparison SQL: named sub-queries and expression helpers.
 
 The SQL keeps the straightforward shape (range joins, cross joins, group by), while the
 Spark side uses the scalable one, so that the two check each other.

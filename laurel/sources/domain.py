@@ -112,14 +112,14 @@ class Domain:
             raise AttributeError(name)
         return self[name]
 
-    def save(self, folder: str) -> None:
+    def save(self, folder: str, **options: str) -> None:
         """Write every table as parquet, so that later sessions scan instead of derive.
 
         A stored table replaces its plan here, so tables derived from it read the files.
         """
         for name in self._loaders:
             path = f"{folder}/{name}"
-            self[name].write.mode("overwrite").parquet(path)
+            self[name].write.mode("overwrite").options(**options).parquet(path)
             self._frames[name] = self.spark.read.parquet(path)
 
     def save_tables(self, database: str, buckets: int) -> None:
