@@ -10,7 +10,7 @@ from checks.catalog import session_for
 from checks.compare import connect
 from small import dicts
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"  # the smaller one has no such student
 COLLEGES, MAJORS = ["E", "W"], ["000100", "000300"]
 
 
