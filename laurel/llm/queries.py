@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import bpe, langid, packing, simhash, token_counts, toxicity
+from laurel.llm import (
+    bpe, embedding_dedup, langid, packing, simhash, token_counts, top_k, toxicity, url_filter, warc,
+)
+from laurel.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +25,15 @@ def _fold(modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(text) % modulus == rest, F.lit(False))
 
 
+URL_RULES = [
+    ("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"),
+]
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.url_verdicts(_table(spark, folder, "pages"), URL_RULES)
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     model = toxicity.fit(docs, labels.where(~_fold(3, 1)))
@@ -49,6 +61,11 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = embedding_dedup.embedding_components(_table(spark, folder, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.with_suffix_sums(token_counts.length_histogram(_table(spark, folder, "documents")))
 
@@ -61,13 +78,26 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "held_out", F.col("found.language").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op9_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(_table(spark, folder, "pages")))
+    return made.withColumnRenamed("id", "page_id")
+
+
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.top_k_search(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
+    "op9_warc_derivatives": op9_warc_derivatives,
+    "op10_top_k": op10_top_k,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
