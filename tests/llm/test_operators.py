@@ -1,0 +1,446 @@
+"""Operators against brute force, and the defined results of odd rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from laurel.llm import (
+    bpe, components, embedding_dedup, langid, packing, simhash, token_counts, top_k, toxicity,
+    url_filter, warc,
+)
+
+ODD_TEXTS = [
+    None, "", " ", "\n\t \n", "'", "'s", "it's we'll'' 'x", "a  b   c", "tail   ", "é中\U0001F600’ £5",
+    "x" * 3000, "12ab 3", "the end.\n\nThe", " lead", "a\u00a0b\u2003c", "don't DON'T", "<|endoftext|>",
+]
+
+
+@pytest.fixture(scope="module")
+def reference():
+    lines = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def docs_of(spark, texts, first=0):
+    """Documents with extra columns whose names could clash."""
+    rows = [(first + k, t, "x", k, 0.5) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, fp string, id int, score double")
+
+
+def ids_of(packed):
+    return np.frombuffer(packed, dtype="<u4").tolist()
+
+
+# Byte-level BPE
+
+
+def test_encoding_equals_the_library(reference):
+    rng = random.Random(5)
+    letters = list("ab ' \n\t12.,'strevelmdLé中\U0001F600’ ' \u00a0")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(20))) for _ in range(4000)]
+    texts += [t for t in ODD_TEXTS if t] + ["ab" * 3000 + "é" * 2000]
+    found = [ids_of(x) for x in bpe.codec().encode(texts)]
+    assert found == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_every_code_point_splits_as_in_the_library(reference):
+    codec = bpe.codec()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}" for c in points[at:at + 4096])
+        assert ids_of(next(codec.encode([text]))) == reference.encode_ordinary(text)
+
+
+def test_a_full_cache_changes_nothing(reference, monkeypatch):
+    codec = bpe.Codec()
+    monkeypatch.setattr(codec.cache, "entries", codec.cache.SLOTS)
+    text = "some words and some more words"
+    assert [ids_of(x) for x in codec.encode([text] * 3)] == [reference.encode_ordinary(text)] * 3
+
+
+def test_round_trip_and_offsets(spark, reference):
+    docs = docs_of(spark, ODD_TEXTS)
+    ids = docs.select("doc_id", "text", bpe.encode_column("text").alias("ids"))
+    rows = ids.select("*", bpe.decode_column("ids").alias("back"), bpe.offsets_column("ids").alias("places"),
+                      bpe.count_column("text").alias("n")).collect()
+    assert len(rows) == len(ODD_TEXTS)
+    for r in rows:
+        data = (r.text or "").encode()
+        assert r.back == data and ids_of(r.ids) == reference.encode_ordinary(r.text or "")
+        assert r.n == len(ids_of(r.ids))
+        ends = [*ids_of(r.places), len(data)]
+        tokens = [reference.decode_single_token_bytes(i) for i in ids_of(r.ids)]
+        assert [data[a:b] for a, b in zip(ends, ends[1:])] == tokens
+    assert docs.limit(0).select(bpe.encode_column("text")).collect() == []
+
+
+# Packing
+
+
+def check_packing(rows, wanted, longest=2048):
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(wanted)
+    for doc, pieces in by_doc.items():
+        pieces.sort(key=lambda r: r.start)
+        assert [x for r in pieces for x in ids_of(r.ids)] == wanted[doc]
+        assert [r.start for r in pieces] == np.cumsum([0, *[r.length for r in pieces]])[:-1].tolist()
+        assert all(r.length == len(ids_of(r.ids)) and r.doc_tokens == len(wanted[doc]) for r in pieces)
+    for pieces in by_sequence.values():
+        pieces.sort(key=lambda r: r.offset)
+        ends = np.cumsum([0, *[r.length for r in pieces]]).tolist()
+        assert [r.offset for r in pieces] == ends[:-1]
+        assert ends[-1] <= longest and ends[-1] & (ends[-1] - 1) == 0
+        assert {r.tier for r in pieces} == {ends[-1]}
+
+
+def test_packing_covers_every_id_without_padding(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(3)
+    words = ["the", "storm", "42", "naïve", "again,", "running"]
+    texts = ODD_TEXTS + [" ".join(rng.choices(words, k=rng.randrange(1, 6000))) for _ in range(60)]
+    wanted = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in enumerate(texts)}
+    rows = packing.pack(docs_of(spark, texts).repartition(3)).collect()
+    check_packing(rows, wanted)
+
+
+def test_packing_odd_tables(spark):
+    docs = docs_of(spark, ["same", "same", None])
+    doubled = docs.unionByName(docs).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = packing.pack(doubled).collect()
+    assert sum(r.length for r in rows) == sum(len(x) // 4 + 1 for x in bpe.codec().encode(["same"] * 4 + [None] * 2))
+    assert {r.doc_id for r in rows} == {None}
+    assert packing.pack(docs.limit(0)).collect() == []
+
+
+def test_step_groups_are_balanced():
+    rng = random.Random(1)
+    sequences = [[(0, 0, n)] for n in rng.choices([256, 512, 1024, 2048], k=400)]
+    groups = packing.balanced_groups(sequences, 1 << 15, 2048)
+    work = np.bincount(groups, [s[0][2] + s[0][2] ** 2 / 2048 for s in sequences])
+    assert work.max() < 1.05 * work.mean()
+
+
+def test_gaps_of_long_windows_take_shorter_pieces():
+    packer = packing.Packer((4, 8))
+    for document, length in enumerate([7, 5, 3, 1, 8]):
+        windows = packer.add(document, length)
+        assert windows == ([[(4, 0, 8)]] if length == 8 else [])
+    assert list(packer.packed(last=True)) == [[(0, 0, 7), (3, 0, 1)], [(1, 0, 5), (2, 0, 3)]]
+
+
+# SimHash
+
+
+def slow_fingerprint(text, words):
+    parts = [p for p in __import__("re").split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if p]
+    shingles = [b" ".join(parts[i:i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def test_fingerprints(spark):
+    texts = ODD_TEXTS + ["One two THREE four five six", "É É É É É", " ".join(map(str, range(10000)))]
+    rows = docs_of(spark, texts).select("text", simhash.fingerprint_column("text").alias("p"),
+                                        F.xxhash64("text").alias("h")).collect()
+    assert [r.p for r in rows] == [slow_fingerprint(r.text, 4) for r in rows]
+
+
+def components_of(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("part_rows", [4096, 7])
+def test_fingerprint_links_equal_brute_force(spark, part_rows):
+    rng = random.Random(8)
+    prints = []
+    for _ in range(40):  # chains of near fingerprints around shared centers
+        value = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 12)):
+            for _ in range(rng.randrange(1, 6)):
+                value ^= 1 << rng.randrange(64)
+            prints.append(value)
+    prints = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
+    near = [(a, b) for a in range(len(prints)) for b in range(a)
+            if ((prints[a] ^ prints[b]) & (2 ** 64 - 1)).bit_count() <= 4]
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = simhash.fingerprint_links(frame, part_rows=part_rows).collect()
+    place = {p: k for k, p in enumerate(prints)}
+    assert len(near) > 50
+    assert components_of(len(prints), [(place[r.u], place[r.v]) for r in found]) == components_of(len(prints), near)
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    links = [(k, k + 1) for k in range(n)] + [(5, 5), (1000, 1001), (1001, 1000), (1000, 1001)]
+    rows = components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()
+    roots = {}
+    for r in rows:
+        roots.setdefault(r.root, set()).add(r.vertex)
+    assert sorted(map(len, roots.values())) == [2, n + 1]
+    empty = spark.createDataFrame([], "u long, v long")
+    assert components.connected_components(empty).collect() == []
+
+
+def test_near_dedup_odd_rows(spark):
+    base = " ".join(f"word{k}" for k in range(400))
+    texts = [base, base + " more", None, "", "quite other words here and there", base]
+    docs = docs_of(spark, texts)
+    docs = docs.unionByName(docs).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = simhash.simhash_components(docs).collect()
+    assert len(rows) == 13
+    assert {(r.id, r.component_id) for r in rows} == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 0), (None, 4)}
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 0), (False, 2), (False, 4), (True, None)]
+    assert simhash.near_dedup(docs.limit(0)).collect() == []
+
+
+# Toxicity
+
+
+def toxic_corpus(spark):
+    rng = random.Random(2)
+    words = [a + b for a in "ba ce di fo gu".split() for b in "lan mer nis tor vul".split()]
+    rows, labels = [], []
+    for k in range(600):
+        sentences = [" ".join(rng.choices(words, k=8)) for _ in range(rng.randrange(1, 20))]
+        bad = k % 3 == 0
+        if bad:
+            at = rng.randrange(len(sentences))
+            sentences[at] = f"you {rng.choice(['rotten', 'vile'])}{rng.choice(['', 'ish', 'est'])} {sentences[at]}"
+        rows.append((k, ". ".join(sentences) + ".", "x"))
+        labels.append((k, 1 if bad else 0, k))
+    labels += [(None, 1, 0), (700, 1, 0), (0, 1, 5), (1, None, 0)]
+    return (spark.createDataFrame(rows, "doc_id long, text string, label string"),
+            spark.createDataFrame(labels, "doc_id long, toxic int, text int"))
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    scored = docs.select("doc_id", model.score_column("text").alias("s"),
+                         model.spans_column("text").alias("spans"), "text").collect()
+    for r in scored:
+        if r.doc_id % 2:
+            assert (r.s >= 0.7) == (r.doc_id % 3 == 0), r
+            assert all("rotten" in r.text[x.start:x.end] or "vile" in r.text[x.start:x.end] for x in r.spans)
+    odd = docs_of(spark, ODD_TEXTS + ["clean words. " * 20000]).select(model.score_column("text").alias("s"))
+    assert all(0 <= r.s < 0.1 for r in odd.collect())
+
+
+def test_toxicity_without_labels(spark):
+    docs, labels = toxic_corpus(spark)
+    for none in (labels.limit(0), labels.where("toxic = 0")):
+        model = toxicity.fit(docs, none)
+        assert model.weights == {} and {r[0] for r in docs.select(model.score_column("text")).collect()} == {1 - 0.99}
+    assert docs.limit(0).select(model.score_column("text")).collect() == []
+
+
+# Language
+
+
+def test_language_held_out_and_odd_texts(spark):
+    rng = random.Random(4)
+    stems = {"aa": ["kiva", "lonu", "misa"], "bb": ["schrog", "zwaft", "plunk"], "cc": ["щука", "море", "лес"]}
+    rows = [(k, " ".join(rng.choices(stems[x], k=12)), x, x)
+            for k, x in enumerate(rng.choices(list(stems), k=300))] + [(900, None, "aa", ""), (901, "x", None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, language string")
+    model = langid.fit(docs.where("doc_id % 2 = 0"))
+    assert model.languages == ("aa", "bb", "cc")
+    found = docs.where("doc_id < 900").select("lang", model.predict_column("text").alias("p")).collect()
+    assert all(r.lang == r.p.language and 0.5 < r.p.score <= 1 for r in found)
+    odd = docs_of(spark, ODD_TEXTS + ["kiva " * 300000]).select("text", model.predict_column("text").alias("p"))
+    for r in odd.collect():
+        lettered = any(c.isalpha() for c in r.text or "")
+        assert (r.p.language != "und") == lettered and 0 <= r.p.score <= 1
+    nothing = langid.fit(docs.limit(0))
+    assert {r.p.language for r in docs.select(nothing.predict_column("text").alias("p")).collect()} == {"und"}
+
+
+# Embeddings
+
+
+def vector_rows(spark, vectors):
+    rows = [(k, v, "x", 1) for k, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string, vector int")
+
+
+def odd_vectors(rng, dimension=16):
+    centers = rng.standard_normal((30, dimension))
+    near = [(c + 0.06 * rng.standard_normal(dimension)) for c in centers for _ in range(rng.integers(1, 9))]
+    vectors = [[float(np.float32(x)) for x in v] for v in near]
+    vectors += [vectors[3]] * 25 + [[2 * x for x in vectors[5]]]
+    return vectors + [None, [], [0.0] * dimension, [None] + [1.0] * (dimension - 1),
+                      [float("nan")] + [1.0] * (dimension - 1), [float("inf")] * dimension, [1.0, 2.0]]
+
+
+@pytest.mark.parametrize("options", [{}, {"list_rows": 8, "part_rows": 5}, {"list_rows": 8, "sigmas": 100}])
+def test_embedding_components_equal_brute_force(spark, options):
+    vectors = odd_vectors(np.random.default_rng(6))
+    good = [k for k, v in enumerate(vectors) if v and len(v) == 16 and None not in v
+            and np.isfinite(v).all() and any(v)]
+    unit = np.array([vectors[k] for k in good], dtype=float)
+    unit /= np.sqrt((unit ** 2).sum(axis=1, keepdims=True))
+    a, b = np.nonzero(unit @ unit.T >= 0.95)
+    links = [(good[x], good[y]) for x, y in zip(a, b) if x != y]
+    root = components_of(len(vectors), links)
+    amount = np.bincount([x for x, _ in links], minlength=len(vectors))
+    rows = embedding_dedup.embedding_components(vector_rows(spark, vectors), **options).collect()
+    assert len(links) > 600
+    assert sorted((r.id, r.n_links, r.component_id, r.kept) for r in rows) == [
+        (k, amount[k], root[k], root[k] == k) for k in range(len(vectors))]
+
+
+def test_embedding_odd_tables(spark):
+    rows = vector_rows(spark, [[1.0, 0.0], [0.0, 1.0]])
+    assert embedding_dedup.embedding_components(rows.limit(0)).collect() == []
+    twice = rows.unionByName(rows).unionByName(rows.limit(1).withColumn("vec_id", F.lit(None).cast("long")))
+    found = embedding_dedup.embedding_components(twice).collect()
+    assert sorted((str(r.id), r.n_links, r.component_id, r.kept) for r in found) == [
+        ("0", 1, 0, True), ("0", 1, 0, True), ("1", 1, 1, True), ("1", 1, 1, True), ("None", 0, None, False)]
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 20, "query_rows": 3}])
+def test_top_k_equals_brute_force(spark, options):
+    vectors = odd_vectors(np.random.default_rng(7)) + [[float(10 ** 30)] * 16]
+    good = [k for k, v in enumerate(vectors) if v and len(v) == 16 and None not in v
+            and np.isfinite(v).all() and max(map(abs, v)) < 1e6]
+    whole = {k: np.floor(256 * np.array(vectors[k], dtype=float)).astype(np.int64) for k in good}
+    wanted = []
+    for q in good:
+        if q % 5 == 0:
+            best = sorted((-int(whole[q] @ whole[c]), c) for c in good if c != q)[:4]
+            wanted += [(q, rank + 1, c, -s) for rank, (s, c) in enumerate(best)]
+    rows = vector_rows(spark, vectors)
+    rows = rows.unionByName(rows)  # repeated rows are one
+    found = top_k.top_k_search(rows, F.col("vec_id") % 5 == 0, k=4, **options).collect()
+    assert sorted(tuple(r) for r in found) == wanted
+
+
+def test_top_k_few_rows(spark):
+    rows = vector_rows(spark, [[1.0], [2.0], [2.0]])
+    found = top_k.top_k_search(rows, F.col("vec_id") < 2).collect()
+    assert sorted(tuple(r) for r in found) == [
+        (0, 1, 1, 131072), (0, 2, 2, 131072), (1, 1, 2, 262144), (1, 2, 0, 131072)]
+    assert top_k.top_k_search(rows.limit(0), F.lit(True)).collect() == []
+    assert top_k.top_k_search(rows.limit(1), F.lit(True)).collect() == []
+
+
+# Token counts
+
+
+def test_token_counts(spark):
+    texts = ODD_TEXTS + ["word " * n for n in (1, 1, 7, 2000, 3000)]
+    lengths = np.array([len(x) // 4 for x in bpe.codec().encode(texts)])
+    sums = token_counts.with_suffix_sums(token_counts.length_histogram(docs_of(spark, texts))).cache()
+    rows = sums.collect()
+    assert sorted(r.length for r in rows) == sorted(set(lengths.tolist()))
+    for r in rows:
+        assert (r.documents, r.docs_at_least) == ((lengths == r.length).sum(), (lengths >= r.length).sum())
+        assert r.tokens_at_least == lengths[lengths >= r.length].sum()
+        assert r.truncated_tokens == np.minimum(lengths, r.length).sum()
+        assert r.quantile == pytest.approx((lengths <= r.length).mean())
+        assert (r.total_docs, r.total_tokens) == (len(lengths), lengths.sum())
+    for limit in (0, 3, 1500, 10 ** 6):
+        assert token_counts.truncated_total(sums, limit).first().tokens == np.minimum(lengths, limit).sum()
+    assert sums.select(token_counts.quantile(sums, 0.5)).first()[0] == np.sort(lengths)[-(-len(lengths) // 2) - 1]
+    nothing = token_counts.with_suffix_sums(token_counts.length_histogram(docs_of(spark, texts).limit(0)))
+    assert nothing.collect() == [] and token_counts.truncated_total(nothing, 5).first().tokens == 0
+
+
+# URLs
+
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def test_url_rules_and_parts(spark):
+    cases = {
+        None: ("", "", None), "no scheme": ("", "", None), "://": ("", "", None),
+        "http://A.Example.NET/en/1?q=/x": ("a.example.net", "/en/1", "example.net/en/"),
+        "http://a.net": ("a.net", "", None), "http://net/x": ("net", "/x", "net/"),
+        "http://a.net/EN/1#x": ("a.net", "/EN/1", "net/"), "http://notnet/x": ("notnet", "/x", None),
+        "http://xexample.com/de/": ("xexample.com", "/de/", None), "x://É.org/fr/a://b": ("É.org", "/fr/a://b", "org/fr/"),
+        "http://a.org?u=/fr/": ("a.org", "", None), "http://a.b\nc.net/d\ne": ("a.b\nc.net", "/d\ne", "net/"),
+    }
+    rows = [(k, u, "h", "p") for k, u in enumerate(cases)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    found = {r.page_id: r for r in url_filter.url_verdicts(pages, RULES).collect()}
+    verdicts = dict(RULES)
+    for k, (host, path, rule) in enumerate(cases.values()):
+        r = found[k]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdicts[rule] if rule else r.verdict in ("allow", "block")
+    assert url_filter.url_verdicts(pages.limit(0), RULES).collect() == []
+    assert url_filter.url_verdicts(pages.unionByName(pages), RULES).count() == 2 * len(cases)
+
+
+def test_url_templates_learn_from_their_branch(spark):
+    urls = [f"http://a.shop/item/name-{'abcdefghijklmnopqrstuvwxyz'[k]}-x" for k in range(20)]
+    urls += [f"http://a.shop/spam/{k}" for k in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("a.shop/spam/1", "block"), ("a.shop/spam/2", "block"), ("a.shop/item/name-a", "allow")]
+    found = {r.url: r for r in url_filter.url_verdicts(pages, rules).join(pages, "page_id").collect()}
+    assert found["http://a.shop/spam/39"].rule is None
+    assert found["http://a.shop/spam/39"].template == "/spam/*" and found["http://a.shop/spam/39"].verdict == "block"
+    assert found["http://a.shop/item/name-c-x"].template == "/item/*"
+    assert found["http://a.shop/item/name-c-x"].verdict == "allow"
+
+
+def test_url_similar_branches_merge(spark):
+    urls = [f"http://m.org/{branch}/p{k}q" for branch in ("x", "y", "z") for k in "abcdef"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("m.org/x/", "block"), ("m.org/y/", "block")]
+    found = {r.path[:2]: r.template for r in url_filter.url_verdicts(pages, rules, min_values=4).collect()}
+    assert found["/x"] == found["/y"] == "/~/*" and found["/z"] == "/z/*"
+
+
+# WARC
+
+
+def test_warc_records_and_round_trip(spark, tmp_path):
+    html = ('<html lang="en"><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><!-- no -->'
+            '<p>One<br>two &lt;3<a href="/x?a=1&amp;b=2">link</a></p></body></html>')
+    rows = [(1, "http://a/b", html, "x"), (2, None, None, "x"), (3, "http://a/\r\nX: y", "plain", "x"),
+            (None, "u", "<p>" * 5000, "x"), (1, "http://a/b", html, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, headers string")
+    made = warc.derivatives(warc.responses(pages)).collect()
+    assert len(made) == 2 * len(rows)
+    texts = [r for r in made if r.record_type == "conversion"]
+    infos = [r for r in made if r.record_type == "metadata"]
+    assert texts[0].content == "A & B\nOne\ntwo <3link" and texts[1].content == ""
+    assert texts[0].refers_to == infos[0].refers_to != texts[0].record_id
+    assert "title: A & B\r\nlanguage: en\r\noutlink: /x?a=1&b=2\r\n" in infos[0].content
+    for r in made:
+        data = r.content.encode()
+        assert r.block_digest == "sha256:" + hashlib.sha256(data).hexdigest() and r.content_length == len(data)
+        assert f"Content-Length: {len(data)}\r\n" in r.headers and f"<{r.refers_to}>" in r.headers
+        assert r.source_digest in infos[0].content or r.id != 1
+    assert "WARC-Target-URI: http://a/X: y\r\n" in texts[2].headers and "WARC-Target-URI" not in texts[1].headers
+    folder = str(tmp_path / "out")
+    warc.write_warc(warc.derivatives(warc.responses(pages)), folder)
+    back = warc.read_warc(spark, folder).collect()
+    assert sorted((r.headers, r.content) for r in back) == sorted((r.headers, r.content) for r in made)
+    assert warc.derivatives(warc.responses(pages.limit(0))).collect() == []

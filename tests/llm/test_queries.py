@@ -1,0 +1,107 @@
+"""Registered queries on whole small tables, and the pipeline's stages."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from checks.compare import _rows, connect
+from laurel.llm import bpe, simhash
+from laurel.llm.queries import QUERIES, SQL
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return connect(FOLDER)
+
+
+@pytest.mark.parametrize("name", list(SQL))
+def test_query_equals_sql(spark, connection, name):
+    ours = QUERIES[name](spark, FOLDER)
+    answer = connection.execute(SQL[name])
+    names = [d[0] for d in answer.description]
+    assert sorted(ours.columns) == sorted(names)
+    assert _rows(ours.columns, ours.collect()) == _rows(names, answer.fetchall())
+
+
+def test_native_plan_has_no_python(spark):
+    for name in ("op1_url_filter", "op9_warc_derivatives"):
+        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_held_out_queries(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    found = QUERIES["op8_language_id"](spark, FOLDER).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert len(found) == docs.count()
+    assert (found.held_out == [zlib.crc32(str(d).encode()) % 4 == 2 for d in found.doc_id]).all()
+    held = found[found.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.98
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    found = QUERIES["op2_toxicity"](spark, FOLDER).join(labels, "doc_id", "left").toPandas()
+    assert len(found) == docs.count()
+    assert (found.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in found.doc_id]).all()
+    held = found[found.held_out & found.toxic.notna()]
+    assert (held.predicted == held.toxic).mean() > 0.9 and held.score.between(0, 1).all()
+
+
+def test_simhash_query_equals_brute_force(spark):
+    found = QUERIES["op4_simhash"](spark, FOLDER).toPandas()
+    bits = np.array([int(x, 16) for x in found.fingerprint], dtype=np.uint64)
+    root = found.doc_id.to_numpy().copy()
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 4
+    while True:
+        least = np.array([root[row].min() for row in near])
+        if (least == root).all():
+            break
+        root = least
+    assert (found.component_id == root).all()
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    odd = docs.limit(1).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"),
+        F.lit(None).cast("long").alias("n_chars"))
+    for rows in (docs.unionByName(odd).unionByName(odd), docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, rows, FOLDER)
+            assert left.columns == docs.columns
+            assert left.exceptAll(rows).count() == 0
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, FOLDER)
+    toxic = docs.join(clean, "doc_id", "left_anti").join(
+        spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").toPandas()
+    assert len(toxic) and (toxic.toxic == 1).mean() > 0.7
+    lettered = docs.limit(5).unionByName(odd.withColumn("text", F.lit("123 --- 5")))
+    assert stages["language"](spark, lettered, FOLDER).count() == 5
+
+
+def test_pipeline_equals_brute_force(spark):
+    """All rows of `run` from stage decisions made one document at a time."""
+    result = corpus_pipeline.run(spark, FOLDER)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language"](spark, stages["toxicity"](spark, docs, FOLDER), FOLDER).toPandas()
+    bits = np.array([simhash.fingerprint(t, 5) for t in kept.text]).view(np.uint64)
+    root = kept.doc_id.to_numpy().copy()
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3
+    for _ in range(len(root)):
+        least = np.array([root[row].min() for row in near])
+        if (least == root).all():
+            break
+        root = least
+    left = kept[kept.doc_id == root]
+    pieces = result.toPandas()
+    assert set(pieces.doc_id) == set(left.doc_id) and len(left) < len(kept)
+    texts = dict(zip(left.doc_id, left.text))
+    for doc, own in pieces.groupby("doc_id"):
+        ids = b"".join(own.sort_values("start").ids)
+        assert ids == next(bpe.codec().encode([texts[doc]])) + np.array([1], "<u4").tobytes()
