@@ -27,6 +27,7 @@ from laurel.operators import selection as X
 from laurel.operators import survival as S
 from laurel.plans import datasets as D
 from laurel.plans import reports as V
+from laurel.sources.storage import cut_lineage
 
 AS_OF = dt.date.fromisoformat(Q.AS_OF)
 COLLEGES = ("E",)
@@ -113,7 +114,13 @@ class Session:
 
     @cached_property
     def baskets(self) -> DataFrame:
-        return M.cut_lineage(D.stored_baskets(self.domain, self.calendar))
+        return cut_lineage(D.stored_baskets(self.domain, self.calendar))
+
+    @cached_property
+    def discipline_baskets(self) -> DataFrame:
+        """Coarser baskets, which share more items and give rules with longer left sides."""
+        items = M.student_term_courses(self.domain, self.calendar, None, COLLEGES, 6, "Discipline")
+        return cut_lineage(M.course_baskets(items, M.term_completion_ratio(self.domain.student_profiles)))
 
 
 _SESSIONS: dict[tuple[str, str], Session] = {}
@@ -275,8 +282,7 @@ def _indicator_flags(s: Session) -> DataFrame:
 
 add("indicator_flags", _indicator_flags,
     "select Year_Semester, " + ", ".join(
-        f"cast(sum(case when {column}='{value.replace(chr(39), chr(39) * 2)}' then 1 else 0 end) as bigint) {name}"
-        for name, (column, value) in R.INDICATORS.items())
+        f"count(*) filter ({test}) {name}" for name, test in Q.FLAGS.items())
     + f""", cast(sum(case when Major_Code='{Q.MAJOR}' then 1 else 0 end) as bigint) Declared_Major
        from student_profiles left join (select Student_Id, Gender, Language from students) s using (Student_Id)
        group by Year_Semester""")
@@ -391,7 +397,7 @@ add("filter_observed_strata",
     lambda s: counted(SPLITS["ethnicity_gender"].known(s.awards(D.STUDENT).withColumn(
         "Ethnicity_Gender", R.stratum_label(F.col("Ethnicity"), F.col("Gender")))), "Ethnicity_Gender"),
     f"""select Ethnicity || ' ' || Gender Ethnicity_Gender, count(*) n from awards_all
-        where Ethnicity || ' ' || Gender in {Q.texts(L.ETHNICITY_GENDERS)} group by all""")
+        where Ethnicity in {Q.texts(Q.ETHNICITIES)} and Gender in {Q.texts(Q.GENDERS)} group by all""")
 add("filter_catalog_window",
     lambda s: X.filter_catalog_window(
         s.domain.programs, s.calendar.current_academic_year - 60006,
@@ -416,7 +422,7 @@ add("join_award_term_asof",
 add("join_cumulative_profile",
     lambda s: A.join_cumulative_units(
         A.distinct_awards(s.domain, ["E", "W"]),
-        A.cumulative_units(s.domain.student_profiles, s.calendar, ["E", "W"]), ["E", "W"]),
+        A.dated_units(s.domain.student_profiles, s.calendar, ["E", "W"]), ["E", "W"]),
     """select a.Student_Id, a.College, Major_Code, Award_Type, Award_Date,
        cast(sum(SGEC_Units) as bigint) SGEC_Units, cast(sum(Online_Units) as bigint) Online_Units,
        cast(sum(Units_Attempted) as bigint) Units_Attempted
@@ -483,22 +489,14 @@ def _path_enrollments(s: Session) -> DataFrame:
     keys = ["Student_Id", "College", "Major_Code", "Award_Type", "Cohort", "Year_Semester"]
     awards = N.count_cells(dated, keys, "Weight")
     people = awards.select("Student_Id", "College", "Cohort").distinct()
-    totals = P.path_totals(P.term_effort(s.domain.enrollments, s.domain.sections2, s.current), people)
-    return rounded(P.join_path_totals(awards, totals), "FTES", "FTEF")
+    terms = P.path_terms(P.term_effort(s.domain.enrollments, s.domain.sections2, s.current), people)
+    return rounded(P.join_path_totals(awards, terms), "FTES", "FTEF")
 
 
 add("join_path_enrollments", _path_enrollments,
-    """select s.Student_Id, s.College, s.Major_Code, s.Award_Type, s.Cohort, s.Year_Semester, Weight,
-       round(sum(FTES/nullif(Enrollment,0))*Weight,6) FTES,
-       round(sum((Standard_Hours/Teaching_Load)/nullif(Enrollment,0))*Weight,6) FTEF, count(*) Enrollments
-       from (select Student_Id, College, Major_Code, Award_Type, Cohort, Year_Semester, count(*) Weight
-             from roll_sub group by all) s
-       join enrollments e on s.Student_Id=e.Student_Id
-       left join sections2 x on e.Section_Number=x.Section_Number and e.College=x.College
-         and e.Year_Semester=x.Year_Semester and s.College=x.College, par
-       where Grade<>'E' and e.Year_Semester < t and e.Year_Semester <= s.Year_Semester
-         and e.Year_Semester >= s.Cohort
-       group by s.Student_Id, s.College, s.Major_Code, s.Award_Type, s.Cohort, s.Year_Semester, Weight""")
+    """select * replace (round(FTES*Weight,6) as FTES, round(FTEF*Weight,6) as FTEF) from
+       (select Student_Id, College, Major_Code, Award_Type, Cohort, Year_Semester, count(*) Weight
+        from roll_sub group by all) join path using (Student_Id, College, Cohort, Year_Semester)""")
 add("join_group_size",
     lambda s: C.course_counts(s.takers, SPLITS["gender"]).join(
         C.group_sizes(s.cohort_students, SPLITS["gender"]), [*C.PROGRAM, "Gender"], "left"),
@@ -509,9 +507,7 @@ add("join_group_size",
 
 
 def _course_shortlist(s: Session) -> DataFrame:
-    shares = C.course_shares(s.takers, s.cohort_students, X.UNSPLIT)
-    listed = C.max_course_share(shares).where(F.col("Max_Proportion") > 0.25)
-    return shares.join(listed, [*C.PROGRAM, "Course"], "left_semi")
+    return C.shortlist_courses(C.course_shares(s.takers, s.cohort_students, X.UNSPLIT), 0.25)
 
 
 _SHARES = """(select College, Major_Code, Award_Type, Course, n "Count", Group_Size, n/Group_Size Proportion from
@@ -519,33 +515,24 @@ _SHARES = """(select College, Major_Code, Award_Type, Course, n "Count", Group_S
    (select College, Major_Code, Award_Type, count(*) Group_Size from awards_cohort group by all) g
    using (College, Major_Code, Award_Type))"""
 add("join_course_shortlist", _course_shortlist,
-    f"select * from {_SHARES} x where Proportion > 0.25 and Course is not null")
+    f"select * from {_SHARES} x where Proportion > 0.25")
 
 _GRID = {"Award_Type": [*L.AWARD_NAMES.values(), L.UNKNOWN_AWARD], "Gender": L.GENDERS,
          "Term": L.SEASON_ORDER}
+_GRID_VALUES = {"Award_Type": [*Q.AWARD_NAMES.values(), Q.UNKNOWN_AWARD], "Gender": Q.GENDERS, "Term": Q.SEASONS}
 _GRID_SQL = " cross join ".join(
     f"(select unnest([{', '.join(chr(39) + v + chr(39) for v in values)}]) {name})"
-    for name, values in _GRID.items())
+    for name, values in _GRID_VALUES.items())
 add("anti_missing_levels", lambda s: G.missing_levels(s.rolling, _GRID),
     f"""select g.* from (select * from {_GRID_SQL}) g anti join rolling r
         on g.Award_Type=r.Award_Type and g.Gender=r.Gender and g.Term=r.Term""")
 add("join_prior_history",
     lambda s: S.prior_history(s.cohort_profiles()).select(
         "Student_Id", "Cohort", "Year_Semester", "PSA_Only", "Concurrent_Student"),
-    """select c.Student_Id, Cohort, Year_Semester, PSA_Only, Concurrent_Student from cohorts c
-       join student_profiles p on c.Student_Id=p.Student_Id and c.Cohort_College=p.College, par
-       where Cohort >= coh_cut and Cohort < t and Year_Semester < Cohort and Cohort_College='E'""")
-_FIRST_TERM = f"""select c.Student_Id, case when Major_Code='{Q.MAJOR}' then 1 else 0 end Declared_Major_at_Entry
-   from cohorts c join student_profiles p on c.Student_Id=p.Student_Id and c.Cohort_College=p.College, par
-   where Cohort >= coh_cut and Cohort < t and Year_Semester = Cohort and Cohort_College='E'"""
-add("join_entry_term", lambda s: S.entry_term(s.cohort_profiles(), Q.MAJOR), _FIRST_TERM)
-
-_AWARD_GROUP = f"""(select awards.Student_Id, max(Year_Semester) Award_Year_Semester from awards
-   left join terms on Award_Date >= Term_Start_Date
-   where Major_Code='{Q.MAJOR}' and Award_Type='{Q.AWARD}' and awards.College='E' group by 1)"""
-_SPINE = """(select p.*, Cohort from cohorts c join student_profiles p on c.Student_Id=p.Student_Id
-   and c.Cohort_College=p.College, par where Cohort >= coh_cut and Cohort < t
-   and Year_Semester > Cohort and Year_Semester < t and Cohort_College='E')"""
+    """select Student_Id, Cohort, Year_Semester, PSA_Only, Concurrent_Student from studies
+       where Year_Semester < Cohort""")
+add("join_entry_term", lambda s: S.entry_term(s.cohort_profiles(), Q.MAJOR),
+    "select * from at_entry")
 
 
 def _award_terms(s: Session) -> DataFrame:
@@ -558,9 +545,7 @@ def _with_award(s: Session) -> DataFrame:
 
 add("join_award_reached",
     lambda s: _with_award(s).select("Student_Id", "Year_Semester", "Award_Year_Semester", "Earned_Award"),
-    f"""select s.Student_Id, s.Year_Semester, g.Award_Year_Semester,
-        case when s.Year_Semester >= g.Award_Year_Semester then 1 else 0 end Earned_Award
-        from {_SPINE} s left join {_AWARD_GROUP} g on s.Student_Id=g.Student_Id""")
+    "select Student_Id, Year_Semester, Award_Year_Semester, Earned_Award from flagged")
 
 
 def _passes(s: Session) -> DataFrame:
@@ -572,28 +557,17 @@ def _cumulative_courses(s: Session) -> DataFrame:
     rows = s.table_rows().select("Student_Id", "Year_Semester")
     stacked = S.stack_course_events(rows, _passes(s), PATTERN)
     return stacked.select(
-        "Student_Id", "Year_Semester", *S.cumulative_courses(PATTERN), "_table_row",
+        "Student_Id", "Year_Semester", *S.cumulative_courses(PATTERN, Q.FIRST_COURSE_TERM), "_table_row",
     ).where("_table_row").drop("_table_row")
 
 
-def _passes_sql(condition: str, keys: str) -> str:
-    counts = ", ".join(
-        f"count(case when Course='{c}' then Grade end) {R.safe_name(c)}" for c in PATTERN)
-    return f"""select {keys}, {counts} from cohorts left join enrollments e on cohorts.Student_Id=e.Student_Id
-       left join sections2 x on e.Year_Semester=x.Year_Semester and e.College=x.College
-         and e.Section_Number=x.Section_Number {condition}
-       and Cohort >= coh_cut and Cohort < t and e.Year_Semester < t and Cohort_College='E'
-       and Grade in ('A','B','C','P') and Course in {Q.texts(PATTERN)} group by {keys}"""
-
-
-_OUTCOMES = "(" + _passes_sql(
-    """left join (select cast(unnest(generate_series(19741, (select t-1 from par))) as int) term) l
-       on e.Year_Semester <= term, par where term%10 in (0,1,2,3)""",
-    "cohorts.Student_Id, term") + ")"
-_PASS_NAMES = [R.safe_name(c) for c in PATTERN]
+_PASS_NAMES = [c.replace(" ", "_") for c in PATTERN]
+_PASSES_SO_FAR = ", ".join(
+    f"""case when l.Year_Semester < {Q.FIRST_COURSE_TERM} or l.Year_Semester%10 > 3 then 0 else
+    (select count(*) from passes p where p.Student_Id=l.Student_Id and p.Course='{c}'
+     and p.Year_Semester <= l.Year_Semester) end {name}""" for c, name in zip(PATTERN, _PASS_NAMES))
 add("join_cumulative_courses", _cumulative_courses,
-    f"""select s.Student_Id, s.Year_Semester, {', '.join(f'coalesce({n},0) {n}' for n in _PASS_NAMES)}
-        from {_SPINE} s left join {_OUTCOMES} o on s.Student_Id=o.Student_Id and s.Year_Semester=o.term""")
+    f"select Student_Id, Year_Semester, {_PASSES_SO_FAR} from later l")
 _PROGRAM_NAMES = ["Program 000100 rev 2", "Program 000300 rev 2"]
 
 
@@ -663,7 +637,7 @@ for name, (column, *_rest) in _STATUS.items():
 add("unit_shares_at_award",
     lambda s: A.with_unit_shares(A.join_cumulative_units(
         A.distinct_awards(s.domain, COLLEGES),
-        A.cumulative_units(s.domain.student_profiles, s.calendar, COLLEGES), COLLEGES)),
+        A.dated_units(s.domain.student_profiles, s.calendar, COLLEGES), COLLEGES)),
     """select Student_Id, College, Major_Code, Award_Type, Award_Date, SGEC_Units, Online_Units from all_raw""")
 add("efficiency", lambda s: rounded(s.efficiency, "FTES", "FTEF", "Efficiency"),
     """select * replace (round(FTES,6) as FTES, round(FTEF,6) as FTEF, round(Efficiency,6) as Efficiency)
@@ -727,19 +701,18 @@ add("max_course_share",
            from {Q.Split('gender').source('awards_cohort')} x group by all) g
           using (College, Major_Code, Award_Type, Gender)) y
         group by College, Major_Code, Award_Type, Course""")
-add("student_award_term", _award_terms, f"select * from {_AWARD_GROUP} x")
+add("student_award_term", _award_terms, "select * from program_award")
 add("prior_flags", lambda s: S.prior_flags(s.cohort_profiles()),
-    """select c.Student_Id, max(PSA_Only) Former_PSA_Student, max(Concurrent_Student) Former_Concurrent_Student
-       from cohorts c join student_profiles p on c.Student_Id=p.Student_Id and c.Cohort_College=p.College, par
-       where Cohort >= coh_cut and Cohort < t and Year_Semester < Cohort and Cohort_College='E'
-       group by c.Student_Id""")
+    "select * from before_entry")
 add("course_pivot_counts", _passes,
-    _passes_sql(", par where true", "cohorts.Student_Id, e.Year_Semester"))
+    "select Student_Id, Year_Semester, " + ", ".join(
+        f"count(*) filter (Course='{c}') {name}" for c, name in zip(PATTERN, _PASS_NAMES))
+    + f""" from passes semi join newcomers using (Student_Id) where Course in {Q.texts(PATTERN)}
+       group by Student_Id, Year_Semester""")
 add("current_term",
-    lambda s: s.domain.terms.where((F.col("Term_Start_Date") <= F.lit(AS_OF)) & (F.col("College") == "E"))
-    .agg(F.max("Year_Semester").alias("Year_Semester")),
-    f"""select max(Year_Semester) Year_Semester from terms where Term_Start_Date <= DATE '{Q.AS_OF}'
-        and College='E'""")
+    lambda s: s.domain.terms.where((F.col("Year_Semester") == s.current) & (F.col("College") == "E")),
+    f"""select * from terms where College='E' and Term_Start_Date <= DATE '{Q.AS_OF}'
+        order by Year_Semester desc limit 1""")
 add("distinct_values",
     lambda s: N.distinct_values(s.awards(D.STUDENT), ["Award_Type", "Academic_Year", "Gender"]),
     "select distinct Award_Type, Academic_Year, Gender from awards_all")
@@ -781,37 +754,36 @@ add("change_shares",
 add("previous_term",
     lambda s: s.table_rows().select("Student_Id", "Year_Semester",
                                     S.previous_term().alias("Previous_Year_Semester")),
-    f"""select Student_Id, Year_Semester, lag(Year_Semester, 1, Cohort) over
-        (partition by Student_Id order by Student_Id, Year_Semester) Previous_Year_Semester from {_SPINE} s""")
-_RUNNING = ", ".join(
-    f"cast(sum({source}) over (partition by Student_Id order by Year_Semester) as bigint) {name}"
-    for name, source in S.RUNNING_TOTALS.items())
+    """select Student_Id, Year_Semester, coalesce((select max(e.Year_Semester) from later e
+         where e.Student_Id=l.Student_Id and e.Year_Semester < l.Year_Semester), Cohort) Previous_Year_Semester
+       from later l""")
+_SO_FAR = "(partition by Student_Id order by Year_Semester range unbounded preceding)"
+_RUNNING = ", ".join(f"cast(sum({source}) over {_SO_FAR} as bigint) {name}" for name, source in Q.TOTALS.items())
 add("running_aid_terms",
     lambda s: s.table_rows().select("Student_Id", "Year_Semester", *S.running_aid_terms()),
-    f"select Student_Id, Year_Semester, {_RUNNING} from {_SPINE} s")
+    f"select Student_Id, Year_Semester, {_RUNNING} from later")
 add("running_average_award",
     lambda s: rounded(s.table_rows().select("Student_Id", "Year_Semester",
                                             S.running_average_award().alias("Total_Award")), "Total_Award"),
-    f"""select Student_Id, Year_Semester, round(avg(Total_Award/4) over
-        (partition by Student_Id order by Year_Semester),6) Total_Award from {_SPINE} s""")
-_RANKED = f"""(select s.*, case when g.Student_Id is not null then 1 else 0 end Earned_Award,
-   row_number() over (partition by s.Student_Id, case when g.Student_Id is not null then 1 else 0 end
-     order by s.Year_Semester) rk
-   from {_SPINE} s left join {_AWARD_GROUP} g on s.Student_Id=g.Student_Id
-     and s.Year_Semester >= g.Award_Year_Semester)"""
+    f"select Student_Id, Year_Semester, round(avg(Total_Award/4) over {_SO_FAR},6) Total_Award from later")
 add("first_award_row",
     lambda s: S.first_award_row(_with_award(s)).select("Student_Id", "Year_Semester", "Earned_Award"),
-    f"""select Student_Id, Year_Semester, Earned_Award from {_RANKED} r
-        where (Earned_Award=1 and rk=1) or Earned_Award=0""")
+    """select Student_Id, Year_Semester, Earned_Award from flagged
+       where first_with_award is null or Year_Semester <= first_with_award""")
 
 # --- sorts, set operations, gap filling ---------------------------------------------------
 
+def _with_position(ordered: DataFrame, group: str) -> DataFrame:
+    """Positions within a group, read off the order the frame itself has."""
+    placed = ordered.withColumn("_place", F.monotonically_increasing_id())
+    position = F.row_number().over(W.partitionBy(group).orderBy("_place"))
+    return placed.withColumn("Position", position).drop("_place")
+
+
 def _sort_by_period(s: Session) -> DataFrame:
     """The order as a column: positions of the sorted periods within their award type."""
     cells = X.AWARD_TERM.with_label(V.completers(s.awards(), X.AWARD_TERM))
-    cells = N.sort_by_period(cells, "Year_Semester_Key")
-    return cells.withColumn("Position", F.row_number().over(
-        W.partitionBy("Award_Type").orderBy("Year_Semester_Key")))
+    return _with_position(N.sort_by_period(cells, "Year_Semester_Key"), "Award_Type")
 
 
 add("sort_by_period", _sort_by_period,
@@ -820,7 +792,7 @@ add("sort_by_period", _sort_by_period,
        group by Award_Type, Year_Semester_Key, Year_Semester order by Award_Type, Year_Semester_Key""")
 _TOP = f"""(select row_number() over (order by n desc, Course) as rank, Course from top_counts
    where Course not in {{excluded}} order by n desc, Course limit 25)"""
-_DEFAULT_SPECIAL = ", ".join(f"'{c}'" for c in L.SPECIAL_COURSES)
+_DEFAULT_SPECIAL = ", ".join(f"'{c}'" for c in Q.SPECIAL_COURSES)
 
 
 def _listed_sql(courses) -> str:
@@ -831,15 +803,17 @@ def _listed_sql(courses) -> str:
 add("top_program_courses",
     lambda s: laurel.top_program_courses(s.domain, s.calendar, Q.MAJOR, Q.AWARD),
     f"""select rank, Course from {_TOP.format(excluded=f'({_DEFAULT_SPECIAL})')} x
-        union all {_listed_sql(L.SPECIAL_COURSES)}""")
+        union all {_listed_sql(Q.SPECIAL_COURSES)}""")
 add("append_courses",
     lambda s: C.append_courses(C.top_courses(C.program_course_counts(
         s.domain, s.entry_cohorts(), s.current, "E", Q.MAJOR, Q.AWARD), 25, ["MATH 105"]), SPECIAL, 25),
     f"""select rank, Course from {_TOP.format(excluded="('MATH 105')")} x
         union all {_listed_sql(SPECIAL)}""")
 add("sort_person_period",
-    lambda s: D.sort_person_period(s.table_rows().select("Student_Id", "Year_Semester", "Cohort")),
-    f"select Student_Id, Year_Semester, Cohort from {_SPINE} s order by 1, 2")
+    lambda s: _with_position(
+        D.sort_person_period(s.table_rows().select("Student_Id", "Year_Semester", "Cohort")), "Student_Id"),
+    """select Student_Id, Year_Semester, Cohort,
+       count(*) over (partition by Student_Id order by Year_Semester) as Position from later""")
 add("union_completer_groups",
     lambda s: counted(N.label_groups(s.groups()), "Group", "Award_Type", "Academic_Year"),
     """select 'All completers' "Group", Award_Type, Academic_Year, count(*) n from awards_all group by all
@@ -849,7 +823,7 @@ add("union_completer_groups",
 
 def _generate_terms(s: Session) -> DataFrame:
     """All regular terms since the first course term, with the enrollments of each."""
-    codes = T.term_range(F.lit(S.FIRST_COURSE_TERM), F.lit(s.current - 1))
+    codes = T.term_range(F.lit(Q.FIRST_COURSE_TERM), F.lit(s.current - 1))
     listed = s.spark.range(1).select(F.explode(codes).alias("Year_Semester"))
     counts = N.count_cells(s.domain.enrollments, ["Year_Semester"], "n")
     return listed.join(counts, "Year_Semester", "left").withColumn("n", R.zero_if_missing(F.col("n")))
@@ -929,7 +903,7 @@ add("pivot_strata", _pivot_strata,
           from {_GENDER.source('awards_all')} x group by all''', 'Award_Type, Academic_Year_Key')})
         select y Academic_Year_Key, {Q.year_label('y')} Academic_Year, a.Award_Type,
         """ + ", ".join(f"""coalesce(max("Count") filter (Gender='{g}'),0) "{g}",
-        coalesce(max(Proportion) filter (Gender='{g}'),0.0::double) "{g} Proportion" """ for g in L.GENDERS)
+        coalesce(max(Proportion) filter (Gender='{g}'),0.0::double) "{g} Proportion" """ for g in Q.GENDERS)
     + """ from (select cast(unnest(generate_series((select ay_cut from par), (select ay_now from par), 10001)) as int) y) years
         cross join (select distinct Award_Type from cells) a
         left join cells c on c.Award_Type=a.Award_Type and c.Academic_Year_Key=y group by 1, 2, 3""")
@@ -962,6 +936,13 @@ add("course_rules_success", lambda s: _flat_rules(_rules(s, M.success_baskets)),
     f"select {_RULE_COLUMNS} from success_rules")
 add("course_rules_failure", lambda s: _flat_rules(_rules(s, M.failure_baskets)),
     f"select {_RULE_COLUMNS} from failure_rules")
+add("discipline_rules",
+    lambda s: _flat_rules(M.association_rules(s.discipline_baskets, confidence=Q.PATTERN_CONFIDENCE)),
+    f"select {_RULE_COLUMNS} from discipline_rules")
+add("discipline_rules_pruned",
+    lambda s: _flat_rules(M.prune_rules(
+        M.association_rules(s.discipline_baskets, confidence=Q.PATTERN_CONFIDENCE))),
+    f"select {_RULE_COLUMNS} from discipline_pruned")
 add("course_rules_pruned", lambda s: _flat_rules(M.prune_rules(_rules(s))),
     f"select {_RULE_COLUMNS} from every_pruned")
 _TABLE_COLUMNS = """'{' || array_to_string(ante, ',') || '} => {' || cons || '}' rules, round(support,6) support,
@@ -1028,9 +1009,9 @@ def _density_sql(split: Q.Split) -> str:
     keys = f"Award_Type{', ' + split.column if split.mode else ''}"
     return f"""with v as (select {keys}, Terms_to_Complete::double x from {split.source(_COMPLETE_ALL)} z),
         r as (select Award_Type, min(x) lo, max(x) hi from v group by Award_Type),
-        b as (select {keys}, count(*) n, stddev_samp(x) sd, (quantile_cont(x,0.75)-quantile_cont(x,0.25))/1.34 iq
-              from v group by {keys} having count(*) > 1),
-        w as (select *, 0.9*(case when least(sd,iq) > 0 then least(sd,iq) when sd > 0 then sd else 1 end)*pow(n,-0.2) bw
+        b as (select {keys}, count(*) n, stddev_samp(x) sd, (quantile_cont(x,0.75)-quantile_cont(x,0.25))/1.34 iq,
+              max(abs(x)) size from v group by {keys} having count(*) > 1),
+        w as (select *, 0.9*(case when least(sd,iq) > 0 then least(sd,iq) when sd > 0 then sd when size > 0 then size else 1 end)*pow(n,-0.2) bw
               from b),
         k as (select {keys}, x, count(*) c from v group by all)
         select {', '.join('w.' + c.strip() for c in keys.split(','))}, p.i "Point", round(lo+p.i*((hi-lo)/511),6) X,
@@ -1070,45 +1051,25 @@ add("rolling_cohorts", lambda s: s.rolling, "select * from rolling")
 add("course_takers", lambda s: s.takers, "select * from takers")
 
 
-def _survival_sql() -> str:
-    flags = ", ".join(
-        f"case when {column}='{value.replace(chr(39), chr(39) * 2)}' then 1 else 0 end {name}"
-        for name, (column, value) in R.INDICATORS.items())
-    running = ", ".join(
-        f"cast(sum(s.{source}) over (partition by s.Student_Id order by s.Year_Semester) as bigint) {name}"
-        for name, source in S.RUNNING_TOTALS.items())
-    prior = """(select c.Student_Id, max(PSA_Only) Former_PSA_Student, max(Concurrent_Student) Former_Concurrent_Student
-       from cohorts c join student_profiles p on c.Student_Id=p.Student_Id and c.Cohort_College=p.College, par
-       where Cohort >= coh_cut and Cohort < t and Year_Semester < Cohort and Cohort_College='E' group by 1)"""
-    courses = ", ".join(f"coalesce({n},0) {n}" for n in _PASS_NAMES)
-    names = ", ".join(name for name in R.INDICATORS)
-    return f"""select r.Student_Id, {Q.between('r.Year_Semester', 'r.Cohort')} Year_Semester,
-        {Q.between('r.Previous', 'r.Cohort')} Previous_Year_Semester, r.Cohort, Term_Age, {names}, Military, DSPS,
-        {', '.join(S.RUNNING_TOTALS)}, Total_Award, Declared_Major_at_Entry, GPA,
-        Former_Concurrent_Student, Former_PSA_Student, Foster_Youth, Earned_Award, Any_Hispanic, Any_Asian, {courses}
-        from (select s.Student_Id, s.Year_Semester, s.Cohort,
-          lag(s.Year_Semester,1,s.Cohort) over (partition by s.Student_Id order by s.Student_Id, s.Year_Semester) Previous,
-          s.Term_Age-18 Term_Age, {flags}, Military, DSPS, {running},
-          round(avg(Total_Award/4) over (partition by s.Student_Id order by s.Student_Id, s.Year_Semester),6) Total_Award,
-          Declared_Major_at_Entry, round(District_Cumulative_GPA-2.0,6) GPA,
-          coalesce(Former_Concurrent_Student,0) Former_Concurrent_Student,
-          coalesce(Former_PSA_Student,0) Former_PSA_Student, Foster_Youth,
-          case when g.Student_Id is not null then 1 else 0 end Earned_Award,
-          row_number() over (partition by s.Student_Id, case when g.Student_Id is not null then 1 else 0 end
-            order by s.Year_Semester) rk
-          from {_SPINE} s left join students on s.Student_Id=students.Student_Id
-          left join {_AWARD_GROUP} g on s.Student_Id=g.Student_Id and s.Year_Semester >= g.Award_Year_Semester
-          left join {prior} p on s.Student_Id=p.Student_Id
-          left join ({_FIRST_TERM}) f on s.Student_Id=f.Student_Id) r
-        left join ethnicity_details d on r.Student_Id=d.Student_Id
-        left join {_OUTCOMES} o on r.Student_Id=o.Student_Id and r.Year_Semester=o.term
-        where (Earned_Award=1 and rk=1) or Earned_Award=0"""
-
-
+_SURVIVAL = f"""select l.Student_Id, {Q.between('l.Year_Semester', 'Cohort')} Year_Semester,
+    {Q.between('Previous', 'Cohort')} Previous_Year_Semester, Cohort, Term_Age-18 Term_Age,
+    {', '.join(f'coalesce(cast({test} as int), 0) {name}' for name, test in Q.FLAGS.items())}, Military, DSPS,
+    {', '.join(f'total_{name} {name}' for name in Q.TOTALS)}, average Total_Award, Declared_Major_at_Entry,
+    round(District_Cumulative_GPA-2,6) GPA, coalesce(Former_Concurrent_Student,0) Former_Concurrent_Student,
+    coalesce(Former_PSA_Student,0) Former_PSA_Student, Foster_Youth, Earned_Award, Any_Hispanic, Any_Asian,
+    {_PASSES_SO_FAR}
+  from (select *, coalesce(lag(Year_Semester) over by_term, Cohort) Previous,
+          round(avg(Total_Award/4) over by_term,6) average,
+          {', '.join(f'cast(sum({source}) over by_term as bigint) total_{name}' for name, source in Q.TOTALS.items())}
+        from flagged window by_term as (partition by Student_Id order by Year_Semester)) l
+  left join students using (Student_Id) left join ethnicity_details using (Student_Id)
+  left join before_entry using (Student_Id) left join at_entry using (Student_Id)
+  where first_with_award is null or l.Year_Semester <= first_with_award"""
 add("survival_person_period",
-    lambda s: rounded(laurel.survival_person_period(s.domain, s.calendar, Q.MAJOR, Q.AWARD, PATTERN),
-                      "Total_Award", "GPA"),
-    _survival_sql())
+    lambda s: rounded(laurel.survival_person_period(
+        s.domain, s.calendar, Q.MAJOR, Q.AWARD, PATTERN, first_course_term=Q.FIRST_COURSE_TERM),
+        "Total_Award", "GPA"),
+    _SURVIVAL)
 
 _TIME_GROUPS = (f"(select *, 'All completers' \"Group\" from {_COMPLETE_ALL} a union all "
                 f"select *, 'Six-year cohort' \"Group\" from {_COMPLETE.format(table='awards_cohort')} b)")

@@ -14,7 +14,6 @@ from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
 
 AWARD_KEYS = ["Student_Id", "College", "Major_Code", "Award_Type", "Award_Date"]
-BROADCAST_ROWS = 100_000  # rows of three short codes: a few megabytes
 
 
 def record_keys(colleges: Sequence[str]) -> list[str]:
@@ -66,39 +65,38 @@ def join_award_program(awards: DataFrame, programs: DataFrame) -> DataFrame:
     return awards.join(programs.select(*keys, "Major", "Final_Term"), keys, "left")
 
 
-def cumulative_units(profiles: DataFrame, calendar: Calendar, colleges: Sequence[str]) -> DataFrame:
-    """Running unit totals per student record, valid in [From, Until).
+UNITS = ["SGEC_Units", "Online_Units", "Units_Attempted"]
 
-    Profiles are first reduced to one row per term, so a window partition holds at most
-    one row per calendar term. As intervals the totals can be matched with exactly one
-    row per award instead of joining every earlier term.
+
+def dated_units(profiles: DataFrame, calendar: Calendar, colleges: Sequence[str]) -> DataFrame:
+    """Units of each student record per term, with the start of the term as `Since`.
+
+    Profiles are reduced to one row per term, so a record has at most one row per calendar
+    term.
     """
-    keys, units = record_keys(colleges), ["SGEC_Units", "Online_Units", "Units_Attempted"]
+    keys = record_keys(colleges)
     per_term = profiles.where(among("College", colleges)).groupBy(*keys, "Year_Semester").agg(
-        *[F.sum(u).alias(u) for u in units]
+        *[F.sum(u).alias(u) for u in UNITS]
     )
-    dated = per_term.join(
+    return per_term.join(
         calendar.start_dates(), F.col("Year_Semester") == F.col("Calendar_Term"), "inner"
-    )
-    by_start = W.partitionBy(*keys).orderBy("Calendar_Start")
-    return dated.select(
-        *keys,
-        F.col("Calendar_Start").alias("From"),
-        F.lead("Calendar_Start").over(by_start).alias("Until"),
-        *[F.sum(u).over(by_start).alias(u) for u in units],
-    )
+    ).select(*keys, F.col("Calendar_Start").alias("Since"), *UNITS)
 
 
 def join_cumulative_units(awards: DataFrame, history: DataFrame, colleges: Sequence[str]) -> DataFrame:
-    """Unit totals of all terms started by the award date; NULL without any."""
-    keys, day = record_keys(colleges), F.col("Award_Date")
-    held = (day >= F.col("From")) & (F.col("Until").isNull() | (day < F.col("Until")))
-    for key in keys:
-        held = held & (awards[key] == history[key])
-    units = [u for u in history.columns if u not in (*keys, "From", "Until")]
-    return awards.join(history, held, "left").select(
-        *[awards[c] for c in awards.columns], *[F.col(u) for u in units]
-    )
+    """Unit totals of all terms started by the award date; NULL without any.
+
+    Awards and terms are stacked and summed by one window in date order, so no award is
+    paired with the terms before it. `history` comes from `dated_units`.
+    """
+    keys = record_keys(colleges)
+    marked = awards.withColumns({"_award": F.lit(True), "_day": F.col("Award_Date")})
+    terms = history.withColumn("_award", F.lit(False)).withColumnRenamed("Since", "_day")
+    so_far = W.partitionBy(*keys).orderBy("_day")  # by value: terms started on the day count
+    stacked = marked.unionByName(terms, allowMissingColumns=True)
+    return stacked.select(
+        *awards.columns, "_award", *[F.sum(u).over(so_far).alias(u) for u in UNITS]
+    ).where("_award").drop("_award")
 
 
 def with_unit_shares(awards: DataFrame) -> DataFrame:
@@ -122,15 +120,6 @@ def active_programs(programs: DataFrame, colleges: Sequence[str],
     )
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension after counting it; beyond `rows` leave the join to Spark.
-
-    The count stops at the limit. Without the broadcast the other side is shuffled by
-    keys with few values, which only adaptive skew splitting would even out.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def join_active_programs(awards: DataFrame, active: DataFrame) -> DataFrame:
     keys = ["College", "Major_Code", "Award_Type"]
-    return awards.join(broadcast_if_small(active), keys, "left_semi")
+    return awards.join(active, keys, "left_semi")

@@ -37,25 +37,28 @@ def completed_programs(domain: Domain, cohorts: DataFrame, colleges: Sequence[st
 
 
 def distinct_course_takers(domain: Domain, cohorts: DataFrame, current: int,
-                           colleges: Sequence[str], majors: Sequence[str] | None) -> DataFrame:
+                           colleges: Sequence[str], majors: Sequence[str] | None,
+                           first: int | None = None) -> DataFrame:
     """Distinct (student, discipline, course, program) of courses taken since entry.
 
     Enrollments are reduced to the last term per student and course before students are
     matched; a course counts if that term is not before entry. So the join makes exactly
-    the result rows, also for a student with very many awards and enrollments.
+    the result rows, also for a student with very many awards and enrollments. Of several
+    entries at a college the first one counts. `first` is a term no cohort precedes.
     """
-    programs = completed_programs(domain, cohorts, colleges, majors)
+    programs = completed_programs(domain, cohorts, colleges, majors).groupBy(
+        "Student_Id", *PROGRAM).agg(F.min("Cohort").alias("Cohort"))
     last_taken = join_enrollment_section(
-        kept_enrollments(domain.enrollments, current), domain.sections2, "Discipline", "Course"
+        kept_enrollments(domain.enrollments, current, first), domain.sections2, "Discipline", "Course"
     ).groupBy("Student_Id", "Discipline", "Course").agg(F.max("Year_Semester").alias("Last_Term"))
-    taken = last_taken.join(programs.select("Student_Id", "Cohort", *PROGRAM), "Student_Id", "inner")
+    taken = last_taken.join(programs, "Student_Id", "inner")
     return taken.where(F.col("Last_Term") >= F.col("Cohort")).select(
         "Student_Id", "Discipline", "Course", *PROGRAM
     )
 
 
 def program_course_counts(domain: Domain, cohorts: DataFrame, current: int, college: str,
-                          major: str, award_type: str) -> DataFrame:
+                          major: str, award_type: str, first: int | None = None) -> DataFrame:
     """Course counts over (award, enrollment) pairs of one program, without pairing rows.
 
     An enrollment counts once for every award row of its student, which is a weight on
@@ -66,7 +69,7 @@ def program_course_counts(domain: Domain, cohorts: DataFrame, current: int, coll
     )
     people = programs.select("Student_Id", "Cohort", "Weight")
     taken = join_enrollment_section(
-        kept_enrollments(domain.enrollments, current), domain.sections2, "Course"
+        kept_enrollments(domain.enrollments, current, first), domain.sections2, "Course"
     )
     per_term = count_cells(taken, ["Student_Id", "Course", "Year_Semester"], "Taken")
     path = per_term.join(people, "Student_Id", "inner").where(

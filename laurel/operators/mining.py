@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -15,25 +14,9 @@ from laurel.operators.paths import SECTION_KEYS, kept_enrollments
 from laurel.operators.selection import filter_completion_band
 from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
+from laurel.sources.storage import cut_lineage
 
 MAX_SUPPORT = 0.3  # fixed value
-MAX_RULE_ITEMS = 10  # fixed value: longest rule, both sides together
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the session names (`spark.checkpoint.dir`).
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
 
 
 def term_completion_ratio(profiles: DataFrame) -> DataFrame:
@@ -44,9 +27,12 @@ def term_completion_ratio(profiles: DataFrame) -> DataFrame:
 
 
 def student_term_courses(domain: Domain, calendar: Calendar, majors: Sequence[str] | None,
-                         colleges: Sequence[str], years: int) -> DataFrame:
+                         colleges: Sequence[str], years: int, item: str = "Course") -> DataFrame:
     """Distinct credit courses per student and term of the cohort's completers.
 
+    `item` is the section column that counts as a course, such as "Discipline" for coarser
+    baskets; it is called Course in the result.
+
     Awards only select students here, and they do so after a student's enrollments are
     reduced to distinct courses per term.
     """
@@ -54,7 +40,8 @@ def student_term_courses(domain: Domain, calendar: Calendar, majors: Sequence[st
                               include_current=True)
     awards = A.filter_program(domain.awards, colleges, majors).select("Student_Id", "College")
     people = A.join_entry_cohort(awards.distinct(), cohorts, colleges).select("Student_Id").distinct()
-    credit = domain.sections2.where(F.col("Noncredit") == 0).select(*SECTION_KEYS, "Course")
+    credit = domain.sections2.where(F.col("Noncredit") == 0).select(
+        *SECTION_KEYS, F.col(item).alias("Course"))
     courses = (
         kept_enrollments(domain.enrollments)
         .join(credit, SECTION_KEYS, "inner")
@@ -94,19 +81,23 @@ def minimum_support(baskets: int, min_students: int) -> float:
 
 
 def association_rules(baskets: DataFrame, min_students: int = 5,
-                      confidence: float = 0.8) -> DataFrame:
+                      confidence: float = 0.8, max_items: int | None = None,
+                      item: str = "Courses") -> DataFrame:
     """Rules antecedent => consequent (one item) with support, confidence and lift.
 
+    `max_items` leaves out rules with more items on both sides together; none by default.
+
     Includes rules with an empty left side: items held by at least `confidence` of all
     baskets. `baskets` should be stored (see `cut_lineage`): the miner reads it twice.
     Mining runs here, once: its itemsets stay cached until the rules are stored.
     """
     n = baskets.count()
-    miner = FPGrowth(itemsCol="Courses", minSupport=minimum_support(n, min_students),
+    miner = FPGrowth(itemsCol=item, minSupport=minimum_support(n, min_students),
                      minConfidence=confidence)
-    model = miner.fit(baskets.select("Courses"))
+    model = miner.fit(baskets.select(item))
     itemsets = model.freqItemsets.persist()
-    mined = model.associationRules.where(F.size("antecedent") < MAX_RULE_ITEMS).select(
+    short = F.lit(True) if max_items is None else F.size("antecedent") < max_items
+    mined = model.associationRules.where(short).select(
         F.array_sort("antecedent").alias("antecedent"),
         F.col("consequent")[0].alias("consequent"),
         "support", "confidence", "lift",
@@ -123,32 +114,47 @@ def association_rules(baskets: DataFrame, min_students: int = 5,
     return stored
 
 
-def _proper_subsets(items: Column) -> Column:
-    """All subsets but the full one, items in their given order (at most 2^9 of them)."""
-    start = F.array(F.array().cast("array<string>"))
-    subsets = F.aggregate(
-        items, start,
-        lambda found, item: F.concat(found, F.transform(found, lambda s: F.concat(s, F.array(item)))),
-    )
-    return F.filter(subsets, lambda s: F.size(s) < F.size(items))
+def _drop_one(sets: DataFrame) -> DataFrame:
+    """(antecedent, consequent, smaller): every way to leave out one item of the left side."""
+    places = F.sequence(F.lit(1), F.size("antecedent"))
+    without = F.transform(places, lambda i: F.concat(
+        F.slice("antecedent", F.lit(1), i - 1), F.slice("antecedent", i + 1, F.size("antecedent"))))
+    return sets.where(F.size("antecedent") > 0).select(
+        "antecedent", "consequent", F.explode(without).alias("smaller"))
 
 
 def prune_rules(rules: DataFrame) -> DataFrame:
-    """Drop rules for which a smaller left side gives the same right side as surely."""
-    smaller = rules.select(
-        "antecedent", "consequent", "confidence",
-        F.explode(_proper_subsets(F.col("antecedent"))).alias("subset"),
-    )
-    general = rules.select(
-        F.col("antecedent").alias("subset"), "consequent",
-        F.col("confidence").alias("general_confidence"),
-    )
-    redundant = (
-        smaller.join(general, ["subset", "consequent"])
-        .where(F.col("general_confidence") >= F.col("confidence"))
-        .select("antecedent", "consequent")
-    )
-    return rules.join(redundant, ["antecedent", "consequent"], "left_anti")
+    """Drop rules for which a smaller left side gives the same right side as surely.
+
+    The best confidence below a left side is carried up level by level over the sides with
+    one item less. These are parts of itemsets the miner has found, shared by all rules, so
+    the work follows the itemsets and not the number of subsets of each rule.
+    """
+    keys = ["antecedent", "consequent"]
+    own = rules.select(*keys, "confidence")
+    longest = own.agg(F.max(F.size("antecedent"))).first()[0] or 0
+    levels: dict[int, DataFrame] = {}
+    above = None
+    for size in range(longest, -1, -1):
+        sides = own.where(F.size("antecedent") == size).select(*keys)
+        if above is not None:
+            sides = sides.unionByName(above.select(F.col("smaller").alias("antecedent"), "consequent"))
+        levels[size] = cut_lineage(sides.distinct())
+        above = _drop_one(levels[size])
+    best: DataFrame | None = None  # the largest confidence at or below each side of a size
+    redundant = own.select(*keys).limit(0)
+    for size in range(longest + 1):
+        reached = levels[size].join(own, keys, "left")
+        if best is not None:
+            below = _drop_one(levels[size]).join(
+                best.withColumnRenamed("antecedent", "smaller"), ["smaller", "consequent"]
+            ).groupBy(*keys).agg(F.max("best").alias("below"))
+            reached = reached.join(below, keys, "left")
+            redundant = redundant.unionByName(reached.where(F.col("below") >= F.col("confidence")).select(*keys))
+        else:
+            reached = reached.withColumn("below", F.lit(None).cast("double"))
+        best = cut_lineage(reached.select(*keys, F.greatest("confidence", "below").alias("best")))
+    return rules.join(redundant, keys, "left_anti")
 
 
 def rules_table(rules: DataFrame) -> DataFrame:

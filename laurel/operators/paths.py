@@ -12,10 +12,17 @@ from laurel.functions.recode import safe_ratio
 SECTION_KEYS = ["Section_Number", "College", "Year_Semester"]
 
 
-def kept_enrollments(enrollments: DataFrame, current: int | None = None) -> DataFrame:
-    """Enrollments with a grade that counts, before the current term if one is given."""
+def kept_enrollments(enrollments: DataFrame, current: int | None = None,
+                     first: int | None = None) -> DataFrame:
+    """Enrollments with a grade that counts, in [first, current) where bounds are given.
+
+    No path starts before the first entry cohort. Stating that bound lets the scan skip
+    older terms, which a comparison with each student's own cohort cannot do.
+    """
     kept = enrollments.where(F.col("Grade") != DROPPED_GRADE)
-    return kept if current is None else kept.where(F.col("Year_Semester") < current)
+    if current is not None:
+        kept = kept.where(F.col("Year_Semester") < current)
+    return kept if first is None else kept.where(F.col("Year_Semester") >= first)
 
 
 def join_enrollment_section(enrollments: DataFrame, sections: DataFrame, *columns: str) -> DataFrame:
@@ -37,7 +44,8 @@ def section_effort(sections: DataFrame) -> DataFrame:
     )
 
 
-def term_effort(enrollments: DataFrame, sections: DataFrame, current: int) -> DataFrame:
+def term_effort(enrollments: DataFrame, sections: DataFrame, current: int,
+                first: int | None = None) -> DataFrame:
     """Teaching effort and number of enrollments per student, college and term.
 
     Sections come first and students second: the sum combines map-side, so a student with
@@ -45,7 +53,7 @@ def term_effort(enrollments: DataFrame, sections: DataFrame, current: int) -> Da
     term. A join by student on raw enrollments would put them all into one task.
     """
     joined = join_enrollment_section(
-        kept_enrollments(enrollments, current), section_effort(sections), "FTES", "FTEF"
+        kept_enrollments(enrollments, current, first), section_effort(sections), "FTES", "FTEF"
     )
     return joined.groupBy("Student_Id", "College", "Year_Semester").agg(
         F.sum("FTES").alias("FTES"), F.sum("FTEF").alias("FTEF"),
@@ -53,47 +61,40 @@ def term_effort(enrollments: DataFrame, sections: DataFrame, current: int) -> Da
     )
 
 
-def path_totals(effort: DataFrame, completers: DataFrame) -> DataFrame:
-    """Running effort per student since entry, valid for terms in [From, Until).
+PATH = ["Student_Id", "College", "Cohort"]
+
+
+def path_terms(effort: DataFrame, completers: DataFrame) -> DataFrame:
+    """Effort per term on each path, from entry on.
 
-    `completers` has one row per student: Student_Id, Cohort and the college of the
-    award. Sections of other colleges carry no effort, but the enrollment still puts the
-    student on a path.
+    `completers` has one row per path: Student_Id, Cohort and the college of the award. A
+    student who entered two colleges has a path at each. Sections of other colleges carry
+    no effort, but the enrollment still puts the student on the path.
     """
     homes = completers.withColumnRenamed("College", "Home_College")
     path = effort.join(homes, "Student_Id", "inner").where(F.col("Year_Semester") >= F.col("Cohort"))
     own = F.col("College") == F.col("Home_College")
-    per_term = path.groupBy("Student_Id", "Year_Semester").agg(
+    return path.groupBy("Student_Id", "Home_College", "Cohort", "Year_Semester").agg(
         F.sum(F.when(own, F.col("FTES"))).alias("FTES"),
         F.sum(F.when(own, F.col("FTEF"))).alias("FTEF"),
         F.sum("Enrollments").alias("Enrollments"),
-    )
-    by_term = W.partitionBy("Student_Id").orderBy("Year_Semester")
-    return per_term.select(
-        "Student_Id",
-        F.col("Year_Semester").alias("From"),
-        F.lead("Year_Semester").over(by_term).alias("Until"),
-        F.sum("FTES").over(by_term).alias("FTES"),
-        F.sum("FTEF").over(by_term).alias("FTEF"),
-        F.sum("Enrollments").over(by_term).alias("Enrollments"),
-    )
+    ).withColumnRenamed("Home_College", "College")
 
 
-def join_path_totals(awards: DataFrame, totals: DataFrame) -> DataFrame:
-    """Match each award with the running totals at its term (at most one row).
+def join_path_totals(awards: DataFrame, terms: DataFrame) -> DataFrame:
+    """Effort of the path up to the term of each award.
 
-    An award row stands for `Weight` awards, which all count the path. Awards without
-    any path enrollment drop out.
+    Awards and `path_terms` are stacked and summed by one window per path, so no award is
+    paired with the terms before it. An award row stands for `Weight` awards, which all
+    count the path. Awards without any path enrollment drop out.
     """
-    term = F.col("Year_Semester")
-    reached = (
-        (awards["Student_Id"] == totals["Student_Id"])
-        & (term >= F.col("From"))
-        & (F.col("Until").isNull() | (term < F.col("Until")))
-    )
-    return awards.join(totals, reached, "inner").select(
-        *[awards[c] for c in awards.columns],
-        (F.col("FTES") * F.col("Weight")).alias("FTES"),
-        (F.col("FTEF") * F.col("Weight")).alias("FTEF"),
-        F.col("Enrollments"),
-    )
+    marked = awards.withColumn("_award", F.lit(True))
+    stacked = marked.unionByName(terms.withColumn("_award", F.lit(False)), allowMissingColumns=True)
+    so_far = W.partitionBy(*PATH).orderBy("Year_Semester")  # by value: the award's term counts
+    running = {c: F.sum(c).over(so_far) for c in ("FTES", "FTEF", "Enrollments")}
+    return stacked.select(
+        *awards.columns, "_award",
+        (running["FTES"] * F.col("Weight")).alias("FTES"),
+        (running["FTEF"] * F.col("Weight")).alias("FTEF"),
+        running["Enrollments"].alias("Enrollments"),
+    ).where(F.col("_award") & F.col("Enrollments").isNotNull()).drop("_award")

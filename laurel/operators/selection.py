@@ -53,6 +53,19 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return df.dropna("any", subset=list(columns) if columns is not None else None)
 
 
+# A report on the time to an award counts rows that have all of these.
+TIME_REPORT_COLUMNS = ["Gender", "Ethnicity", "Cohort", "SGEC_Units", "Online_Units",
+                       "Year_Semester", "Academic_Year", "Terms_to_Complete"]
+
+
+def complete_awards(awards: DataFrame) -> DataFrame:
+    """Award rows without a gap in the columns above, all of which must be there."""
+    missing = [c for c in TIME_REPORT_COLUMNS if c not in awards.columns]
+    if missing:
+        raise ValueError(f"the time reports need award rows with {', '.join(missing)}")
+    return drop_incomplete(awards, TIME_REPORT_COLUMNS)
+
+
 def filter_completion_band(df: DataFrame, at_least: float | None = None,
                            at_most: float | None = None) -> DataFrame:
     if at_least is not None:

@@ -75,10 +75,15 @@ def histogram(df: DataFrame, stratum: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _bandwidth(n: Column, deviation: Column, iqr: Column) -> Column:
-    """Rule-of-thumb bandwidth; degenerate spreads fall back as usual."""
+def _bandwidth(n: Column, deviation: Column, iqr: Column, first: Column) -> Column:
+    """Rule-of-thumb bandwidth.
+
+    Without a quartile range the deviation counts; without that, when all values are equal,
+    the value's own size; for zeros, 1.
+    """
     spread = F.least(deviation, iqr / 1.34)
-    spread = F.when(spread > 0, spread).when(deviation > 0, deviation).otherwise(1.0)
+    spread = (F.when(spread > 0, spread).when(deviation > 0, deviation)
+              .when(F.abs(first) > 0, F.abs(first)).otherwise(1.0))
     return 0.9 * spread * F.pow(n, F.lit(-0.2))
 
 
@@ -108,7 +113,7 @@ def density(df: DataFrame, stratum: Sequence[str] = (), unit: str = "terms",
     variance = (F.col("_squares") - F.col("_sum") * F.col("_sum") / count) / (count - 1)
     iqr = F.col("_quartiles")[1] - F.col("_quartiles")[0]
     scaled = groups.withColumn("_deviation", F.sqrt(F.greatest(variance, F.lit(0.0)))).withColumn(
-        "Bandwidth", _bandwidth(count, F.col("_deviation"), iqr)
+        "Bandwidth", _bandwidth(count, F.col("_deviation"), iqr, F.col("_values")[0]["x"])
     )
     step = (F.col("High") - F.col("Low")) / (points - 1)
     grid = scaled.select(

@@ -15,8 +15,6 @@ from laurel.operators.selection import filter_program
 from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
 
-FIRST_COURSE_TERM = 19741  # fixed value: courses are counted for terms from here on
-
 # Running totals of the table: output -> source column.
 RUNNING_TOTALS = {
     "EOPS": "EOPS",
@@ -176,10 +174,15 @@ def stack_course_events(rows: DataFrame, pivoted: DataFrame, courses: Sequence[s
     )
 
 
-def cumulative_courses(courses: Sequence[str]) -> list[Column]:
-    """Passes of each course up to the row's term, over stacked rows."""
+def cumulative_courses(courses: Sequence[str], first_term: int | None = None) -> list[Column]:
+    """Passes of each course up to the row's term, over stacked rows.
+
+    Rows of terms before `first_term`, if one is given, have zero passes.
+    """
     term = F.col("Year_Semester")
-    counted = (term >= FIRST_COURSE_TERM) & T.is_regular_term(term)
+    counted = T.is_regular_term(term)
+    if first_term is not None:
+        counted = counted & (term >= first_term)
     return [
         F.when(counted, F.sum(name).over(by_student_term())).otherwise(0).alias(name)
         for name in map(safe_name, courses)

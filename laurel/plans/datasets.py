@@ -16,11 +16,12 @@ from laurel.operators import awards as A
 from laurel.operators import courses as C
 from laurel.operators import mining as M
 from laurel.operators import survival as S
-from laurel.operators.paths import join_path_totals, path_totals, term_effort
+from laurel.operators.paths import join_path_totals, path_terms, term_effort
 from laurel.operators.rolling import explode_completion_cohorts
 from laurel.operators.selection import among, drop_incomplete, filter_catalog_window
 from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
+from laurel.sources.storage import cut_lineage
 
 COLLEGES = ("E",)
 
@@ -51,7 +52,7 @@ def program_codes(domain: Domain, calendar: Calendar, names: Sequence[str],
                   colleges: Sequence[str] = COLLEGES, years: int = 6) -> DataFrame:
     """Major codes behind the chosen program names."""
     known = active_program_names(domain, calendar, colleges, years)
-    return A.broadcast_if_small(known.where(F.col("Major").isin(list(names))).select("Major_Code"))
+    return known.where(F.col("Major").isin(list(names))).select("Major_Code")
 
 
 def _award_report_rows(awards: DataFrame, domain: Domain, calendar: Calendar, first_term: int,
@@ -59,7 +60,7 @@ def _award_report_rows(awards: DataFrame, domain: Domain, calendar: Calendar, fi
     """Last steps shared by the two award data sets: details, recodes, labels."""
     columns = []
     if UNITS in details:
-        history = A.cumulative_units(domain.student_profiles, calendar, colleges)
+        history = A.dated_units(domain.student_profiles, calendar, colleges)
         awards = A.with_unit_shares(A.join_cumulative_units(awards, history, colleges))
         columns += [F.col("SGEC_Units"), F.col("Online_Units")]
     if STUDENT in details:
@@ -111,11 +112,20 @@ def awards_cohort(domain: Domain, calendar: Calendar, majors: Sequence[str] | No
 
 
 def cohort_award_terms(domain: Domain, calendar: Calendar, majors: Sequence[str] | None,
-                       colleges: Sequence[str], cohort_length: int, look_back: int) -> DataFrame:
-    """Awards in active programs by students of the (looked-back) entry cohorts."""
+                       colleges: Sequence[str], cohort_length: int, look_back: int,
+                       countable: bool = False) -> DataFrame:
+    """Awards in active programs by students of the (looked-back) entry cohorts.
+
+    With `countable`, only awards whose term can lie in a completion cohort: not before the
+    first entry cohort and before the last completion cohort. These are bounds on the
+    award date, which reach the scan.
+    """
     first = calendar.years_back(cohort_length) - look_back * 10
     active = A.active_programs(domain.programs, colleges, majors)
-    awards = A.join_active_programs(A.distinct_awards(domain, colleges, majors), active)
+    awards = A.distinct_awards(domain, colleges, majors)
+    if countable:
+        awards = awards.where(calendar.date_within_terms("Award_Date", first, calendar.current_term - 2))
+    awards = A.join_active_programs(awards, active)
     cohorts = A.entry_cohorts(domain, first, calendar.current_term, colleges)
     awards = A.join_entry_cohort(awards, cohorts, colleges)
     return calendar.with_term_as_of(awards, "Award_Date", "Year_Semester")
@@ -126,7 +136,7 @@ def rolling_cohorts(domain: Domain, calendar: Calendar, majors: Sequence[str] |
                     look_back: int = 7) -> DataFrame:
     """One row per award and completion cohort it counts in."""
     first = calendar.years_back(cohort_length)
-    awards = cohort_award_terms(domain, calendar, majors, colleges, cohort_length, look_back)
+    awards = cohort_award_terms(domain, calendar, majors, colleges, cohort_length, look_back, countable=True)
     awards = A.join_award_student(awards, domain.students)
     complete = drop_incomplete(
         awards.select("Cohort", "College", "Major_Code", "Award_Type", "Year_Semester",
@@ -152,14 +162,13 @@ def efficiency(domain: Domain, calendar: Calendar, majors: Sequence[str] | None
                look_back: int = 7) -> DataFrame:
     """Completers and the teaching effort of their paths, per completion cohort."""
     first, current = calendar.years_back(cohort_length), calendar.current_term
-    dated = cohort_award_terms(domain, calendar, majors, colleges, cohort_length, look_back)
+    dated = cohort_award_terms(domain, calendar, majors, colleges, cohort_length, look_back, countable=True)
     # Awards of one program and term follow the same path; they only weigh more.
     awards = dated.groupBy("Student_Id", "College", "Major_Code", "Award_Type", "Cohort",
                            "Year_Semester").agg(F.count(F.lit(1)).alias("Weight"))
     completers = awards.select("Student_Id", "College", "Cohort").distinct()
-    effort = term_effort(domain.enrollments, domain.sections2, current)
-    totals = path_totals(effort, completers)
-    paths = join_path_totals(awards, totals)
+    effort = term_effort(domain.enrollments, domain.sections2, current, first - look_back * 10)
+    paths = join_path_totals(awards, path_terms(effort, completers))
     rolled = explode_completion_cohorts(paths, first, current, cohort_length, keep_unmatched=False)
     fte_students, fte_faculty = F.sum("FTES"), F.sum("FTEF")
     groups = rolled.groupBy("Completion_Cohort", "College", "Major_Code", "Award_Type").agg(
@@ -182,8 +191,9 @@ def efficiency(domain: Domain, calendar: Calendar, majors: Sequence[str] | None
 def course_takers(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
                   colleges: Sequence[str] = COLLEGES, years: int = 6) -> DataFrame:
     """One row per completer, course and program of the entry cohorts in the window."""
-    cohorts = A.entry_cohorts(domain, calendar.years_back(years), calendar.current_term, colleges)
-    takers = C.distinct_course_takers(domain, cohorts, calendar.current_term, colleges, majors)
+    first = calendar.years_back(years)
+    cohorts = A.entry_cohorts(domain, first, calendar.current_term, colleges)
+    takers = C.distinct_course_takers(domain, cohorts, calendar.current_term, colleges, majors, first)
     takers = A.join_award_student(takers, domain.students)
     return takers.select(
         "Discipline", "Course", "College", "Major_Code",
@@ -200,7 +210,7 @@ def top_program_courses(domain: Domain, calendar: Calendar, major: str, award_ty
     """The most-taken courses of a program, then the always-listed special courses."""
     end = calendar.current_term if cohort_end is None else cohort_end
     cohorts = A.entry_cohorts(domain, end - years * 10, end, [college])
-    counts = C.program_course_counts(domain, cohorts, end, college, major, award_type)
+    counts = C.program_course_counts(domain, cohorts, end, college, major, award_type, end - years * 10)
     top = C.top_courses(counts, count_cutoff, special_courses)
     return C.append_courses(top, special_courses, count_cutoff)
 
@@ -208,16 +218,18 @@ def top_program_courses(domain: Domain, calendar: Calendar, major: str, award_ty
 def course_patterns(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
                     colleges: Sequence[str] = COLLEGES, years: int = 6,
                     success_cutoff: float = 0.75, failure_cutoff: float = 0.5,
-                    min_students: int = 5, confidence: float = 0.8) -> dict[str, DataFrame]:
+                    min_students: int = 5, confidence: float = 0.8,
+                    max_items: int | None = None) -> dict[str, DataFrame]:
     """Pruned rule tables for all, successful and unsuccessful student terms."""
-    baskets = M.cut_lineage(stored_baskets(domain, calendar, majors, colleges, years))
+    baskets = cut_lineage(stored_baskets(domain, calendar, majors, colleges, years))
     sets = {
         "all": baskets,
         "success": M.success_baskets(baskets, success_cutoff),
         "failure": M.failure_baskets(baskets, failure_cutoff),
     }
     return {
-        name: M.rules_table(M.prune_rules(M.association_rules(chosen, min_students, confidence)))
+        name: M.rules_table(M.prune_rules(M.association_rules(
+            chosen, min_students, confidence, max_items)))
         for name, chosen in sets.items()
     }
 
@@ -230,10 +242,11 @@ def stored_baskets(domain: Domain, calendar: Calendar, majors: Sequence[str] | N
 
 def survival_person_period(domain: Domain, calendar: Calendar, major: str, award_type: str,
                            courses: Sequence[str], college: str = "E", years: int = 6,
-                           cohort_end: int | None = None) -> DataFrame:
+                           cohort_end: int | None = None,
+                           first_course_term: int | None = None) -> DataFrame:
     """Counting-process rows of the entry cohorts for one program.
 
-    Terms are counted from entry. Everything is keyed on Student_Id, and all running
+    Rows before `first_course_term`, if given, count no courses. Terms are counted from entry. Everything is keyed on Student_Id, and all running
     values come from one window over the table rows and the course passes.
     """
     end = calendar.current_term if cohort_end is None else cohort_end
@@ -251,7 +264,7 @@ def survival_person_period(domain: Domain, calendar: Calendar, major: str, award
         S.previous_term(kept).alias("Previous_Year_Semester"),
         *S.running_aid_terms(kept),
         S.running_average_award(kept).alias("Total_Award"),
-        *S.cumulative_courses(courses),
+        *S.cumulative_courses(courses, first_course_term),
         kept.alias("_kept"),
     ).where("_kept").drop("_kept")
 

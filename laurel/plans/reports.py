@@ -21,8 +21,8 @@ from laurel.operators.counting import (
 from laurel.operators.courses import course_distribution, course_heatmap
 from laurel.operators.gapfill import fill_observed
 from laurel.operators.selection import (
-    ACADEMIC_YEAR, COMPLETION_COHORT, UNSPLIT, Period, Strata, drop_incomplete,
-    filter_award_types, filter_season,
+    ACADEMIC_YEAR, COMPLETION_COHORT, UNSPLIT, Period, Strata, complete_awards,
+    drop_incomplete, filter_award_types, filter_season,
 )
 
 Groups = Mapping[str, DataFrame]  # completer group name -> award rows
@@ -65,7 +65,7 @@ def report_time_to_award(groups: Groups, strata: Strata = UNSPLIT,
                          award_types: Sequence[str] | None = None) -> DataFrame:
     """Count and share per years to completion, within award type (and stratum)."""
     within = _group_column(groups)
-    complete = {name: drop_incomplete(rows) for name, rows in groups.items()}
+    complete = {name: complete_awards(rows) for name, rows in groups.items()}
     chosen = strata.apply(filter_award_types(label_groups(complete), award_types))
     years = chosen.withColumn("Time_to_Complete", years_from_terms(F.col("Terms_to_Complete")))
     series = [*within, "Award_Type", *strata.columns]
@@ -162,7 +162,7 @@ def time_boxplot(rolling: DataFrame, strata: Strata = UNSPLIT,
 
 
 def _complete_times(awards: DataFrame, strata: Strata, award_types: Sequence[str] | None) -> DataFrame:
-    return strata.apply(filter_award_types(drop_incomplete(awards), award_types))
+    return strata.apply(filter_award_types(complete_awards(awards), award_types))
 
 
 def time_histogram(awards: DataFrame, strata: Strata = UNSPLIT,

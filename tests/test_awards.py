@@ -79,6 +79,14 @@ def test_left_out_details_keep_the_rows(tables, calendar):
     assert sorted(map(str, bare.collect())) == sorted(map(str, full.select(*bare.columns).collect()))
 
 
+def test_time_reports_name_what_they_need(tables, calendar):
+    bare = laurel.awards_all(tables, calendar, details=("student", "cohort"))
+    for build in (lambda: laurel.report_time_to_award({L.ALL_COMPLETERS: bare}),
+                  lambda: laurel.time_histogram(bare), lambda: laurel.time_density(bare)):
+        with pytest.raises(ValueError, match="SGEC_Units, Online_Units"):
+            build()
+
+
 def test_zero_units_leave_the_status_report(tables, calendar):
     report = laurel.report_sgec({L.ALL_COMPLETERS: laurel.awards_all(tables, calendar)}, 30, fill=False)
     assert {(r["Award_Type"], r["SGEC_Status"], r["Count"]) for r in dicts(report)} == {

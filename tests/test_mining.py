@@ -15,7 +15,7 @@ def baskets(spark, sets):
     return spark.createDataFrame([(sorted(s),) for s in sets], SCHEMA)
 
 
-def by_force(sets, least, confidence, longest=10):
+def by_force(sets, least, confidence, longest=100):
     counts = {}
     for basket in sets:
         for size in range(1, len(basket) + 1):
@@ -84,10 +84,23 @@ def test_labels(spark):
     assert table["{} => {a}"]["lift"] == 1.0
 
 
-def test_long_rules_are_left_out(spark):
+def test_long_rules(spark):
     sets = [set("abcdefghijk")] * 6
-    longest = max(len(left) for left, _ in found(M.association_rules(baskets(spark, sets))))
-    assert longest == 9
+    rules = M.association_rules(baskets(spark, sets))
+    assert max(len(left) for left, _ in found(rules)) == 10
+    short = M.association_rules(baskets(spark, sets), max_items=10)
+    assert max(len(left) for left, _ in found(short)) == 9
+    # All items are in every basket, so the rules with an empty left side say it all.
+    assert set(found(M.prune_rules(rules))) == {((), item) for item in "abcdefghijk"}
+
+
+def test_a_distant_smaller_side_makes_a_rule_redundant(spark):
+    """The sides between the two are no rules themselves."""
+    schema = "antecedent array<string>, consequent string, support double, confidence double, lift double"
+    rules = spark.createDataFrame(
+        [(["d"], "z", 0.5, 0.9, 1.0), (["a", "b", "c", "d"], "z", 0.4, 0.9, 1.0),
+         (["a", "b", "c", "e"], "z", 0.4, 0.9, 1.0)], schema)
+    assert set(found(M.prune_rules(rules))) == {(("d",), "z"), (("a", "b", "c", "e"), "z")}
 
 
 def test_completion_bands(spark):

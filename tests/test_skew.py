@@ -11,7 +11,7 @@ import pytest
 import laurel
 from checks import sql as Q
 from laurel.operators import awards as A
-from laurel.operators.paths import path_totals, term_effort
+from laurel.operators.paths import path_terms, term_effort
 from small import day_in, dicts, domain, terms
 
 HOT, OTHERS = 1, range(2, 60)
@@ -90,12 +90,12 @@ def test_data_sets_are_whole(tables, calendar, connection, name, build):
 
 def test_a_student_is_reduced_before_joins(tables, calendar):
     """What meets in per-student joins is bounded by calendar and catalogue, not by rows."""
-    history = A.cumulative_units(tables.student_profiles, calendar, ["E", "W"])
+    history = A.dated_units(tables.student_profiles, calendar, ["E", "W"])
     per_student = history.groupBy("Student_Id", "College").count().agg({"count": "max"}).first()[0]
     assert per_student <= len(calendar.rows)
     people = tables.cohorts.withColumnRenamed("Cohort_College", "College")
     effort = term_effort(tables.enrollments, tables.sections2, calendar.current_term)
-    totals = path_totals(effort, people)
+    totals = path_terms(effort, people)
     per_student = totals.groupBy("Student_Id").count().agg({"count": "max"}).first()[0]
     assert per_student <= len(calendar.rows)
 

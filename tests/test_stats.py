@@ -81,6 +81,13 @@ def test_density_of_equal_values_has_a_bandwidth(spark):
     assert len(bandwidths) == 1 and bandwidths.pop() > 0
 
 
+@pytest.mark.parametrize("value, spread", [(8, 8.0), (-8, 8.0), (0, 1.0)])
+def test_density_bandwidth_of_equal_values(spark, value, spread):
+    df = spark.createDataFrame([("A", "M", value)] * 3 + [("A", "F", 9)], SCHEMA)
+    curve = [r for r in dicts(stats.density(df, ["Gender"], points=4)) if r["Gender"] == "M"]
+    assert {round(r["Bandwidth"], 9) for r in curve} == {round(0.9 * spread * 3 ** -0.2, 9)}
+
+
 def test_boxplot(times):
     rows, df = times
     for box in dicts(stats.boxplot(df, ["Award_Type"])):
