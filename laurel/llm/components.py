@@ -12,16 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise into the shared folder named by spark.checkpoint.dir, which must be set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+from laurel.sources.storage import cut_lineage as checkpointed
 
 
 def _pointers(links: DataFrame) -> DataFrame:
