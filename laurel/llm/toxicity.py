@@ -136,26 +136,35 @@ def train(rows: list[tuple[str, int]], bias: float = -4.0, leak: float = 0.01, r
     Features can have a weight if they are in `min_documents` and a `min_share` of the toxic
     documents, and `min_lift` times as frequent there as in the others.
     """
-    bags = [([features(w) for _, _, w in sentence_words(text)], label) for text, label in rows]
-    labels = np.array([label for _, label in bags], dtype=np.float64)
+    labels = np.array([label for _, label in rows], dtype=np.float64)
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel({}, bias, leak)
-    toxic_bags, seen, clean_seen = int(labels.sum()), Counter(), Counter()
-    for bag, label in bags:
-        (seen if label else clean_seen).update(set().union(*bag))
+    seen, clean_seen = Counter(), Counter()
+    for text, label in rows:
+        if label:
+            seen.update(set().union(*(features(w) for _, _, w in sentence_words(text))))
+    toxic_bags = int(labels.sum())
     least = max(min_documents, min_share * toxic_bags)
-    lift = min_lift * toxic_bags / (len(bags) - toxic_bags)
-    words = sorted(w for w, n in seen.items() if n >= least and n >= lift * clean_seen[w])
-    number = {w: k for k, w in enumerate(words)}
+    seen = {w: n for w, n in seen.items() if n >= least}  # few, and all that is kept of the texts
+    number = {w: k for k, w in enumerate(sorted(seen))}
     of_sentence, word, of_bag = [], [], []
-    for k, (bag, _) in enumerate(bags):
-        for sentence in bag:
-            told = [number[w] for w in sentence if w in number]
+    for k, (text, label) in enumerate(rows):
+        in_bag = set()
+        for _, _, words in sentence_words(text):
+            told = [number[w] for w in features(words) & number.keys()]
             if told:
+                in_bag.update(told)
                 word.extend(told)
                 of_sentence.extend([len(of_bag)] * len(told))
                 of_bag.append(k)
+        if not label:
+            clean_seen.update(in_bag)
+    lift = min_lift * toxic_bags / (len(rows) - toxic_bags)
     of_sentence, word, of_bag = (np.array(x, dtype=np.int64) for x in (of_sentence, word, of_bag))
+    telling = np.array([n >= lift * clean_seen[number[w]] for w, n in sorted(seen.items())], dtype=bool)
+    words = [w for w, tells in zip(sorted(seen), telling) if tells]
+    kept = telling[word]
+    of_sentence, word = of_sentence[kept], (np.cumsum(telling) - 1)[word[kept]]
     n, m = len(labels), len(of_bag)
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
     base = 1 / (1 + math.exp(-bias))
