@@ -89,7 +89,7 @@ class Session:
 
     @property
     def cohort_students(self) -> DataFrame:
-        return self._awards("awards_cohort", (D.STUDENT,))
+        return D.course_completers(self.domain, self.calendar)
 
     @cached_property
     def rolling(self) -> DataFrame:
@@ -892,21 +892,54 @@ add("fill_period_stratum",
     _completers_sql(Q.Split("ethnicity_gender"), _TERM, False))
 
 
-def _pivot_strata(s: Session) -> DataFrame:
-    cells = laurel.report_completers(s.completers(D.STUDENT), strata=SPLITS["gender"], fill=False)
-    years = T.academic_year_codes(s.calendar.academic_year_back(6), s.calendar.current_academic_year)
-    return G.pivot_strata(cells, "Academic_Year_Key", T.academic_year_label, years, "Gender", L.GENDERS)
+def _wide(cells: DataFrame, s: Session, stratum: str, levels: list[str], period: X.Period) -> DataFrame:
+    if period is X.ACADEMIC_YEAR:
+        codes = T.academic_year_codes(s.calendar.academic_year_back(6), s.calendar.current_academic_year)
+        return G.pivot_strata(cells, period.key, T.academic_year_label, codes, stratum, levels)
+    codes = T.term_codes(s.calendar.award_cutoff(6), s.current)
+    return G.pivot_strata(cells, period.key, T.term_label, codes, stratum, levels)
 
 
-add("pivot_strata", _pivot_strata,
-    f"""with cells as ({_plain_share(f'''select Award_Type, Academic_Year_Key, Gender, count(*) "Count"
-          from {_GENDER.source('awards_all')} x group by all''', 'Award_Type, Academic_Year_Key')})
-        select y Academic_Year_Key, {Q.year_label('y')} Academic_Year, a.Award_Type,
-        """ + ", ".join(f"""coalesce(max("Count") filter (Gender='{g}'),0) "{g}",
-        coalesce(max(Proportion) filter (Gender='{g}'),0.0::double) "{g} Proportion" """ for g in Q.GENDERS)
-    + """ from (select cast(unnest(generate_series((select ay_cut from par), (select ay_now from par), 10001)) as int) y) years
-        cross join (select distinct Award_Type from cells) a
-        left join cells c on c.Award_Type=a.Award_Type and c.Academic_Year_Key=y group by 1, 2, 3""")
+def _wide_sql(cells: str, stratum: str, levels: list[str], by_year: bool) -> str:
+    if by_year:
+        key, label = "Academic_Year", Q.year_label("y")
+        series = "unnest(generate_series((select ay_cut from par), (select ay_now from par), 10001))"
+    else:
+        key, label = "Year_Semester", Q.term_label("y")
+        series = "unnest(list_filter(range((select award_cut from par), (select t+1 from par)), lambda n: n%10 < 4))"
+    columns = ", ".join(
+        f"""coalesce(max("Count") filter ({stratum}='{g}'),0) "{g}",
+        coalesce(max(Proportion) filter ({stratum}='{g}'),0.0::double) "{g} Proportion" """ for g in levels)
+    shares = _plain_share(cells, f"Award_Type, {key}_Key")
+    return f"""with cells as ({shares})
+        select y {key}_Key, {label} {key}, a.Award_Type, {columns}
+        from (select cast({series} as int) y) periods
+        cross join (select distinct Award_Type from cells where {key}_Key is not null) a
+        left join cells c on c.Award_Type=a.Award_Type and c.{key}_Key=y group by 1, 2, 3"""
+
+
+_PAIRS = [f"{group} {gender}" for group in Q.ETHNICITIES for gender in Q.GENDERS]
+_WIDE = {"": ("gender", Q.GENDERS, L.GENDERS), "_ethnicity": ("ethnicity", Q.ETHNICITIES, L.ETHNICITIES),
+         "_ethnicity_gender": ("ethnicity_gender", _PAIRS, L.ETHNICITY_GENDERS)}
+for by_year, period, ending in ((True, X.ACADEMIC_YEAR, ""), (False, X.AWARD_TERM, "_by_term")):
+    key = "Academic_Year_Key" if by_year else "Year_Semester_Key"
+    for name, (mode, values, levels) in _WIDE.items():
+        split, strata = Q.Split(mode), SPLITS[mode]
+        add(f"pivot_strata{name}{ending}",
+            lambda s, strata=strata, split=split, levels=levels, period=period: _wide(
+                laurel.report_completers(s.completers(D.STUDENT), period, strata, fill=False),
+                s, split.column, levels, period),
+            _wide_sql(f"""select Award_Type, {key}, {split.column}, count(*) "Count"
+                from {split.source('awards_all')} x group by all""", split.column, values, by_year))
+    for name, (column, article, yes) in _STATUS.items():
+        report, levels = getattr(laurel, f"report_{name}"), [f"Not {article} student", yes]
+        add(f"pivot_{name}{ending}",
+            lambda s, report=report, column=column, levels=levels, period=period: _wide(
+                report(s.completers(D.UNITS), STATUS_LIMIT, period, fill=False),
+                s, f"{column}_Status", levels, period),
+            _wide_sql(f"""select Award_Type, {key}, {column}_Status, count(*) "Count"
+                from {_status_cells(name).replace('GROUPED', 'awards_all')} x group by all""",
+                f"{column}_Status", levels, by_year))
 
 # --- course mining -------------------------------------------------------------------------
 
@@ -1005,9 +1038,9 @@ def _histogram_sql(split: Q.Split) -> str:
         group by all"""
 
 
-def _density_sql(split: Q.Split) -> str:
+def _density_sql(split: Q.Split, scale: str = "Terms_to_Complete::double") -> str:
     keys = f"Award_Type{', ' + split.column if split.mode else ''}"
-    return f"""with v as (select {keys}, Terms_to_Complete::double x from {split.source(_COMPLETE_ALL)} z),
+    return f"""with v as (select {keys}, {scale} x from {split.source(_COMPLETE_ALL)} z),
         r as (select Award_Type, min(x) lo, max(x) hi from v group by Award_Type),
         b as (select {keys}, count(*) n, stddev_samp(x) sd, (quantile_cont(x,0.75)-quantile_cont(x,0.25))/1.34 iq,
               max(abs(x)) size from v group by {keys} having count(*) > 1),
@@ -1024,7 +1057,8 @@ def _density_sql(split: Q.Split) -> str:
         "group by " + ", ".join("w." + c.strip() for c in keys.split(",")) + ", p.i, lo, hi, bw, n")
 
 
-for mode, name in (("", ""), ("gender", "_stratified")):
+for mode, name in (("", ""), ("gender", "_stratified"), ("ethnicity", "_ethnicity"),
+                   ("ethnicity_gender", "_ethnicity_gender")):
     split, strata = Q.Split(mode), SPLITS[mode]
     add(f"time_histogram{name}", lambda s, strata=strata: laurel.time_histogram(s.awards_all, strata),
         _histogram_sql(split))
@@ -1033,6 +1067,10 @@ for mode, name in (("", ""), ("gender", "_stratified")):
                                          "X", "Bandwidth", "Density"),
         _density_sql(split))
 
+add("time_density_years",
+    lambda s: rounded(laurel.time_density(s.awards_all, unit="years"), "X", "Bandwidth", "Density"),
+    _density_sql(Q.Split(""), "Terms_to_Complete/4.0::double"))
+
 _ROUNDED_EFFICIENCY = """select College, Major_Code, Award_Type, Completion_Cohort_Key, Completion_Cohort, Completers,
    round(FTES,2) FTES, round(FTEF,2) FTEF, round(Efficiency,2) Efficiency from efficiency"""
 add("efficiency_series",
@@ -1100,10 +1138,12 @@ for name, (column, *_rest) in _STATUS.items():
     source = _status_cells(name).replace(
         "GROUPED", "(select *, 'All completers' \"Group\" from awards_all union all "
                    "select *, 'Six-year cohort' \"Group\" from awards_cohort) u")
-    cells = f"""select "Group", Award_Type, {column}_Status, {_YEAR}, count(*) "Count" from {source} x group by all"""
-    add(f"report_{name}", lambda s, report=report: report(s.groups(D.UNITS), STATUS_LIMIT),
-        _filled_sql(_plain_share(cells, '"Group", Award_Type, Academic_Year_Key'),
-                    ["Award_Type", f"{column}_Status", _YEAR], _COUNT_SHARE, within='"Group"'))
+    for ending, period, names in (("", X.ACADEMIC_YEAR, _YEAR), ("_by_term", X.AWARD_TERM, _TERM)):
+        cells = f"""select "Group", Award_Type, {column}_Status, {names}, count(*) "Count" from {source} x group by all"""
+        add(f"report_{name}{ending}",
+            lambda s, report=report, period=period: report(s.groups(D.UNITS), STATUS_LIMIT, period),
+            _filled_sql(_plain_share(cells, f'"Group", Award_Type, {names.split(",")[0]}'),
+                        ["Award_Type", f"{column}_Status", names], _COUNT_SHARE, within='"Group"'))
 
 add("report_change_efficiency", lambda s: laurel.report_change_efficiency(s.efficiency),
     """select Completion_Cohort_Key, Completion_Cohort, Award_Type, Completers, round(FTES,2) FTES,
@@ -1113,3 +1153,55 @@ add("report_change_time",
     f"""select Award_Type, {_COHORT}, count(*) Group_Size, median(Terms_to_Complete/4.0::double) Median_Years,
         (select median(Terms_to_Complete/4.0::double) from rolling where Term in ('Fall','Spring')) Median_Years_Overall
         from rolling where Term in ('Fall','Spring') group by Award_Type, {_COHORT}""")
+
+# --- reports with a user's selections ---------------------------------------------------------
+
+CHOSEN_AWARDS = ["Associate in Arts", "Certificate of Achievement"]
+CHOSEN_SEASONS = ["Fall", "Spring"]
+CHOSEN_GROUPS = ["Asian", "White"]
+_CHOSEN = f"Award_Type in {Q.texts(CHOSEN_AWARDS)}"
+_SEASONS = f"Term in {Q.texts(CHOSEN_SEASONS)}"
+_FEW = X.Strata(ethnicities=tuple(CHOSEN_GROUPS))
+_FEW_SQL = Q.Split("ethnicity")
+_FEW_SQL.where = f"Ethnicity in {Q.texts(CHOSEN_GROUPS)}"
+
+
+def _only(table: str, condition: str) -> str:
+    return f"(select * from {table} where {condition})"
+
+
+add("report_completers_selected",
+    lambda s: laurel.report_completers(s.completers(D.STUDENT), strata=_FEW, award_types=CHOSEN_AWARDS),
+    _filled_sql(_plain_share(f"""select Award_Type, Ethnicity, {_YEAR}, count(*) "Count"
+        from {_FEW_SQL.source(_only('awards_all', _CHOSEN))} x group by all""", "Award_Type, Academic_Year_Key"),
+        ["Award_Type", "Ethnicity", _YEAR], _COUNT_SHARE))
+add("report_time_to_award_selected",
+    lambda s: laurel.report_time_to_award(s.completers(*D.DETAILS), _FEW, CHOSEN_AWARDS),
+    _share_sql(_time_cells(_FEW_SQL, _only(_COMPLETE_ALL + " a", _CHOSEN)), "Award_Type, Ethnicity"))
+add("report_sgec_selected",
+    lambda s: laurel.report_sgec(s.completers(D.UNITS), STATUS_LIMIT, award_types=CHOSEN_AWARDS),
+    _filled_sql(_plain_share(f"""select Award_Type, SGEC_Status, {_YEAR}, count(*) "Count"
+        from {_status_cells('sgec').replace('GROUPED', _only('awards_all', _CHOSEN) + ' a')} x group by all""",
+        "Award_Type, Academic_Year_Key"), ["Award_Type", "SGEC_Status", _YEAR], _COUNT_SHARE))
+add("report_online_selected",
+    lambda s: laurel.report_online(s.completers(D.UNITS), STATUS_LIMIT, award_types=CHOSEN_AWARDS),
+    _filled_sql(_plain_share(f"""select Award_Type, Online_Status, {_YEAR}, count(*) "Count"
+        from {_status_cells('online').replace('GROUPED', _only('awards_all', _CHOSEN) + ' a')} x group by all""",
+        "Award_Type, Academic_Year_Key"), ["Award_Type", "Online_Status", _YEAR], _COUNT_SHARE))
+add("report_change_completers_selected",
+    lambda s: laurel.report_change_completers(s.rolling, _FEW, CHOSEN_AWARDS, CHOSEN_SEASONS),
+    _filled_sql(_plain_share(f"""select Award_Type, Ethnicity, {_COHORT}, count(*) "Count"
+        from {_FEW_SQL.source(_only('rolling', f'{_CHOSEN} and {_SEASONS}'))} x group by all""",
+        "Award_Type, Completion_Cohort_Key"), ["Award_Type", "Ethnicity", _COHORT], _COUNT_SHARE))
+add("report_change_efficiency_selected",
+    lambda s: laurel.report_change_efficiency(s.efficiency, CHOSEN_AWARDS, CHOSEN_SEASONS),
+    f"""select {_COHORT}, Award_Type, Completers, round(FTES,2) FTES, round(FTEF,2) FTEF,
+        round(Efficiency,2) Efficiency from efficiency where {_CHOSEN} and {_SEASONS}""")
+add("report_change_time_selected",
+    lambda s: laurel.report_change_time(s.rolling, _FEW, CHOSEN_AWARDS, CHOSEN_SEASONS),
+    f"""select Award_Type, Ethnicity, {_COHORT}, count(*) Group_Size, median(Terms_to_Complete/4.0::double) Median_Years
+        from {_FEW_SQL.source(_only('rolling', f'{_CHOSEN} and {_SEASONS}'))} x
+        group by Award_Type, Ethnicity, {_COHORT}""")
+add("report_course_taking_selected",
+    lambda s: laurel.report_course_taking(s.takers, s.cohort_students, CHOSEN_AWARDS, _FEW),
+    f"select * from ({_heatmap_sql(_FEW_SQL)}) x where {_CHOSEN}")

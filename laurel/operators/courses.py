@@ -12,7 +12,7 @@ from laurel.functions.levels import ALL_STUDENTS, SPECIAL_COURSES
 from laurel.functions.recode import zero_if_nan
 from laurel.operators.awards import join_entry_cohort
 from laurel.operators.counting import count_cells
-from laurel.operators.paths import join_enrollment_section, kept_enrollments
+from laurel.operators.paths import join_enrollment_section, kept_enrollments, of_students
 from laurel.operators.selection import (
     Strata, filter_award_types, filter_excluded_courses, filter_min_group, filter_program,
 )
@@ -29,10 +29,13 @@ __all__ = [
 
 def completed_programs(domain: Domain, cohorts: DataFrame, colleges: Sequence[str],
                        majors: Sequence[str] | None) -> DataFrame:
-    """Programs completed by cohort students at their college of entry, with a row count."""
+    """Programs completed by cohort students at their college of entry.
+
+    Rows counts the award rows, Weight the days with an award.
+    """
+    days = F.collect_set(F.struct("Award_Date"))  # a student's days, no more than the calendar has
     programs = filter_program(domain.awards, colleges, majors).groupBy("Student_Id", *PROGRAM).agg(
-        F.count(F.lit(1)).alias("Weight")
-    )
+        F.count(F.lit(1)).alias("Rows"), F.size(days).cast("bigint").alias("Weight"))
     return join_entry_cohort(programs, cohorts, colleges)
 
 
@@ -46,14 +49,21 @@ def distinct_course_takers(domain: Domain, cohorts: DataFrame, current: int,
     the result rows, also for a student with very many awards and enrollments. Of several
     entries at a college the first one counts. `first` is a term no cohort precedes.
     """
-    programs = completed_programs(domain, cohorts, colleges, majors).groupBy(
-        "Student_Id", *PROGRAM).agg(F.min("Cohort").alias("Cohort"))
-    last_taken = join_enrollment_section(
-        kept_enrollments(domain.enrollments, current, first), domain.sections2, "Discipline", "Course"
-    ).groupBy("Student_Id", "Discipline", "Course").agg(F.max("Year_Semester").alias("Last_Term"))
+    programs = completed_programs(domain, cohorts, colleges, majors)
+    return courses_since_entry(domain, programs, current, first).select(
+        "Student_Id", "Discipline", "Course", *PROGRAM)
+
+
+def courses_since_entry(domain: Domain, programs: DataFrame, current: int, first: int | None = None,
+                        kept: Sequence[str] = ()) -> DataFrame:
+    """Distinct courses of the students in `programs` (see above), with their `kept` columns."""
+    programs = programs.groupBy("Student_Id", *PROGRAM, *kept).agg(F.min("Cohort").alias("Cohort"))
+    taken = of_students(kept_enrollments(domain.enrollments, current, first), programs)
+    last_taken = join_enrollment_section(taken, domain.sections2, "Discipline", "Course").groupBy(
+        "Student_Id", "Discipline", "Course").agg(F.max("Year_Semester").alias("Last_Term"))
     taken = last_taken.join(programs, "Student_Id", "inner")
     return taken.where(F.col("Last_Term") >= F.col("Cohort")).select(
-        "Student_Id", "Discipline", "Course", *PROGRAM
+        "Student_Id", "Discipline", "Course", *PROGRAM, *kept
     )
 
 
@@ -67,15 +77,15 @@ def program_course_counts(domain: Domain, cohorts: DataFrame, current: int, coll
     programs = completed_programs(domain, cohorts, [college], [major]).where(
         F.col("Award_Type") == award_type
     )
-    people = programs.select("Student_Id", "Cohort", "Weight")
+    people = programs.select("Student_Id", "Cohort", "Rows")
     taken = join_enrollment_section(
-        kept_enrollments(domain.enrollments, current, first), domain.sections2, "Course"
+        of_students(kept_enrollments(domain.enrollments, current, first), people), domain.sections2, "Course"
     )
     per_term = count_cells(taken, ["Student_Id", "Course", "Year_Semester"], "Taken")
     path = per_term.join(people, "Student_Id", "inner").where(
         F.col("Year_Semester") >= F.col("Cohort")
     )
-    return path.groupBy("Course").agg(F.sum(F.col("Weight") * F.col("Taken")).alias("Count"))
+    return path.groupBy("Course").agg(F.sum(F.col("Rows") * F.col("Taken")).alias("Count"))
 
 
 def top_courses(counts: DataFrame, n: int, excluded: Sequence[str]) -> DataFrame:
@@ -99,6 +109,9 @@ def course_counts(takers: DataFrame, strata: Strata) -> DataFrame:
 
 
 def group_sizes(students: DataFrame, strata: Strata) -> DataFrame:
+    """Award rows per group; a row with a Weight stands for so many."""
+    if "Weight" in students.columns:
+        return strata.apply(students).groupBy(*PROGRAM, *strata.columns).agg(F.sum("Weight").alias("Group_Size"))
     return count_cells(strata.apply(students), [*PROGRAM, *strata.columns], "Group_Size")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from laurel.functions.recode import safe_ratio
 from laurel.operators import awards as A
-from laurel.operators.paths import SECTION_KEYS, kept_enrollments
+from laurel.operators.paths import SECTION_KEYS, kept_enrollments, of_students
 from laurel.operators.selection import filter_completion_band
 from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
@@ -33,8 +33,7 @@ def student_term_courses(domain: Domain, calendar: Calendar, majors: Sequence[st
     `item` is the section column that counts as a course, such as "Discipline" for coarser
     baskets; it is called Course in the result.
 
-    Awards only select students here, and they do so after a student's enrollments are
-    reduced to distinct courses per term.
+    Awards only select students here, before the enrollments meet the sections.
     """
     cohorts = A.entry_cohorts(domain, calendar.years_back(years), calendar.current_term, colleges,
                               include_current=True)
@@ -43,12 +42,12 @@ def student_term_courses(domain: Domain, calendar: Calendar, majors: Sequence[st
     credit = domain.sections2.where(F.col("Noncredit") == 0).select(
         *SECTION_KEYS, F.col(item).alias("Course"))
     courses = (
-        kept_enrollments(domain.enrollments)
+        of_students(kept_enrollments(domain.enrollments), people)
         .join(credit, SECTION_KEYS, "inner")
         .select("Student_Id", "Year_Semester", "Course")
         .distinct()
     )
-    return courses.join(people, "Student_Id", "left_semi")
+    return courses
 
 
 def course_baskets(courses: DataFrame, completion: DataFrame) -> DataFrame:

@@ -25,6 +25,22 @@ def kept_enrollments(enrollments: DataFrame, current: int | None = None,
     return kept if first is None else kept.where(F.col("Year_Semester") >= first)
 
 
+SALTS = 16
+
+
+def of_students(enrollments: DataFrame, people: DataFrame) -> DataFrame:
+    """Enrollments of the students in `people`, chosen before anything else is joined.
+
+    Each student's enrollments are dealt to SALTS groups by section and term, so a student
+    with a very large share of all rows doesn't end up in one task. The short list of
+    students is repeated for that, and the next step shuffles by section anyway.
+    """
+    salt = F.pmod(F.xxhash64("Section_Number", "Year_Semester"), F.lit(SALTS)).cast("int")
+    spread = people.select("Student_Id").distinct().select(
+        "Student_Id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return enrollments.withColumn("_salt", salt).join(spread, ["Student_Id", "_salt"], "left_semi").drop("_salt")
+
+
 def join_enrollment_section(enrollments: DataFrame, sections: DataFrame, *columns: str) -> DataFrame:
     """Attach section columns; enrollments without a section stay.
 
@@ -45,16 +61,15 @@ def section_effort(sections: DataFrame) -> DataFrame:
 
 
 def term_effort(enrollments: DataFrame, sections: DataFrame, current: int,
-                first: int | None = None) -> DataFrame:
+                first: int | None = None, people: DataFrame | None = None) -> DataFrame:
     """Teaching effort and number of enrollments per student, college and term.
 
-    Sections come first and students second: the sum combines map-side, so a student with
-    a large share of all enrollments arrives in the per-student steps as a few rows per
-    term. A join by student on raw enrollments would put them all into one task.
+    With `people`, of their enrollments only. The sum combines map-side, so a student with a
+    large share of all enrollments arrives in the per-student steps as a few rows per term.
     """
-    joined = join_enrollment_section(
-        kept_enrollments(enrollments, current, first), section_effort(sections), "FTES", "FTEF"
-    )
+    kept = kept_enrollments(enrollments, current, first)
+    kept = kept if people is None else of_students(kept, people)
+    joined = join_enrollment_section(kept, section_effort(sections), "FTES", "FTEF")
     return joined.groupBy("Student_Id", "College", "Year_Semester").agg(
         F.sum("FTES").alias("FTES"), F.sum("FTEF").alias("FTEF"),
         F.count(F.lit(1)).alias("Enrollments"),

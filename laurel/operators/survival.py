@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from laurel.functions import terms as T
 from laurel.functions.levels import PASSING_GRADES
 from laurel.functions.recode import flag, safe_name, zero_if_missing
+from laurel.operators.paths import of_students
 from laurel.operators.selection import filter_program
 from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
@@ -136,11 +137,13 @@ def first_award_row(rows: DataFrame) -> DataFrame:
     return ranked.where((F.col("Earned_Award") == 0) | (F.col("_rank") == 1)).drop("_rank")
 
 
-def passed_courses(domain: Domain, courses: Sequence[str], current: int) -> DataFrame:
-    """Passing enrollments of the listed courses before the current term."""
+def passed_courses(domain: Domain, courses: Sequence[str], current: int,
+                   people: DataFrame | None = None) -> DataFrame:
+    """Passing enrollments of the listed courses before the current term, of `people` if given."""
     passed = domain.enrollments.where(
         F.col("Grade").isin(PASSING_GRADES) & (F.col("Year_Semester") < current)
     )
+    passed = passed if people is None else of_students(passed, people)
     keys = ["Section_Number", "College", "Year_Semester"]
     listed = domain.sections2.where(F.col("Course").isin(list(courses))).select(*keys, "Course")
     return passed.join(listed, keys, "inner").select("Student_Id", "Year_Semester", "Course", "Grade")

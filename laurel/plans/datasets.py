@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -167,7 +167,7 @@ def efficiency(domain: Domain, calendar: Calendar, majors: Sequence[str] | None
     awards = dated.groupBy("Student_Id", "College", "Major_Code", "Award_Type", "Cohort",
                            "Year_Semester").agg(F.count(F.lit(1)).alias("Weight"))
     completers = awards.select("Student_Id", "College", "Cohort").distinct()
-    effort = term_effort(domain.enrollments, domain.sections2, current, first - look_back * 10)
+    effort = term_effort(domain.enrollments, domain.sections2, current, first - look_back * 10, completers)
     paths = join_path_totals(awards, path_terms(effort, completers))
     rolled = explode_completion_cohorts(paths, first, current, cohort_length, keep_unmatched=False)
     fte_students, fte_faculty = F.sum("FTES"), F.sum("FTEF")
@@ -193,14 +193,29 @@ def course_takers(domain: Domain, calendar: Calendar, majors: Sequence[str] | No
     """One row per completer, course and program of the entry cohorts in the window."""
     first = calendar.years_back(years)
     cohorts = A.entry_cohorts(domain, first, calendar.current_term, colleges)
-    takers = C.distinct_course_takers(domain, cohorts, calendar.current_term, colleges, majors, first)
-    takers = A.join_award_student(takers, domain.students)
-    return takers.select(
-        "Discipline", "Course", "College", "Major_Code",
+    people = A.join_award_student(
+        C.completed_programs(domain, cohorts, colleges, majors), domain.students)
+    takers = C.courses_since_entry(domain, people, calendar.current_term, first, ["Gender", "Ethnicity"])
+    return takers.select("Discipline", "Course", *_program_columns())
+
+
+def course_completers(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
+                      colleges: Sequence[str] = COLLEGES, years: int = 6) -> DataFrame:
+    """The completers `course_takers` starts from: a row per student and program, with the
+    number of award days as Weight. Group sizes are sums of it."""
+    cohorts = A.entry_cohorts(domain, calendar.years_back(years), calendar.current_term, colleges)
+    people = A.join_award_student(
+        C.completed_programs(domain, cohorts, colleges, majors), domain.students)
+    return people.select(*_program_columns(), "Weight")
+
+
+def _program_columns() -> list[Column]:
+    return [
+        F.col("College"), F.col("Major_Code"),
         award_name(F.col("Award_Type")).alias("Award_Type"),
         recode_gender(F.col("Gender")).alias("Gender"),
         known_ethnicity(F.col("Ethnicity")).alias("Ethnicity"),
-    )
+    ]
 
 
 def top_program_courses(domain: Domain, calendar: Calendar, major: str, award_type: str,
@@ -252,7 +267,7 @@ def survival_person_period(domain: Domain, calendar: Calendar, major: str, award
     end = calendar.current_term if cohort_end is None else cohort_end
     cohorts = A.entry_cohorts(domain, end - years * 10, end, [college])
     profiles = S.cohort_profiles(cohorts, domain.student_profiles, college)
-    passes = S.course_pivot_counts(S.passed_courses(domain, courses, end), cohorts, courses)
+    passes = S.course_pivot_counts(S.passed_courses(domain, courses, end, cohorts), cohorts, courses)
     stacked = S.stack_course_events(profiles.where(F.col("Year_Semester") < end), passes, courses)
     kept = F.coalesce(S.after_entry(), F.lit(False))  # course rows have no entry term
     table = stacked.select(

@@ -57,6 +57,16 @@ SCHEMAS: dict[str, T.StructType] = {
     "ethnicity_details": _schema("Student_Id bigint, Any_Hispanic int, Any_Asian int"),
 }
 
+# Tables that reports read by term: stored in term order, so a bound on the term skips files.
+TERM_ORDERED = {"enrollments": "Student_Id", "student_profiles": "Student_Id", "sections2": "Section_Number"}
+
+
+def typed(df: DataFrame, name: str) -> DataFrame:
+    """Columns cast to the declared schema; others, such as further indicators, stay."""
+    kinds = {f.name: f.dataType for f in SCHEMAS[name].fields}
+    return df.select([df[c].cast(kinds[c]).alias(c) if c in kinds else df[c] for c in df.columns])
+
+
 Loader = Callable[[], DataFrame]
 
 
@@ -82,21 +92,24 @@ class Domain:
 
     @classmethod
     def from_jdbc(cls, spark: SparkSession, url: str, id_bounds: tuple[int, int], partitions: int,
-                  **options: str) -> Domain:
+                  section_bounds: tuple[int, int] | None = None, **options: str) -> Domain:
         """Read from a SQL server; student-keyed tables are read in parallel id ranges.
 
-        The bounds only place the cuts: rows outside them still arrive, in the
-        first and last partition.
+        Sections are read in ranges of `section_bounds` on their number. The bounds only
+        place the cuts: rows outside them still arrive, in the first and last partition.
         """
-        low, high = id_bounds
 
         def loader(name: str) -> Loader:
             def load() -> DataFrame:
                 reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
-                if "Student_Id" in SCHEMAS[name].names:
-                    reader = reader.options(partitionColumn="Student_Id", lowerBound=str(low),
+                keyed = [(key, bounds) for key, bounds in
+                         (("Student_Id", id_bounds), ("Section_Number", section_bounds))
+                         if key in SCHEMAS[name].names and bounds is not None]
+                if keyed:
+                    key, (low, high) = keyed[0]
+                    reader = reader.options(partitionColumn=key, lowerBound=str(low),
                                             upperBound=str(high), numPartitions=str(partitions))
-                return reader.load()
+                return typed(reader.load(), name)
 
             return load
 
@@ -119,7 +132,11 @@ class Domain:
         """
         for name in self._loaders:
             path = f"{folder}/{name}"
-            self[name].write.mode("overwrite").options(**options).parquet(path)
+            rows = self[name]
+            if name in TERM_ORDERED:
+                rows = rows.repartitionByRange("Year_Semester", TERM_ORDERED[name])
+                rows = rows.sortWithinPartitions("Year_Semester", TERM_ORDERED[name])
+            rows.write.mode("overwrite").options(**options).parquet(path)
             self._frames[name] = self.spark.read.parquet(path)
 
     def save_tables(self, database: str, buckets: int) -> None:
@@ -137,5 +154,5 @@ class Domain:
     @classmethod
     def from_tables(cls, spark: SparkSession, database: str) -> Domain:
         return cls(spark, {
-            name: (lambda name=name: spark.table(f"{database}.{name}")) for name in SCHEMAS
+            name: (lambda name=name: typed(spark.table(f"{database}.{name}"), name)) for name in SCHEMAS
         })

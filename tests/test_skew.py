@@ -136,3 +136,27 @@ def test_hot_section_is_split(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_a_hot_student_is_dealt_to_several_groups(spark):
+    """Choosing students before the section join neither gathers a hot one nor loses rows."""
+    from pyspark.sql import functions as F
+
+    from laurel.operators.paths import of_students
+
+    rows = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 997 + 2).alias("Student_Id"),
+        F.col("id").alias("Section_Number"), F.lit(20001).alias("Year_Semester"))
+    people = spark.createDataFrame([(1,), (1,), (5,)], "Student_Id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chosen = of_students(rows, people)
+        expected = rows.where("Student_Id in (1, 5)")
+        assert chosen.count() == expected.count()
+        per_task = [r["count"] for r in chosen.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(per_task) < 0.6 * sum(per_task)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
