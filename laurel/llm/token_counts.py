@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laurel.llm import bpe
+from laurel.llm.components import checkpointed
 
 BLOCK = 1024  # lengths in a block of the suffix sums
 
@@ -33,7 +34,7 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     truncated_tokens: tokens of the corpus if every document is cut at this length;
     total_docs, total_tokens; quantile: share of documents of at most this length.
     """
-    counted = histogram.withColumns({
+    counted = checkpointed(histogram).withColumns({  # read twice below, encoded once
         "block": F.floor(F.col("length") / BLOCK),
         "tokens": F.col("length") * F.col("documents"),
     })
