@@ -8,24 +8,26 @@ seed 42. A null text or one without words has fingerprint zero and is treated as
 Links: two fingerprints are linked if they differ in at most `max_bits` bits.
 
 1. Equal fingerprints collapse to one row, so copies cost nothing.
-2. Two fingerprints at distance d agree on at least `blocks - d` of `blocks` bit blocks, so
-   they share the value of some choice of `blocks - max_bits` blocks. Each choice makes one
-   key. This brings together every linked pair; nothing is capped.
+2. Fingerprints meet by keys. For few bits: two fingerprints at distance d agree on at least
+   `blocks - d` of `blocks` bit blocks, so they share the value of some choice of
+   `blocks - max_bits` blocks (`block_masks`); this brings together every linked pair. For
+   documents of a similarity of 0.8 the distance is a seventh of the bits; there keys are
+   random choices of bits (`sampled_masks`), as many as the wanted recall needs.
 3. A pivot table holds the Hamming distance of every fingerprint to reference fingerprints.
    By the triangle inequality linked fingerprints differ by at most `max_bits` in every
-   coordinate. The rows of a key are put into cells by the first pivots' distances: a row
-   sits in its own cell and visits the next ones, so that cells of a hot key are separate
-   groups. Inside a group, pairs are discarded by their largest coordinate difference and
-   the survivors verified by counting differing bits.
-4. A group returns only links that join different parts (at most one less than its rows),
-   and rows are compared block by block, so memory is bounded and no group emits all pairs.
+   coordinate: pairs that share a key are discarded by their largest coordinate difference
+   and the survivors verified by counting differing bits.
+4. A key with many fingerprints is cut into parts by a hash; every pair of parts is a group of
+   its own. A group returns only links that join different parts of the graph (at most one
+   less than its rows), so no group emits all pairs. Nothing is capped.
 5. Components are found by contraction (`components`).
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,101 +42,131 @@ SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of one text as a signed 64-bit integer."""
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Further hashes of the same shingles; turn 0 gives them unchanged."""
+    if not turn:
+        return hashes
+    z = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def fingerprints(text: str | None, words: int = WORDS, width: int = 1) -> list[int]:
+    """SimHash of one text in `width` signed 64-bit integers."""
     parts = (text or "").encode("utf-8").lower().split()  # bytes: ASCII case and white space
     if not parts:
-        return 0
+        return [0] * width
     data = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    width = min(words, len(parts))
-    firsts, lasts = starts[: len(parts) - width + 1].tolist(), ends[width - 1:].tolist()
+    size = min(words, len(parts))
+    firsts, lasts = starts[: len(parts) - size + 1].tolist(), ends[size - 1:].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter(
         (digest(data[a:b], SEED) for a, b in zip(firsts, lasts)), dtype=np.uint64, count=len(firsts)
     )
-    counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 4096):  # bounded memory for very long texts
-        some = hashes[at:at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    found = []
+    for turn in range(width):
+        counts = np.zeros(BITS, dtype=np.int64)
+        for at in range(0, len(hashes), 4096):  # bounded memory for very long texts
+            some = _mixed(hashes[at:at + 4096], turn).astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.packbits(2 * counts > len(hashes), bitorder="little")
+        found.append(int(bits.view("<i8")[0]))
+    return found
 
 
-def fingerprint_column(text: Column | str, words: int = WORDS) -> Column:
-    @F.arrow_udf("bigint")
-    def fingerprints(values: pa.Array) -> pa.Array:
-        return pa.array((fingerprint(v.as_py(), words) for v in values), type=pa.int64())
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    return fingerprints(text, words)[0]
+
 
-    return fingerprints(text)
+def fingerprint_column(text: Column | str, words: int = WORDS, width: int = 1) -> Column:
+    """Array of `width` integers."""
+
+    @F.arrow_udf("array<bigint>")
+    def simhash(values: pa.Array) -> pa.Array:
+        return pa.array((fingerprints(v.as_py(), words, width) for v in values), type=pa.list_(pa.int64()))
+
+    return simhash(text)
 
 
 def hex_digits(value: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(value), BITS // 4, "0"))
 
 
-def pivots(count: int = 16) -> list[int]:
+def pivots(count: int = 16, width: int = 1) -> list[list[int]]:
     """Reference fingerprints, as signed integers."""
-    raw = np.array([xxhash.xxh64_intdigest(f"pivot {k}", SEED) for k in range(count)], dtype="<u8")
-    return raw.view("<i8").tolist()
+    raw = np.array([xxhash.xxh64_intdigest(f"pivot {k}", SEED) for k in range(count * width)], dtype="<u8")
+    return raw.view("<i8").reshape(count, width).tolist()
 
 
-def pivot_table(prints: DataFrame, references: list[int]) -> DataFrame:
-    """Add `table`: the Hamming distances to the references, eight to an integer."""
+def pivot_table(prints: DataFrame, references: list[list[int]]) -> DataFrame:
+    """Add `table`: the Hamming distances of `fp` to the references, four to an integer."""
     packed = []
-    for at in range(0, len(references), 8):
-        distances = [
-            F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("bigint"), 8 * k)
-            for k, p in enumerate(references[at:at + 8])
-        ]
-        total = distances[0]
-        for d in distances[1:]:
-            total = total.bitwiseOR(d)
+    for at in range(0, len(references), 4):
+        total = F.lit(0).cast("bigint")
+        for k, reference in enumerate(references[at:at + 4]):
+            distance = sum(
+                (F.bit_count(F.col("fp")[w].bitwiseXOR(F.lit(p))) for w, p in enumerate(reference)), F.lit(0))
+            total = total.bitwiseOR(F.shiftleft(distance.cast("bigint"), 16 * k))
         packed.append(total)
     return prints.withColumn("table", F.array(*packed))
 
 
-def block_masks(blocks: int, max_bits: int) -> list[int]:
-    """Signed masks of every choice of blocks - max_bits bit blocks."""
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def block_masks(blocks: int, max_bits: int) -> list[list[int]]:
+    """Masks of every choice of blocks - max_bits bit blocks of one integer."""
+    if blocks <= max_bits:
+        raise ValueError("blocks must exceed max_bits")
     edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
+    return [
+        [_signed(sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen))]
+        for chosen in itertools.combinations(range(blocks), blocks - max_bits)
+    ]
+
+
+def sampled_masks(width: int, key_bits: int, share: float, recall: float) -> list[list[int]]:
+    """Masks of random bits: enough for fingerprints that differ in a `share` of their bits to
+    agree on one of them with probability `recall`."""
+    count = math.ceil(math.log(1 - recall) / math.log1p(-((1 - share) ** key_bits)))
+    source = np.random.default_rng(SEED)
     masks = []
-    for chosen in itertools.combinations(range(blocks), blocks - max_bits):
-        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen)
-        masks.append(mask - (1 << BITS) if mask >> (BITS - 1) else mask)
+    for _ in range(count):
+        bits = source.choice(width * BITS, key_bits, replace=False).tolist()
+        masks.append([_signed(sum(1 << (b % BITS) for b in bits if b // BITS == w)) for w in range(width)])
     return masks
 
 
-def fingerprint_links(prints: DataFrame, max_bits: int = 4, blocks: int = 6, references: int = 16,
-                      part_rows: int = 4096) -> DataFrame:
-    """Links (u, v) that connect what pairs of distinct fingerprints (`fp`) at `max_bits` connect.
+def fingerprint_links(prints: DataFrame, masks: list[list[int]], max_bits: int = 4,
+                      references: int = 16, part_rows: int = 4096) -> DataFrame:
+    """Links (u, v) that connect what pairs of fingerprints at `max_bits` that share a key connect.
 
-    `blocks` must exceed `max_bits`; more blocks make longer keys and more of them. A key
-    with over `part_rows` fingerprints is cut into parts by a hash, and every pair of parts
-    is a group of its own.
+    `prints` has a distinct number `node` and the fingerprint `fp` (an array). A key with
+    over `part_rows` fingerprints is cut into parts by a hash, and every pair of parts is a
+    group of its own.
     """
-    if blocks <= max_bits:
-        raise ValueError("blocks must exceed max_bits")
-    masks = F.array(*[
-        F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
-        for k, m in enumerate(block_masks(blocks, max_bits))
+    width = len(masks[0])
+    keys = F.array(*[
+        F.xxhash64(F.lit(k), *[F.col("fp")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(mask) if m])
+        for k, mask in enumerate(masks)
     ])
-    keys = pivot_table(prints.select("fp"), pivots(references)).select(
-        F.inline(masks), "fp", "table"
-    )
-    shared = keys.groupBy("choice", "key").count().where("count > 1")
-    met = keys.join(shared, ["choice", "key"])
+    table = checkpointed(pivot_table(prints.select("node", "fp"), pivots(references, width)))
+    keyed = table.select("node", F.explode(keys).alias("key"))
+    shared = keyed.groupBy("key").count().where("count > 1")
+    met = keyed.join(shared, "key")
     parts = F.ceil(F.col("count") / part_rows).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
     groups = met.select(
-        "choice", "key", "fp", "table", own.alias("own"),
-        F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"),
+        "key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"),
     ).select(
-        "choice", "key", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("with"),
-        "fp", "table",
-    )
-    order = ["choice", "key", "part", "with"]
-    dealt = groups.repartition(*order).sortWithinPartitions(*order, "fp")
+        "key", "node", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("with"),
+    ).join(table, "node")
+    order = ["key", "part", "with"]
+    dealt = groups.repartition(*order).sortWithinPartitions(*order, "node")
     return dealt.mapInArrow(lambda rows: _joined_groups(rows, order, max_bits), "u long, v long").distinct()
 
 
@@ -148,11 +180,10 @@ def _joined_groups(batches: Iterator[pa.RecordBatch], order: list[str],
         fresh = np.ones(table.num_rows, dtype=bool)
         if table.num_rows:
             fresh[1:] = np.any([c[1:] != c[:-1] for c in ids], axis=0)
-        prints = table["fp"].to_numpy()
-        flat = table["table"].combine_chunks()
-        distances = np.ascontiguousarray(flat.flatten().to_numpy().astype("<i8")).view(np.uint8)
-        u, v = spanning_links(
-            np.cumsum(fresh), prints, distances.reshape(table.num_rows, -1), max_bits)
+        nodes = table["node"].to_numpy()
+        words = _rows(table["fp"], np.uint64)
+        distances = np.ascontiguousarray(_rows(table["table"], np.int64)).view(np.int16)
+        u, v = spanning_links(np.cumsum(fresh), nodes, words, distances, max_bits)
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     for batch in batches:
@@ -173,7 +204,12 @@ def _joined_groups(batches: Iterator[pa.RecordBatch], order: list[str],
         yield links(held)
 
 
-def spanning_links(group: np.ndarray, prints: np.ndarray, distances: np.ndarray,
+def _rows(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(flat).view(kind).reshape(len(column), -1)
+
+
+def spanning_links(group: np.ndarray, nodes: np.ndarray, words: np.ndarray, distances: np.ndarray,
                    max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of equal `group` (sorted) that join different parts.
 
@@ -181,7 +217,6 @@ def spanning_links(group: np.ndarray, prints: np.ndarray, distances: np.ndarray,
     until no two rows so far apart share a group.
     """
     n = len(group)
-    bits = prints.astype("<i8").view("<u8")
     root = np.arange(n)
     found_u, found_v = [], []
     rows = np.arange(n)
@@ -191,9 +226,10 @@ def spanning_links(group: np.ndarray, prints: np.ndarray, distances: np.ndarray,
         if not len(rows):
             break
         pair = rows[root[rows] != root[rows + d]]
-        gap = np.abs(distances[pair].astype(np.int16) - distances[pair + d]).max(axis=1, initial=0)
+        gap = np.abs(distances[pair] - distances[pair + d]).max(axis=1, initial=0)
         pair = pair[gap <= max_bits]  # the pivot table discards
-        pair = pair[np.bitwise_count(bits[pair] ^ bits[pair + d]) <= max_bits]  # exact
+        unlike = np.bitwise_count(words[pair] ^ words[pair + d]).sum(axis=1, dtype=np.int64)
+        pair = pair[unlike <= max_bits]  # exact
         for r in pair.tolist():
             a, b = r, r + d
             while root[a] != a:
@@ -202,14 +238,30 @@ def spanning_links(group: np.ndarray, prints: np.ndarray, distances: np.ndarray,
                 b = root[b]
             if a != b:
                 root[max(a, b)] = min(a, b)
-                found_u.append(prints[r])
-                found_v.append(prints[r + d])
+                found_u.append(nodes[r])
+                found_v.append(nodes[r + d])
         if len(pair):
             while not np.array_equal(up := root[root], root):
                 root = up
     return np.array(found_u, dtype=np.int64), np.array(found_v, dtype=np.int64)
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, width: int, max_bits: int,
+                masks_for: Callable[[int], list[list[int]]], references: int) -> DataFrame:
+    """`masks_for` gives the keys' masks for a number of distinct fingerprints."""
+    own = checkpointed(docs.select(
+        F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words, width).alias("fp")))
+    by_print = own.groupBy("fp").agg(F.min("id").alias("first"))
+    prints = checkpointed(by_print.select("fp", "first", F.monotonically_increasing_id().alias("node")))
+    masks = masks_for(prints.count())
+    roots = connected_components(fingerprint_links(prints, masks, max_bits, references))
+    rooted = prints.join(roots, prints["node"] == roots["vertex"], "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = rooted.join(least, "root").select("fp", "component_id")
+    return own.join(classes, "fp").select("id", "fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        words: int = WORDS, max_bits: int = 4, blocks: int = 6,
                        references: int = 16) -> DataFrame:
@@ -219,24 +271,40 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their component id is the smallest other id of the component, null if there is none.
     Repeated rows repeat in the result.
     """
-    own = checkpointed(docs.select(
-        F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")))
-    prints = checkpointed(own.groupBy("fp").agg(F.min("id").alias("first")))
-    links = fingerprint_links(prints, max_bits, blocks, references)
-    roots = connected_components(links).withColumnRenamed("vertex", "fp")
-    rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("id", "fp", "component_id")
+    masks = block_masks(blocks, max_bits)
+    found = _components(docs, id_col, text_col, words, 1, max_bits, lambda n: masks, references)
+    return found.withColumn("fp", F.col("fp")[0])
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                       similarity: float = 0.8, width: int = 4, recall: float = 0.85,
+                       references: int = 16) -> DataFrame:
+    """(id, fp, component_id) with links between texts of a shingle similarity (Jaccard).
+
+    Texts whose sets of shingles have the similarity J have an angle of acos(2J / (1 + J)),
+    and fingerprints of 64 * `width` bits differ in a share angle / pi of them, give or take
+    a standard deviation: half of it is allowed on top. A pair of just that similarity meets
+    in a key with probability `recall`, a closer pair sooner: 96 % at 0.85, 99.7 % at 0.9. Keys
+    have two bits more than it takes to number the fingerprints, so the chance meetings of a
+    fingerprint stay few at any size, and the number of keys grows as its 0.24th power.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = BITS * width
+    allowed = math.floor(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+
+    def masks(n: int) -> list[list[int]]:
+        return sampled_masks(width, max(16, n.bit_length() + 2), share, recall)
+
+    return _components(docs, id_col, text_col, words, width, allowed, masks, references)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               words: int = WORDS, max_bits: int = 4) -> DataFrame:
-    """Keep the document with the smallest id of each component, with all its columns.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+               similarity: float = 0.8) -> DataFrame:
+    """Keep the document with the smallest id of each group of similar texts, with all columns.
 
     Rows with a null id are kept. Of rows that repeat an id and text one stays.
     """
-    members = simhash_components(docs, id_col, text_col, words, max_bits)
+    members = similar_components(docs, id_col, text_col, words, similarity)
     leaders = members.where("id = component_id").select(F.col("id").alias("__leader")).distinct()
     kept = docs.join(leaders, F.col(id_col) == F.col("__leader"), "left_semi")
     kept = kept.withColumn("__digest", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

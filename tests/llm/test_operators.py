@@ -158,9 +158,8 @@ def slow_fingerprint(text, words):
 
 def test_fingerprints(spark):
     texts = ODD_TEXTS + ["One two THREE four five six", "É É É É É", " ".join(map(str, range(10000)))]
-    rows = docs_of(spark, texts).select("text", simhash.fingerprint_column("text").alias("p"),
-                                        F.xxhash64("text").alias("h")).collect()
-    assert [r.p for r in rows] == [slow_fingerprint(r.text, 4) for r in rows]
+    rows = docs_of(spark, texts).select("text", simhash.fingerprint_column("text", 4, 2).alias("p")).collect()
+    assert [r.p[0] for r in rows] == [slow_fingerprint(r.text, 4) for r in rows]
 
 
 def components_of(n, links):
@@ -184,11 +183,30 @@ def test_fingerprint_links_equal_brute_force(spark, part_rows):
     prints = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
     near = [(a, b) for a in range(len(prints)) for b in range(a)
             if ((prints[a] ^ prints[b]) & (2 ** 64 - 1)).bit_count() <= 4]
-    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
-    found = simhash.fingerprint_links(frame, part_rows=part_rows).collect()
-    place = {p: k for k, p in enumerate(prints)}
+    frame = spark.createDataFrame([(k, [p]) for k, p in enumerate(prints)], "node long, fp array<long>")
+    found = simhash.fingerprint_links(frame, simhash.block_masks(6, 4), part_rows=part_rows).collect()
     assert len(near) > 50
-    assert components_of(len(prints), [(place[r.u], place[r.v]) for r in found]) == components_of(len(prints), near)
+    assert components_of(len(prints), [(r.u, r.v) for r in found]) == components_of(len(prints), near)
+
+
+def test_similar_texts_are_found(spark):
+    """Recall of pairs by their shingle similarity, and no link between unlike texts."""
+    rng = random.Random(12)
+    texts, near = [], {}
+    for k in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        copy = [x if rng.random() > rng.choice([0.004, 0.01, 0.018]) else "changed" for x in words]
+        a, b = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (words, copy))
+        near[2 * k + 1] = len(a & b) / len(a | b)
+        texts += [" ".join(words), " ".join(copy)]
+    roots = {r.id: r.component_id for r in simhash.similar_components(docs_of(spark, texts)).collect()}
+    assert all(root in (k, k - 1) and k - root <= k % 2 for k, root in roots.items())
+    found = {k: roots[k] == k - 1 for k in near}
+    assert not any(found[k] for k, j in near.items() if j < 0.65)
+    close = [k for k, j in near.items() if j >= 0.9]
+    wide = [k for k, j in near.items() if j >= 0.8]
+    assert len(close) > 40 and all(found[k] for k in close)
+    assert len(wide) > 80 and np.mean([found[k] for k in wide]) > 0.93
 
 
 def test_components_of_a_long_chain(spark):
