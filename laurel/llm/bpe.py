@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-CHARS_PER_SCAN = 1 << 20  # texts are scanned together up to so many characters
+CHARS_PER_SCAN = 1 << 19  # texts are scanned together up to so many characters
 
 # Code points that are letters or numbers for the rank files' splitter and
 # unassigned in this Python's Unicode tables (first, last, class).
@@ -468,7 +468,7 @@ def encode_column(text: Column | str, path: str = RANKS) -> Column:
 
     @F.arrow_udf("binary")
     def encode(values: pa.Array) -> pa.Array:
-        return pa.array(codec(path).encode(values.to_pylist()), type=pa.binary())
+        return pa.array(codec(path).encode(v.as_py() for v in values), type=pa.binary())
 
     return encode(text)
 
@@ -478,7 +478,7 @@ def count_column(text: Column | str, path: str = RANKS) -> Column:
 
     @F.arrow_udf("bigint")
     def count(values: pa.Array) -> pa.Array:
-        return pa.array((len(ids) // 4 for ids in codec(path).encode(values.to_pylist())), type=pa.int64())
+        return pa.array((len(ids) // 4 for ids in codec(path).encode(v.as_py() for v in values)), type=pa.int64())
 
     return count(text)
 
@@ -488,7 +488,7 @@ def decode_column(ids: Column | str, path: str = RANKS) -> Column:
 
     @F.arrow_udf("binary")
     def decode(values: pa.Array) -> pa.Array:
-        return pa.array((codec(path).decode(x or b"") for x in values.to_pylist()), type=pa.binary())
+        return pa.array((codec(path).decode(x.as_py() or b"") for x in values), type=pa.binary())
 
     return decode(ids)
 
@@ -498,6 +498,6 @@ def offsets_column(ids: Column | str, path: str = RANKS) -> Column:
 
     @F.arrow_udf("binary")
     def offsets(values: pa.Array) -> pa.Array:
-        return pa.array((codec(path).offsets(x or b"") for x in values.to_pylist()), type=pa.binary())
+        return pa.array((codec(path).offsets(x.as_py() or b"") for x in values), type=pa.binary())
 
     return offsets(ids)

@@ -30,7 +30,7 @@ SIZES = (1, 2, 3)
 BUCKETS = 1 << 14
 EVIDENCE = 200
 UNKNOWN = "und"
-CHARS_PER_BATCH = 1 << 20
+CHARS_PER_BATCH = 1 << 18
 MIXERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -113,7 +113,7 @@ class LanguageModel:
 
         @F.arrow_udf("struct<language: string, score: double>")
         def predict(values: pa.Array) -> pa.Array:
-            rows = list(self.predict(values.to_pylist()))
+            rows = list(self.predict(v.as_py() for v in values))
             return pa.StructArray.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())],
                 ["language", "score"],

@@ -32,7 +32,7 @@ from laurel.llm import bpe
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-WINDOW_TOKENS = 1 << 20
+WINDOW_TOKENS = 1 << 19
 PARTITION_STRIDE = 1 << 33  # sequence numbers of one partition stay below
 
 Piece = tuple[int, int, int]  # document number, start, length
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             state["base"] = batch[0][0].as_py() * PARTITION_STRIDE
             ready: list[list[Piece]] = []
             tokens = 0
-            for own, ids in zip(batch[1].to_pylist(), codec.encode(batch[2].to_pylist())):
+            for own, ids in zip(batch[1].to_pylist(), codec.encode(v.as_py() for v in batch[2])):
                 ids += ending
                 known[state["document"]] = (own, ids)
                 ready += packer.add(state["document"], len(ids) // 4)

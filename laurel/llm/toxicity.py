@@ -36,7 +36,7 @@ WORD = re.compile(r"\w+")
 
 
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that are features
-MEMO_WORDS = 1 << 18  # words with a known weight per worker; forgotten when there are more
+MEMO_WORDS = 1 << 17  # words with a known weight per worker; forgotten when there are more
 
 
 def features(words: set[str]) -> set[str]:
