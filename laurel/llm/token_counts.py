@@ -70,14 +70,11 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
     """Tokens of the corpus if every document is cut at any `limit` (one row)."""
-    reached = sums.where(F.col("length") > limit).agg(
-        F.max("docs_at_least").alias("docs"), F.max("tokens_at_least").alias("tokens"))
-    total = sums.agg(F.max("total_tokens").alias("total"))
-    return reached.join(total, F.lit(True)).select(
-        F.lit(limit).alias("context"),
-        (F.coalesce("total", F.lit(0)) - F.coalesce("tokens", F.lit(0))
-         + F.coalesce("docs", F.lit(0)) * limit).alias("tokens"),
-    )
+    longer = F.col("length") > limit
+    kept = [F.coalesce(F.max(c), F.lit(0)) for c in (
+        "total_tokens", F.when(longer, F.col("tokens_at_least")), F.when(longer, F.col("docs_at_least")))]
+    return sums.agg((kept[0] - kept[1] + kept[2] * limit).alias("tokens")).select(
+        F.lit(limit).alias("context"), "tokens")
 
 
 def quantile(sums: DataFrame, share: float) -> Column:

@@ -171,6 +171,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
+def _known(column: pa.Array) -> np.ndarray:
+    """Known k-th scores; minus infinity where there is none."""
+    values = column.to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.where(np.isnan(values), -np.inf, values)
+
+
 def top_k_search(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256,
                  id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16_384,
                  most_shards: int = 4096, sample: int = 20_000, query_rows: int = 8192) -> DataFrame:
@@ -263,15 +269,28 @@ def top_k_search(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256
         .select(F.col("query_id").alias("id"), F.col("score").alias("known"))
     )
     # One row per shard, at most `most_shards`: bounded by a parameter.
-    balls = F.broadcast(trees.select(F.col("shard").alias("other"), "center", "radius"))
-    far = queries.withColumnRenamed("shard", "own").join(kth, "id", "left")
-    product = F.aggregate(F.zip_with("vector", "center", lambda x, c: x * c), F.lit(0.0), lambda s, x: s + x)
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    bound = product + length * F.col("radius")
-    slack = 1e-6 * (F.abs(bound) + length * F.col("radius") + 1)
-    reached = far.join(balls, F.col("own") != F.col("other")).where(
-        F.col("known").isNull() | (bound + slack >= F.col("known")))
-    away = search(reached.select("id", "vector", F.col("other").alias("shard"), "known"))
+    balls = trees.select("shard", "center", "radius").toArrow()
+    numbers = balls["shard"].to_numpy()
+    middles, radii = _matrix(balls["center"].combine_chunks()), balls["radius"].to_numpy()
+
+    @F.arrow_udf("array<long>")
+    def reached(vectors: pa.Array, known: pa.Array, shard: pa.Array) -> pa.Array:
+        """Other shards whose ball can hold a score of at least the known one."""
+        found: list[np.ndarray] = []
+        matrix, own = _matrix(vectors), shard.to_numpy(zero_copy_only=False)
+        least = _known(known)
+        for at in range(0, len(matrix), 1024):
+            some = matrix[at:at + 1024]
+            lengths = np.sqrt((some * some).sum(axis=1))[:, None]
+            bound = some @ middles.T + lengths * radii
+            bound += 1e-6 * (np.abs(bound) + lengths * radii + 1)
+            visit = (bound >= least[at:at + 1024, None]) & (numbers != own[at:at + 1024, None])
+            found += [numbers[row] for row in visit]
+        return pa.array(found, pa.list_(pa.int64()))
+
+    far = queries.join(kth, "id", "left")
+    visits = F.explode(reached("vector", "known", "shard"))
+    away = search(far.select("id", "vector", "known", visits.alias("shard")))
     every = at_home.unionByName(away).withColumn("rank", F.row_number().over(ranked))
     return every.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -292,9 +311,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 shard, key = Shard(batch["tree"][a].as_py()), group
             elif group == key:  # else no vector is stored there
                 some = batch.slice(a, b - a)
-                known = some["known"].to_numpy(zero_copy_only=False)
-                known = np.where(np.isnan(known.astype(float)), -np.inf, known.astype(float))
-                found += shard.search(some["id"].to_numpy(), _matrix(some["vector"]), known, k)
+                found += shard.search(
+                    some["id"].to_numpy(), _matrix(some["vector"]), _known(some["known"]), k)
         columns = list(zip(*found)) or [[], [], []]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
