@@ -9,7 +9,7 @@
    every list whose border with its own is within `sigmas` * r / sqrt(dimension): across a
    given border a displacement of length r has a component of r / sqrt(dimension) on
    average. A link is found if either of its vectors probes the other's list. `sigmas` of
-   sqrt(dimension) makes the search exact; the default of 3.5 found every link in the tests
+   sqrt(dimension) makes the search exact; the default of 3 found every link in the tests
    (README), also at a cosine of exactly the threshold.
 4. In a list the distance of a query to a coded vector comes from lookup tables. A vector
    whose code is further from the query than r plus the vector's coding error cannot link.
@@ -124,7 +124,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def embedding_components(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
                          vector_col: str = "embedding", sample: int = 20_000, list_rows: int = 256,
-                         most_lists: int = 1024, part_rows: int = 4096, sigmas: float = 3.5) -> DataFrame:
+                         most_lists: int = 1024, part_rows: int = 4096, sigmas: float = 3.0) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     n_links counts other rows, equal vectors included; component_id is the smallest id that
