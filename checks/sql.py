@@ -181,6 +181,7 @@ PARTS["awards_cohort"] = f"""select {_REPORT_ROWS} from
 # Rolling cohorts: every award row lists the completion cohorts it counts in.
 _COUNTS_IN = """list_filter(range(greatest(Year_Semester+1, coh_cut), least(Cohort+60, t)),
     lambda c: c%10 < 4 and Cohort%10 < 4 and Year_Semester%10 < 4 and Year_Semester >= Cohort)"""
+PARTS["gen"] = "select cast(unnest(range(coh_cut-130, t)) as int) num from par"
 PARTS["cohort_years"] = f"""select Cohort, Year_Semester, cast(unnest({_COUNTS_IN}) as int) Completion_Cohort
   from (select coh_cut, t, cast(unnest(range(coh_cut-59, t)) as int) Cohort from par) e,
     lateral (select cast(unnest(range(e.Cohort, e.Cohort+60)) as int) Year_Semester) a"""
