@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from laurel.llm import (
     bpe, embedding_dedup, langid, packing, simhash, token_counts, top_k, toxicity, url_filter, warc,
 )
+from laurel.llm.batches import use_small_batches
 from laurel.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    use_small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
