@@ -8,11 +8,9 @@ seed 42. A null text or one without words has fingerprint zero and is treated as
 Links: two fingerprints are linked if they differ in at most `max_bits` bits.
 
 1. Equal fingerprints collapse to one row, so copies cost nothing.
-2. Fingerprints meet by keys. For few bits: two fingerprints at distance d agree on at least
-   `blocks - d` of `blocks` bit blocks, so they share the value of some choice of
-   `blocks - max_bits` blocks (`block_masks`); this brings together every linked pair. For
-   documents of a similarity of 0.8 the distance is a seventh of the bits; there keys are
-   random choices of bits (`sampled_masks`), as many as the wanted recall needs.
+2. Fingerprints meet by keys: two fingerprints at distance d agree on at least `blocks - d` of
+   `blocks` bit blocks, so they share the value of some choice of `blocks - max_bits` blocks
+   (`block_masks`); this brings together every linked pair.
 3. A pivot table holds the Hamming distance of every fingerprint to reference fingerprints.
    By the triangle inequality linked fingerprints differ by at most `max_bits` in every
    coordinate: pairs that share a key are discarded by their largest coordinate difference
@@ -21,13 +19,15 @@ Links: two fingerprints are linked if they differ in at most `max_bits` bits.
    its own. A group returns only links that join different parts of the graph (at most one
    less than its rows), so no group emits all pairs. Nothing is capped.
 5. Components are found by contraction (`components`).
+
+Fingerprints cannot tell a similarity of 0.8 from 0.75 or 0.85, and repeated lines outweigh the
+rest of a text in them, so `near_dedup` compares sets of shingles (`shingle_sets`).
 """
 
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,20 +52,27 @@ def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def fingerprints(text: str | None, words: int = WORDS, width: int = 1) -> list[int]:
-    """SimHash of one text in `width` signed 64-bit integers."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of every shingle in order, repeats included; none for a text without words."""
     parts = (text or "").encode("utf-8").lower().split()  # bytes: ASCII case and white space
     if not parts:
-        return [0] * width
+        return np.empty(0, dtype=np.uint64)
     data = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = min(words, len(parts))
     firsts, lasts = starts[: len(parts) - size + 1].tolist(), ends[size - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(data[a:b], SEED) for a, b in zip(firsts, lasts)), dtype=np.uint64, count=len(firsts)
     )
+
+
+def fingerprints(text: str | None, words: int = WORDS, width: int = 1) -> list[int]:
+    """SimHash of one text in `width` signed 64-bit integers."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return [0] * width
     found = []
     for turn in range(width):
         counts = np.zeros(BITS, dtype=np.int64)
@@ -129,18 +136,6 @@ def block_masks(blocks: int, max_bits: int) -> list[list[int]]:
     ]
 
 
-def sampled_masks(width: int, key_bits: int, share: float, recall: float) -> list[list[int]]:
-    """Masks of random bits: enough for fingerprints that differ in a `share` of their bits to
-    agree on one of them with probability `recall`."""
-    count = math.ceil(math.log(1 - recall) / math.log1p(-((1 - share) ** key_bits)))
-    source = np.random.default_rng(SEED)
-    masks = []
-    for _ in range(count):
-        bits = source.choice(width * BITS, key_bits, replace=False).tolist()
-        masks.append([_signed(sum(1 << (b % BITS) for b in bits if b // BITS == w)) for w in range(width)])
-    return masks
-
-
 def fingerprint_links(prints: DataFrame, masks: list[list[int]], max_bits: int = 4,
                       references: int = 16, part_rows: int = 4096) -> DataFrame:
     """Links (u, v) that connect what pairs of fingerprints at `max_bits` that share a key connect.
@@ -246,22 +241,6 @@ def spanning_links(group: np.ndarray, nodes: np.ndarray, words: np.ndarray, dist
     return np.array(found_u, dtype=np.int64), np.array(found_v, dtype=np.int64)
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, words: int, width: int, max_bits: int,
-                masks_for: Callable[[int], list[list[int]]], references: int) -> DataFrame:
-    """`masks_for` gives the keys' masks for a number of distinct fingerprints."""
-    own = checkpointed(docs.select(
-        F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words, width).alias("fp")))
-    by_print = own.groupBy("fp").agg(F.min("id").alias("first"))
-    prints = checkpointed(by_print.select("fp", "first", F.monotonically_increasing_id().alias("node")))
-    masks = masks_for(prints.count())
-    roots = connected_components(fingerprint_links(prints, masks, max_bits, references))
-    rooted = prints.join(roots, prints["node"] == roots["vertex"], "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("id", "fp", "component_id")
-
-
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        words: int = WORDS, max_bits: int = 4, blocks: int = 6,
                        references: int = 16) -> DataFrame:
@@ -271,31 +250,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their component id is the smallest other id of the component, null if there is none.
     Repeated rows repeat in the result.
     """
-    masks = block_masks(blocks, max_bits)
-    found = _components(docs, id_col, text_col, words, 1, max_bits, lambda n: masks, references)
-    return found.withColumn("fp", F.col("fp")[0])
+    own = checkpointed(docs.select(
+        F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")))
+    by_print = own.groupBy("fp").agg(F.min("id").alias("first"))
+    prints = checkpointed(by_print.select("fp", "first", F.monotonically_increasing_id().alias("node")))
+    links = fingerprint_links(prints, block_masks(blocks, max_bits), max_bits, references)
+    roots = connected_components(links)
+    rooted = prints.join(roots, prints["node"] == roots["vertex"], "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = rooted.join(least, "root").select("fp", "component_id")
+    return own.join(classes, "fp").select("id", F.col("fp")[0].alias("fp"), "component_id")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                       similarity: float = 0.8, width: int = 4, recall: float = 0.85,
-                       references: int = 16) -> DataFrame:
-    """(id, fp, component_id) with links between texts of a shingle similarity (Jaccard).
-
-    Texts whose sets of shingles have the similarity J have an angle of acos(2J / (1 + J)),
-    and fingerprints of 64 * `width` bits differ in a share angle / pi of them, give or take
-    a standard deviation: half of it is allowed on top. A pair of just that similarity meets
-    in a key with probability `recall`, a closer pair sooner: 96 % at 0.85, 99.7 % at 0.9. Keys
-    have two bits more than it takes to number the fingerprints, so the chance meetings of a
-    fingerprint stay few at any size, and the number of keys grows as its 0.24th power.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = BITS * width
-    allowed = math.floor(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
-
-    def masks(n: int) -> list[list[int]]:
-        return sampled_masks(width, max(16, n.bit_length() + 2), share, recall)
+                       similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) with a link between any two texts whose sets of shingles have at least
+    this similarity (Jaccard), found and verified exactly; repeats of a shingle don't count."""
+    from laurel.llm.shingle_sets import jaccard_components
 
-    return _components(docs, id_col, text_col, words, width, allowed, masks, references)
+    return jaccard_components(docs, id_col, text_col, words, similarity)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,

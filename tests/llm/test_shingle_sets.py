@@ -1,0 +1,59 @@
+"""The pipeline's near-duplicates against brute-force Jaccard."""
+
+from __future__ import annotations
+
+import random
+from fractions import Fraction
+
+import pytest
+
+from laurel.llm import shingle_sets
+
+
+def shingles(text):
+    parts = text.split()
+    return {tuple(parts[i:i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def brute_force(texts, similarity=Fraction(4, 5)):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def found(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = shingle_sets.jaccard_components(docs, **options).collect()
+    assert len(rows) == len(texts)
+    return [r.component_id for r in sorted(rows)]
+
+
+@pytest.mark.parametrize("options", [{}, {"part_rows": 7, "first_keys": 1, "sample": 50}])
+def test_components_equal_brute_force_around_the_limit(spark, options):
+    rng = random.Random(31)
+    menu = " ".join(f"menu{k}" for k in range(30))
+    texts = ["", " ", "one", "one", "a b c d e", "a b c d e f"]
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(8, 300))]
+        for _ in range(rng.randrange(1, 7)):
+            changed = rng.choice([0.01, 0.02, 0.023, 0.03, 0.05])
+            texts.append(" ".join(x if rng.random() > changed else f"c{rng.randrange(99)}" for x in words))
+            if k % 3 == 0:
+                texts[-1] += " " + menu
+    sets = [shingles(t) for t in texts]
+    close = [len(a & b) / len(a | b) for k, a in enumerate(sets) for b in sets[:k] if a | b]
+    assert sum(0.8 <= j < 0.85 for j in close) > 20 and sum(0.7 < j < 0.8 for j in close) > 20
+    assert found(spark, texts, **options) == brute_force(texts)
+
+
+def test_exactly_the_limit_links(spark):
+    base = [f"w{k}" for k in range(104)]  # 100 shingles
+    at, below = base[:84], base[:83]  # 80 and 79 of them
+    assert found(spark, [" ".join(base), " ".join(at)]) == [0, 0]
+    assert found(spark, [" ".join(base), " ".join(below)]) == [0, 1]
