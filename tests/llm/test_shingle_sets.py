@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
-from laurel.llm import shingle_sets
+from laurel.llm import shingle_sets, simhash
 
 
 def shingles(text):
@@ -57,3 +58,16 @@ def test_exactly_the_limit_links(spark):
     at, below = base[:84], base[:83]  # 80 and 79 of them
     assert found(spark, [" ".join(base), " ".join(at)]) == [0, 0]
     assert found(spark, [" ".join(base), " ".join(below)]) == [0, 1]
+
+
+def test_repeated_lines_neither_link_nor_part_texts(spark):
+    rng = random.Random(4)
+    first, second, third = ([f"{c}{rng.randrange(10 ** 6)}" for _ in range(n)] for c, n in zip("xyz", (300, 300, 500)))
+    line = [f"line{k}" for k in range(12)]
+    texts = [" ".join(first + 40 * line), " ".join(second + 40 * line), " ".join(third)]
+    texts += [" ".join(third + n * line) for n in (5, 10, 40)]
+    bits = np.array([simhash.fingerprints(t, 5, 4) for t in texts]).view(np.uint64)
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+    assert apart[0, 1] <= 41 < apart[2, 4]  # fingerprints would get both wrong
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == [0, 1, 2]
