@@ -19,14 +19,12 @@ Links: two fingerprints are linked if they differ in at most `max_bits` bits.
    its own. A group returns only links that join different parts of the graph (at most one
    less than its rows), so no group emits all pairs. Nothing is capped.
 5. Components are found by contraction (`components`).
-
-Fingerprints cannot tell a similarity of 0.8 from 0.75 or 0.85, and repeated lines outweigh the
-rest of a text in them, so `near_dedup` compares sets of shingles (`shingle_sets`).
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,6 +134,20 @@ def block_masks(blocks: int, max_bits: int) -> list[list[int]]:
     ]
 
 
+def blocks_for(rows: int, max_bits: int, key_cost: int = 2000) -> int:
+    """Number of blocks with the least work for so many fingerprints.
+
+    More blocks give wider keys, which fewer unlike fingerprints share, but more keys a row.
+    Writing and sorting a key costs about as much as comparing `key_cost` fingerprints. The
+    links are the same for any number.
+    """
+    def work(blocks: int) -> float:
+        keys = math.comb(blocks, max_bits)
+        return keys * (key_cost + rows / 2 ** (BITS * (blocks - max_bits) / blocks))
+
+    return min(range(max_bits + 1, max_bits + 7), key=work)
+
+
 def fingerprint_links(prints: DataFrame, masks: list[list[int]], max_bits: int = 4,
                       references: int = 16, part_rows: int = 4096) -> DataFrame:
     """Links (u, v) that connect what pairs of fingerprints at `max_bits` that share a key connect.
@@ -241,46 +253,64 @@ def spanning_links(group: np.ndarray, nodes: np.ndarray, words: np.ndarray, dist
     return np.array(found_u, dtype=np.int64), np.array(found_v, dtype=np.int64)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       words: int = WORDS, max_bits: int = 4, blocks: int = 6,
-                       references: int = 16) -> DataFrame:
-    """(id, fp, component_id) for every row of `docs`, whatever its other columns are called.
-
-    The component id is the smallest id reachable over links. Rows with a null id keep it;
-    their component id is the smallest other id of the component, null if there is none.
-    Repeated rows repeat in the result.
-    """
+def _members(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int,
+             blocks: int | None, references: int) -> DataFrame:
+    """(id, digest, fp, component_id, leader): a row per document; `leader` is the digest of the
+    text of the row that stands for the component."""
+    text = F.col(text_col)
     own = checkpointed(docs.select(
-        F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")))
-    by_print = own.groupBy("fp").agg(F.min("id").alias("first"))
+        F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"),
+        fingerprint_column(text, words).alias("fp")))
+    named = F.when(F.col("id").isNotNull(), F.struct("id", "digest"))
+    by_print = own.groupBy("fp").agg(F.min(named).alias("first"))
     prints = checkpointed(by_print.select("fp", "first", F.monotonically_increasing_id().alias("node")))
+    blocks = blocks or blocks_for(prints.count(), max_bits)
     links = fingerprint_links(prints, block_masks(blocks, max_bits), max_bits, references)
     roots = connected_components(links)
     rooted = prints.join(roots, prints["node"] == roots["vertex"], "left").withColumn(
         "root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("id", F.col("fp")[0].alias("fp"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    classes = rooted.join(least, "root").select(
+        "fp", F.col("least.id").alias("component_id"), F.col("least.digest").alias("leader"))
+    return own.join(classes, "fp")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                       similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) with a link between any two texts whose sets of shingles have at least
-    this similarity (Jaccard), found and verified exactly; repeats of a shingle don't count."""
-    from laurel.llm.shingle_sets import jaccard_components
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       words: int = WORDS, max_bits: int = 4, blocks: int | None = None,
+                       references: int = 16) -> DataFrame:
+    """(id, fp, component_id) for every row of `docs`, whatever its other columns are called.
 
-    return jaccard_components(docs, id_col, text_col, words, similarity)
+    The component id is the smallest id reachable over links. Rows with a null id keep it;
+    their component id is the smallest other id of the component, null if there is none.
+    Repeated rows repeat in the result.
+    """
+    members = _members(docs, id_col, text_col, words, max_bits, blocks, references)
+    return members.select("id", F.col("fp")[0].alias("fp"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-               similarity: float = 0.8) -> DataFrame:
-    """Keep the document with the smallest id of each group of similar texts, with all columns.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+               max_bits: int = 4) -> DataFrame:
+    """Keep one document of each component of `simhash_components`, with all columns.
 
-    Rows with a null id are kept. Of rows that repeat an id and text one stays.
+    It is the one with the smallest id, whatever other texts repeat that id elsewhere. Rows
+    with a null id are kept. Of rows that repeat an id and text one stays.
     """
-    members = similar_components(docs, id_col, text_col, words, similarity)
-    leaders = members.where("id = component_id").select(F.col("id").alias("__leader")).distinct()
-    kept = docs.join(leaders, F.col(id_col) == F.col("__leader"), "left_semi")
-    kept = kept.withColumn("__digest", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    members = _members(docs, id_col, text_col, words, max_bits, None, 16)
+    own, digest = _free_names(docs, "leader_id", "digest")
+    leaders = members.where("id = component_id and digest = leader").select(
+        F.col("id").alias(own), F.col("digest").alias(digest)).distinct()
+    named = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    met = (named[id_col] == leaders[own]) & (named[digest] == leaders[digest])
+    kept = named.join(leaders, met, "left_semi").dropDuplicates([id_col, digest]).drop(digest)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        found.append(name)
+    return found
