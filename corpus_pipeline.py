@@ -35,9 +35,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles have a similarity of 0.8."""
+    """One document of each group whose SimHash fingerprints differ in at most four bits."""
     use_small_batches(spark)
-    return simhash.near_dedup(docs, words=5, similarity=0.8)
+    return simhash.near_dedup(docs, words=4, max_bits=4)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
