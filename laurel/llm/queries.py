@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.llm import (
-    bpe, embedding_dedup, langid, packing, simhash, token_counts, top_k, toxicity, url_filter, warc,
+    bpe, collocations, embedding_dedup, langid, lexical_search, packing, quality_rules, simhash, token_counts,
+    top_k, toxicity, url_filter, warc,
 )
 from laurel.llm.batches import use_small_batches
 from laurel.llm.sql import SQL
@@ -89,6 +90,19 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k.top_k_search(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -100,6 +114,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_top_k": op10_top_k,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -163,9 +163,147 @@ select id page_id, record_type, record_id, refers_to, target_uri, '1970-01-01T00
 from named
 """
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# (measure, part, whole, least distance of the quartiles, whether there is a lower bound)
+_RULES = [("word_length", "word_chars", "n_words", 200, True), ("symbols", "n_symbols", "n_words", 20, False),
+          ("repeated_lines", "n_dup_lines", "n_lines", 50, False),
+          ("repeated_words", "n_repeat_words", "n_words", 50, False)]
+
+
+def _quality() -> str:
+    values = " union all ".join(
+        f"select lang, source, '{name}' measure, {part} * 1000 // nullif({whole}, 0) v, {least} least from passed"
+        for name, part, whole, least, _ in _RULES)
+    outside = " union all ".join(
+        f"""select doc_id, {k} place, '{name}' broken from passed p join chosen c
+            on p.lang is not distinct from c.lang and p.source is not distinct from c.source and c.measure = '{name}'
+            where {part} * 1000 // nullif({whole}, 0) > high
+            {f"or {part} * 1000 // nullif({whole}, 0) < low" if both else ""}"""
+        for k, (name, part, whole, _, both) in enumerate(_RULES))
+    # A bucket keeps the seven leading bits. The levels are a language and source, a language, all.
+    return rf"""
+with told as (
+  select doc_id, lang, source, coalesce(text, '') text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) lines
+  from documents),
+windows as (
+  select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) times
+  from (select doc_id, w, unnest(generate_series(1, len(w) - 2)) i from told) x),
+again as (
+  select doc_id, count(distinct place) n
+  from (select doc_id, unnest([i, i + 1, i + 2]) place from windows where times > 1) x group by doc_id),
+measured as (
+  select doc_id, lang, source, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint n_symbols, len(lines)::bigint n_lines,
+    (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(again.n, 0)::bigint n_repeat_words
+  from told left join again using (doc_id)),
+judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from measured),
+passed as (select * from judged where not base_failed),
+listed as (
+  select *, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) bucket
+  from ({values}) x where v is not null),
+leveled as (
+  select 0 level, lang, source, measure, least, bucket from listed
+  union all select 1, lang, null, measure, least, bucket from listed
+  union all select 2, null, null, measure, least, bucket from listed),
+ranked as (
+  select *, row_number() over (part order by bucket) place, count(*) over part size
+  from leveled window part as (partition by level, lang, source, measure)),
+quarters as (
+  select level, lang, source, measure, any_value(least) least, any_value(size) size,
+    min(bucket) filter (place * 4 >= size) q1, min(bucket) filter (place * 4 >= 3 * size) q3
+  from ranked group by level, lang, source, measure),
+sized as (select *, max(size) over (partition by level, lang, source) group_size from quarters),
+fences as (select *, q1 - 8 * greatest(q3 - q1, least) low, q3 + 8 * greatest(q3 - q1, least) high from sized),
+chosen as (
+  select own.lang, own.source, own.measure,
+    case when own.group_size >= 200 then own.low when mid.group_size >= 200 then mid.low else whole.low end low,
+    case when own.group_size >= 200 then own.high when mid.group_size >= 200 then mid.high else whole.high end high
+  from fences own
+  join fences mid on mid.level = 1 and mid.lang is not distinct from own.lang and mid.measure = own.measure
+  join fences whole on whole.level = 2 and whole.measure = own.measure
+  where own.level = 0),
+outside as (select doc_id, string_agg(broken, ',' order by place) broken from ({outside}) x group by doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and broken is null kept, coalesce(broken, '') broken
+from judged left join outside using (doc_id)
+"""
+
+
+LEXICAL_SEARCH = rf"""
+with words as (
+  select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w
+  from documents),
+docs as (select doc_id, len(w) n, w from words where len(w) > 0),
+total as (select count(*) documents, sum(n)::bigint occurrences from docs),
+wanted as (
+  select distinct item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term
+  from benchmark),
+held as (
+  select doc_id, n, term, count(*) tf from (select doc_id, n, unnest(w) term from docs) x
+  where term in (select term from wanted) group by all),
+weights as (
+  select term, floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1)))::bigint weight
+  from held, total group by term, documents),
+impacts as (
+  select doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // occurrences))) impact
+  from held join weights using (term), total),
+scored as (
+  select item_id, doc_id, sum(impact)::bigint score from wanted join impacts using (term)
+  group by item_id, doc_id having sum(impact) > 0),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id)::int rank from scored)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+COLLOCATIONS = rf"""
+with texts as (
+  select coalesce(lang, 'und') lang, {_LOWER.format("coalesce(text, '')")} t from documents),
+words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') w
+  from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) piece from texts) x),
+grams as (
+  select lang, 1 size, unnest(w) phrase from words
+  union all
+  select lang, 2, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) from words
+  union all
+  select lang, 3, unnest(list_transform(generate_series(1, len(w) - 2),
+    lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from words),
+counts as (select lang, size, phrase, count(*) f from grams group by lang, size, phrase),
+amount as (select lang, sum(f)::bigint n from counts where size = 1 group by lang),
+candidates as (
+  select lang, size, phrase, f a, string_split(phrase, ' ') w from counts where size > 1 and f >= 10),
+cuts as (
+  select lang, size, phrase, a, 1 k, w[1] first, array_to_string(w[2:], ' ') rest from candidates
+  union all
+  select lang, size, phrase, a, 2, w[1] || ' ' || w[2], w[3] from candidates where size = 3),
+scored as (
+  select c.*, l.f l, r.f r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) score
+  from cuts c join counts l on c.lang = l.lang and c.first = l.phrase and l.size = k
+  join counts r on c.lang = r.lang and c.rest = r.phrase and r.size = c.size - k),
+weakest as (
+  select * from scored
+  qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (
+  select lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) phrase, a from candidates where size = 3),
+kept as (
+  select * from weakest where not exists (
+    select 1 from longer where longer.lang = weakest.lang and longer.phrase = weakest.phrase
+    and 100 * longer.a >= 50 * weakest.a))
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) rank, phrase,
+  a::bigint a, l::bigint l, r::bigint r, n, score::bigint score
+from kept join amount using (lang) qualify rank <= 2000
+"""
+
 SQL = {
     "op1_url_filter": URL_FILTER,
     "op6_embedding_dedup": EMBEDDINGS,
     "op9_warc_derivatives": WARC,
     "op10_top_k": TOP_K,
+    "op11_quality_rules": _quality(),
+    "op12_lexical_search": LEXICAL_SEARCH,
+    "op13_collocations": COLLOCATIONS,
 }
