@@ -95,6 +95,10 @@ class Session:
     def rolling(self) -> DataFrame:
         return D.rolling_cohorts(self.domain, self.calendar)
 
+    @cached_property
+    def spans(self) -> DataFrame:
+        return D.rolling_spans(self.domain, self.calendar)
+
     @cached_property
     def efficiency(self) -> DataFrame:
         return D.efficiency(self.domain, self.calendar)
@@ -122,6 +126,15 @@ class Session:
         items = M.student_term_courses(self.domain, self.calendar, None, COLLEGES, 6, "Discipline")
         return cut_lineage(M.course_baskets(items, M.term_completion_ratio(self.domain.student_profiles)))
 
+    @cached_property
+    def lattice(self) -> DataFrame:
+        """Itemsets of all, successful and unsuccessful terms, mined once for all rule queries."""
+        return cut_lineage(M.itemset_lattice(M.frequent_itemsets(self.baskets, M.basket_sets())))
+
+    @cached_property
+    def discipline_lattice(self) -> DataFrame:
+        return cut_lineage(M.itemset_lattice(M.frequent_itemsets(self.discipline_baskets)))
+
 
 _SESSIONS: dict[tuple[str, str], Session] = {}
 
@@ -648,11 +661,11 @@ for mode in Q.MODES:
     source = split.source("rolling")
     keys = f"Award_Type, {split.keys} Completion_Cohort_Key, Completion_Cohort"
     add(f"change_in_completers{split.suffix}",
-        lambda s, strata=strata: X.COMPLETION_COHORT.with_label(V.change_in_completers(s.rolling, strata)),
+        lambda s, strata=strata: X.COMPLETION_COHORT.with_label(V.change_in_completers(s.spans, strata)),
         f'select {keys}, count(*) "Count" from {source} x group by {keys}')
     overall = "" if mode else ", (select median(Terms_to_Complete/4.0::double) from rolling) Median_Years_Overall"
     add(f"median_time_to_award{split.suffix}",
-        lambda s, strata=strata: V.report_change_time(s.rolling, strata),
+        lambda s, strata=strata: V.report_change_time(s.spans, strata),
         f"""select {keys}, count(*) Group_Size, median(Terms_to_Complete/4.0::double) Median_Years{overall}
             from {source} x group by {keys}""")
     add(f"time_boxplot{split.suffix}",
@@ -672,7 +685,7 @@ for mode in Q.MODES:
 
 def _boxplot(s: Session, strata: X.Strata) -> DataFrame:
     """Outliers as text, because the comparison wants flat columns."""
-    boxes = laurel.time_boxplot(s.rolling, strata)
+    boxes = laurel.time_boxplot(s.spans, strata)
     values = F.array_sort(F.transform("Outliers", lambda v: F.format_string("%.2f", v["value"])))
     return boxes.withColumn("Outliers", F.array_join(values, "|"))
 
@@ -745,7 +758,7 @@ add("time_shares", lambda s: laurel.report_time_to_award(s.completers(*D.DETAILS
     _share_sql(_time_cells(_GENDER, _COMPLETE_ALL), "Award_Type, Gender"))
 add("change_shares",
     lambda s: X.COMPLETION_COHORT.with_label(V.change_shares(
-        V.change_in_completers(s.rolling, SPLITS["gender"]), SPLITS["gender"])),
+        V.change_in_completers(s.spans, SPLITS["gender"]), SPLITS["gender"])),
     _share_sql(f"""select Award_Type, Gender, Completion_Cohort_Key, Completion_Cohort, count(*) "Count"
         from {_GENDER.source('rolling')} x group by all""", "Award_Type, Completion_Cohort_Key"))
 
@@ -953,49 +966,66 @@ add("course_baskets",
 
 
 def _flat_rules(rules: DataFrame) -> DataFrame:
-    return rounded(rules.withColumn("antecedent", F.array_join("antecedent", ",")).drop("baskets"),
+    return rounded(rules.withColumn("antecedent", F.array_join("antecedent", ",")).drop("baskets", "Set"),
                    "support", "confidence", "lift")
 
 
-def _rules(s: Session, select=lambda baskets: baskets) -> DataFrame:
-    return M.association_rules(select(s.baskets), confidence=Q.PATTERN_CONFIDENCE)
+def _rules(lattice: DataFrame, name: str = M.ALL_BASKETS) -> DataFrame:
+    return M.lattice_rules(lattice.where(F.col("Set") == name), Q.PATTERN_CONFIDENCE)
 
 
 _RULE_COLUMNS = """array_to_string(ante, ',') antecedent, cons consequent, round(support,6) support,
    round(confidence,6) confidence, round(lift,6) lift"""
-add("course_rules_all", lambda s: _flat_rules(_rules(s)),
-    f"select {_RULE_COLUMNS} from every_rules")
-add("course_rules_success", lambda s: _flat_rules(_rules(s, M.success_baskets)),
-    f"select {_RULE_COLUMNS} from success_rules")
-add("course_rules_failure", lambda s: _flat_rules(_rules(s, M.failure_baskets)),
-    f"select {_RULE_COLUMNS} from failure_rules")
-add("discipline_rules",
-    lambda s: _flat_rules(M.association_rules(s.discipline_baskets, confidence=Q.PATTERN_CONFIDENCE)),
+_SETS = {"all": "every", "success": "success", "failure": "failure"}
+for name, prefix in _SETS.items():
+    add(f"course_rules_{name}", lambda s, name=name: _flat_rules(_rules(s.lattice, name)),
+        f"select {_RULE_COLUMNS} from {prefix}_rules")
+add("discipline_rules", lambda s: _flat_rules(_rules(s.discipline_lattice)),
     f"select {_RULE_COLUMNS} from discipline_rules")
-add("discipline_rules_pruned",
-    lambda s: _flat_rules(M.prune_rules(
-        M.association_rules(s.discipline_baskets, confidence=Q.PATTERN_CONFIDENCE))),
+add("discipline_rules_pruned", lambda s: _flat_rules(M.prune_rules(_rules(s.discipline_lattice))),
     f"select {_RULE_COLUMNS} from discipline_pruned")
-add("course_rules_pruned", lambda s: _flat_rules(M.prune_rules(_rules(s))),
+add("course_rules_pruned", lambda s: _flat_rules(M.prune_rules(_rules(s.lattice))),
     f"select {_RULE_COLUMNS} from every_pruned")
+
+
+def _itemsets(select) -> Callable[[Session], DataFrame]:
+    """The itemsets a function picks from the lattice, of all sets of baskets."""
+    return lambda s: select(s.lattice).withColumn("items", F.array_join("items", ","))
+
+
+_ITEMSETS = " union all ".join(
+    f"select '{name}' as Set, items, c freq from {prefix}_frequent" for name, prefix in _SETS.items())
+
+
+def _itemsets_sql(other: str) -> str:
+    """Itemsets without another one of the same set, one item away, that is as frequent."""
+    return f"""with sets as ({_ITEMSETS}) select Set, array_to_string(items, ',') items, freq from sets f
+        where not exists (select 1 from sets g where g.Set=f.Set and g.freq=f.freq and {other})"""
+
+
+add("frequent_itemsets", _itemsets(lambda edges: edges.select("Set", "items", "freq").distinct()),
+    f"select Set, array_to_string(items, ',') items, freq from ({_ITEMSETS}) x")
+add("closed_itemsets", _itemsets(M.closed_itemsets),
+    _itemsets_sql("len(g.items)=len(f.items)+1 and list_has_all(g.items, f.items)"))
+add("generator_itemsets", _itemsets(M.generators),
+    _itemsets_sql("len(g.items)=len(f.items)-1 and list_has_all(f.items, g.items)")
+    + f""" and not (len(items)=1 and freq=(select any_value(n) from
+       ({' union all '.join(f"select '{name}' as Set, n from {prefix}_n" for name, prefix in _SETS.items())}) b
+       where b.Set=f.Set))""")
 _TABLE_COLUMNS = """'{' || array_to_string(ante, ',') || '} => {' || cons || '}' rules, round(support,6) support,
    round(confidence,6) confidence, round(lift,6) lift, count_both as count"""
-add("rules_table", lambda s: rounded(M.rules_table(_rules(s)), "support", "confidence", "lift"),
+add("rules_table", lambda s: rounded(M.rules_table(_rules(s.lattice)).drop("Set"), "support", "confidence", "lift"),
     f"select {_TABLE_COLUMNS} from every_rules")
 
 
 def _course_patterns(s: Session) -> DataFrame:
-    tables = laurel.course_patterns(s.domain, s.calendar, confidence=Q.PATTERN_CONFIDENCE)
-    result = None
-    for name, table in tables.items():
-        named = table.withColumn("Pattern", F.lit(name))
-        result = named if result is None else result.unionByName(named)
-    return rounded(result, "support", "confidence", "lift")
+    rules = laurel.course_rules(s.domain, s.calendar, confidence=Q.PATTERN_CONFIDENCE)
+    return rounded(rules.withColumnRenamed("Set", "Pattern"), "support", "confidence", "lift")
 
 
 add("course_patterns", _course_patterns, " union all ".join(
     f"select '{name}' as Pattern, {_TABLE_COLUMNS} from {prefix}_pruned"
-    for name, prefix in (("all", "every"), ("success", "success"), ("failure", "failure"))))
+    for name, prefix in _SETS.items()))
 
 
 def _distribution_sql(split: Q.Split) -> str:
@@ -1125,7 +1155,7 @@ for mode in Q.MODES:
                    f'"Group", Award_Type{", " + split.column if split.mode else ""}'))
     cells = f"""select Award_Type, {split.keys} {_COHORT}, count(*) "Count" from {split.source('rolling')} x group by all"""
     add(f"report_change_completers{split.suffix}",
-        lambda s, strata=strata: laurel.report_change_completers(s.rolling, strata),
+        lambda s, strata=strata: laurel.report_change_completers(s.spans, strata),
         _filled_sql(_plain_share(cells, "Award_Type, Completion_Cohort_Key"),
                     ["Award_Type", split.column, _COHORT], _COUNT_SHARE) if split.mode else
         f"select *, 1.0::double Proportion, '100.0 %' Proportion_Label from ({cells}) c")
@@ -1149,7 +1179,7 @@ add("report_change_efficiency", lambda s: laurel.report_change_efficiency(s.effi
     """select Completion_Cohort_Key, Completion_Cohort, Award_Type, Completers, round(FTES,2) FTES,
        round(FTEF,2) FTEF, round(Efficiency,2) Efficiency from efficiency""")
 add("report_change_time",
-    lambda s: laurel.report_change_time(s.rolling, seasons=["Fall", "Spring"]),
+    lambda s: laurel.report_change_time(s.spans, seasons=["Fall", "Spring"]),
     f"""select Award_Type, {_COHORT}, count(*) Group_Size, median(Terms_to_Complete/4.0::double) Median_Years,
         (select median(Terms_to_Complete/4.0::double) from rolling where Term in ('Fall','Spring')) Median_Years_Overall
         from rolling where Term in ('Fall','Spring') group by Award_Type, {_COHORT}""")
@@ -1189,7 +1219,7 @@ add("report_online_selected",
         from {_status_cells('online').replace('GROUPED', _only('awards_all', _CHOSEN) + ' a')} x group by all""",
         "Award_Type, Academic_Year_Key"), ["Award_Type", "Online_Status", _YEAR], _COUNT_SHARE))
 add("report_change_completers_selected",
-    lambda s: laurel.report_change_completers(s.rolling, _FEW, CHOSEN_AWARDS, CHOSEN_SEASONS),
+    lambda s: laurel.report_change_completers(s.spans, _FEW, CHOSEN_AWARDS, CHOSEN_SEASONS),
     _filled_sql(_plain_share(f"""select Award_Type, Ethnicity, {_COHORT}, count(*) "Count"
         from {_FEW_SQL.source(_only('rolling', f'{_CHOSEN} and {_SEASONS}'))} x group by all""",
         "Award_Type, Completion_Cohort_Key"), ["Award_Type", "Ethnicity", _COHORT], _COUNT_SHARE))
@@ -1198,7 +1228,7 @@ add("report_change_efficiency_selected",
     f"""select {_COHORT}, Award_Type, Completers, round(FTES,2) FTES, round(FTEF,2) FTEF,
         round(Efficiency,2) Efficiency from efficiency where {_CHOSEN} and {_SEASONS}""")
 add("report_change_time_selected",
-    lambda s: laurel.report_change_time(s.rolling, _FEW, CHOSEN_AWARDS, CHOSEN_SEASONS),
+    lambda s: laurel.report_change_time(s.spans, _FEW, CHOSEN_AWARDS, CHOSEN_SEASONS),
     f"""select Award_Type, Ethnicity, {_COHORT}, count(*) Group_Size, median(Terms_to_Complete/4.0::double) Median_Years
         from {_FEW_SQL.source(_only('rolling', f'{_CHOSEN} and {_SEASONS}'))} x
         group by Award_Type, Ethnicity, {_COHORT}""")

@@ -4,9 +4,9 @@ from laurel.operators.selection import (
     ACADEMIC_YEAR, AWARD_TERM, COMPLETION_COHORT, UNSPLIT, Period, Strata,
 )
 from laurel.plans.datasets import (
-    active_program_names, awards_all, awards_cohort, course_completers, course_patterns,
+    active_program_names, awards_all, awards_cohort, course_completers, course_patterns, course_rules,
     course_takers, efficiency,
-    program_codes, rolling_cohorts, survival_person_period, top_program_courses,
+    program_codes, rolling_cohorts, rolling_spans, survival_person_period, top_program_courses,
 )
 from laurel.plans.reports import (
     completers, efficiency_series, report_change_completers, report_change_efficiency,
@@ -21,9 +21,9 @@ from laurel.sources.sinks import report_columns, write_report
 __all__ = [
     "ACADEMIC_YEAR", "AWARD_TERM", "COMPLETION_COHORT", "SCHEMAS", "UNSPLIT", "Calendar", "Domain",
     "Period", "Strata", "active_program_names", "awards_all", "awards_cohort", "completers",
-    "course_completers", "course_patterns", "course_takers", "derive_domain", "efficiency", "efficiency_series",
+    "course_completers", "course_patterns", "course_rules", "course_takers", "derive_domain", "efficiency", "efficiency_series",
     "program_codes", "report_change_completers", "report_change_efficiency", "report_change_time",
     "report_columns", "report_completers", "report_course_taking", "report_online", "report_sgec",
-    "report_time_to_award", "rolling_cohorts", "survival_person_period", "time_boxplot",
+    "report_time_to_award", "rolling_cohorts", "rolling_spans", "survival_person_period", "time_boxplot",
     "time_density", "time_histogram", "top_program_courses", "write_report",
 ]

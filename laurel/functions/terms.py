@@ -65,6 +65,12 @@ def term_index(term: Column) -> Column:
     return term - term_year(term) * 6
 
 
+def term_of_index(index: Column) -> Column:
+    """Term code of a running number."""
+    year = F.call_function("div", index, F.lit(4)).cast("int")
+    return index + year * 6
+
+
 def terms_between(later: Column, earlier: Column) -> Column:
     """Signed number of terms, four to a year."""
     return term_index(later) - term_index(earlier)

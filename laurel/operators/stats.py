@@ -41,7 +41,11 @@ def group_medians(df: DataFrame, keys: Sequence[str], overall: bool = False) ->
     The overall median is a scalar subquery over the same weighted values, so both read
     one shuffle of them.
     """
-    weights = weighted_values(df, keys)
+    return weighted_medians(weighted_values(df, keys), keys, overall)
+
+
+def weighted_medians(weights: DataFrame, keys: Sequence[str], overall: bool = False) -> DataFrame:
+    """`group_medians` of rows (keys..., Years, n) that stand for n values each."""
     medians = weights.groupBy(*keys).agg(
         F.sum(WEIGHT).alias("Group_Size"), _percentile(0.5).alias("Median_Years")
     )
@@ -137,7 +141,12 @@ def boxplot(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Outliers are listed as distinct values with their counts.
     """
-    groups = weighted_values(df, keys).groupBy(*keys).agg(
+    return weighted_boxplot(weighted_values(df, keys), keys)
+
+
+def weighted_boxplot(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`boxplot` of rows (keys..., Years, n) that stand for n values each."""
+    groups = weights.groupBy(*keys).agg(
         F.sum(WEIGHT).alias("Group_Size"),
         _percentile([0.25, 0.5, 0.75]).alias("_q"),
         F.array_sort(F.collect_list(F.struct(F.col(VALUE).alias("value"), F.col(WEIGHT).alias("n"))))

@@ -17,7 +17,7 @@ from laurel.operators import courses as C
 from laurel.operators import mining as M
 from laurel.operators import survival as S
 from laurel.operators.paths import join_path_totals, path_terms, term_effort
-from laurel.operators.rolling import explode_completion_cohorts
+from laurel.operators.rolling import END, START, cohorts_of_span, with_span, without_overlap
 from laurel.operators.selection import among, drop_incomplete, filter_catalog_window
 from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
@@ -131,10 +131,14 @@ def cohort_award_terms(domain: Domain, calendar: Calendar, majors: Sequence[str]
     return calendar.with_term_as_of(awards, "Award_Date", "Year_Semester")
 
 
-def rolling_cohorts(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
-                    colleges: Sequence[str] = COLLEGES, cohort_length: int = 6,
-                    look_back: int = 7) -> DataFrame:
-    """One row per award and completion cohort it counts in."""
+def rolling_spans(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
+                  colleges: Sequence[str] = COLLEGES, cohort_length: int = 6,
+                  look_back: int = 7) -> DataFrame:
+    """One row per award with the run of completion cohorts it counts in.
+
+    This is what the reports on change are made of; `rolling_cohorts` lists the same as a row
+    per award and cohort.
+    """
     first = calendar.years_back(cohort_length)
     awards = cohort_award_terms(domain, calendar, majors, colleges, cohort_length, look_back, countable=True)
     awards = A.join_award_student(awards, domain.students)
@@ -142,17 +146,27 @@ def rolling_cohorts(domain: Domain, calendar: Calendar, majors: Sequence[str] |
         awards.select("Cohort", "College", "Major_Code", "Award_Type", "Year_Semester",
                       "Gender", "Ethnicity")
     )
-    rolled = explode_completion_cohorts(complete, first, calendar.current_term, cohort_length,
-                                        keep_unmatched=False)
-    completion = F.col("Completion_Cohort")
-    return rolled.select(
-        completion.alias("Completion_Cohort_Key"),
-        T.term_label(completion).alias("Completion_Cohort"),
+    spans = with_span(complete, first, calendar.current_term, cohort_length)
+    return spans.select(
         "College", "Major_Code",
         award_name(F.col("Award_Type")).alias("Award_Type"),
         recode_gender(F.col("Gender")).alias("Gender"),
         known_ethnicity(F.col("Ethnicity")).alias("Ethnicity"),
         T.terms_between(F.col("Year_Semester"), F.col("Cohort")).alias("Terms_to_Complete"),
+        START, END,
+    )
+
+
+def rolling_cohorts(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
+                    colleges: Sequence[str] = COLLEGES, cohort_length: int = 6,
+                    look_back: int = 7) -> DataFrame:
+    """One row per award and completion cohort it counts in."""
+    spans = rolling_spans(domain, calendar, majors, colleges, cohort_length, look_back)
+    completion = T.term_of_index(F.col("_at"))
+    return spans.select("*", F.explode(cohorts_of_span()).alias("_at")).select(
+        completion.alias("Completion_Cohort_Key"),
+        T.term_label(completion).alias("Completion_Cohort"),
+        "College", "Major_Code", "Award_Type", "Gender", "Ethnicity", "Terms_to_Complete",
         T.term_season(completion).alias("Term"),
     )
 
@@ -160,7 +174,12 @@ def rolling_cohorts(domain: Domain, calendar: Calendar, majors: Sequence[str] |
 def efficiency(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
                colleges: Sequence[str] = COLLEGES, cohort_length: int = 6,
                look_back: int = 7) -> DataFrame:
-    """Completers and the teaching effort of their paths, per completion cohort."""
+    """Completers and the teaching effort of their paths, per completion cohort.
+
+    Sums are taken per program and run of cohorts before cohorts are listed, so no award is
+    repeated. A student counts once per program and cohort: of overlapping runs only the part
+    that no earlier one covers counts people (`without_overlap`).
+    """
     first, current = calendar.years_back(cohort_length), calendar.current_term
     dated = cohort_award_terms(domain, calendar, majors, colleges, cohort_length, look_back, countable=True)
     # Awards of one program and term follow the same path; they only weigh more.
@@ -169,15 +188,19 @@ def efficiency(domain: Domain, calendar: Calendar, majors: Sequence[str] | None
     completers = awards.select("Student_Id", "College", "Cohort").distinct()
     effort = term_effort(domain.enrollments, domain.sections2, current, first - look_back * 10, completers)
     paths = join_path_totals(awards, path_terms(effort, completers))
-    rolled = explode_completion_cohorts(paths, first, current, cohort_length, keep_unmatched=False)
+    program = ["College", "Major_Code", "Award_Type"]
+    spans = without_overlap(with_span(paths, first, current, cohort_length), ["Student_Id", *program])
+    runs = spans.groupBy(*program, START, END, "Fresh").agg(
+        F.count(F.lit(1)).alias("People"), F.sum("FTES").alias("FTES"), F.sum("FTEF").alias("FTEF"))
+    listed = runs.select("*", F.explode(cohorts_of_span()).alias("_at"))
     fte_students, fte_faculty = F.sum("FTES"), F.sum("FTEF")
-    groups = rolled.groupBy("Completion_Cohort", "College", "Major_Code", "Award_Type").agg(
-        F.count_distinct("Student_Id").alias("Completers"),
+    groups = listed.groupBy("_at", *program).agg(
+        F.sum(F.when(F.col("_at") >= F.col("Fresh"), F.col("People")).otherwise(0)).alias("Completers"),
         fte_students.alias("FTES"),
         fte_faculty.alias("FTEF"),
         F.try_divide(fte_students, fte_faculty).alias("Efficiency"),
     )
-    completion = F.col("Completion_Cohort")
+    completion = T.term_of_index(F.col("_at"))
     return drop_incomplete(groups).select(
         completion.alias("Completion_Cohort_Key"),
         T.term_label(completion).alias("Completion_Cohort"),
@@ -230,23 +253,26 @@ def top_program_courses(domain: Domain, calendar: Calendar, major: str, award_ty
     return C.append_courses(top, special_courses, count_cutoff)
 
 
-def course_patterns(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
-                    colleges: Sequence[str] = COLLEGES, years: int = 6,
-                    success_cutoff: float = 0.75, failure_cutoff: float = 0.5,
-                    min_students: int = 5, confidence: float = 0.8,
-                    max_items: int | None = None) -> dict[str, DataFrame]:
-    """Pruned rule tables for all, successful and unsuccessful student terms."""
+def course_rules(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
+                 colleges: Sequence[str] = COLLEGES, years: int = 6,
+                 success_cutoff: float = 0.75, failure_cutoff: float = 0.5,
+                 min_students: int = 5, confidence: float = 0.8,
+                 max_items: int | None = None) -> DataFrame:
+    """Pruned rule tables for all, successful and unsuccessful student terms, told apart by Set.
+
+    Baskets are mined once; they, their itemsets and the lattice are all that is stored.
+    """
     baskets = cut_lineage(stored_baskets(domain, calendar, majors, colleges, years))
-    sets = {
-        "all": baskets,
-        "success": M.success_baskets(baskets, success_cutoff),
-        "failure": M.failure_baskets(baskets, failure_cutoff),
-    }
-    return {
-        name: M.rules_table(M.prune_rules(M.association_rules(
-            chosen, min_students, confidence, max_items)))
-        for name, chosen in sets.items()
-    }
+    sets = M.basket_sets(success_cutoff, failure_cutoff)
+    lattice = cut_lineage(M.itemset_lattice(M.frequent_itemsets(baskets, sets, min_students)))
+    return M.rules_table(M.prune_rules(M.lattice_rules(lattice, confidence, max_items)))
+
+
+def course_patterns(*args, **options) -> dict[str, DataFrame]:
+    """`course_rules` as a table per set of baskets."""
+    rules = course_rules(*args, **options)
+    return {name: rules.where(F.col("Set") == name).drop("Set")
+            for name in (M.ALL_BASKETS, *M.basket_sets())}
 
 
 def stored_baskets(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from laurel.functions.levels import ONLINE_STATUSES, SGEC_STATUSES
 from laurel.functions.recode import round_measure, share_status
-from laurel.functions.terms import years_from_terms
+from laurel.functions.terms import term_season, years_from_terms
 from laurel.operators import stats
 from laurel.operators.counting import (
     count_cells, label_groups, running_count, with_label, with_share,
 )
 from laurel.operators.courses import course_distribution, course_heatmap
 from laurel.operators.gapfill import fill_observed
+from laurel.operators.rolling import count_by_cohort
 from laurel.operators.selection import (
     ACADEMIC_YEAR, COMPLETION_COHORT, UNSPLIT, Period, Strata, complete_awards,
     drop_incomplete, filter_award_types, filter_season,
@@ -97,11 +98,30 @@ def report_online(groups: Groups, limit: float, period: Period = ACADEMIC_YEAR,
                           award_types, fill)
 
 
-def change_in_completers(rolling: DataFrame, strata: Strata = UNSPLIT,
+def _in_seasons(cells: DataFrame, seasons: Sequence[str] | None) -> DataFrame:
+    """Cells of the completion cohorts in these seasons."""
+    return cells if seasons is None else cells.where(
+        term_season(F.col(COMPLETION_COHORT.key)).isin(list(seasons)))
+
+
+def change_in_completers(spans: DataFrame, strata: Strata = UNSPLIT,
                          award_types: Sequence[str] | None = None,
                          seasons: Sequence[str] | None = None) -> DataFrame:
-    chosen = filter_season(filter_award_types(rolling, award_types), seasons)
-    return count_cells(strata.apply(chosen), ["Award_Type", *strata.columns, COMPLETION_COHORT.key])
+    """Completers per completion cohort and award type (and stratum) from `rolling_spans`."""
+    chosen = strata.apply(filter_award_types(spans, award_types))
+    return _in_seasons(count_by_cohort(chosen, ["Award_Type", *strata.columns]), seasons)
+
+
+def sliding_histogram(spans: DataFrame, strata: Strata = UNSPLIT,
+                      award_types: Sequence[str] | None = None,
+                      seasons: Sequence[str] | None = None) -> DataFrame:
+    """(Award_Type, stratum, Completion_Cohort_Key, Years, n): how many awards of each time are in
+    the cohort's window. The window slides by the borders of `rolling_spans`, one sweep per time;
+    medians and boxes follow from the counts."""
+    chosen = strata.apply(filter_award_types(spans, award_types))
+    timed = chosen.withColumn(stats.VALUE, years_from_terms(F.col("Terms_to_Complete")))
+    weights = count_by_cohort(timed, ["Award_Type", *strata.columns, stats.VALUE], stats.WEIGHT)
+    return _in_seasons(weights, seasons)
 
 
 def change_shares(cells: DataFrame, strata: Strata = UNSPLIT) -> DataFrame:
@@ -111,11 +131,11 @@ def change_shares(cells: DataFrame, strata: Strata = UNSPLIT) -> DataFrame:
     return with_share(strata.known(cells), ["Award_Type", COMPLETION_COHORT.key])
 
 
-def report_change_completers(rolling: DataFrame, strata: Strata = UNSPLIT,
+def report_change_completers(spans: DataFrame, strata: Strata = UNSPLIT,
                              award_types: Sequence[str] | None = None,
                              seasons: Sequence[str] | None = None) -> DataFrame:
     """Completers per completion cohort; zero cells are added only to a split report."""
-    cells = change_in_completers(rolling, strata, award_types, seasons)
+    cells = change_in_completers(spans, strata, award_types, seasons)
     shares = change_shares(cells, strata)
     if strata.column is None:
         return COMPLETION_COHORT.with_label(shares)
@@ -140,24 +160,25 @@ def efficiency_series(efficiency: DataFrame, award_types: Sequence[str] | None =
     return COMPLETION_COHORT.with_label(filled)
 
 
-def report_change_time(rolling: DataFrame, strata: Strata = UNSPLIT,
+def report_change_time(spans: DataFrame, strata: Strata = UNSPLIT,
                        award_types: Sequence[str] | None = None,
                        seasons: Sequence[str] | None = None) -> DataFrame:
     """Group size and median years to award per completion cohort.
 
     Unsplit, `Median_Years_Overall` repeats the median over all rows of the report.
     """
-    chosen = strata.apply(filter_season(filter_award_types(rolling, award_types), seasons))
+    weights = sliding_histogram(spans, strata, award_types, seasons)
     keys = ["Award_Type", *strata.columns, COMPLETION_COHORT.key]
-    medians = stats.group_medians(chosen, keys, overall=strata.column is None)
+    medians = stats.weighted_medians(weights, keys, overall=strata.column is None)
     return COMPLETION_COHORT.with_label(strata.known(medians))
 
 
-def time_boxplot(rolling: DataFrame, strata: Strata = UNSPLIT,
+def time_boxplot(spans: DataFrame, strata: Strata = UNSPLIT,
                  award_types: Sequence[str] | None = None,
                  seasons: Sequence[str] | None = None) -> DataFrame:
-    chosen = strata.apply(filter_season(filter_award_types(rolling, award_types), seasons))
-    boxes = stats.boxplot(chosen, ["Award_Type", *strata.columns, COMPLETION_COHORT.key])
+    """Boxes of the years to award per completion cohort."""
+    weights = sliding_histogram(spans, strata, award_types, seasons)
+    boxes = stats.weighted_boxplot(weights, ["Award_Type", *strata.columns, COMPLETION_COHORT.key])
     return COMPLETION_COHORT.with_label(boxes)
 
 

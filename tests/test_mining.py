@@ -68,7 +68,7 @@ def test_support_is_not_raised_by_rounding(spark):
 
 
 def test_few_baskets_use_the_largest_support(spark):
-    assert M.minimum_support(10, 5) == 0.3
+    assert M.needed_count(10, 5) == 3 and M.needed_count(17, 5) == 5 and M.needed_count(0, 5) == 5
     sets = [{"a", "b"}] * 3 + [{"c"}] * 7
     assert (("a",), "b") in found(M.association_rules(baskets(spark, sets)))
 
@@ -108,3 +108,71 @@ def test_completion_bands(spark):
                                "Completion double, Courses array<string>")
     assert [r["Courses"] for r in M.success_baskets(df).collect()] == [["a"]]
     assert [r["Courses"] for r in M.failure_baskets(df).collect()] == [["b"]]
+
+
+def by_force_itemsets(sets, least):
+    counts = {}
+    for basket in sets:
+        for size in range(1, len(basket) + 1):
+            for items in itertools.combinations(sorted(basket), size):
+                counts[items] = counts.get(items, 0) + 1
+    return {i: c for i, c in counts.items() if c >= least}
+
+
+def labelled(spark, seed, n=150):
+    source = random.Random(seed)
+    rows = [(source.choice([None, 0.2, 0.5, 0.6, 0.75, 1.0]), sorted(source.sample("abcdefg", source.randint(1, 5))))
+            for _ in range(n)] + [(0.9, list("abcd"))] * (n // 3)
+    return rows, spark.createDataFrame(rows, "Completion double, Courses array<string>").repartition(5)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_one_mining_serves_all_sets(spark, monkeypatch, seed):
+    rows, df = labelled(spark, seed)
+    fits = []
+    own = M.FPGrowth.fit
+    monkeypatch.setattr(M.FPGrowth, "fit", lambda self, data: (fits.append(1), own(self, data))[1])
+    itemsets = M.frequent_itemsets(df, M.basket_sets(), min_students=6)
+    assert len(fits) == 1
+    chosen = {
+        "all": [c for _, c in rows], "success": [c for x, c in rows if x is not None and x >= 0.75],
+        "failure": [c for x, c in rows if x is not None and x <= 0.5]}
+    for name, sets in chosen.items():
+        found = dicts(itemsets.where(f"Set = '{name}'"))
+        assert {tuple(r["items"]): r["freq"] for r in found} == by_force_itemsets(sets, M.needed_count(len(sets), 6))
+        assert {r["baskets"] for r in found} == {len(sets)}
+
+
+def test_overlapping_sets_and_an_empty_one(spark):
+    rows, df = labelled(spark, 5)
+    sets = {"high": M.F.col("Completion") >= 0.5, "low": M.F.col("Completion") <= 0.75, "none": M.F.col("Completion") > 2}
+    itemsets = M.frequent_itemsets(df, sets, min_students=4)
+    for name, kept in (("high", lambda x: x >= 0.5), ("low", lambda x: x <= 0.75)):
+        own = [c for x, c in rows if x is not None and kept(x)]
+        assert {tuple(r["items"]): r["freq"] for r in dicts(itemsets.where(f"Set = '{name}'"))} == by_force_itemsets(own, 4)
+    assert itemsets.where("Set = 'none'").count() == 0
+
+
+def test_closed_itemsets_and_generators(spark):
+    rows, _ = labelled(spark, 7)
+    rows = [(x, sorted({*c, *("f" if "g" in c else "")})) for x, c in rows]  # g never without f
+    df = spark.createDataFrame(rows, "Completion double, Courses array<string>")
+    lattice = M.itemset_lattice(M.frequent_itemsets(df, None, min_students=5)).cache()
+    counts = by_force_itemsets([c for _, c in rows], 5)
+    closed = {i for i, c in counts.items() if not any(set(i) < set(j) and c == d for j, d in counts.items())}
+    free = {i for i, c in counts.items() if c < len(rows) and not any(set(j) < set(i) and c == d for j, d in counts.items())}
+    assert {tuple(r["items"]) for r in dicts(M.closed_itemsets(lattice))} == closed
+    assert {tuple(r["items"]) for r in dicts(M.generators(lattice))} == free
+    assert len(closed) < len(counts)
+    # Every rule that stays has a generator, or nothing, on its left side.
+    kept = M.prune_rules(M.lattice_rules(lattice, 0.3))
+    assert {tuple(r["antecedent"]) for r in dicts(kept)} <= free | {()}
+
+
+def test_sets_are_pruned_apart(spark):
+    schema = "Set string, antecedent array<string>, consequent string, support double, confidence double, lift double"
+    rules = spark.createDataFrame(
+        [("x", ["a"], "z", 0.5, 0.9, 1.0), ("x", ["a", "b"], "z", 0.4, 0.9, 1.0), ("y", ["a", "b"], "z", 0.4, 0.9, 1.0),
+         ("y", ["c"], "z", 0.4, 0.9, 1.0), ("y", ["a", "b", "c", "d"], "z", 0.4, 0.8, 1.0)], schema)
+    assert {(r["Set"], tuple(r["antecedent"])) for r in dicts(M.prune_rules(rules))} == {
+        ("x", ("a",)), ("y", ("a", "b")), ("y", ("c",))}

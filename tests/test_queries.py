@@ -77,3 +77,29 @@ def test_sorted_frames_keep_their_order(spark):
 def test_reports_that_need_no_units_do_not_scan_enrollments(spark):
     assert "lineitem" not in plan_text(spark, "report_completers_gender")
     assert "lineitem" in plan_text(spark, "report_sgec")
+
+
+def _below(node, wanted):
+    """The nearest nodes of these kinds under each Generate of an optimized plan."""
+    found, open_nodes = [], [node]
+    while open_nodes:
+        node = open_nodes.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        open_nodes += children
+        if node.nodeName() == "Generate":
+            under = children[0]
+            while under.nodeName() not in wanted:
+                under = under.children().apply(0)
+            found.append(under.nodeName())
+    return found
+
+
+@pytest.mark.parametrize("name", [
+    "change_in_completers", "report_change_completers_gender", "median_time_to_award_ethnicity",
+    "time_boxplot", "report_change_time", "efficiency"])
+def test_only_counted_runs_are_listed_by_cohort(spark, name):
+    """No award is repeated per cohort: what is exploded has been aggregated before."""
+    plan = CHECKS[name].plan(session_for(spark, FOLDER))._jdf.queryExecution().optimizedPlan()
+    # Paths deal the short list of students to groups; that is the only other list.
+    nearest = _below(plan, {"Aggregate", "Window", "Join"})
+    assert nearest and set(nearest) <= {"Aggregate", "Window"}
