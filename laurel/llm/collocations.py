@@ -9,8 +9,10 @@ A phrase can only be frequent if its parts are, so what may be frequent follows
 2. One pass over all documents counts the proposals and their negative border exactly: all words,
    pairs of two proposed words, and phrases of two proposed pairs.
 3. A word or pair that turns out frequent without having been proposed is a failure of the border.
-   The words and pairs now known as frequent replace the proposals and another pass counts what
-   they admit and no earlier pass has counted, until no pass has a failure.
+   Another pass then takes the words and pairs known as frequent for the proposals and counts what
+   they admit and no earlier pass has counted. Its border is wider: a pair that this pass is the
+   first to count may be frequent, so phrases of three words are counted over such pairs too. The
+   first pass has counted all words, so this closes the border.
 
 The sample changes only which pass counts a phrase, never the result. Proposals reach the tasks as
 bit tables of a fixed size (`BitTable`). A table may admit too much, which costs counts but changes no
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,7 +42,7 @@ SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
 STOP = b"."  # stands between pieces; no word can hold it
 _SPLIT = bytes(STOP[0] if b in SEPARATORS else b for b in range(256))
-CHUNK = 16 << 20  # bytes of text counted together
+CHUNK = 8 << 20  # bytes of text counted together
 EMITTED = 100_000  # rows of a batch
 COUNTS = "lang string, size int, phrase string, n long"
 
@@ -72,6 +75,10 @@ class BitTable:
         place = hashes >> np.uint64(64 - self.width)
         return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
+    def beyond(self, other: BitTable) -> bool:
+        """Whether it holds a bit that the other one doesn't."""
+        return bool((self.bits & ~other.bits).any())
+
     @staticmethod
     def of(phrases: DataFrame, width: int) -> BitTable:
         """Table of the words or pairs in (lang, phrase), put together by Spark."""
@@ -99,17 +106,16 @@ class BitTable:
 class Pass:
     """What one reading of the documents counts.
 
-    Words, if `words`. Pairs of words in `pair_words` (any, if None) that are not both in one of
-    `pair_words_before`. Phrases of three words whose two pairs are in `pairs` (none, if None) and
-    not both in one of `pairs_before`.
+    Words, if it is the `first`. Pairs of words in `words` (any, if None) that are not both in
+    `words_before`. Phrases of three words whose two pairs are in `pairs` (none, if None) and not both
+    in `pairs_before`; after the first pass the pairs that are counted now stand beside `pairs`.
     """
 
-    words: bool
-    pair_words: BitTable | None
-    pair_words_before: tuple[BitTable, ...] = ()
+    first: bool
+    words: BitTable | None
     pairs: BitTable | None = None
-    pairs_before: tuple[BitTable, ...] = ()
-    skip_pairs: bool = False
+    words_before: BitTable | None = None
+    pairs_before: BitTable | None = None
 
 
 class _Numbers(dict):
@@ -128,38 +134,47 @@ def _both(table: BitTable, hashes: np.ndarray, left: np.ndarray, right: np.ndarr
     return known[left] & known[right]
 
 
-def count_chunk(lang: str, texts: list[bytes], step: Pass) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+Counted = tuple[int, pa.Array, np.ndarray]
+
+
+def count_chunk(lang: str, texts: list[bytes], step: Pass) -> Iterator[Counted]:
     """(size, phrases, counts) of the texts, with size 0 for the number of words."""
     numbers = _Numbers()
-    ids = np.array([numbers[w] for w in tokens(STOP.join(texts))], dtype=np.int64)
-    words = np.array(list(numbers), dtype=object)
-    if step.words:
-        counts = np.bincount(ids, minlength=len(words))[1:]
-        yield 0, np.array([b""], dtype=object), np.array([counts.sum()])
-        yield 1, words[1:], counts
-    hashes = word_hashes(lang, words.tolist())
+    words = tokens(STOP.join(texts))
+    ids = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+    del words
+    base = len(numbers)
+    names = pa.array(list(numbers), pa.binary())
+    if step.first:
+        counts = np.bincount(ids, minlength=base)[1:]
+        yield 0, pa.array([b""]), np.array([counts.sum()])
+        yield 1, names[1:], counts
+    hashes = word_hashes(lang, list(numbers))
+
+    def phrases(*parts: np.ndarray) -> pa.Array:
+        return pc.binary_join_element_wise(*[names.take(pa.array(p)) for p in parts], b" ")
+
     left, right = ids[:-1], ids[1:]
     inside = (left > 0) & (right > 0)
-    base = len(words)
-    if not step.skip_pairs:
-        wanted = inside if step.pair_words is None else inside & _both(step.pair_words, hashes, left, right)
-        for table in step.pair_words_before:
-            wanted &= ~_both(table, hashes, left, right)
-        codes, counts = np.unique((left * base + right)[wanted], return_counts=True)
-        yield 2, words[codes // base] + b" " + words[codes % base], counts
+    wanted = inside if step.words is None else inside & _both(step.words, hashes, left, right)
+    if step.words_before is not None:
+        wanted &= ~_both(step.words_before, hashes, left, right)
+    codes, counts = np.unique((left * base + right)[wanted], return_counts=True)
+    yield 2, phrases(codes // base, codes % base), counts
     if step.pairs is not None and len(ids) > 2:
         own = pair_hashes(hashes[left], hashes[right])
         known = step.pairs.has(own) & inside
-        wanted = known[:-1] & known[1:]
-        for table in step.pairs_before:
-            known = table.has(own)
-            wanted &= ~(known[:-1] & known[1:])
-        at = np.flatnonzero(wanted)
+        if not step.first:
+            known |= wanted
+        both = known[:-1] & known[1:]
+        if step.pairs_before is not None:
+            earlier = step.pairs_before.has(own)
+            both &= ~(earlier[:-1] & earlier[1:])
+        at = np.flatnonzero(both)
         pairs, number = np.unique(ids[at] * base + ids[at + 1], return_inverse=True)
         codes, counts = np.unique(number * base + ids[at + 2], return_counts=True)
-        first = pairs[codes // base]
-        phrases = words[first // base] + b" " + words[first % base] + b" " + words[codes % base]
-        yield 3, phrases, counts
+        pair = pairs[codes // base]
+        yield 3, phrases(pair // base, pair % base, codes % base), counts
 
 
 def _counted(batches: Iterator[pa.RecordBatch], step: Pass) -> Iterator[pa.RecordBatch]:
@@ -170,10 +185,9 @@ def _counted(batches: Iterator[pa.RecordBatch], step: Pass) -> Iterator[pa.Recor
         for lang, texts in held.items():
             for words, phrases, counts in count_chunk(lang, texts, step):
                 for a in range(0, len(phrases), EMITTED):
-                    some = pa.array(phrases[a:a + EMITTED], pa.binary()).cast(pa.string())
+                    some = phrases.slice(a, EMITTED).cast(pa.string())
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([lang]).take(pa.array(np.zeros(len(some), dtype=np.int64))),
-                        pa.array(np.full(len(some), words, dtype=np.int32)), some,
+                        pa.repeat(lang, len(some)), pa.repeat(pa.scalar(words, pa.int32()), len(some)), some,
                         pa.array(counts[a:a + EMITTED].astype(np.int64)),
                     ], ["lang", "size", "phrase", "n"])
         held.clear()
@@ -213,21 +227,14 @@ def frequent_phrases(texts: DataFrame, least: int = 10, share: float = 0.1, lowe
     limit = max(2, math.ceil(lowered * share * least))
     sample = counted(texts.where(chosen), Pass(True, None), limit)
     words, pairs = (BitTable.of(_of_size(sample, size), width) for size in (1, 2))
-    counts = [counted(texts, Pass(True, words, pairs=pairs), least)]
-    tried_words, tried_pairs = [words], [pairs]
-    while True:
-        known = counts[0]
-        for more in counts[1:]:
-            known = known.unionByName(more)
-        words, pairs = (BitTable.of(_of_size(known, size), width) for size in (1, 2))
-        new_words = (words.bits & ~tried_words[-1].bits).any()
-        new_pairs = (pairs.bits & ~tried_pairs[-1].bits).any()
-        if not new_words and not new_pairs:
-            return known, len(counts)
-        step = Pass(False, words, tuple(tried_words), pairs, tuple(tried_pairs), skip_pairs=not new_words)
-        counts.append(counted(texts, step, least))
-        tried_words.append(words)
-        tried_pairs.append(pairs)
+    known = counted(texts, Pass(True, words, pairs), least)
+    all_words, all_pairs = (BitTable.of(_of_size(known, size), width) for size in (1, 2))
+    if not all_words.beyond(words) and not all_pairs.beyond(pairs):
+        return known, 1
+    # All frequent words are known by now, so this pass counts every pair that can be frequent and
+    # hasn't been counted, and it admits all of them to longer phrases: nothing is left to fail.
+    more = counted(texts, Pass(False, all_words, all_pairs, words, pairs), least)
+    return known.unionByName(more), 2
 
 
 def collocations(counts: DataFrame, inside: int = 50) -> DataFrame:
