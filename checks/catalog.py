@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -27,7 +28,7 @@ from laurel.operators import selection as X
 from laurel.operators import survival as S
 from laurel.plans import datasets as D
 from laurel.plans import reports as V
-from laurel.sources.storage import cut_lineage
+from laurel.sources.storage import cut_lineage, shared_folder
 
 AS_OF = dt.date.fromisoformat(Q.AS_OF)
 COLLEGES = ("E",)
@@ -83,13 +84,24 @@ class Session:
     def completers(self, *details: str) -> dict[str, DataFrame]:
         return {L.ALL_COMPLETERS: self.awards(*details)}
 
-    def groups(self, *details: str) -> dict[str, DataFrame]:
-        return {**self.completers(*details),
-                L.SIX_YEAR_COHORT: self._awards("awards_cohort", details)}
+    def groups(self, *details: str) -> DataFrame:
+        return self._awards("award_groups", details)
+
+    @cached_property
+    def course_taking(self) -> tuple[DataFrame, DataFrame]:
+        return D.course_taking(self.domain, self.calendar)
+
+    @property
+    def takers(self) -> DataFrame:
+        return self.course_taking[0]
 
     @property
     def cohort_students(self) -> DataFrame:
-        return D.course_completers(self.domain, self.calendar)
+        return self.course_taking[1]
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        return cut_lineage(laurel.number_students(self.domain.students))
 
     @cached_property
     def rolling(self) -> DataFrame:
@@ -103,10 +115,6 @@ class Session:
     def efficiency(self) -> DataFrame:
         return D.efficiency(self.domain, self.calendar)
 
-    @cached_property
-    def takers(self) -> DataFrame:
-        return D.course_takers(self.domain, self.calendar)
-
     def entry_cohorts(self, include_current: bool = False) -> DataFrame:
         return A.entry_cohorts(self.domain, self.first_cohort, self.current, COLLEGES, include_current)
 
@@ -158,10 +166,11 @@ class Check:
 CHECKS: dict[str, Check] = {}
 
 
-def add(name: str, plan: Callable[[Session], DataFrame], sql: str | None) -> None:
+def add(name: str, plan: Callable[[Session], DataFrame], sql: str | None, **changed: str) -> None:
+    """`changed` replaces named sub-queries of the SQL."""
     if name in CHECKS:
         raise ValueError(f"{name} is registered twice")
-    CHECKS[name] = Check(name, plan, None if sql is None else Q.compose(sql))
+    CHECKS[name] = Check(name, plan, None if sql is None else Q.compose(sql, changed))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -1235,3 +1244,135 @@ add("report_change_time_selected",
 add("report_course_taking_selected",
     lambda s: laurel.report_course_taking(s.takers, s.cohort_students, CHOSEN_AWARDS, _FEW),
     f"select * from ({_heatmap_sql(_FEW_SQL)}) x where {_CHOSEN}")
+
+# --- all split modes at once, and people ------------------------------------------------------
+
+def _modes_sql(table: str, fixed: str, measure: str, either: tuple[str, ...] = ("",)) -> str:
+    """The modes as grouping sets, with the stratum as Category."""
+    sets = ", ".join(
+        f"({', '.join(c for c in (fixed, *split, part) if c)})"
+        for split in ((), ("Gender",), ("Ethnicity",), ("Gender", "Ethnicity")) for part in either)
+    others = "".join(f", {c}, grouping({c.split(',')[0]}) without_{i}" for i, c in enumerate(either) if c)
+    return f"""(select case gg*2+ge when 0 then 'ethnicity_gender' when 1 then 'gender' when 2 then 'ethnicity' else 'none' end "Mode",
+          case gg*2+ge when 0 then Ethnicity || ' ' || Gender when 1 then Gender when 2 then Ethnicity else 'All Students' end Category, *
+        from (select {fixed}, Gender, Ethnicity{others}, grouping(Gender) gg, grouping(Ethnicity) ge, {measure}
+              from {table} group by grouping sets ({sets})) x
+        where (gg=1 or Gender is not null) and (ge=1 or Ethnicity is not null))"""
+
+
+add("report_completers_modes", lambda s: laurel.report_completers_modes(s.awards(D.STUDENT)),
+    _share_sql(f"""select "Mode", Category, Award_Type, case when without_0=0 then 'academic_year' else 'term' end "Scale",
+        case when without_0=0 then Academic_Year_Key else Year_Semester_Key end Period_Key,
+        case when without_0=0 then Academic_Year else Year_Semester end "Period", n "Count"
+        from {_modes_sql('awards_all', 'Award_Type', 'count(*) n', (_YEAR, _TERM))} m""",
+        '"Mode", "Scale", Award_Type, Period_Key'))
+add("report_change_completers_modes", lambda s: laurel.report_change_completers_modes(s.spans),
+    _share_sql(f"""select "Mode", Category, Award_Type, {_COHORT}, n "Count"
+        from {_modes_sql('rolling', f'Award_Type, {_COHORT}', 'count(*) n')} m""",
+        '"Mode", Award_Type, Completion_Cohort_Key'))
+_PROGRAM = "College, Major_Code, Award_Type"
+add("report_course_taking_modes", lambda s: laurel.report_course_taking_modes(s.takers, s.cohort_students),
+    f"""with counts as {_modes_sql('takers', f'{_PROGRAM}, Course', 'count(*) n')},
+        sizes as {_modes_sql('awards_cohort', _PROGRAM, 'count(*) Group_Size')},
+        shares as (select c."Mode", c.Category, c.College, c.Major_Code, c.Award_Type, Course, Group_Size,
+            n/Group_Size Proportion from counts c left join sizes g on c."Mode"=g."Mode" and c.Category=g.Category
+            and c.College=g.College and c.Major_Code=g.Major_Code and c.Award_Type=g.Award_Type)
+        select "Mode", {_PROGRAM}, Category, Course, Proportion from
+          (select *, max(Proportion) over part largest, count(*) over part = count(Proportion) over part complete
+           from shares window part as (partition by "Mode", {_PROGRAM}, Course)) x
+        where largest > 0.25 and complete and ("Mode"='none' or Group_Size >= 3)""")
+
+
+def _people_sql() -> str:
+    parts = []
+    for award in ("Award_Type", "'Any award'"):
+        for key, label in (("Academic_Year_Key", "Academic_Year"), ("0", "'All years'")):
+            rows = f"""(select Student_Id, Gender, Ethnicity, {award} as Award, {key} as Year_Key, {label} as Year_Label
+                from people_all where Academic_Year_Key is not null) p"""
+            parts.append(f"""select "Mode", Category, Award as Award_Type, Year_Key Academic_Year_Key,
+                Year_Label Academic_Year, People
+                from {_modes_sql(rows, 'Award, Year_Key, Year_Label', 'count(distinct Student_Id) People')} m""")
+    return " union all ".join(parts)
+
+
+add("distinct_completers",
+    lambda s: laurel.distinct_completers(s.awards(D.STUDENT, D.PERSON), s.numbers), _people_sql())
+add("change_in_people",
+    lambda s: laurel.change_in_people(D.rolling_spans(s.domain, s.calendar, person=True)),
+    f"""select "Mode", Category, Award_Type, {_COHORT}, People
+        from {_modes_sql('people_rolling', f'Award_Type, {_COHORT}', 'count(distinct Student_Id) People')} m""")
+
+# --- chosen majors, two colleges, other limits and ends ----------------------------------------
+
+CHOSEN_MAJORS = ["000100", "000300"]
+_MAJORS = f"Major_Code in {Q.texts(CHOSEN_MAJORS)}"
+_BOTH = {name: text.replace("in ('E')", "in ('E', 'W')") for name, text in Q.PARTS.items() if "in ('E')" in text}
+BOTH_COLLEGES = ("E", "W")
+
+
+def _built(build, *columns: str, **options) -> Callable[[Session], DataFrame]:
+    return lambda s: rounded(build(s.domain, s.calendar, **options), *columns)
+
+
+_EFFICIENCY = """select * replace (round(FTES,6) as FTES, round(FTEF,6) as FTEF, round(Efficiency,6) as Efficiency)
+   from efficiency"""
+_EFFORT = ("FTES", "FTEF", "Efficiency")
+add("awards_all_majors", _built(laurel.awards_all, majors=CHOSEN_MAJORS),
+    f"select {_DATASET} from awards_all where {_MAJORS}")
+add("efficiency_majors", _built(laurel.efficiency, *_EFFORT, majors=CHOSEN_MAJORS),
+    f"{_EFFICIENCY} where {_MAJORS}")
+add("course_takers_majors", _built(laurel.course_takers, majors=CHOSEN_MAJORS), f"select * from takers where {_MAJORS}")
+add("report_sgec_majors",
+    lambda s: laurel.report_sgec(laurel.award_groups(s.domain, s.calendar, CHOSEN_MAJORS, details=(D.UNITS,)), STATUS_LIMIT),
+    _filled_sql(_plain_share(f"""select "Group", Award_Type, SGEC_Status, {_YEAR}, count(*) "Count"
+        from {_status_cells('sgec').replace('GROUPED', f"""(select *, 'All completers' "Group" from awards_all union all
+          select *, 'Six-year cohort' "Group" from awards_cohort) u""")} x where {_MAJORS} group by all""",
+        '"Group", Award_Type, Academic_Year_Key'), ["Award_Type", "SGEC_Status", _YEAR], _COUNT_SHARE, within='"Group"'))
+add("efficiency_colleges", _built(laurel.efficiency, *_EFFORT, colleges=BOTH_COLLEGES), _EFFICIENCY, **_BOTH)
+add("rolling_cohorts_colleges", _built(laurel.rolling_cohorts, colleges=BOTH_COLLEGES), "select * from rolling", **_BOTH)
+add("report_change_completers_colleges",
+    lambda s: laurel.report_change_completers(D.rolling_spans(s.domain, s.calendar, colleges=BOTH_COLLEGES)),
+    f"""select *, 1.0::double Proportion, '100.0 %' Proportion_Label from
+        (select Award_Type, {_COHORT}, count(*) "Count" from rolling group by all) c""", **_BOTH)
+add("course_patterns_colleges",
+    lambda s: rounded(laurel.course_rules(s.domain, s.calendar, CHOSEN_MAJORS, BOTH_COLLEGES, confidence=Q.PATTERN_CONFIDENCE)
+                      .withColumnRenamed("Set", "Pattern"), "support", "confidence", "lift"),
+    " union all ".join(f"select '{name}' as Pattern, {_TABLE_COLUMNS} from {prefix}_pruned" for name, prefix in _SETS.items()),
+    **_BOTH, finishers=_BOTH.get("finishers", Q.PARTS["finishers"]) + f" and {_MAJORS}")
+COHORT_END = 20001
+_UNTIL = {"par": Q.PARTS["par"].replace("select arg_max(Year_Semester, Year_Semester) t", f"select {COHORT_END} t, count(*) n")}
+add("top_program_courses_until",
+    lambda s: laurel.top_program_courses(s.domain, s.calendar, Q.MAJOR, Q.AWARD, cohort_end=COHORT_END),
+    f"""select rank, Course from {_TOP.format(excluded=f'({_DEFAULT_SPECIAL})')} x
+        union all {_listed_sql(Q.SPECIAL_COURSES)}""", **_UNTIL)
+add("survival_person_period_until",
+    lambda s: rounded(laurel.survival_person_period(
+        s.domain, s.calendar, Q.MAJOR, Q.AWARD, PATTERN, first_course_term=Q.FIRST_COURSE_TERM, cohort_end=COHORT_END),
+        "Total_Award", "GPA"),
+    _SURVIVAL, **_UNTIL)
+LOW_LIMIT = 35
+for name, (column, *_rest) in _STATUS.items():
+    report = getattr(laurel, f"report_{name}")
+    add(f"report_{name}_low_limit",
+        lambda s, report=report: report(s.completers(D.UNITS), LOW_LIMIT),
+        _filled_sql(_plain_share(f"""select Award_Type, {column}_Status, {_YEAR}, count(*) "Count"
+            from {_status_cells(name).replace('GROUPED', 'awards_all').replace(f'>= {STATUS_LIMIT}', f'>= {LOW_LIMIT}')} x
+            group by all""", "Award_Type, Academic_Year_Key"), ["Award_Type", f"{column}_Status", _YEAR], _COUNT_SHARE))
+
+
+def _refreshed(s: Session, period: X.Period, strata: X.Strata) -> DataFrame:
+    """Stored as of an earlier term and without late rows, then refreshed with what has arrived since."""
+    before = s.current - 10
+    known = (F.col("Award_Date") < F.lit(dt.date(before // 10, 6, 10))) & (F.col("Student_Id") % 97 != 0)
+    earlier = laurel.Domain.from_frames(s.spark, **{
+        name: s.domain[name].where(known) if name == "awards" else s.domain[name] for name in laurel.SCHEMAS})
+    store = laurel.CompleterStore(s.spark, f"{shared_folder(s.spark)}/completers-{uuid.uuid4().hex}")
+    store.build(earlier, laurel.Calendar.load(earlier, dt.date(before // 10, 9, 1)))
+    store.refresh(s.domain, s.calendar, s.domain.awards.where(~known), before)
+    return store.report(s.calendar, period, strata)
+
+
+add("report_completers_refreshed", lambda s: _refreshed(s, X.ACADEMIC_YEAR, X.UNSPLIT),
+    _completers_sql(Q.Split(""), _YEAR, False))
+add("report_completers_refreshed_by_term", lambda s: _refreshed(s, X.AWARD_TERM, SPLITS["gender"]),
+    _completers_sql(Q.Split("gender"), _TERM, False))

@@ -218,6 +218,10 @@ PARTS["efficiency"] = f"""select Completion_Cohort Completion_Cohort_Key, {term_
   from efficiency_raw where Completion_Cohort is not null and FTES is not null and FTEF is not null
     and FTES/FTEF is not null"""
 
+# The same rows with the student, for counts of people.
+PARTS["people_all"] = PARTS["awards_all"].replace("select ", "select Student_Id, ", 1)
+PARTS["people_rolling"] = PARTS["rolling"].replace("select ", "select Student_Id, ", 1)
+
 # Courses.
 PARTS["studied"] = """select Student_Id, e.Year_Semester, Grade, Discipline, Course, Noncredit from enrollments e
   left join sections2 using (Section_Number, College, Year_Semester), par where Grade<>'E'"""
@@ -292,22 +296,23 @@ rules_parts("failure", "Completion <= 0.5")
 rules_parts("discipline", "true", "Discipline")
 
 
-def compose(body: str) -> str:
-    """Put the sub-queries a statement needs (also indirectly) in front of it."""
+def compose(body: str, changed: dict[str, str] | None = None) -> str:
+    """Put the sub-queries a statement needs (also indirectly) in front of it, some of them changed."""
+    parts_now = PARTS | (changed or {})
     pattern = re.compile(r"\b(" + "|".join(sorted(PARTS, key=len, reverse=True)) + r")\b")
     ordered: list[str] = []
 
     def visit(text: str, inside: str | None = None) -> None:
         for name in dict.fromkeys(pattern.findall(text)):
             if name != inside and name not in ordered:
-                visit(PARTS[name], name)
+                visit(parts_now[name], name)
                 ordered.append(name)
 
     visit(body)
     if not ordered:
         return body
-    recursive = any(PARTS[n].startswith("recursive") for n in ordered)
-    parts = ",\n".join(f"{n} as ({PARTS[n].removeprefix('recursive').strip()})" for n in ordered)
+    recursive = any(parts_now[n].startswith("recursive") for n in ordered)
+    parts = ",\n".join(f"{n} as ({parts_now[n].removeprefix('recursive').strip()})" for n in ordered)
     own = body.lstrip()
     body = f",\n{own.removeprefix('with ')}" if own.startswith("with ") else f"\n{own}"
     return f"with {'recursive ' if recursive else ''}{parts}{body}"

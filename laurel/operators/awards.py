@@ -60,6 +60,18 @@ def join_entry_cohort(awards: DataFrame, cohorts: DataFrame, colleges: Sequence[
     return awards.join(entered, keys, "inner")
 
 
+def student_entries(cohorts: DataFrame) -> DataFrame:
+    """(Student_Id, _entries): the entry terms and colleges of each student in one row.
+
+    Equal entries are counted first, so what is gathered for a student is bounded by calendar
+    and colleges; a repeated entry is listed as often as it is there.
+    """
+    entry = F.struct("Cohort", "Cohort_College")
+    counted = cohorts.groupBy("Student_Id", "Cohort", "Cohort_College").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    return counted.groupBy("Student_Id").agg(
+        F.flatten(F.collect_list(F.array_repeat(entry, F.col("_n")))).alias("_entries"))
+
+
 def join_award_program(awards: DataFrame, programs: DataFrame) -> DataFrame:
     keys = ["College", "Major_Code", "Award_Type", "Catalog_Year"]
     return awards.join(programs.select(*keys, "Major", "Final_Term"), keys, "left")

@@ -7,7 +7,7 @@ comes after works on cells: award names x periods x strata, all short level list
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -44,8 +44,13 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def label_groups(groups: dict[str, DataFrame]) -> DataFrame:
-    """Stack completer groups under a `Group` column; a single group needs none."""
+def label_groups(groups: Mapping[str, DataFrame] | DataFrame) -> DataFrame:
+    """Stack completer groups under a `Group` column; a single group needs none.
+
+    A frame that has the column, such as `award_groups`, is returned as it is.
+    """
+    if isinstance(groups, DataFrame):
+        return groups
     frames = list(groups.items())
     if len(frames) == 1:
         return frames[0][1]

@@ -12,7 +12,8 @@ from laurel.functions.levels import ALL_STUDENTS, SPECIAL_COURSES
 from laurel.functions.recode import zero_if_nan
 from laurel.operators.awards import join_entry_cohort
 from laurel.operators.counting import count_cells
-from laurel.operators.paths import join_enrollment_section, kept_enrollments, of_students
+from laurel.operators.modes import STRATA, over_modes
+from laurel.operators.paths import joined_enrollments
 from laurel.operators.selection import (
     Strata, filter_award_types, filter_excluded_courses, filter_min_group, filter_program,
 )
@@ -58,8 +59,8 @@ def courses_since_entry(domain: Domain, programs: DataFrame, current: int, first
                         kept: Sequence[str] = ()) -> DataFrame:
     """Distinct courses of the students in `programs` (see above), with their `kept` columns."""
     programs = programs.groupBy("Student_Id", *PROGRAM, *kept).agg(F.min("Cohort").alias("Cohort"))
-    taken = of_students(kept_enrollments(domain.enrollments, current, first), programs)
-    last_taken = join_enrollment_section(taken, domain.sections2, "Discipline", "Course").groupBy(
+    taken = joined_enrollments(domain, domain.sections2, programs, current, first, "Discipline", "Course")
+    last_taken = taken.groupBy(
         "Student_Id", "Discipline", "Course").agg(F.max("Year_Semester").alias("Last_Term"))
     taken = last_taken.join(programs, "Student_Id", "inner")
     return taken.where(F.col("Last_Term") >= F.col("Cohort")).select(
@@ -78,9 +79,7 @@ def program_course_counts(domain: Domain, cohorts: DataFrame, current: int, coll
         F.col("Award_Type") == award_type
     )
     people = programs.select("Student_Id", "Cohort", "Rows")
-    taken = join_enrollment_section(
-        of_students(kept_enrollments(domain.enrollments, current, first), people), domain.sections2, "Course"
-    )
+    taken = joined_enrollments(domain, domain.sections2, people, current, first, "Course")
     per_term = count_cells(taken, ["Student_Id", "Course", "Year_Semester"], "Taken")
     path = per_term.join(people, "Student_Id", "inner").where(
         F.col("Year_Semester") >= F.col("Cohort")
@@ -118,7 +117,12 @@ def group_sizes(students: DataFrame, strata: Strata) -> DataFrame:
 def course_shares(takers: DataFrame, students: DataFrame, strata: Strata) -> DataFrame:
     """Takers of each course as a share of the award rows of their group."""
     keys = [*PROGRAM, *strata.columns]
-    counted = course_counts(takers, strata).join(group_sizes(students, strata), keys, "left")
+    return with_group_share(course_counts(takers, strata), group_sizes(students, strata), keys)
+
+
+def with_group_share(counts: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach Group_Size and the share of Count in it."""
+    counted = counts.join(sizes, list(keys), "left")
     share = F.col("Count") / F.col("Group_Size")
     return counted.withColumn(
         "Proportion", F.when(share.isNotNull(), zero_if_nan(share))
@@ -134,13 +138,13 @@ def max_course_share(shares: DataFrame) -> DataFrame:
     )
 
 
-def shortlist_courses(shares: DataFrame, cutoff: float) -> DataFrame:
+def shortlist_courses(shares: DataFrame, cutoff: float, within: Sequence[str] = ()) -> DataFrame:
     """Rows of the courses whose largest share passes the cutoff in some stratum.
 
     A window over the strata of a course (a short list) instead of a join back, which
     also keeps a missing course as a group of its own.
     """
-    course = W.partitionBy(*PROGRAM, "Course")
+    course = W.partitionBy(*within, *PROGRAM, "Course")
     share = F.col("Proportion")
     complete = F.count(F.lit(1)).over(course) == F.count(share).over(course)
     largest = F.when(complete, F.max(share).over(course))
@@ -159,6 +163,22 @@ def course_distribution(takers: DataFrame, students: DataFrame,
     return listed if strata.column is None else filter_min_group(listed, min_students)
 
 
+def distribution_modes(takers: DataFrame, students: DataFrame, award_types: Sequence[str] | None = None,
+                       cutoff: float = 0.25, min_students: int = 3) -> DataFrame:
+    """`course_distribution` of all split modes, told apart by Mode; Category is the stratum.
+
+    Takers and completers are counted once by gender and ethnicity; the modes are grouping sets
+    over these cells.
+    """
+    cells = count_cells(filter_award_types(takers, award_types), [*PROGRAM, *STRATA, "Course"])
+    counts = over_modes(cells, [*PROGRAM, "Course"], [F.sum("Count").alias("Count")])
+    people = students.groupBy(*PROGRAM, *STRATA).agg(F.sum("Weight").alias("Group_Size"))
+    sizes = over_modes(people, PROGRAM, [F.sum("Group_Size").alias("Group_Size")])
+    shares = with_group_share(counts, sizes, ["Mode", "Category", *PROGRAM])
+    listed = shortlist_courses(shares, cutoff, ["Mode"])
+    return listed.where((F.col("Mode") == "none") | (F.col("Group_Size") >= min_students))
+
+
 def course_heatmap(distribution: DataFrame, strata: Strata = Strata()) -> DataFrame:
     """(Category, Course, Proportion) cells of a program."""
     category = F.lit(ALL_STUDENTS) if strata.column is None else F.col(strata.column)

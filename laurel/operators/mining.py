@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from laurel.functions.recode import safe_ratio
 from laurel.operators import awards as A
-from laurel.operators.paths import SECTION_KEYS, kept_enrollments, of_students
+from laurel.operators.paths import joined_enrollments
 from laurel.operators.selection import filter_completion_band
 from laurel.sources.calendar import Calendar
 from laurel.sources.domain import Domain
@@ -45,15 +45,9 @@ def student_term_courses(domain: Domain, calendar: Calendar, majors: Sequence[st
                               include_current=True)
     awards = A.filter_program(domain.awards, colleges, majors).select("Student_Id", "College")
     people = A.join_entry_cohort(awards.distinct(), cohorts, colleges).select("Student_Id").distinct()
-    credit = domain.sections2.where(F.col("Noncredit") == 0).select(
-        *SECTION_KEYS, F.col(item).alias("Course"))
-    courses = (
-        of_students(kept_enrollments(domain.enrollments), people)
-        .join(credit, SECTION_KEYS, "inner")
-        .select("Student_Id", "Year_Semester", "Course")
-        .distinct()
-    )
-    return courses
+    credit = domain.sections2.where(F.col("Noncredit") == 0).withColumn("Course", F.col(item))
+    courses = joined_enrollments(domain, credit, people, None, None, "Course", how="inner")
+    return courses.select("Student_Id", "Year_Semester", "Course").distinct()
 
 
 def course_baskets(courses: DataFrame, completion: DataFrame) -> DataFrame:

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 from laurel.functions.levels import DROPPED_GRADE
 from laurel.functions.recode import safe_ratio
-
-SECTION_KEYS = ["Section_Number", "College", "Year_Semester"]
-
+from laurel.sources.domain import SECTION_KEYS, Domain
 
 def kept_enrollments(enrollments: DataFrame, current: int | None = None,
                      first: int | None = None) -> DataFrame:
@@ -50,6 +48,21 @@ def join_enrollment_section(enrollments: DataFrame, sections: DataFrame, *column
     return enrollments.join(sections.select(*SECTION_KEYS, *columns), SECTION_KEYS, "left")
 
 
+def joined_enrollments(domain: Domain, sections: DataFrame, people: DataFrame, current: int | None,
+                       first: int | None, *columns: str, how: str = "left") -> DataFrame:
+    """Counting enrollments of `people` with section columns, by the cheaper way.
+
+    With a copy of the enrollments that is stored by section, sections are joined first, where
+    both lie. Otherwise people are chosen first, so that fewer enrollments are shuffled.
+    """
+    sections = sections.select(*SECTION_KEYS, *columns)
+    if domain.by_section is not None:
+        beside = kept_enrollments(domain.by_section, current, first).join(sections, SECTION_KEYS, how)
+        return of_students(beside, people)
+    chosen = of_students(kept_enrollments(domain.enrollments, current, first), people)
+    return chosen.join(sections, SECTION_KEYS, how)
+
+
 def section_effort(sections: DataFrame) -> DataFrame:
     """Student and faculty load per enrolled student of a section."""
     seats = F.nullif("Enrollment", F.lit(0))
@@ -69,7 +82,10 @@ def term_effort(enrollments: DataFrame, sections: DataFrame, current: int,
     """
     kept = kept_enrollments(enrollments, current, first)
     kept = kept if people is None else of_students(kept, people)
-    joined = join_enrollment_section(kept, section_effort(sections), "FTES", "FTEF")
+    return sum_effort(join_enrollment_section(kept, section_effort(sections), "FTES", "FTEF"))
+
+
+def sum_effort(joined: DataFrame) -> DataFrame:
     return joined.groupBy("Student_Id", "College", "Year_Semester").agg(
         F.sum("FTES").alias("FTES"), F.sum("FTEF").alias("FTEF"),
         F.count(F.lit(1)).alias("Enrollments"),

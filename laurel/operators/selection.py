@@ -148,9 +148,12 @@ class Period:
     key: str
     label: str
 
-    def with_label(self, cells: DataFrame) -> DataFrame:
+    def shown(self) -> Column:
         text = T.academic_year_label if self.label == "Academic_Year" else T.term_label
-        return cells.withColumn(self.label, text(F.col(self.key)))
+        return text(F.col(self.key))
+
+    def with_label(self, cells: DataFrame) -> DataFrame:
+        return cells.withColumn(self.label, self.shown())
 
 
 ACADEMIC_YEAR = Period("Academic_Year_Key", "Academic_Year")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laurel.functions import terms as T
+from laurel.functions.levels import ALL_COMPLETERS, SIX_YEAR_COHORT
 from laurel.functions.recode import (
     award_name, indicator_flags, known_ethnicity, pad_code, recode_gender, safe_name,
 )
@@ -16,7 +17,7 @@ from laurel.operators import awards as A
 from laurel.operators import courses as C
 from laurel.operators import mining as M
 from laurel.operators import survival as S
-from laurel.operators.paths import join_path_totals, path_terms, term_effort
+from laurel.operators.paths import join_path_totals, joined_enrollments, path_terms, section_effort, sum_effort
 from laurel.operators.rolling import END, START, cohorts_of_span, with_span, without_overlap
 from laurel.operators.selection import among, drop_incomplete, filter_catalog_window
 from laurel.sources.calendar import Calendar
@@ -29,6 +30,7 @@ COLLEGES = ("E",)
 # rows, so a report that reads none of the columns should leave the part out.
 STUDENT, COHORT, UNITS = "student", "cohort", "units"
 DETAILS = (STUDENT, COHORT, UNITS)
+PERSON = "person"  # the student's id, for counts of people
 
 
 def active_program_names(domain: Domain, calendar: Calendar, colleges: Sequence[str] = COLLEGES,
@@ -69,6 +71,8 @@ def _award_report_rows(awards: DataFrame, domain: Domain, calendar: Calendar, fi
             recode_gender(F.col("Gender")).alias("Gender"),
             known_ethnicity(F.col("Ethnicity")).alias("Ethnicity"),
         ]
+    if PERSON in details:
+        columns.append(F.col("Student_Id"))
     term = F.col("Year_Semester")
     if COHORT in details:
         if "Cohort" not in awards.columns:
@@ -111,6 +115,63 @@ def awards_cohort(domain: Domain, calendar: Calendar, majors: Sequence[str] | No
     return _award_report_rows(awards, domain, calendar, first, colleges, details)
 
 
+def award_groups(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
+                 colleges: Sequence[str] = COLLEGES, years: int = 6,
+                 details: Sequence[str] = DETAILS) -> DataFrame:
+    """The rows of `awards_all` and `awards_cohort` under a Group column, for reports on both.
+
+    Every table is read once. An award carries the student's entry terms until all details are
+    attached; then it is listed for each group it is in, once per entry term as there.
+    """
+    first_all, first_cohort = calendar.award_cutoff(years), calendar.years_back(years)
+    awards = calendar.with_term_as_of(
+        A.distinct_awards(domain, colleges, majors), "Award_Date", "Year_Semester")
+    awards = awards.join(A.student_entries(domain.cohorts), "Student_Id", "left")
+    entries = F.coalesce("_entries", F.array())
+    own = F.filter(entries, lambda e: (e["Cohort_College"] == F.col("College"))
+                   & (e["Cohort"] >= first_cohort) & (e["Cohort"] < calendar.current_term))
+    in_window = F.coalesce(
+        calendar.date_within_terms("Award_Date", first_all, calendar.current_term), F.lit(False))
+    awards = awards.withColumns({"_in_window": in_window, "_own": own, "_entries": entries}).where(
+        F.col("_in_window") | (F.size("_own") > 0))
+    columns = []
+    if UNITS in details:
+        history = A.dated_units(domain.student_profiles, calendar, colleges)
+        awards = A.with_unit_shares(A.join_cumulative_units(awards, history, colleges))
+        columns += [F.col("SGEC_Units"), F.col("Online_Units")]
+    if STUDENT in details:
+        awards = A.join_award_student(awards, domain.students)
+        columns += [
+            recode_gender(F.col("Gender")).alias("Gender"),
+            known_ethnicity(F.col("Ethnicity")).alias("Ethnicity"),
+        ]
+    if PERSON in details:
+        columns.append(F.col("Student_Id"))
+    term = F.col("Year_Semester")
+
+    def member(group: str, first: int, cohort: Column) -> Column:
+        year = calendar.labelled_year(T.academic_year(term), T.academic_year_of(first))
+        return F.struct(F.lit(group).alias("Group"), cohort.alias("Cohort"),
+                        calendar.labelled_term(term, first).alias("Year_Semester_Key"),
+                        year.alias("Academic_Year_Key"))
+
+    unknown = F.array(member(ALL_COMPLETERS, first_all, F.lit(None).cast("int")))
+    everyone = unknown
+    if COHORT in details:
+        listed = F.transform("_entries", lambda e: member(ALL_COMPLETERS, first_all, e["Cohort"]))
+        everyone = F.when(F.size("_entries") > 0, listed).otherwise(unknown)
+        columns += [F.col("_in.Cohort"), T.terms_between(term, F.col("_in.Cohort")).alias("Terms_to_Complete")]
+    entrants = F.transform("_own", lambda e: member(SIX_YEAR_COHORT, first_cohort, e["Cohort"]))
+    groups = F.concat(F.when(F.col("_in_window"), everyone).otherwise(F.slice(unknown, 1, 0)), entrants)
+    return awards.withColumn("_in", F.explode(groups)).select(
+        "_in.Group", "College", "Major_Code",
+        award_name(F.col("Award_Type")).alias("Award_Type"),
+        "_in.Year_Semester_Key", T.term_label(F.col("_in.Year_Semester_Key")).alias("Year_Semester"),
+        "_in.Academic_Year_Key", T.academic_year_label(F.col("_in.Academic_Year_Key")).alias("Academic_Year"),
+        *columns,
+    )
+
+
 def cohort_award_terms(domain: Domain, calendar: Calendar, majors: Sequence[str] | None,
                        colleges: Sequence[str], cohort_length: int, look_back: int,
                        countable: bool = False) -> DataFrame:
@@ -133,17 +194,17 @@ def cohort_award_terms(domain: Domain, calendar: Calendar, majors: Sequence[str]
 
 def rolling_spans(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
                   colleges: Sequence[str] = COLLEGES, cohort_length: int = 6,
-                  look_back: int = 7) -> DataFrame:
+                  look_back: int = 7, person: bool = False) -> DataFrame:
     """One row per award with the run of completion cohorts it counts in.
 
     This is what the reports on change are made of; `rolling_cohorts` lists the same as a row
-    per award and cohort.
+    per award and cohort. With `person` the student's id is kept, for counts of people.
     """
     first = calendar.years_back(cohort_length)
     awards = cohort_award_terms(domain, calendar, majors, colleges, cohort_length, look_back, countable=True)
     awards = A.join_award_student(awards, domain.students)
     complete = drop_incomplete(
-        awards.select("Cohort", "College", "Major_Code", "Award_Type", "Year_Semester",
+        awards.select("Student_Id", "Cohort", "College", "Major_Code", "Award_Type", "Year_Semester",
                       "Gender", "Ethnicity")
     )
     spans = with_span(complete, first, calendar.current_term, cohort_length)
@@ -153,7 +214,7 @@ def rolling_spans(domain: Domain, calendar: Calendar, majors: Sequence[str] | No
         recode_gender(F.col("Gender")).alias("Gender"),
         known_ethnicity(F.col("Ethnicity")).alias("Ethnicity"),
         T.terms_between(F.col("Year_Semester"), F.col("Cohort")).alias("Terms_to_Complete"),
-        START, END,
+        START, END, *(["Student_Id"] if person else []),
     )
 
 
@@ -186,7 +247,8 @@ def efficiency(domain: Domain, calendar: Calendar, majors: Sequence[str] | None
     awards = dated.groupBy("Student_Id", "College", "Major_Code", "Award_Type", "Cohort",
                            "Year_Semester").agg(F.count(F.lit(1)).alias("Weight"))
     completers = awards.select("Student_Id", "College", "Cohort").distinct()
-    effort = term_effort(domain.enrollments, domain.sections2, current, first - look_back * 10, completers)
+    effort = sum_effort(joined_enrollments(
+        domain, section_effort(domain.sections2), completers, current, first - look_back * 10, "FTES", "FTEF"))
     paths = join_path_totals(awards, path_terms(effort, completers))
     program = ["College", "Major_Code", "Award_Type"]
     spans = without_overlap(with_span(paths, first, current, cohort_length), ["Student_Id", *program])
@@ -214,21 +276,38 @@ def efficiency(domain: Domain, calendar: Calendar, majors: Sequence[str] | None
 def course_takers(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
                   colleges: Sequence[str] = COLLEGES, years: int = 6) -> DataFrame:
     """One row per completer, course and program of the entry cohorts in the window."""
-    first = calendar.years_back(years)
-    cohorts = A.entry_cohorts(domain, first, calendar.current_term, colleges)
-    people = A.join_award_student(
-        C.completed_programs(domain, cohorts, colleges, majors), domain.students)
-    takers = C.courses_since_entry(domain, people, calendar.current_term, first, ["Gender", "Ethnicity"])
+    people = _program_completers(domain, calendar, majors, colleges, years)
+    return _takers(domain, calendar, people, years)
+
+
+def _program_completers(domain: Domain, calendar: Calendar, majors: Sequence[str] | None,
+                        colleges: Sequence[str], years: int) -> DataFrame:
+    cohorts = A.entry_cohorts(domain, calendar.years_back(years), calendar.current_term, colleges)
+    return A.join_award_student(C.completed_programs(domain, cohorts, colleges, majors), domain.students)
+
+
+def _takers(domain: Domain, calendar: Calendar, people: DataFrame, years: int) -> DataFrame:
+    takers = C.courses_since_entry(
+        domain, people, calendar.current_term, calendar.years_back(years), ["Gender", "Ethnicity"])
     return takers.select("Discipline", "Course", *_program_columns())
 
 
+def course_taking(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
+                  colleges: Sequence[str] = COLLEGES, years: int = 6) -> tuple[DataFrame, DataFrame]:
+    """`course_takers` and `course_completers` of one stored table of completers.
+
+    A report on course taking reads both. Completers are few beside the enrollments; storing
+    them saves reading awards, cohorts and students again for every use.
+    """
+    people = cut_lineage(_program_completers(domain, calendar, majors, colleges, years))
+    return _takers(domain, calendar, people, years), people.select(*_program_columns(), "Weight")
+
+
 def course_completers(domain: Domain, calendar: Calendar, majors: Sequence[str] | None = None,
                       colleges: Sequence[str] = COLLEGES, years: int = 6) -> DataFrame:
     """The completers `course_takers` starts from: a row per student and program, with the
     number of award days as Weight. Group sizes are sums of it."""
-    cohorts = A.entry_cohorts(domain, calendar.years_back(years), calendar.current_term, colleges)
-    people = A.join_award_student(
-        C.completed_programs(domain, cohorts, colleges, majors), domain.students)
+    people = _program_completers(domain, calendar, majors, colleges, years)
     return people.select(*_program_columns(), "Weight")
 
 

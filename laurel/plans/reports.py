@@ -15,22 +15,25 @@ from laurel.functions.levels import ONLINE_STATUSES, SGEC_STATUSES
 from laurel.functions.recode import round_measure, share_status
 from laurel.functions.terms import term_season, years_from_terms
 from laurel.operators import stats
+from laurel.operators.bitmaps import bitmaps, count_people, merged
 from laurel.operators.counting import (
     count_cells, label_groups, running_count, with_label, with_share,
 )
-from laurel.operators.courses import course_distribution, course_heatmap
+from laurel.operators.courses import PROGRAM, course_distribution, course_heatmap, distribution_modes
 from laurel.operators.gapfill import fill_observed
-from laurel.operators.rolling import count_by_cohort
+from laurel.operators.modes import STRATA, over_modes, which
+from laurel.operators.rolling import END, START, count_by_cohort, without_overlap
 from laurel.operators.selection import (
-    ACADEMIC_YEAR, COMPLETION_COHORT, UNSPLIT, Period, Strata, complete_awards,
+    ACADEMIC_YEAR, AWARD_TERM, COMPLETION_COHORT, UNSPLIT, Period, Strata, complete_awards,
     drop_incomplete, filter_award_types, filter_season,
 )
 
-Groups = Mapping[str, DataFrame]  # completer group name -> award rows
+# Completer group name -> award rows, or the rows of `award_groups`, which have a Group column.
+Groups = Mapping[str, DataFrame] | DataFrame
 
 
 def _group_column(groups: Groups) -> list[str]:
-    return ["Group"] if len(groups) > 1 else []
+    return ["Group"] if isinstance(groups, DataFrame) or len(groups) > 1 else []
 
 
 def completers(awards: DataFrame, period: Period = ACADEMIC_YEAR, strata: Strata = UNSPLIT,
@@ -54,7 +57,13 @@ def report_completers(groups: Groups, period: Period = ACADEMIC_YEAR, strata: St
                       fill: bool = True) -> DataFrame:
     """Count and share of completers per period; the share is within award type and period."""
     within = _group_column(groups)
-    cells = completers(label_groups(dict(groups)), period, strata, award_types, cumulative, within)
+    cells = completers(label_groups(groups), period, strata, award_types, cumulative, within)
+    return completers_report(cells, period, strata, within, fill)
+
+
+def completers_report(cells: DataFrame, period: Period, strata: Strata, within: Sequence[str],
+                      fill: bool) -> DataFrame:
+    """Shares, zero cells and labels of finished counts."""
     cells = strata.known(cells)
     shares = with_share(cells, [*within, "Award_Type", period.key])
     if fill:
@@ -66,8 +75,8 @@ def report_time_to_award(groups: Groups, strata: Strata = UNSPLIT,
                          award_types: Sequence[str] | None = None) -> DataFrame:
     """Count and share per years to completion, within award type (and stratum)."""
     within = _group_column(groups)
-    complete = {name: complete_awards(rows) for name, rows in groups.items()}
-    chosen = strata.apply(filter_award_types(label_groups(complete), award_types))
+    complete = complete_awards(label_groups(groups))
+    chosen = strata.apply(filter_award_types(complete, award_types))
     years = chosen.withColumn("Time_to_Complete", years_from_terms(F.col("Terms_to_Complete")))
     series = [*within, "Award_Type", *strata.columns]
     cells = count_cells(years, [*series, "Time_to_Complete"])
@@ -77,7 +86,7 @@ def report_time_to_award(groups: Groups, strata: Strata = UNSPLIT,
 def _report_status(groups: Groups, share: str, column: str, limit: float, labels: Sequence[str],
                    period: Period, award_types: Sequence[str] | None, fill: bool) -> DataFrame:
     within = _group_column(groups)
-    known = drop_incomplete(filter_award_types(label_groups(dict(groups)), award_types), [share])
+    known = drop_incomplete(filter_award_types(label_groups(groups), award_types), [share])
     status = known.withColumn(column, share_status(F.col(share), limit, labels))
     cells = count_cells(status, [*within, "Award_Type", period.key, column])
     shares = with_share(cells, [*within, "Award_Type", period.key])
@@ -203,3 +212,85 @@ def report_course_taking(takers: DataFrame, students: DataFrame,
     return course_heatmap(
         course_distribution(takers, students, award_types, strata, cutoff, min_students), strata
     )
+
+
+# --- all split modes at once ---------------------------------------------------------------
+
+SCALES = {ACADEMIC_YEAR.key: ("academic_year", ACADEMIC_YEAR), AWARD_TERM.key: ("term", AWARD_TERM)}
+
+
+def report_completers_modes(awards: DataFrame, award_types: Sequence[str] | None = None) -> DataFrame:
+    """Completers per period in all split modes, by academic year and by term (Scale).
+
+    Awards are counted once in cells; modes and scales are grouping sets over them.
+    """
+    keys = ["Award_Type", *STRATA, *SCALES]
+    cells = count_cells(filter_award_types(awards, award_types), keys)
+    counts = over_modes(cells, ["Award_Type"], [F.sum("Count").alias("Count")], list(SCALES))
+    by = which(list(SCALES))
+    scale, key, label = (F.coalesce(*parts) for parts in zip(*[
+        (F.when(by == column, name), F.when(by == column, F.col(column)), F.when(by == column, period.shown()))
+        for column, (name, period) in SCALES.items()]))
+    told = counts.select("Mode", "Category", "Award_Type", scale.alias("Scale"), key.alias("Period_Key"),
+                         label.alias("Period"), "Count")
+    return with_share(told, ["Mode", "Scale", "Award_Type", "Period_Key"])
+
+
+def report_change_completers_modes(spans: DataFrame, award_types: Sequence[str] | None = None,
+                                   seasons: Sequence[str] | None = None) -> DataFrame:
+    """Completers per completion cohort in all split modes: runs are counted once, the modes are
+    grouping sets over the runs, and one sweep counts by cohort."""
+    runs = count_cells(filter_award_types(spans, award_types), ["Award_Type", *STRATA, START, END], "Runs")
+    split = over_modes(runs, ["Award_Type", START, END], [F.sum("Runs").alias("Runs")])
+    cells = _in_seasons(count_by_cohort(split, ["Mode", "Category", "Award_Type"], weight="Runs"), seasons)
+    return COMPLETION_COHORT.with_label(with_share(cells, ["Mode", "Award_Type", COMPLETION_COHORT.key]))
+
+
+def report_course_taking_modes(takers: DataFrame, students: DataFrame,
+                               award_types: Sequence[str] | None = None, cutoff: float = 0.25,
+                               min_students: int = 3) -> DataFrame:
+    """Heat map cells of all split modes."""
+    listed = distribution_modes(takers, students, award_types, cutoff, min_students)
+    return listed.select("Mode", *PROGRAM, "Category", "Course", "Proportion")
+
+
+# --- people instead of awards --------------------------------------------------------------
+
+ANY_AWARD, ALL_YEARS = "Any award", "All years"
+
+
+def distinct_completers(awards: DataFrame, numbers: DataFrame) -> DataFrame:
+    """People with an award per academic year and in the whole window, by award type and for any
+    award, in all split modes.
+
+    `awards` has Student_Id (detail "person"), `numbers` is `number_students`. Totals can't be added
+    up, as people recur; they are merged from the bitmaps of the smallest cells.
+    """
+    cell = ["Award_Type", *STRATA, ACADEMIC_YEAR.key]
+    known = awards.where(F.col(ACADEMIC_YEAR.key).isNotNull()).join(numbers, "Student_Id")
+    maps = bitmaps(known, cell)
+    rolled = F.array(*[
+        F.struct(award.alias("Award_Type"), year.alias(ACADEMIC_YEAR.key))
+        for award in (F.col("Award_Type"), F.lit(ANY_AWARD))
+        for year in (F.col(ACADEMIC_YEAR.key), F.lit(0))
+    ])
+    totals = maps.select(*STRATA, "Bucket", "Bits", F.inline(rolled)).groupBy(*cell, "Bucket").agg(merged())
+    split = over_modes(totals, ["Award_Type", ACADEMIC_YEAR.key, "Bucket"], [merged()])
+    people = count_people(split, ["Mode", "Category", "Award_Type", ACADEMIC_YEAR.key])
+    labelled = ACADEMIC_YEAR.with_label(people)
+    label = F.when(F.col(ACADEMIC_YEAR.key) == 0, ALL_YEARS).otherwise(F.col(ACADEMIC_YEAR.label))
+    return labelled.withColumn(ACADEMIC_YEAR.label, label)
+
+
+def change_in_people(spans: DataFrame, award_types: Sequence[str] | None = None,
+                     seasons: Sequence[str] | None = None) -> DataFrame:
+    """People per completion cohort and award type in all split modes.
+
+    `spans` has Student_Id (`rolling_spans` with `person`). A student counts once in a cohort,
+    however many awards of the type the window holds.
+    """
+    chosen = filter_award_types(spans, award_types)
+    parts = without_overlap(chosen, ["Student_Id", "Award_Type"]).where(F.col("Fresh") < F.col(END))
+    parts = parts.withColumn(START, F.col("Fresh"))
+    cells = report_change_completers_modes(parts, None, seasons)
+    return cells.drop("Proportion", "Proportion_Label").withColumnRenamed("Count", "People")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -142,6 +143,20 @@ class Calendar:
         inside = F.col(date) >= F.lit(min(opened))
         return inside & (F.col(date) < F.lit(min(closed))) if closed else inside
 
+    def runs(self, terms: Sequence[int]) -> list[tuple[int, int]]:
+        """Terms as ranges (first, last) without other terms of the calendar in between."""
+        wanted, found = set(terms), []
+        open_run = None
+        for code in sorted({r.term for r in self.rows} | wanted):
+            if code not in wanted:
+                open_run = None
+            elif open_run is None:
+                open_run = len(found)
+                found.append((code, code))
+            else:
+                found[open_run] = (found[open_run][0], code)
+        return found
+
     def labelled_term(self, term: Column, first: int) -> Column:
         """The term itself if it lies in [first, current], else NULL (not a known level)."""
         return F.when(term.between(first, self.current_term) & T.is_regular_term(term), term)

@@ -61,10 +61,18 @@ SCHEMAS: dict[str, T.StructType] = {
 TERM_ORDERED = {"enrollments": "Student_Id", "student_profiles": "Student_Id", "sections2": "Section_Number"}
 
 
+# The same enrollments stored by section beside those by student, see `Domain.save_tables`.
+BY_SECTION = "enrollments_by_section"
+SECTION_KEYS = ["Section_Number", "College", "Year_Semester"]
+
+
 def typed(df: DataFrame, name: str) -> DataFrame:
     """Columns cast to the declared schema; others, such as further indicators, stay."""
     kinds = {f.name: f.dataType for f in SCHEMAS[name].fields}
-    return df.select([df[c].cast(kinds[c]).alias(c) if c in kinds else df[c] for c in df.columns])
+    # A column that has its type stays as it is; a cast would hide the buckets it is stored by.
+    return df.select([
+        df[c].cast(kinds[c]).alias(c) if c in kinds and df.schema[c].dataType != kinds[c] else df[c]
+        for c in df.columns])
 
 
 Loader = Callable[[], DataFrame]
@@ -140,19 +148,40 @@ class Domain:
             self._frames[name] = self.spark.read.parquet(path)
 
     def save_tables(self, database: str, buckets: int) -> None:
-        """Write catalog tables with the student-keyed ones bucketed by student.
+        """Write catalog tables, bucketed by what they are joined on.
 
-        Per-student grouping, windows and joins then start without a shuffle. Worth it if
-        no single student dominates: a bucket is one task and is never split.
+        Tables with a student are bucketed by student, so per-student grouping, windows and joins
+        start without a shuffle. Sections, and a second copy of the enrollments, are bucketed by
+        section: the largest join then reads both sides where they lie. Worth it if no single
+        student or section dominates: a bucket is one task and is never split.
         """
-        for name in self._loaders:
-            writer = self[name].write.mode("overwrite").format("parquet")
-            if "Student_Id" in SCHEMAS[name].names:
-                writer = writer.bucketBy(buckets, "Student_Id").sortBy("Student_Id")
-            writer.saveAsTable(f"{database}.{name}")
+        def save(rows: DataFrame, name: str, keys: list[str]) -> None:
+            # The hash that deals rows to tasks is that of the buckets, so a bucket is one file.
+            rows = rows.repartition(buckets, *keys)
+            writer = rows.write.mode("overwrite").format("parquet")
+            writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(f"{database}.{name}")
+
+        for name, schema in SCHEMAS.items():
+            if "Student_Id" in schema.names:
+                save(self[name], name, ["Student_Id"])
+            elif name == "sections2":
+                save(self[name], name, SECTION_KEYS)
+            else:
+                self[name].write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
+        save(self.enrollments, BY_SECTION, SECTION_KEYS)
+
+    @property
+    def by_section(self) -> DataFrame | None:
+        """Enrollments stored with their sections, if there is such a copy."""
+        return self[BY_SECTION] if BY_SECTION in self._loaders else None
 
     @classmethod
     def from_tables(cls, spark: SparkSession, database: str) -> Domain:
-        return cls(spark, {
-            name: (lambda name=name: typed(spark.table(f"{database}.{name}"), name)) for name in SCHEMAS
-        })
+        """Tables of `save_tables`, or others of these names; the copy by section is used if it is there."""
+        def loader(name: str, like: str) -> Loader:
+            return lambda: typed(spark.table(f"{database}.{name}"), like)
+
+        loaders = {name: loader(name, name) for name in SCHEMAS}
+        if spark.catalog.tableExists(f"{database}.{BY_SECTION}"):
+            loaders[BY_SECTION] = loader(BY_SECTION, "enrollments")
+        return cls(spark, loaders)
