@@ -1,16 +1,17 @@
 """Embedding near-duplicates by product quantisation.
 
-1. Vectors that are null, zero, of another length than most, or hold null or non-finite
-   components link with nothing. Equal vectors collapse to one row with a weight.
+1. Vectors that are null, zero, empty or hold null or non-finite components link with nothing, and
+   vectors of different lengths don't link; each length is searched on its own. Equal vectors
+   collapse to one row with a weight.
 2. Unit vectors are put into inverted lists by their nearest coarse centroid; the residual
    is coded by one codeword per subspace. Centroids and codebooks are fitted on at most
    `sample` vectors chosen by a hash; every vector is indexed.
 3. cosine >= t means a distance of at most r = sqrt(2 - 2t). A vector probes its own list and
-   every list whose border with its own is within `sigmas` * r / sqrt(dimension): across a
-   given border a displacement of length r has a component of r / sqrt(dimension) on
-   average. A link is found if either of its vectors probes the other's list. `sigmas` of
-   sqrt(dimension) makes the search exact; the default of 3 found every link in the tests
-   (README), also at a cosine of exactly the threshold.
+   the lists whose border with its own is near enough. Between lists whose centroids are within
+   2r, as in a dense group that spans many lists, that is r, which loses no link. Between others it
+   is what the links of the sample need, times `margin`, and at least 3 standard deviations of
+   what a displacement of length r does across a border, r / sqrt(dimension). A link is
+   found if either of its vectors probes the other's list.
 4. In a list the distance of a query to a coded vector comes from lookup tables. A vector
    whose code is further from the query than r plus the vector's coding error cannot link.
    The others are reranked by exact cosine in double precision.
@@ -22,6 +23,7 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from laurel.llm.components import checkpointed, connected_components
 
 CHUNK = 1 << 18  # query-vector pairs looked at together
+SIGMAS = 3.0  # least border between lists far apart, in standard deviations
 
 
 @dataclasses.dataclass(frozen=True)
@@ -39,6 +42,8 @@ class Quantiser:
     centroids: np.ndarray  # lists x dimension
     codebooks: np.ndarray  # subspaces x codewords x width; the last subspace is zero-padded
     dimension: int
+    near: float = 0.0  # border to lists whose centroids are within twice this
+    far: float = 0.0  # border to the others
 
     @property
     def width(self) -> int:
@@ -48,13 +53,22 @@ class Quantiser:
         spare = self.width * len(self.codebooks) - self.dimension
         return np.pad(vectors, ((0, 0), (0, spare)))
 
-    def lists(self, unit: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    @functools.cached_property
+    def apart(self) -> np.ndarray:
+        """Distances between centroids."""
+        return np.sqrt(_square_distances(self.centroids, self.centroids))
+
+    @functools.cached_property
+    def excess(self) -> np.ndarray:
+        """By how much the square distance to a list may exceed that to the own list."""
+        border = np.where(self.apart <= 2 * self.near, self.near, self.far)
+        return 2 * self.apart * border + 1e-9
+
+    def lists(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Own list of each vector, and a matrix of the lists it probes."""
         squares = _square_distances(unit, self.centroids)
         own = squares.argmin(axis=1)
-        apart = np.sqrt(_square_distances(self.centroids, self.centroids))[own]
-        excess = squares - squares[np.arange(len(unit)), own][:, None]
-        probes = excess <= 2 * apart * reach + 1e-9
+        probes = squares - squares[np.arange(len(unit)), own][:, None] <= self.excess[own]
         probes[np.arange(len(unit)), own] = True
         return own, probes
 
@@ -106,6 +120,32 @@ def fit_quantiser(unit: np.ndarray, lists: int, subspaces: int = 8, codewords: i
     return Quantiser(centroids, np.stack(books), dimension)
 
 
+def needed_border(quantiser: Quantiser, unit: np.ndarray, threshold: float, near: float) -> float:
+    """Largest border that a link of these vectors needs between lists over 2 * near apart."""
+    squares = _square_distances(unit, quantiser.centroids)
+    own, most = squares.argmin(axis=1), 0.0
+    for at in range(0, len(unit), 512):
+        row, col = np.nonzero(unit[at:at + 512] @ unit[at:].T >= threshold)
+        row, col = row + at, col + at
+        apart = quantiser.apart[own[row], own[col]]
+        far = apart > 2 * near
+        row, col, apart = row[far], col[far], apart[far]
+        if len(row):
+            there = squares[row, own[col]] - squares[row, own[row]]
+            back = squares[col, own[row]] - squares[col, own[col]]
+            most = max(most, float((np.minimum(there, back) / (2 * apart)).max()))
+    return most
+
+
+def with_borders(quantiser: Quantiser, unit: np.ndarray, threshold: float, margin: float,
+                 measured: int = 8192) -> Quantiser:
+    """Set the borders for a cosine threshold, measured on the first vectors of the sample."""
+    reach = float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-9
+    usual = SIGMAS * reach / np.sqrt(quantiser.dimension)
+    needed = margin * needed_border(quantiser, unit[:measured], threshold, reach)
+    return dataclasses.replace(quantiser, near=reach, far=min(max(usual, needed), reach))
+
+
 def usable(vector: str) -> F.Column:
     """Whether a vector column is not null or zero and all components are finite."""
     finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
@@ -124,21 +164,23 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def embedding_components(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
                          vector_col: str = "embedding", sample: int = 20_000, list_rows: int = 256,
-                         most_lists: int = 1024, part_rows: int = 4096, sigmas: float = 3.0) -> DataFrame:
+                         most_lists: int = 1024, part_rows: int = 4096, margin: float = 1.25) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     n_links counts other rows, equal vectors included; component_id is the smallest id that
     links reach. Repeated rows count as separate rows. Rows with a null id take no part:
     n_links 0, component_id null, kept false.
     """
+    spark = rows.sparkSession
     own = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     good = own.where(usable("vector") & F.col("id").isNotNull())
-    sizes = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
-    common = [r["n"] for r in sizes.collect()]
-    good = good.where(F.size("vector") == (common[0] if common else 0))
     classes = checkpointed(good.groupBy("vector").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
-    found = checkpointed(_class_links(classes, threshold, sample, list_rows, most_lists, part_rows, sigmas))
+    found = spark.createDataFrame([], "u long, v long, n long")
+    for r in classes.select(F.size("vector").alias("n")).distinct().orderBy("n").collect():
+        same = classes.where(F.size("vector") == r["n"])
+        found = found.unionByName(checkpointed(
+            _class_links(same, threshold, sample, list_rows, most_lists, part_rows, margin)))
     linked = found.groupBy("u").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where(F.col("v").isNotNull()).select("u", "v"))
     rooted = (
@@ -160,23 +202,19 @@ def embedding_components(rows: DataFrame, threshold: float = 0.95, id_col: str =
 
 
 def _class_links(classes: DataFrame, threshold: float, sample: int, list_rows: int, most_lists: int,
-                 part_rows: int, sigmas: float) -> DataFrame:
+                 part_rows: int, margin: float) -> DataFrame:
     """(u, v, n): the number n of rows that u links with where v is null, else a spanning link."""
-    empty = classes.sparkSession.createDataFrame([], "u long, v long, n long")
     taken = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vector").toArrow()
-    if not taken.num_rows:
-        return empty
     lists = min(max(classes.count() // list_rows, 1), most_lists)
-    quantiser = fit_quantiser(_unit(_matrix(taken["vector"].combine_chunks())), lists)
-    reach = float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-9
-    border = reach * min(sigmas / np.sqrt(quantiser.dimension), 1.0)
+    unit = _unit(_matrix(taken["vector"].combine_chunks()))
+    quantiser = with_borders(fit_quantiser(unit, lists), unit, threshold, margin)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for the own list (role 0) and for every probed list (role 1)."""
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 piece = batch.slice(at, 2048)
-                base, probes = quantiser.lists(_unit(_matrix(piece["vector"])), border)
+                base, probes = quantiser.lists(_unit(_matrix(piece["vector"])))
                 row, cell = np.nonzero(probes)
                 index = np.concatenate([np.arange(piece.num_rows), row])
                 placed = piece.take(pa.array(index))
@@ -210,7 +248,7 @@ def _class_links(classes: DataFrame, threshold: float, sample: int, list_rows: i
         "role", "home", "rep", "weight", "vector",
     ).repartition(*order).sortWithinPartitions(*order, "role", "rep")
     return groups.mapInArrow(
-        lambda batches: _search_groups(batches, quantiser, reach, border, threshold),
+        lambda batches: _search_groups(batches, quantiser, threshold),
         f"u {id_type}, v {id_type}, n long")
 
 
@@ -243,16 +281,15 @@ class _ListPart:
             self.root[k] = k = self.root[self.root[k]]
         return k
 
-    def _reversed(self, homes: np.ndarray, col: np.ndarray, border: float) -> np.ndarray:
+    def _reversed(self, homes: np.ndarray, col: np.ndarray) -> np.ndarray:
         """Whether stored vectors probe the own lists of the queries that found them."""
         here, there = self.quantiser.centroids[self.cell], self.quantiser.centroids[homes]
         own = ((self.units[col] - here) ** 2).sum(axis=1)
         other = ((self.units[col] - there) ** 2).sum(axis=1)
-        apart = np.sqrt(((there - here) ** 2).sum(axis=1))
-        return (homes == self.cell) | (other - own <= 2 * apart * border + 1e-9)
+        return (homes == self.cell) | (other - own <= self.quantiser.excess[self.cell, homes])
 
     def search(self, ids: np.ndarray, weights: np.ndarray, homes: np.ndarray, vectors: np.ndarray,
-               reach: float, border: float, threshold: float) -> tuple[list, list, list]:
+               threshold: float) -> tuple[list, list, list]:
         """Links of queries with the stored vectors, counted for both unless both find them."""
         u, v, n = [], [], []
         if not self.ids:
@@ -266,12 +303,12 @@ class _ListPart:
             squares = np.zeros((len(some), len(self.all_ids)))
             for m in range(self.codes.shape[1]):  # asymmetric distances by table lookup
                 squares += tables[:, m][:, self.codes[:, m]]
-            near = np.sqrt(squares) <= reach + self.error + 1e-9
+            near = np.sqrt(squares) <= self.quantiser.near + self.error + 1e-9
             near &= some[:, None] != self.all_ids
             row, col = np.nonzero(near)
             cosine = np.einsum("ij,ij->i", units[row], self.units[col])  # exact rerank
             row, col = row[cosine >= threshold], col[cosine >= threshold]
-            once = ~self._reversed(homes[at:at + step][row], col, border)
+            once = ~self._reversed(homes[at:at + step][row], col)
             total = np.bincount(row, self.all_weights[col], len(some)).astype(np.int64)
             back = np.bincount(col[once], weights[at:at + step][row[once]], len(self.all_ids)).astype(np.int64)
             for owner, amount in ((some, total), (self.all_ids, back)):
@@ -291,8 +328,8 @@ class _ListPart:
         return u, v, n
 
 
-def _search_groups(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, reach: float,
-                   border: float, threshold: float) -> Iterator[pa.RecordBatch]:
+def _search_groups(batches: Iterator[pa.RecordBatch], quantiser: Quantiser,
+                   threshold: float) -> Iterator[pa.RecordBatch]:
     part, key = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -309,7 +346,7 @@ def _search_groups(batches: Iterator[pa.RecordBatch], quantiser: Quantiser, reac
                 part.store(reps[a:b], weights[a:b], vectors[a:b])
             else:
                 u, v, n = part.search(
-                    reps[a:b], weights[a:b], homes[a:b], vectors[a:b], reach, border, threshold)
+                    reps[a:b], weights[a:b], homes[a:b], vectors[a:b], threshold)
                 kind = batch.schema.field("rep").type
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(u, kind), pa.array(v, kind), pa.array(n, pa.int64())], ["u", "v", "n"])

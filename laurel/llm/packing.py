@@ -13,6 +13,9 @@ always to the group with the least work, where work counts tokens and squared le
 A partition packs its own documents in windows of bounded size, so nothing is shuffled and
 a lost executor repeats only its partitions. Sequence ids hold the partition number.
 
+Texts are split at the tokenizer's added tokens first, as its own library does: a marker in a text
+becomes the marker's id and what stands around it is encoded apart.
+
 Defined results: a null or empty text is one piece that holds `end_id` alone; repeated rows
 are packed as often as they occur; null ids are kept.
 """
@@ -21,15 +24,19 @@ from __future__ import annotations
 
 import bisect
 import heapq
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laurel.llm import bpe
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 WINDOW_TOKENS = 1 << 19
@@ -120,13 +127,36 @@ def balanced_groups(sequences: list[list[Piece]], step_tokens: int, longest: int
     return groups
 
 
+def added_tokens(path: str = TOKENIZER) -> dict[str, bytes]:
+    """Packed id of every token that a tokenizer file adds to its vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file)["added_tokens"]
+    for token in listed:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"added token {token['content']!r} is matched in a way that is not supported")
+    return {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in listed}
+
+
+def encoded(codec: bpe.Codec, texts: Iterable[str | None], added: dict[str, bytes]) -> Iterator[bytes]:
+    """Packed ids of each text, with the added tokens in it."""
+    if not added:
+        yield from codec.encode(texts)
+        return
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+    parts = [split(t) if t and any(a in t for a in added) else [t] for t in texts]
+    plain = codec.encode(p for own in parts for p in own[::2])  # the tokens stand in between
+    for own in parts:
+        yield b"".join(added[p] if k % 2 else next(plain) for k, p in enumerate(own))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = 1 << 15,
-         path: str = bpe.RANKS) -> DataFrame:
+         path: str = bpe.RANKS, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per piece: the document's id, `start` and `length` in its ids, `ids` (packed
     little-endian 32-bit), `doc_tokens`, `sequence_id`, `offset` there, `tier` (tokens of the
     sequence) and `step_group`. `tiers` ascend; each is a power of two.
     """
+    added = added_tokens(tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, "
               "sequence_id long, offset long, tier int, step_group long")
@@ -170,7 +200,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             state["base"] = batch[0][0].as_py() * PARTITION_STRIDE
             ready: list[list[Piece]] = []
             tokens = 0
-            for own, ids in zip(batch[1].to_pylist(), codec.encode(v.as_py() for v in batch[2])):
+            for own, ids in zip(batch[1].to_pylist(), encoded(codec, batch[2].to_pylist(), added)):
                 ids += ending
                 known[state["document"]] = (own, ids)
                 ready += packer.add(state["document"], len(ids) // 4)

@@ -40,8 +40,13 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     model = toxicity.fit(docs, labels.where(~_fold(3, 1)))
-    scored = docs.select("doc_id", _fold(3, 1).alias("held_out"), model.score_column("text").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    judged = docs.select("doc_id", _fold(3, 1).alias("held_out"), model.judge_column("text").alias("j"))
+    place = lambda span: F.concat_ws("-", span["start"], span["end"])
+    return judged.select(
+        "doc_id", "held_out", F.col("j.score").alias("score"), (F.col("j.score") >= 0.7).cast("int").alias("predicted"),
+        F.size("j.spans").alias("n_offending"),
+        F.array_join(F.transform("j.spans", place), ";").alias("offending"),  # characters of the text
+    )
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:

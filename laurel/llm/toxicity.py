@@ -35,6 +35,8 @@ SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
 
 
+SPANS = "array<struct<start: int, end: int, score: double>>"
+SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that are features
 MEMO_WORDS = 1 << 17  # words with a known weight per worker; forgotten when there are more
 
@@ -96,6 +98,24 @@ class ToxicityModel:
         found = ((a, b, self.sentence_score(words)) for a, b, words in sentence_words(text))
         return [{"start": a, "end": b, "score": p} for a, b, p in found if p >= threshold]
 
+    def judge(self, text: str | None, threshold: float) -> dict:
+        """Score and offending sentences in one reading."""
+        clean, spans = 1 - self.leak, []
+        for a, b, words in sentence_words(text):
+            p = self.sentence_score(words)
+            clean *= 1 - p
+            if p >= threshold:
+                spans.append({"start": a, "end": b, "score": p})
+        return {"score": 1 - clean, "spans": spans}
+
+    def judge_column(self, text: Column | str, threshold: float = 0.5) -> Column:
+        @F.arrow_udf(f"struct<score: double, spans: {SPANS}>")
+        def judged(values: pa.Array) -> pa.Array:
+            kind = pa.struct([("score", pa.float64()), ("spans", SPAN_TYPE)])
+            return pa.array([self.judge(v.as_py(), threshold) for v in values], type=kind)
+
+        return judged(text)
+
     def score_column(self, text: Column | str) -> Column:
         @F.arrow_udf("double")
         def score(values: pa.Array) -> pa.Array:
@@ -104,11 +124,9 @@ class ToxicityModel:
         return score(text)
 
     def spans_column(self, text: Column | str, threshold: float = 0.5) -> Column:
-        @F.arrow_udf("array<struct<start: int, end: int, score: double>>")
+        @F.arrow_udf(SPANS)
         def spans(values: pa.Array) -> pa.Array:
-            kind = pa.list_(pa.struct(
-                [("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            return pa.array([self.spans(v.as_py(), threshold) for v in values], type=kind)
+            return pa.array([self.spans(v.as_py(), threshold) for v in values], type=SPAN_TYPE)
 
         return spans(text)
 
