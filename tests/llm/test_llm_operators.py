@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -111,10 +112,11 @@ def check_packing(rows, wanted, longest=2048):
 
 def test_packing_covers_every_id_without_padding(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rng = random.Random(3)
     words = ["the", "storm", "42", "naïve", "again,", "running"]
-    texts = ODD_TEXTS + [" ".join(rng.choices(words, k=rng.randrange(1, 6000))) for _ in range(60)]
+    marked = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n<|endoftext|>", "<|endoftext|", "x<|endoftext|>'s  \n y"]
+    assert tokenizer.encode(marked[0], add_special_tokens=False).ids.count(50256) == 1
+    texts = ODD_TEXTS + marked + [" ".join(rng.choices(words, k=rng.randrange(1, 6000))) for _ in range(60)]
     wanted = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in enumerate(texts)}
     rows = packing.pack(docs_of(spark, texts).repartition(3)).collect()
     check_packing(rows, wanted)
@@ -267,6 +269,8 @@ def test_toxicity_held_out(spark):
         if r.doc_id % 2:
             assert (r.s >= 0.7) == (r.doc_id % 3 == 0), r
             assert all("rotten" in r.text[x.start:x.end] or "vile" in r.text[x.start:x.end] for x in r.spans)
+        judged = model.judge(r.text, 0.5)
+        assert judged["score"] == r.s and [(x["start"], x["end"]) for x in judged["spans"]] == [(x.start, x.end) for x in r.spans]
     odd = docs_of(spark, ODD_TEXTS + ["clean words. " * 20000]).select(model.score_column("text").alias("s"))
     assert all(0 <= r.s < 0.1 for r in odd.collect())
 
@@ -317,15 +321,18 @@ def odd_vectors(rng, dimension=16):
                       [float("nan")] + [1.0] * (dimension - 1), [float("inf")] * dimension, [1.0, 2.0]]
 
 
-@pytest.mark.parametrize("options", [{}, {"list_rows": 8, "part_rows": 5}, {"list_rows": 8, "sigmas": 100}])
+@pytest.mark.parametrize("options", [{}, {"list_rows": 8, "part_rows": 5}, {"list_rows": 8, "margin": 100}])
 def test_embedding_components_equal_brute_force(spark, options):
-    vectors = odd_vectors(np.random.default_rng(6))
-    good = [k for k, v in enumerate(vectors) if v and len(v) == 16 and None not in v
-            and np.isfinite(v).all() and any(v)]
-    unit = np.array([vectors[k] for k in good], dtype=float)
-    unit /= np.sqrt((unit ** 2).sum(axis=1, keepdims=True))
-    a, b = np.nonzero(unit @ unit.T >= 0.95)
-    links = [(good[x], good[y]) for x, y in zip(a, b) if x != y]
+    """Vectors of other lengths link among themselves."""
+    rng = np.random.default_rng(6)
+    vectors = odd_vectors(rng) + [[1.0, 2.0], [2.0, 4.0], [2.0, 1.0]]
+    vectors += [[float(x) for x in v] for v in np.repeat(rng.standard_normal((4, 5)), 3, axis=0)]
+    good = [k for k, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and any(v)]
+
+    def cosine(a, b):
+        return np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)) if len(a) == len(b) else 0
+
+    links = [(x, y) for x in good for y in good if x != y and cosine(vectors[x], vectors[y]) >= 0.95]
     root = components_of(len(vectors), links)
     amount = np.bincount([x for x, _ in links], minlength=len(vectors))
     rows = embedding_dedup.embedding_components(vector_rows(spark, vectors), **options).collect()
@@ -334,6 +341,27 @@ def test_embedding_components_equal_brute_force(spark, options):
         (k, amount[k], root[k], root[k] == k) for k in range(len(vectors))]
 
 
+@pytest.mark.parametrize("dimension", [64, 128, 256])
+@pytest.mark.parametrize("directions", [8, 16])
+def test_probes_find_links_of_groups_that_vary_in_few_directions(dimension, directions):
+    """A third of all vectors in one group that spans many of 1,024 lists; recall of its links."""
+    rng = np.random.default_rng(directions)
+    n, hot = 12_000, 4_000
+    plane = np.linalg.qr(rng.standard_normal((dimension, directions)))[0].T
+    center = rng.standard_normal(dimension)
+    center /= np.sqrt(center @ center)
+    group = center + 0.5 * rng.standard_normal((hot, directions)) / np.sqrt(directions) @ plane
+    unit = embedding_dedup._unit(np.concatenate([rng.standard_normal((n - hot, dimension)), group]))
+    unit = unit[rng.permutation(n)]
+    fitted = embedding_dedup.fit_quantiser(unit[:6000], 1024)  # the others are unknown to it
+    quantiser = embedding_dedup.with_borders(fitted, unit[:6000], 0.95, 1.25)
+    own, probes = quantiser.lists(unit)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
+    found = probes[a, own[b]] | probes[b, own[a]]
+    assert len(a) > 5_000 and (own[a] != own[b]).mean() > 0.1
+    assert found.mean() >= 0.99
+
+
 def test_embedding_odd_tables(spark):
     rows = vector_rows(spark, [[1.0, 0.0], [0.0, 1.0]])
     assert embedding_dedup.embedding_components(rows.limit(0)).collect() == []
@@ -343,21 +371,39 @@ def test_embedding_odd_tables(spark):
         ("0", 1, 0, True), ("0", 1, 0, True), ("1", 1, 1, True), ("1", 1, 1, True), ("None", 0, None, False)]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_rows": 20, "query_rows": 3}])
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 20, "query_rows": 3}, {"shard_rows": 7, "most_leaves": 3}])
 def test_top_k_equals_brute_force(spark, options):
-    vectors = odd_vectors(np.random.default_rng(7)) + [[float(10 ** 30)] * 16]
-    good = [k for k, v in enumerate(vectors) if v and len(v) == 16 and None not in v
-            and np.isfinite(v).all() and max(map(abs, v)) < 1e6]
-    whole = {k: np.floor(256 * np.array(vectors[k], dtype=float)).astype(np.int64) for k in good}
+    """Vectors of other lengths and with large components take part."""
+    vectors = odd_vectors(np.random.default_rng(7)) + [
+        [300_000.0] + [0.0] * 15, [-300_000.0] + [1.0] * 15, [2.0 ** 28] + [1.0] * 15, [3.0, 1.0], [2.0, 5.0], [1.0, 0.0]]
+    good = [k for k, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all()]
+    whole = {k: [math.floor(256 * float(np.float32(x))) for x in vectors[k]] for k in good}
+
+    def score(a, b):
+        return sum(x * y for x, y in zip(whole[a], whole[b]))
+
     wanted = []
     for q in good:
-        if q % 5 == 0:
-            best = sorted((-int(whole[q] @ whole[c]), c) for c in good if c != q)[:4]
+        if q % 5 == 0 or q > len(vectors) - 7:
+            best = sorted((-score(q, c), c) for c in good if c != q and len(whole[c]) == len(whole[q]))[:4]
             wanted += [(q, rank + 1, c, -s) for rank, (s, c) in enumerate(best)]
     rows = vector_rows(spark, vectors)
     rows = rows.unionByName(rows)  # repeated rows are one
-    found = top_k.top_k_search(rows, F.col("vec_id") % 5 == 0, k=4, **options).collect()
-    assert sorted(tuple(r) for r in found) == wanted
+    asks = (F.col("vec_id") % 5 == 0) | (F.col("vec_id") > len(vectors) - 7)
+    wanted = [w for w in wanted if abs(w[3]) < 2 ** 63]
+    found = top_k.top_k_search(rows, asks, k=4, **options).collect()
+    assert sorted(tuple(r) for r in found) == wanted and len(wanted) > 100
+
+
+def test_top_k_large_components(spark):
+    rows = vector_rows(spark, [[1.0, 0.0], [300_000.0, 1.0], [2.0, 1.0], [1e12, 3.0]])
+    found = top_k.top_k_search(rows, F.col("vec_id") == 0).collect()
+    big = math.floor(256 * float(np.float32(1e12)))
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [
+        (3, 256 * big), (1, 256 * 76_800_000), (2, 256 * 512)]
+    for vectors in ([[1e18], [1e18]], [[1e12], [2e12]]):  # a component, a score beyond 64 bits
+        with pytest.raises(Exception, match="62 bits|too large|int too big|overflow|Overflow"):
+            top_k.top_k_search(vector_rows(spark, vectors), F.lit(True)).collect()
 
 
 def test_top_k_few_rows(spark):
