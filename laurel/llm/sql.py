@@ -6,31 +6,34 @@ _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
 def _level(k: int) -> str:
-    """One level of the path tree, from t{k} to t{k + 1}."""
+    """One level of the path tree, from the nodes t{k} to t{k + 1}; e{k} are the pages that end."""
     return f"""
-c{k} as (select *, coalesce(shape[{k + 1}], '') child from t{k}),
+c{k} as (select *, shape[{k + 1}] child from t{k}),
+e{k} as (select host, shape, template, purity, evidence from c{k} where child is null),
+w{k} as (
+  select host, template, any_value(purity) above, sum(pages) all_pages, sum(labelled) all_labelled,
+    sum(blocked) all_blocked, count(distinct child) many, sum(pages) filter (where child is not null) below
+  from c{k} group by all),
 g{k} as (
   select host, template, child, sum(pages) pages, sum(labelled) labelled, sum(blocked) blocked
-  from c{k} group by all),
-n{k} as (
-  select host, template, child, labelled, blocked,
-    sum(labelled) over node - labelled other_labelled, sum(blocked) over node - blocked other_blocked,
-    count(*) filter (where child <> '') over node many,
-    coalesce(sum(pages) filter (where child <> '') over node, 0) child_pages
-  from g{k} window node as (partition by host, template)),
+  from c{k} where child is not null group by all),
 z{k} as (
-  select host, template, child, many >= 8 and many >= 0.5 * child_pages variable,
-    labelled >= 5 and other_labelled >= 5 and
-    power(blocked / nullif(labelled, 0) - other_blocked / nullif(other_labelled, 0), 2) <=
-      power(1.96, 2) * ((blocked + other_blocked) / nullif(labelled + other_labelled, 0))
-      * (1 - (blocked + other_blocked) / nullif(labelled + other_labelled, 0))
-      * (1 / nullif(labelled, 0) + 1 / nullif(other_labelled, 0)) alike
-  from n{k}),
-t{k + 1} as (
-  select host, shape, pages, labelled, blocked,
-    template || case when child = '' then '' when variable then '/*' when coalesce(alike, false) then '/~'
-                else '/' || child end template
-  from c{k} join z{k} using (host, template, child)),"""
+  select *, case when all_pages < 5 then '/**' when many >= 8 and many >= 0.5 * below then '/*'
+      when labelled >= 5 and all_labelled - labelled >= 5 and
+        power(blocked / nullif(labelled, 0) - (all_blocked - blocked) / nullif(all_labelled - labelled, 0), 2) <=
+        power(1.96, 2) * (all_blocked / nullif(all_labelled, 0)) * (1 - all_blocked / nullif(all_labelled, 0))
+        * (1 / nullif(labelled, 0) + 1 / nullif(all_labelled - labelled, 0)) then '/~'
+      else '/' || child end branch
+  from g{k} join w{k} using (host, template)),
+p{k} as (
+  select host, template, branch, (sum(blocked) + 4 * any_value(above)) / (sum(labelled) + 4) purity, sum(labelled) evidence
+  from z{k} group by host, template, branch),
+m{k} as (
+  select c.host, c.shape, c.pages, c.labelled, c.blocked, c.template || branch template, p.purity, p.evidence,
+    branch = '/**' closed
+  from c{k} c join z{k} z using (host, template, child) join p{k} p using (host, template, branch)),
+x{k} as (select host, shape, template, purity, evidence from m{k} where closed),
+t{k + 1} as (select * exclude (closed) from m{k} where not closed),"""
 
 
 URL_FILTER = rf"""
@@ -47,25 +50,27 @@ ruled as (
     when starts_with(path, '/fr/') and (host = 'org' or ends_with(host, '.org')) then 'org/fr/'
     when starts_with(path, '/') and (host = 'net' or ends_with(host, '.net')) then 'net/' end rule,
     list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
-      lambda s: case when regexp_full_match(s, '[0-9]+([.][a-z]+)?|[0-9a-f-]{{8,}}') then '*' else s end) named
+      lambda s: case when regexp_full_match(s, '[0-9]+([.][a-z]+)?|[0-9a-f-]{{8,}}') then '*' else s end) shape
   from parts),
 own as (
-  select *, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end ruling,
-    named[1:3] || case when len(named) > 3 then ['**'] else [] end shape
+  select *, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end ruling
   from ruled),
-t0 as (
-  select host, shape, count(*) pages, count(rule) labelled, count(*) filter (where ruling = 'block') blocked,
-    '' template
+counted as (
+  select host, shape, count(*) pages, count(rule) labelled, count(*) filter (where ruling = 'block') blocked
   from own group by host, shape),
+overall as (select (sum(blocked) + 1) / (sum(labelled) + 2) share from counted),
+t0 as (
+  select *, '' template, (sum(blocked) over site + 4 * share) / (sum(labelled) over site + 4) purity,
+    sum(labelled) over site evidence
+  from counted, overall window site as (partition by host)),
 {_level(0)}{_level(1)}{_level(2)}
-overall as (select (sum(blocked) + 1) / (sum(labelled) + 2) share from t3),
-pure as (
-  select host, template, (sum(blocked) + 4 * any_value(share)) / (sum(labelled) + 4) purity
-  from t3, overall group by host, template)
-select page_id, own.host, path, rule, t3.template, purity,
-  coalesce(ruling, case when purity >= 0.8 then 'block' else 'allow' end) verdict
-from own join t3 on own.host = t3.host and own.shape = t3.shape
-  join pure on t3.host = pure.host and t3.template = pure.template
+tree as (
+  select * from e0 union all select * from x0 union all select * from e1 union all select * from x1
+  union all select * from e2 union all select * from x2
+  union all select host, shape, template, purity, evidence from t3)
+select page_id, own.host, path, rule, template, purity,
+  coalesce(ruling, case when evidence >= 5 and purity >= 0.8 then 'block' else 'allow' end) verdict
+from own join tree on own.host = tree.host and own.shape = tree.shape
 """
 
 EMBEDDINGS = """
