@@ -484,6 +484,48 @@ def test_url_similar_branches_merge(spark):
     assert found["/x"] == found["/y"] == "/~/*" and found["/z"] == "/z/*"
 
 
+def test_url_branches_split_as_deep_as_they_differ(spark):
+    """Two branches that part at the sixth segment; a small node is not split."""
+    deep = "http://d.org/a/b/c/d/e"
+    urls = [f"{deep}/{branch}/page-{a}{b}" for branch in ("good", "bad") for a in "xyz" for b in "pqrstuvwxyz"]
+    urls += ["http://d.org/few/x/y", "http://d.org/few/x/z/w"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [(f"d.org/a/b/c/d/e/bad/page-{x}", "block") for x in "xy"] + [
+        (f"d.org/a/b/c/d/e/good/page-{x}", "allow") for x in "xy"]
+    found = {r.path: r for r in url_filter.url_verdicts(pages, rules).collect()}
+    bad, good = (found[f"/a/b/c/d/e/{b}/page-zp"] for b in ("bad", "good"))
+    assert (bad.rule, bad.template, bad.verdict) == (None, "/a/b/c/d/e/bad/*", "block")
+    assert (good.rule, good.template, good.verdict) == (None, "/a/b/c/d/e/good/*", "allow")
+    assert found["/few/x/y"].template == found["/few/x/z/w"].template == "/few/**"
+
+
+def test_url_purity_leans_on_the_parent(spark):
+    """Of two templates with the same own labels the one in the worse branch is less pure; without
+    own labels nothing is rejected."""
+    urls = [f"http://s.org/{site}/{k}" for site in ("a", "b") for k in ("one", "two", "three")]
+    urls += [f"http://s.org/b/old/{k}" for k in range(30)] + [f"http://s.org/a/old/{k}" for k in range(30)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("s.org/b/old/", "block"), ("s.org/a/old/", "allow")]
+    found = {r.path: r for r in url_filter.url_verdicts(pages, rules).collect()}
+    assert found["/b/one"].purity > 0.8 > 0.2 > found["/a/one"].purity
+    assert found["/b/one"].verdict == found["/a/one"].verdict == "allow"
+
+
+def test_url_templates_predict_held_out_rules(spark):
+    """Pages whose rule was withheld get the verdict it would have given."""
+    rng = random.Random(8)
+    branches = {f"/{x}/{y}": rng.random() < 0.4 for x in "abcdefg" for y in ("in", "out", "off")}
+    urls = [f"http://{h}.shop{b}/{''.join(rng.choices('ghijklmnop', k=9))}" for h in ("one", "two") for b in branches for _ in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    every = [(f"{h}.shop{b}/{x}", "block" if bad else "allow") for h in ("one", "two") for b, bad in branches.items()
+             for x in "ghijklmnop"]
+    told = [r for k, r in enumerate(every) if k % 3]
+    found = url_filter.url_verdicts(pages, told).where("rule is null").collect()
+    wanted = {(f"{h}.shop", b): "block" if bad else "allow" for h in ("one", "two") for b, bad in branches.items()}
+    right = [r.verdict == wanted[r.host, "/" + "/".join(r.path.split("/")[1:3])] for r in found]
+    assert len(right) > 300 and np.mean(right) > 0.95 and {r.verdict for r in found} == {"allow", "block"}
+
+
 # WARC
 
 
