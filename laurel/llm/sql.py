@@ -118,11 +118,13 @@ def _gone(text: str, pattern: str, by: str) -> str:
     return f"regexp_replace({text}, '{pattern}', {by}, 'g')"
 
 
+_REST = """[^>"'']*(?:(?:"[^"]*"|''[^'']*'')[^>"'']*)*>"""
+
+
 def _plain(html: str) -> str:
-    for pattern in ("(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"):
-        html = _gone(html, pattern, "' '")
-    html = _gone(html, rf"(?i)</?({_TAGS})(\s[^>]*|/)?>", "chr(10)")
-    html = _gone(_decoded(_gone(html, "<[^>]*>", "''")), r"[ \t\r\x0B\f]+", "' '")
+    html = _gone(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "' '")
+    html = _gone(html, rf"(?i)</?(?:{_TAGS})(?:>|[\s/]{_REST})", "chr(10)")
+    html = _gone(_decoded(_gone(html, f"<[/!?A-Za-z]{_REST}", "''")), r"[ \t\r\x0B\f]+", "' '")
     return f"trim({_gone(html, ' ?\\n[\\n ]*', 'chr(10)')}, ' ' || chr(10))"
 
 
@@ -163,6 +165,7 @@ select id page_id, record_type, record_id, refers_to, target_uri, '1970-01-01T00
   'WARC/1.1' || {_CRLF} || 'WARC-Type: ' || record_type || {_CRLF} || 'WARC-Record-ID: <' || record_id || '>' || {_CRLF}
   || 'WARC-Refers-To: <' || refers_to || '>' || {_CRLF}
   || coalesce('WARC-Target-URI: ' || target_uri || {_CRLF}, '') || 'WARC-Date: 1970-01-01T00:00:00Z' || {_CRLF}
+  || 'Source-Content-Type: text/html' || {_CRLF} || 'Source-Payload-Digest: ' || source_digest || {_CRLF}
   || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'Content-Type: ' || media || {_CRLF}
   || 'Content-Length: ' || content_length || {_CRLF} headers
 from named

@@ -1,9 +1,10 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
 Only DataFrame functions are used. Every response gives one metadata and one conversion
-record. Both name the response in WARC-Refers-To and keep its target URI and date; the
-metadata record also lists the source's content type, payload digest and length, the
-title, the language and the links. Record ids and digests depend on the response alone, so
+record. Both name the response in WARC-Refers-To and keep its target URI, date, content type and
+payload digest in their headers; the metadata record also lists the source's length, the
+title, the language and the links. Tags may hold `>` in quoted attributes. Character references
+are decoded once, by number or by the names of HTML 4; unknown ones stay as they are. Record ids and digests depend on the response alone, so
 a rebuilt file is the same.
 
 Defined results: null HTML is empty; a null URI gives records without WARC-Target-URI; line
@@ -13,16 +14,19 @@ repeated responses give repeated records.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 NEWLINE = "\r\n"
 BLOCK_TAGS = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|td|th|table|article|section|header|footer|nav|title"
-ENTITIES = {  # fixed values; `&amp;` must be last
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&middot;": "·", "&amp;": "&",
-}
+NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# What follows a tag's name: quoted values, which may hold `>`, and anything else.
+REST = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>"""
+UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
 def clean_uri(uri: Column) -> Column:
@@ -41,18 +45,30 @@ def record_id(*parts: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    """Character references replaced by their characters; a no-break space counts as a blank."""
+    known = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def decoded(piece: Column, place: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        digits = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(
+            F.substring(name, 2, 7))
+        code = F.when(F.substring(name, 1, 1) == "#", digits.cast("int"))
+        usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        numbered = F.when(code == 0xA0, " ").when(
+            usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        character = F.coalesce(numbered, F.try_element_at(known, name))
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        return F.when(place == 0, piece).otherwise(F.coalesce(
+            F.concat(character, rest), F.concat(F.lit("&"), piece)))
+
+    return F.array_join(F.transform(F.split(text, "&"), decoded), "")
 
 
 def plain_text(html: Column) -> Column:
     """Text of a page: no comments, scripts, styles or tags; block tags break lines."""
-    text = F.coalesce(html, F.lit(""))
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"):
-        text = F.regexp_replace(text, pattern, " ")
-    text = F.regexp_replace(text, rf"(?i)</?({BLOCK_TAGS})(\s[^>]*|/)?>", "\n")
-    text = decode_entities(F.regexp_replace(text, r"<[^>]*>", ""))
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, " ")
+    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCK_TAGS})(?:>|[\s/]{REST})", "\n")
+    text = decode_entities(F.regexp_replace(text, rf"<[/!?A-Za-z]{REST}", ""))
     text = F.regexp_replace(text, r"[ \t\r\x0B\f]+", " ")
     return F.trim(F.regexp_replace(text, r" ?\n[\n ]*", "\n"), F.lit(" \n"))
 
@@ -107,9 +123,9 @@ def derivatives(found: DataFrame) -> DataFrame:
     ))
     rows = found.select(
         "id", F.col("record_id").alias("refers_to"), "target_uri", "date",
-        F.col("payload_digest").alias("source_digest"), kinds.alias("made"),
+        F.col("payload_digest").alias("source_digest"), "content_type", kinds.alias("made"),
     ).select(
-        "id", "refers_to", "target_uri", "date", "source_digest", "made.*",
+        "id", "refers_to", "target_uri", "date", "source_digest", "content_type", "made.*",
     ).withColumns({
         "record_id": record_id(F.col("refers_to"), F.col("record_type")),
         "block_digest": digest(F.col("content")),
@@ -119,7 +135,8 @@ def derivatives(found: DataFrame) -> DataFrame:
     headers = F.concat(
         F.lit(VERSION + NEWLINE), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", angled("record_id")),
         _line("WARC-Refers-To", angled("refers_to")), _line("WARC-Target-URI", F.col("target_uri")),
-        _line("WARC-Date", F.col("date")), _line("WARC-Block-Digest", F.col("block_digest")),
+        _line("WARC-Date", F.col("date")), _line("Source-Content-Type", F.col("content_type")),
+        _line("Source-Payload-Digest", F.col("source_digest")), _line("WARC-Block-Digest", F.col("block_digest")),
         _line("Content-Type", F.col("media")), _line("Content-Length", F.col("content_length").cast("string")),
     )
     return rows.select(
