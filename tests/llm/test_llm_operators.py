@@ -529,6 +529,28 @@ def test_url_templates_predict_held_out_rules(spark):
 # WARC
 
 
+WARC_TEXTS = [  # written by hand
+    ("<p>caf&#233; &eacute;t&eacute; &#x27;q&#X27; &euro;5</p>", "café été 'q' €5"),
+    ("a &amp;lt; b &lt;i&gt; &unknown; &#xD800; &#0; &#99999999; & &; AT&T", "a &lt; b <i> &unknown; &#xD800; &#0; &#99999999; & &; AT&T"),
+    ('<a title="x > y" href="/z">link</a> <img alt=\'a>b\' src=q> end', "link end"),
+    ("<div><div>one<span>two</span></div><p>three</div>", "onetwo\nthree"),
+    ("2 < 3 and 5 > 4<br/>next<br />last", "2 < 3 and 5 > 4\nnext\nlast"),
+    ("<script>if (a < b) { '<p>' }</script>x<!-- <p>no</p> --><style>p > a {}</style>y", "x y"),
+    ("one&nbsp;two&#160;three&apos;s &copy; &middot;", "one two three's © ·"),
+    ("<P CLASS='a'>upper</P><param x><pre>kept</pre><!DOCTYPE html>", "upper\nkept"),
+    ("\U0001F600 &#128512; &#x1F600;", "\U0001F600 \U0001F600 \U0001F600"),
+    ("<p>it's<b> fine</b> <a title=\"open>text", "it's fine <a title=\"open>text"),
+    ("", ""), (None, ""),
+]
+
+
+def test_warc_plain_text_of_hand_rows(spark):
+    rows = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(WARC_TEXTS)], "page_id long, html string")
+    found = {r.page_id: r.t for r in rows.select("page_id", warc.plain_text(F.col("html")).alias("t")).collect()}
+    for k, (html, text) in enumerate(WARC_TEXTS):
+        assert found[k] == text, html
+
+
 def test_warc_records_and_round_trip(spark, tmp_path):
     html = ('<html lang="en"><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><!-- no -->'
             '<p>One<br>two &lt;3<a href="/x?a=1&amp;b=2">link</a></p></body></html>')
@@ -545,6 +567,7 @@ def test_warc_records_and_round_trip(spark, tmp_path):
     for r in made:
         data = r.content.encode()
         assert r.block_digest == "sha256:" + hashlib.sha256(data).hexdigest() and r.content_length == len(data)
+        assert f"Source-Content-Type: text/html\r\nSource-Payload-Digest: {r.source_digest}\r\n" in r.headers
         assert f"Content-Length: {len(data)}\r\n" in r.headers and f"<{r.refers_to}>" in r.headers
         assert r.source_digest in infos[0].content or r.id != 1
     assert "WARC-Target-URI: http://a/X: y\r\n" in texts[2].headers and "WARC-Target-URI" not in texts[1].headers
