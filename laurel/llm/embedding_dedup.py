@@ -7,11 +7,11 @@
    is coded by one codeword per subspace. Centroids and codebooks are fitted on at most
    `sample` vectors chosen by a hash; every vector is indexed.
 3. cosine >= t means a distance of at most r = sqrt(2 - 2t). A vector probes its own list and
-   the lists whose border with its own is near enough. Between lists whose centroids are within
-   2r, as in a dense group that spans many lists, that is r, which loses no link. Between others it
-   is what the links of the sample need, times `margin`, and at least 3 standard deviations of
-   what a displacement of length r does across a border, r / sqrt(dimension). A link is
-   found if either of its vectors probes the other's list.
+   the lists whose border with its own is near enough. How near is measured: where links of the
+   sample cross a list's border, as in a dense group that spans many lists, it is `margin` times the
+   most that any such link needs, up to r, which loses no link. For the other lists it is 3 standard
+   deviations of what a displacement of length r does across a border, r / sqrt(dimension). A
+   link is found if either of its vectors probes the other's list.
 4. In a list the distance of a query to a coded vector comes from lookup tables. A vector
    whose code is further from the query than r plus the vector's coding error cannot link.
    The others are reranked by exact cosine in double precision.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from laurel.llm.components import checkpointed, connected_components
 
 CHUNK = 1 << 18  # query-vector pairs looked at together
-SIGMAS = 3.0  # least border between lists far apart, in standard deviations
+SIGMAS = 3.0  # least border, in standard deviations
 
 
 @dataclasses.dataclass(frozen=True)
@@ -42,8 +42,8 @@ class Quantiser:
     centroids: np.ndarray  # lists x dimension
     codebooks: np.ndarray  # subspaces x codewords x width; the last subspace is zero-padded
     dimension: int
-    near: float = 0.0  # border to lists whose centroids are within twice this
-    far: float = 0.0  # border to the others
+    reach: float = 0.0  # distance of vectors that link, at most
+    border: np.ndarray | None = None  # per list: how near its border a vector is for the other side to matter
 
     @property
     def width(self) -> int:
@@ -61,8 +61,7 @@ class Quantiser:
     @functools.cached_property
     def excess(self) -> np.ndarray:
         """By how much the square distance to a list may exceed that to the own list."""
-        border = np.where(self.apart <= 2 * self.near, self.near, self.far)
-        return 2 * self.apart * border + 1e-9
+        return 2 * self.apart * np.maximum(self.border[:, None], self.border) + 1e-9
 
     def lists(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Own list of each vector, and a matrix of the lists it probes."""
@@ -120,30 +119,32 @@ def fit_quantiser(unit: np.ndarray, lists: int, subspaces: int = 8, codewords: i
     return Quantiser(centroids, np.stack(books), dimension)
 
 
-def needed_border(quantiser: Quantiser, unit: np.ndarray, threshold: float, near: float) -> float:
-    """Largest border that a link of these vectors needs between lists over 2 * near apart."""
+def needed_border(quantiser: Quantiser, unit: np.ndarray, threshold: float) -> tuple[float, np.ndarray]:
+    """Largest border that a link between lists needs, and which lists such links touch."""
     squares = _square_distances(unit, quantiser.centroids)
     own, most = squares.argmin(axis=1), 0.0
+    touched = np.zeros(len(quantiser.centroids), dtype=bool)
     for at in range(0, len(unit), 512):
         row, col = np.nonzero(unit[at:at + 512] @ unit[at:].T >= threshold)
         row, col = row + at, col + at
-        apart = quantiser.apart[own[row], own[col]]
-        far = apart > 2 * near
-        row, col, apart = row[far], col[far], apart[far]
+        across = own[row] != own[col]
+        row, col = row[across], col[across]
         if len(row):
+            touched[own[row]] = touched[own[col]] = True
             there = squares[row, own[col]] - squares[row, own[row]]
             back = squares[col, own[row]] - squares[col, own[col]]
+            apart = quantiser.apart[own[row], own[col]]
             most = max(most, float((np.minimum(there, back) / (2 * apart)).max()))
-    return most
+    return most, touched
 
 
-def with_borders(quantiser: Quantiser, unit: np.ndarray, threshold: float, margin: float,
-                 measured: int = 8192) -> Quantiser:
-    """Set the borders for a cosine threshold, measured on the first vectors of the sample."""
+def with_borders(quantiser: Quantiser, unit: np.ndarray, threshold: float, margin: float) -> Quantiser:
+    """Set the borders for a cosine threshold from the links among the sample."""
     reach = float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-9
-    usual = SIGMAS * reach / np.sqrt(quantiser.dimension)
-    needed = margin * needed_border(quantiser, unit[:measured], threshold, reach)
-    return dataclasses.replace(quantiser, near=reach, far=min(max(usual, needed), reach))
+    usual = min(SIGMAS / np.sqrt(quantiser.dimension), 1.0) * reach
+    most, touched = needed_border(quantiser, unit, threshold)
+    border = np.where(touched, min(max(usual, margin * most), reach), usual)
+    return dataclasses.replace(quantiser, reach=reach, border=border)
 
 
 def usable(vector: str) -> F.Column:
@@ -303,7 +304,7 @@ class _ListPart:
             squares = np.zeros((len(some), len(self.all_ids)))
             for m in range(self.codes.shape[1]):  # asymmetric distances by table lookup
                 squares += tables[:, m][:, self.codes[:, m]]
-            near = np.sqrt(squares) <= self.quantiser.near + self.error + 1e-9
+            near = np.sqrt(squares) <= self.quantiser.reach + self.error + 1e-9
             near &= some[:, None] != self.all_ids
             row, col = np.nonzero(near)
             cosine = np.einsum("ij,ij->i", units[row], self.units[col])  # exact rerank

@@ -343,10 +343,11 @@ def test_embedding_components_equal_brute_force(spark, options):
 
 @pytest.mark.parametrize("dimension", [64, 128, 256])
 @pytest.mark.parametrize("directions", [8, 16])
-def test_probes_find_links_of_groups_that_vary_in_few_directions(dimension, directions):
-    """A third of all vectors in one group that spans many of 1,024 lists; recall of its links."""
+@pytest.mark.parametrize("hot", [4000, 600])
+def test_probes_find_links_of_groups_that_vary_in_few_directions(dimension, directions, hot):
+    """A group, up to a third of all vectors, that spans many of 1,024 lists; recall of its links."""
     rng = np.random.default_rng(directions)
-    n, hot = 12_000, 4_000
+    n = 12_000
     plane = np.linalg.qr(rng.standard_normal((dimension, directions)))[0].T
     center = rng.standard_normal(dimension)
     center /= np.sqrt(center @ center)
@@ -358,8 +359,8 @@ def test_probes_find_links_of_groups_that_vary_in_few_directions(dimension, dire
     own, probes = quantiser.lists(unit)
     a, b = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
     found = probes[a, own[b]] | probes[b, own[a]]
-    assert len(a) > 5_000 and (own[a] != own[b]).mean() > 0.1
-    assert found.mean() >= 0.99
+    assert len(a) > (5_000 if hot == 4000 else 50) and (own[a] != own[b]).mean() > 0.1
+    assert found.mean() >= (0.99 if hot == 4000 else 0.95)
 
 
 def test_embedding_odd_tables(spark):
