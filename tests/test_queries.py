@@ -44,7 +44,7 @@ def plan_text(spark, name):
 
 
 def test_award_window_reaches_the_scan(spark):
-    assert "GreaterThanOrEqual(o_orderdate" in plan_text(spark, "report_completers")
+    assert "GreaterThanOrEqual(o_orderdate" in plan_text(spark, "report_completers_selected")
 
 
 @pytest.mark.parametrize("name", ["efficiency", "rolling_cohorts"])
