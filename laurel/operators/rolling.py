@@ -71,7 +71,9 @@ def count_by_cohort(spans: DataFrame, keys: Sequence[str], name: str = "Count",
         F.struct(F.col(START).alias("_at"), F.col("_n").alias("_change")),
         F.struct(F.col(END).alias("_at"), (-F.col("_n")).alias("_change")),
     )
-    changes = runs.select(*keys, F.inline(borders)).groupBy(*keys, "_at").agg(F.sum("_change").alias("_change"))
+    # A key's borders are few, so one shuffle by key serves the sum and the sweep.
+    dealt = runs.select(*keys, F.inline(borders)).repartition(*keys)
+    changes = dealt.groupBy(*keys, "_at").agg(F.sum("_change").alias("_change"))
     line = W.partitionBy(*keys).orderBy("_at")
     swept = changes.select(
         *keys, "_at", F.sum("_change").over(line).alias(name), F.lead("_at").over(line).alias("_until"))
