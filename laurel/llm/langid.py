@@ -3,7 +3,7 @@
 A text is lower-cased, every character that is not a letter becomes a blank, runs of blanks
 one blank, and the n-grams of `SIZES` are hashed into `buckets`. The model is a matrix of
 log-probabilities (buckets by languages), sent to the workers with the scoring function;
-its size is fixed by `buckets` and the number of languages. Many texts are scored at once
+its size is fixed by `buckets` and the number of languages, which has a bound. Many texts are scored at once
 with numpy: gather the rows of all n-grams, then sum by text.
 
 Fitting reads about `per_language` documents of each language, chosen by a hash of the id.
@@ -123,14 +123,19 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, per_language: int = 1000, buckets: int = BUCKETS, smoothing: float = 0.5,
-        id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+        id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        most_languages: int = 1000) -> LanguageModel:
     """Learn from `docs`; rows with a null id, text or language are left out.
 
-    A row is read if a hash of its id falls below `per_language` / (rows of its language).
+    A row is read if a hash of its id falls below `per_language` / (rows of its language). More
+    than `most_languages` languages are an error: the model would not fit into every task.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.col(lang_col).alias("lang")).dropna()
-    sizes = rows.groupBy("lang").count()
+    known = rows.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(known) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    sizes = docs.sparkSession.createDataFrame(known, "lang string, count long")
     draw = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
     sample = rows.join(F.broadcast(sizes), "lang").where(draw * F.col("count") < per_language)
 

@@ -300,6 +300,8 @@ def test_language_held_out_and_odd_texts(spark):
     for r in odd.collect():
         lettered = any(c.isalpha() for c in r.text or "")
         assert (r.p.language != "und") == lettered and 0 <= r.p.score <= 1
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.fit(docs, most_languages=2)
     nothing = langid.fit(docs.limit(0))
     assert {r.p.language for r in docs.select(nothing.predict_column("text").alias("p")).collect()} == {"und"}
 
