@@ -86,7 +86,8 @@ def without_overlap(spans: DataFrame, person: Sequence[str], name: str = "Fresh"
     """Add where the part of a run begins that no earlier run of the same person covers.
 
     Over the runs of a person a cohort lies in [name, End) of exactly one if it lies in any, so
-    counting those counts persons. A run that is covered has `name` >= End.
+    counting those counts persons. A run that is covered has `name` >= End. One task sees all rows
+    of a person, so repeated runs should be gone.
     """
     before = W.partitionBy(*person).orderBy(START, END).rowsBetween(W.unboundedPreceding, -1)
     covered = F.max(END).over(before)

@@ -290,7 +290,9 @@ def change_in_people(spans: DataFrame, award_types: Sequence[str] | None = None,
     however many awards of the type the window holds.
     """
     chosen = filter_award_types(spans, award_types)
-    parts = without_overlap(chosen, ["Student_Id", "Award_Type"]).where(F.col("Fresh") < F.col(END))
+    # A student's runs of a type are few once repeats are gone, however many awards there are.
+    runs = chosen.select("Student_Id", "Award_Type", *STRATA, START, END).distinct()
+    parts = without_overlap(runs, ["Student_Id", "Award_Type"]).where(F.col("Fresh") < F.col(END))
     parts = parts.withColumn(START, F.col("Fresh"))
     cells = report_change_completers_modes(parts, None, seasons)
     return cells.drop("Proportion", "Proportion_Label").withColumnRenamed("Count", "People")

@@ -119,6 +119,23 @@ def test_bitmaps_merge_to_distinct_counts(spark):
     assert dicts(B.count_people(some, []))[0]["People"] == len({n for h, n in rows if h != "a"})
 
 
+def test_people_per_cohort_with_a_hot_student(spark):
+    tables = hot_tables(spark)
+    calendar = laurel.Calendar.load(tables, dt.date(2001, 9, 1))
+    spans = laurel.rolling_spans(tables, calendar, person=True)
+    found = {(r["Mode"], r["Category"], r["Award_Type"], r["Completion_Cohort_Key"]): r["People"]
+             for r in dicts(laurel.change_in_people(spans))}
+    people = {}
+    for r in dicts(spans):
+        categories = [("none", "All Students"), ("gender", r["Gender"]), ("ethnicity", r["Ethnicity"]),
+                      ("ethnicity_gender", r["Ethnicity"] and f"{r['Ethnicity']} {r['Gender']}")]
+        for at in range(r["Start"], r["End"]):
+            for mode, category in categories:
+                if category is not None:
+                    people.setdefault((mode, category, r["Award_Type"], at // 4 * 10 + at % 4), set()).add(r["Student_Id"])
+    assert found == {k: len(v) for k, v in people.items()} and len(found) > 100
+
+
 def test_people_with_a_hot_student(spark):
     tables = hot_tables(spark)
     calendar = laurel.Calendar.load(tables, dt.date(2001, 9, 1))
