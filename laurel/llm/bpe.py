@@ -11,6 +11,10 @@ The slices between boundaries are encoded by pair merging with a bounded cache.
 are held as little-endian unsigned 32-bit integers in one binary value per text, which
 Spark can digest and slice without Python.
 
+The byte offsets of the slices are retained (`encode_with_offsets_column`): a token's place in its
+text is the offset of its slice and the width of the tokens before it there. Decoding copies
+token bytes to these places, for whole arrays of tokens at once and for any run of tokens alone.
+
 Defined results: a null or empty text has no ids and decodes to empty bytes. Texts are
 encoded whole; special tokens are ordinary text.
 """
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 CHARS_PER_SCAN = 1 << 19  # texts are scanned together up to so many characters
+TOKENS_PER_COPY = 1 << 17  # tokens that are decoded together
 
 # Code points that are letters or numbers for the rank files' splitter and
 # unassigned in this Python's Unicode tables (first, last, class).
@@ -385,17 +390,53 @@ class _SliceCache:
         return pool[np.repeat(places - (ends - counts), counts) + np.arange(total)], counts
 
 
+def _read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        pairs = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
+class Decoder:
+    """The bytes of all tokens of one rank file, one after another."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.widths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        self.starts = np.cumsum(self.widths) - self.widths
+        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def offsets(self, packed: bytes) -> np.ndarray:
+        """Byte place of every token if the first one stands at 0."""
+        widths = self.widths[np.frombuffer(packed, dtype="<u4")]
+        return np.cumsum(widths) - widths
+
+    def decode(self, packed: bytes, offsets: bytes | None = None) -> bytes:
+        """The bytes behind a run of tokens, which stand at `offsets` (packed as the ids are)."""
+        ids = np.frombuffer(packed, dtype="<u4")
+        places = self.offsets(packed) if offsets is None else np.frombuffer(offsets, dtype="<u4").astype(np.int64)
+        if len(places) != len(ids):
+            raise ValueError("there must be an offset per token")
+        found = []
+        for a in range(0, len(ids), TOKENS_PER_COPY):
+            own, at = ids[a:a + TOKENS_PER_COPY], places[a:a + TOKENS_PER_COPY + 1]
+            widths = self.widths[own]
+            if (np.diff(at) != widths[:len(at) - 1]).any():
+                raise ValueError("offsets are not those of the tokens")
+            copied = np.repeat(self.starts[own] - (at[:len(own)] - at[0]), widths)
+            copied += np.arange(len(copied))
+            found.append(self.bytes[copied].tobytes())
+        return b"".join(found)
+
+
 class Codec:
     """Encoder and decoder for one rank file."""
 
     def __init__(self, path: str = RANKS):
-        with open(path, "rb") as lines:
-            pairs = (line.split() for line in lines if line.strip())
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.ranks = _read_ranks(path)
         self.cache = _SliceCache(Merges(self.ranks))
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.decoder = Decoder(self.ranks)
 
     def _scan(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Bytes of all texts, byte offsets of all slices, and each text's first slice."""
@@ -427,22 +468,27 @@ class Codec:
             for a, b in zip(ends, ends[1:]):
                 yield packed[4 * a:4 * b]
 
+    def encode_with_offsets(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """Packed ids of each text and the byte places of its tokens, from the offsets of the slices."""
+        for group in _groups(texts):
+            data, offsets, own = self._scan(group)
+            ids, counts = self.cache.ids(data, offsets)
+            widths = self.decoder.widths[ids]
+            before = np.cumsum(widths) - widths
+            first = np.cumsum(counts) - counts  # token that a slice begins with
+            places = np.repeat(offsets[:-1], counts) + before - np.repeat(before[first], counts)
+            ends = np.concatenate([[0], np.cumsum(counts)])[own]
+            places -= np.repeat(offsets[own[:-1]], np.diff(ends))  # within the text
+            packed, placed = ids.astype("<u4").tobytes(), places.astype("<u4").tobytes()
+            for a, b in zip((4 * ends).tolist(), (4 * ends[1:]).tolist()):
+                yield packed[a:b], placed[a:b]
+
     def slices_of(self, text: str) -> list[bytes]:
         """Slices of one text before merging."""
         data, offsets, _ = self._scan([text])
         places = offsets.tolist()
         return [data[a:b] for a, b in zip(places, places[1:])]
 
-    def decode(self, packed: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
-
-    def offsets(self, packed: bytes) -> bytes:
-        """Byte place of every token in the decoded text, packed as the ids are."""
-        sizes = [len(self.tokens[i]) for i in np.frombuffer(packed, dtype="<u4").tolist()]
-        ends = np.cumsum(np.array(sizes, dtype=np.int64))
-        return (ends - sizes).astype("<u4").tobytes() if sizes else b""
-
 
 def _groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
     group, size = [], 0
@@ -463,6 +509,12 @@ def codec(path: str = RANKS) -> Codec:
     return Codec(path)
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str = RANKS) -> Decoder:
+    """One decoder per worker and file, without the tables of the encoder."""
+    return Decoder(_read_ranks(path))
+
+
 def encode_column(text: Column | str, path: str = RANKS) -> Column:
     """Packed token ids of a text column."""
 
@@ -473,6 +525,18 @@ def encode_column(text: Column | str, path: str = RANKS) -> Column:
     return encode(text)
 
 
+def encode_with_offsets_column(text: Column | str, path: str = RANKS) -> Column:
+    """Struct of `ids` and `offsets`: token ids of a text column and the tokens' byte places in it."""
+
+    @F.arrow_udf("struct<ids: binary, offsets: binary>")
+    def encode(values: pa.Array) -> pa.Array:
+        pairs = list(codec(path).encode_with_offsets(v.as_py() for v in values))
+        columns = [pa.array([p[k] for p in pairs], type=pa.binary()) for k in (0, 1)]
+        return pa.StructArray.from_arrays(columns, names=["ids", "offsets"])
+
+    return encode(text)
+
+
 def count_column(text: Column | str, path: str = RANKS) -> Column:
     """Number of tokens of a text column."""
 
@@ -483,14 +547,22 @@ def count_column(text: Column | str, path: str = RANKS) -> Column:
     return count(text)
 
 
-def decode_column(ids: Column | str, path: str = RANKS) -> Column:
-    """Bytes behind packed token ids; null ids decode to empty bytes."""
+def decode_column(ids: Column | str, offsets: Column | str | None = None, path: str = RANKS) -> Column:
+    """Bytes behind packed token ids; null ids decode to empty bytes.
+
+    With the `offsets` of the tokens they are put there; an offset that doesn't fit is an error.
+    """
 
     @F.arrow_udf("binary")
     def decode(values: pa.Array) -> pa.Array:
-        return pa.array((codec(path).decode(x.as_py() or b"") for x in values), type=pa.binary())
+        return pa.array((decoder(path).decode(x.as_py() or b"") for x in values), type=pa.binary())
+
+    @F.arrow_udf("binary")
+    def decode_at(values: pa.Array, places: pa.Array) -> pa.Array:
+        pairs = zip(values.to_pylist(), places.to_pylist())
+        return pa.array((decoder(path).decode(x or b"", at or b"") for x, at in pairs), type=pa.binary())
 
-    return decode(ids)
+    return decode(ids) if offsets is None else decode_at(ids, offsets)
 
 
 def offsets_column(ids: Column | str, path: str = RANKS) -> Column:
@@ -498,6 +570,7 @@ def offsets_column(ids: Column | str, path: str = RANKS) -> Column:
 
     @F.arrow_udf("binary")
     def offsets(values: pa.Array) -> pa.Array:
-        return pa.array((codec(path).offsets(x.as_py() or b"") for x in values), type=pa.binary())
+        known = decoder(path)
+        return pa.array((known.offsets(x.as_py() or b"").astype("<u4").tobytes() for x in values), type=pa.binary())
 
     return offsets(ids)

@@ -88,6 +88,37 @@ def test_round_trip_and_offsets(spark, reference):
     assert docs.limit(0).select(bpe.encode_column("text")).collect() == []
 
 
+def test_retained_offsets(spark, reference):
+    """Offsets carried from the slices are the tokens' places, and any run of tokens decodes by them."""
+    docs = docs_of(spark, [*ODD_TEXTS, "née " * 90_000])  # more tokens than are decoded together
+    found = docs.select("doc_id", "text", bpe.encode_with_offsets_column("text").alias("t"))
+    rows = found.select("*", bpe.decode_column("t.ids", "t.offsets").alias("back"),
+                        bpe.encode_column("text").alias("ids"), bpe.offsets_column("t.ids").alias("places")).collect()
+    assert len(rows) == len(ODD_TEXTS) + 1
+    decoder = bpe.decoder()
+    for r in rows:
+        data = (r.text or "").encode()
+        assert r.back == data and (r.t.ids, r.t.offsets) == (r.ids, r.places)
+        a, b = len(r.ids) // 12 * 4, len(r.ids) // 6 * 4
+        if b > a:
+            start, stop = (int.from_bytes(r.t.offsets[k:k + 4], "little") for k in (a, b))
+            assert decoder.decode(r.t.ids[a:b], r.t.offsets[a:b]) == data[start:stop]
+    ids, places = next(bpe.codec().encode_with_offsets(["two words"]))
+    assert decoder.decode(ids, places) == b"two words"
+    for wrong in (places[:-4], places[:-1] + b"\1"):
+        with pytest.raises(ValueError):
+            decoder.decode(ids, wrong)
+    assert docs.limit(0).select(bpe.encode_with_offsets_column("text")).collect() == []
+
+
+def test_the_query_encodes_once(spark):
+    from laurel.llm.queries import op5_byte_bpe
+
+    plan = op5_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    nodes = [line for line in plan.split("\n") if "ArrowEvalPython" in line]
+    assert len(nodes) == 2 and plan.count("encode(text") == 1
+
+
 # Packing
 
 
