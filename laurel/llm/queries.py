@@ -62,11 +62,10 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    # A struct, so that the decoder reads its fields: two chained functions would encode twice.
-    encoded = docs.select("doc_id", bpe.encode_with_offsets_column("text").alias("t"))
-    return encoded.select(
-        "doc_id", (F.octet_length("t.ids") / 4).cast("long").alias("n_tokens"), F.sha2("t.ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode_column("t.ids", "t.offsets"), 256).alias("decoded_sha256"),
+    found = docs.select("doc_id", bpe.round_trip_column("text").alias("t"))
+    return found.select(
+        "doc_id", (F.octet_length("t.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("t.ids", 256).alias("ids_sha256"), F.sha2("t.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -93,12 +93,14 @@ def test_retained_offsets(spark, reference):
     docs = docs_of(spark, [*ODD_TEXTS, "née " * 90_000])  # more tokens than are decoded together
     found = docs.select("doc_id", "text", bpe.encode_with_offsets_column("text").alias("t"))
     rows = found.select("*", bpe.decode_column("t.ids", "t.offsets").alias("back"),
-                        bpe.encode_column("text").alias("ids"), bpe.offsets_column("t.ids").alias("places")).collect()
+                        bpe.encode_column("text").alias("ids"), bpe.offsets_column("t.ids").alias("places"),
+                        bpe.round_trip_column("text").alias("both")).collect()
     assert len(rows) == len(ODD_TEXTS) + 1
     decoder = bpe.decoder()
     for r in rows:
         data = (r.text or "").encode()
         assert r.back == data and (r.t.ids, r.t.offsets) == (r.ids, r.places)
+        assert r.both == (r.ids, data)
         a, b = len(r.ids) // 12 * 4, len(r.ids) // 6 * 4
         if b > a:
             start, stop = (int.from_bytes(r.t.offsets[k:k + 4], "little") for k in (a, b))
@@ -116,7 +118,7 @@ def test_the_query_encodes_once(spark):
 
     plan = op5_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     nodes = [line for line in plan.split("\n") if "ArrowEvalPython" in line]
-    assert len(nodes) == 2 and plan.count("encode(text") == 1
+    assert len(nodes) == 1 and plan.count("round_trip(text") == 1
 
 
 # Packing
