@@ -1,8 +1,8 @@
 """Completer reports that are kept up to date by term.
 
-The cells of a report are stored in one partition per award term. When awards arrive, only the
-terms they fall in, late ones too, are counted anew and their partitions replaced; the files of other
-terms stay. Reports of any split and time scale are made of the stored cells.
+The cells of a report are stored in one partition per award term. When awards arrive, are taken back or
+corrected, only the terms they fall in, late ones too, are counted anew and their partitions replaced;
+the files of other terms stay. Reports of any split and time scale are made of the stored cells.
 """
 
 from __future__ import annotations
@@ -56,38 +56,41 @@ class CompleterStore:
                  colleges: Sequence[str] = COLLEGES):
         self.spark, self.path, self.majors, self.colleges = spark, path, majors, colleges
 
-    def _write(self, cells: DataFrame) -> None:
+    def _write(self, cells: DataFrame, terms: Sequence[int] = ()) -> None:
+        """Replace the partitions of `cells` and `terms`. A term without awards gets an empty cell, as
+        only partitions with a row are replaced."""
+        empty = self.spark.createDataFrame([(t, 0) for t in terms], f"{TERM} int, Count long")
         # A term's cells are few and go to one file; other terms are left alone.
-        cells.repartition(TERM).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        cells.unionByName(empty, allowMissingColumns=True).repartition(TERM).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             TERM).parquet(self.path)
 
     def build(self, domain: Domain, calendar: Calendar) -> None:
         """Count all terms."""
         self._write(award_cells(domain, calendar, None, self.majors, self.colleges))
 
-    def touched(self, arrived: DataFrame, calendar: Calendar, counted_until: int) -> list[int]:
-        """Terms to count anew: those of the arrived award rows, and those begun after `counted_until`,
+    def touched(self, changed: DataFrame, calendar: Calendar, counted_until: int) -> list[int]:
+        """Terms to count anew: those of the changed award rows, and those begun after `counted_until`,
         the current term of the last run. At most as many as the calendar has."""
-        dated = calendar.with_term_as_of(arrived.select("Award_Date").distinct(), "Award_Date", TERM)
+        dated = calendar.with_term_as_of(changed.select("Award_Date").distinct(), "Award_Date", TERM)
         terms = {r[TERM] for r in dated.select(TERM).distinct().collect()} - {None}
         return sorted(terms | {r.term for r in calendar.rows if counted_until < r.term <= calendar.current_term})
 
-    def refresh(self, domain: Domain, calendar: Calendar, arrived: DataFrame, counted_until: int) -> list[int]:
+    def refresh(self, domain: Domain, calendar: Calendar, changed: DataFrame, counted_until: int) -> list[int]:
         """Bring the cells up to date and return the terms counted anew.
 
-        `domain` holds all awards, the `arrived` ones included. Awards are only added: a term
-        whose awards are all taken back keeps its cells until the next `build`.
+        `domain` holds all awards as they are now. `changed` holds the rows that have arrived since
+        and those that were taken back; a corrected row is in it as it was and as it is.
         """
-        terms = self.touched(arrived, calendar, counted_until)
+        terms = self.touched(changed, calendar, counted_until)
         if terms:
-            self._write(award_cells(domain, calendar, terms, self.majors, self.colleges))
+            self._write(award_cells(domain, calendar, terms, self.majors, self.colleges), terms)
         return terms
 
     def cells(self, calendar: Calendar, years: int = 6) -> DataFrame:
         """Stored cells of the report's window; its terms choose the partitions that are read."""
         first = calendar.award_cutoff(years)
         stored = self.spark.read.parquet(self.path).where(
-            F.col(TERM).between(first, calendar.current_term))
+            F.col(TERM).between(first, calendar.current_term) & (F.col("Count") > 0))
         term = F.col(TERM)
         year = calendar.labelled_year(T.academic_year(term), T.academic_year_of(first))
         return stored.select(*CELL, "Count", calendar.labelled_term(term, first).alias("Year_Semester_Key"),

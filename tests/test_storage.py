@@ -120,6 +120,36 @@ def test_nothing_new_leaves_all_files(spark, tmp_path):
     assert sorted(map(str, running)) == sorted(map(str, full))
 
 
+@pytest.mark.parametrize("period", [ACADEMIC_YEAR, AWARD_TERM])
+def test_awards_taken_back(spark, tmp_path, period):
+    """A term that loses all its awards, and one that loses some; other partitions keep their files."""
+    tables = hot_tables(spark)
+    calendar = laurel.Calendar.load(tables, dt.date(2001, 9, 1))
+    store = laurel.CompleterStore(spark, str(tmp_path / "cells"))
+    store.build(tables, calendar)
+    first = files(store.path)
+    when = tables.awards["Award_Date"]
+    emptied = (when >= str(day_in(19990))) & (when < str(day_in(19991)))
+    thinned = (when >= str(day_in(19982))) & (when < str(day_in(19983))) & (tables.awards["Student_Id"] % 3 == 0)
+    gone = tables.awards.where(emptied | thinned)
+    left = Domain.from_frames(spark, **{
+        name: tables.awards.where(~(emptied | thinned)) if name == "awards" else tables[name] for name in laurel.SCHEMAS})
+    counted = store.refresh(left, calendar, gone, calendar.current_term)
+    again = files(store.path)
+    assert counted and partition_terms({p for p in first if first[p] == again.get(p)}) == \
+        partition_terms(first) - set(counted) != set()
+    for strata in SPLITS.values():
+        full = laurel.report_completers(
+            {"all": laurel.awards_all(left, calendar, details=(D.STUDENT,))}, period, strata)
+        report = store.report(calendar, period, strata)
+        assert sorted(map(str, dicts(report.select(full.columns)))) == sorted(map(str, dicts(full))) != []
+    # Nothing is left at last, and the store says so.
+    none = Domain.from_frames(spark, **{
+        name: tables.awards.limit(0) if name == "awards" else tables[name] for name in laurel.SCHEMAS})
+    store.refresh(none, calendar, tables.awards, calendar.current_term)
+    assert store.report(calendar, period).collect() == []
+
+
 def test_a_refresh_reads_only_the_terms_it_counts(spark, tmp_path):
     from laurel.plans.refresh import award_cells
 
