@@ -160,3 +160,30 @@ def test_a_hot_student_is_dealt_to_several_groups(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def plan_after_run(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chosen_students_are_never_broadcast(spark):
+    """Ids repeated for the groups look small when shuffled, but take a GB for a million students."""
+    from pyspark.sql import functions as F
+
+    from laurel.operators.paths import of_students
+
+    rows = spark.range(0, 30000).select(
+        (F.col("id") % 997).alias("Student_Id"), F.col("id").alias("Section_Number"), F.lit(20001).alias("Year_Semester"))
+    chosen = of_students(rows, spark.range(5).select(F.col("id").alias("Student_Id")))
+    assert "Broadcast" not in plan_after_run(chosen)
+    assert chosen.count() == rows.where("Student_Id < 5").count()
+
+
+def test_person_period_broadcasts_no_student_details(spark, tables):
+    """Students, their details and award terms are merged; only the entry cohorts and the calendar may be broadcast."""
+    calendar = laurel.Calendar.load(tables, dt.date(2001, 9, 1))
+    table = laurel.survival_person_period(tables, calendar, "000100", "AA", ["BOLT 100"])
+    left = [line for line in plan_after_run(table).splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in left if "LeftOuter" in line and "Student_Id" in line]
+    assert not [line for line in left if "LeftSemi" in line]
