@@ -106,6 +106,7 @@ def _programs(awards: DataFrame) -> DataFrame:
 
 
 def _enrollments(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """A line's columns are made before the join, which then shuffles short codes instead of dates and keys."""
     ship, supplier = F.col("l_shipdate"), F.col("l_suppkey")
     month_day = F.month(ship) * 100 + F.dayofmonth(ship)
     digit = F.when(month_day < 205, 0).when(month_day < 610, 1).when(month_day < 825, 2).otherwise(3)
@@ -116,8 +117,8 @@ def _enrollments(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         .when(returned == "N", F.when(open_line, "P").otherwise("C"))
         .otherwise(F.when(open_line, "E").otherwise("F"))
     )
-    return lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).select(
-        F.col("o_custkey").alias("Student_Id"),
+    lines = lineitem.select(
+        "l_orderkey",
         F.when(supplier % 5 == 0, "W").otherwise("E").alias("College"),
         (F.year(ship) * 10 + digit).cast("int").alias("Year_Semester"),
         F.col("l_partkey").alias("Section_Number"),
@@ -125,6 +126,9 @@ def _enrollments(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         (F.col("l_quantity").cast("int") % 5 + 1).cast("int").alias("Units"),
         F.col("l_linenumber").alias("Line"),
     )
+    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
+        F.col("o_custkey").alias("Student_Id"), *[c for c in lines.columns if c != "l_orderkey"]
+    )
 
 
 def _sections(enrollments: DataFrame, part: DataFrame) -> DataFrame:
@@ -216,5 +220,5 @@ def derive_domain(spark: SparkSession, folder: str) -> Domain:
         "sections2": lambda: _sections(domain["enrollments"], raw("part")),
         "student_profiles": lambda: _student_profiles(domain["enrollments"]),
         "ethnicity_details": lambda: _ethnicity_details(domain["students"]),
-    })
+    }, shared=["enrollments"])
     return domain

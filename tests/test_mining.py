@@ -176,3 +176,46 @@ def test_sets_are_pruned_apart(spark):
          ("y", ["c"], "z", 0.4, 0.9, 1.0), ("y", ["a", "b", "c", "d"], "z", 0.4, 0.8, 1.0)], schema)
     assert {(r["Set"], tuple(r["antecedent"])) for r in dicts(M.prune_rules(rules))} == {
         ("x", ("a",)), ("y", ("a", "b")), ("y", ("c",))}
+
+
+def test_repeated_courses_count_once_in_a_basket(spark):
+    """Enrollments are gathered as sets, without a shuffle before that drops repeats."""
+    taken = spark.createDataFrame(
+        [(1, 19961, "b"), (1, 19961, "a"), (1, 19961, "b"), (1, 19963, "b"), (2, 19961, None)],
+        "Student_Id bigint, Year_Semester int, Course string").repartition(5)
+    ratio = spark.createDataFrame([(1, 19961, 0.5)], "Student_Id bigint, Year_Semester int, Completion double")
+    found = {(r["Student_Id"], r["Year_Semester"]): (r["Courses"], r["Completion"])
+             for r in dicts(M.course_baskets(taken, ratio))}
+    assert found == {(1, 19961): (["a", "b"], 0.5), (1, 19963): (["b"], None), (2, 19961): ([], None)}
+
+
+def test_baskets_join_lines_with_orders_once(spark, monkeypatch):
+    """Enrollments, sections and profiles come from one join; it is made once and let go."""
+    import datetime as dt
+
+    import laurel
+    from laurel.plans import datasets as D
+
+    domain = laurel.derive_domain(spark, "/root/testdata/sf0.001")
+    calendar = laurel.Calendar.load(domain, dt.date(2001, 9, 1))
+    plans, store = [], D.cut_lineage
+    monkeypatch.setattr(D, "cut_lineage", lambda df: (
+        plans.append(df._jdf.queryExecution().withCachedData().toString()), store(df))[1])
+    baskets = D.stored_baskets(domain, calendar)
+    assert plans[0].count("InMemoryRelation") == 3
+    assert not domain.enrollments.is_cached and not domain.enrollments.storageLevel.useDisk
+    plain = M.course_baskets(M.student_term_courses(domain, calendar, None, ("E",), 6),
+                             M.term_completion_ratio(domain.student_profiles))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(baskets) == rows(plain) and baskets.count() > 50
+
+
+def test_tables_that_are_stored_are_not_held(spark, tmp_path):
+    import laurel
+
+    domain = laurel.derive_domain(spark, "/root/testdata/sf0.001")
+    with domain.held():
+        assert domain.enrollments.storageLevel.useDisk
+    domain.save(str(tmp_path))
+    with domain.held():
+        assert not domain.enrollments.storageLevel.useDisk
