@@ -132,11 +132,12 @@ def _enrollments(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def _sections(enrollments: DataFrame, part: DataFrame) -> DataFrame:
+    """Parts are merged, not broadcast: there are as many as sections are numbered, and from their compressed
+    files Spark takes millions of them for small."""
     size, key = F.col("p_size"), F.col("p_partkey")
     discipline = F.upper(F.split_part("p_name", F.lit(" "), F.lit(2)))
-    offered = enrollments.select("Section_Number", "College", "Year_Semester").distinct()
-    return offered.join(part.where(key % 37 != 0), F.col("Section_Number") == key).select(
-        "Section_Number", "College", "Year_Semester",
+    courses = part.where(key % 37 != 0).select(
+        key.alias("Section_Number"),
         discipline.alias("Discipline"),
         F.concat(discipline, F.lit(" "), _text(size % 10 + 100)).alias("Course"),
         F.when(size % 10 == 9, 1).otherwise(0).alias("Noncredit"),
@@ -145,6 +146,8 @@ def _sections(enrollments: DataFrame, part: DataFrame) -> DataFrame:
         (size % 3 * 18 + 54).cast("double").alias("Standard_Hours"),
         F.lit(270.0).alias("Teaching_Load"),
     )
+    offered = enrollments.select("Section_Number", "College", "Year_Semester").distinct()
+    return offered.join(courses.hint("merge"), "Section_Number")
 
 
 def _student_profiles(enrollments: DataFrame) -> DataFrame:

@@ -187,3 +187,11 @@ def test_person_period_broadcasts_no_student_details(spark, tables):
     left = [line for line in plan_after_run(table).splitlines() if "BroadcastHashJoin" in line]
     assert not [line for line in left if "LeftOuter" in line and "Student_Id" in line]
     assert not [line for line in left if "LeftSemi" in line]
+
+
+def test_parts_are_never_broadcast(spark):
+    """The parts grow with the sections; a broadcast would be held whole by the driver and by each task."""
+    derived = laurel.derive_domain(spark, "/root/testdata/sf0.001")
+    courses = derived.sections2.select("Section_Number", "College", "Year_Semester", "Discipline", "Course")
+    plan = plan_after_run(courses)
+    assert not [line for line in plan.splitlines() if "HashJoin" in line and "Section_Number" in line]
