@@ -195,3 +195,10 @@ def test_parts_are_never_broadcast(spark):
     courses = derived.sections2.select("Section_Number", "College", "Year_Semester", "Discipline", "Course")
     plan = plan_after_run(courses)
     assert not [line for line in plan.splitlines() if "HashJoin" in line and "Section_Number" in line]
+
+
+def test_course_completers_broadcast_no_students(spark, tables):
+    """Entry cohorts and students have a row per student; every task would hold a broadcast of them whole."""
+    calendar = laurel.Calendar.load(tables, dt.date(2001, 9, 1))
+    plan = plan_after_run(laurel.course_completers(tables, calendar))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
