@@ -10,6 +10,7 @@ import pytest
 
 import laurel
 from checks import sql as Q
+from checks.catalog import CHECKS, session_for
 from laurel.operators import awards as A
 from laurel.operators.paths import path_terms, term_effort
 from small import day_in, dicts, domain, terms
@@ -202,3 +203,20 @@ def test_course_completers_broadcast_no_students(spark, tables):
     calendar = laurel.Calendar.load(tables, dt.date(2001, 9, 1))
     plan = plan_after_run(laurel.course_completers(tables, calendar))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+COURSE_QUERIES = [
+    "course_distribution_ethnicity_gender", "course_distribution_gender", "course_heatmap", "course_takers",
+    "join_course_shortlist", "join_group_size", "max_course_share", "report_course_taking",
+    "report_course_taking_ethnicity", "report_course_taking_ethnicity_gender", "report_course_taking_gender",
+]
+
+
+@pytest.mark.parametrize("name", COURSE_QUERIES)
+def test_course_queries_never_broadcast_by_file_size(spark, name):
+    """Compressed files of students or parts look small at any size. The plan before the run goes by them; orders are
+    a small table here and may be broadcast."""
+    query = CHECKS[name].plan(session_for(spark, "/root/testdata/sf0.001"))
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert "SortMergeJoin" in plan and not [line for line in joins if "o_orderkey" not in line]
